@@ -10,76 +10,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cartoload.functions.values import number_text
+from cartoload.functions.values import plain_numbers
 
-STRICT = {"mode": "FAILFAST"}
 PARSED = "type string, coordinates string, geometries array<string>"
+STRICT = "map('mode', 'FAILFAST')"
 
 # How deep the coordinates of a kind are nested.
 DEPTH = {"Point": 1, "LineString": 2, "MultiPoint": 2, "Polygon": 3, "MultiLineString": 3, "MultiPolygon": 4}
 
+# WKT bodies are put together as SQL text: one expression to parse, however deep the nesting.
 
-def _pair(position: Column) -> Column:
-    return F.concat_ws(" ", number_text(position[0]), number_text(position[1]))
 
+def _each(items: str, variable: str, body: str) -> str:
+    return f"concat('(', array_join(transform({items}, {variable} -> {body}), ','), ')')"
 
-def _group(parts: Column) -> Column:
-    return F.concat(F.lit("("), F.array_join(parts, ","), F.lit(")"))
 
+def _pair(position: str) -> str:
+    return f"concat_ws(' ', {position}[0], {position}[1])"
 
-def _line(positions: Column) -> Column:
-    return _group(F.transform(positions, _pair))
 
+def _line(positions: str) -> str:
+    return _each(positions, "p", _pair("p"))
 
-def _multipoint(positions: Column) -> Column:
-    return _group(F.transform(positions, lambda p: F.concat(F.lit("("), _pair(p), F.lit(")"))))
 
+def _polygon(rings: str) -> str:
+    closed = "if(element_at(r, 1) = element_at(r, -1), r, concat(r, slice(r, 1, 1)))"
+    return _each(rings, "r", _line(closed))
 
-def _polygon(rings: Column) -> Column:
-    closed = F.transform(rings, lambda ring: F.when(
-        F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1))))
-    return _group(F.transform(closed, _line))
 
+def _body(kind: str, value: str) -> str:
+    if kind == "Point":
+        return f"concat('(', {_pair(value)}, ')')"
+    if kind == "LineString":
+        return _line(value)
+    if kind == "MultiPoint":
+        return _each(value, "m", f"concat('(', {_pair('m')}, ')')")
+    if kind == "Polygon":
+        return _polygon(value)
+    if kind == "MultiLineString":
+        return _each(value, "l", _line("l"))
+    return _each(value, "g", _polygon("g"))
 
-BODIES = {
-    "LineString": _line, "MultiPoint": _multipoint, "Polygon": _polygon,
-    "MultiLineString": lambda lines: _group(F.transform(lines, _line)),
-    "MultiPolygon": lambda polygons: _group(F.transform(polygons, _polygon)),
-}
 
-
-def _coordinates(kind: Column, text: Column, depth: int) -> Column:
+def _coordinates(kind: str, text: str, depth: int) -> str:
     """Parsed coordinates of the kinds with this depth, NULL for the others."""
-    kinds = [name for name, d in DEPTH.items() if d == depth]
-    return F.when(kind.isin(kinds), F.from_json(text, "array<" * depth + "double" + ">" * depth, STRICT))
+    kinds = ", ".join(f"'{name}'" for name, d in DEPTH.items() if d == depth)
+    shape = "array<" * depth + "double" + ">" * depth
+    return f"CASE WHEN {kind} IN ({kinds}) THEN from_json({text}, '{shape}', {STRICT}) END"
 
 
-def _plain_wkt(kind: Column, coordinates: dict[int, Column], otherwise: Column) -> Column:
-    point = coordinates[1]
-    text = F.when((kind == "Point") & (F.size(point) >= 2),
-                  F.concat(F.lit("POINT("), _pair(point), F.lit(")")))
-    for name, body in BODIES.items():
-        parsed = coordinates[DEPTH[name]]
-        shown = F.concat(F.lit(name.upper()), F.when(F.size(parsed) == 0, F.lit(" EMPTY")).otherwise(body(parsed)))
-        text = text.when(kind == name, shown)
-    return text.otherwise(otherwise)
+def _plain_wkt(kind: str, coordinates: dict[int, str], otherwise: str) -> str:
+    cases = []
+    for name, depth in DEPTH.items():
+        value = coordinates[depth]
+        if name == "Point":
+            cases.append(f"WHEN {kind} = 'Point' AND size({value}) >= 2 THEN concat('POINT', {_body(name, value)})")
+        else:
+            body = f"if(size({value}) = 0, ' EMPTY', {_body(name, value)})"
+            cases.append(f"WHEN {kind} = '{name}' THEN concat('{name.upper()}', {body})")
+    return f"CASE {' '.join(cases)} ELSE {otherwise} END"
 
 
-def _bad(geometry: Column) -> Column:
-    return F.raise_error(F.concat(F.lit("cannot read the geometry "), geometry)).cast("string")
+def _bad(document: str) -> str:
+    return f"CAST(raise_error(concat('cannot read the geometry ', {document})) AS string)"
 
 
-def _collection(members: Column, nesting: int) -> Column:
+def _collection(members: str, nesting: int) -> str:
     """Members of a collection, which may hold collections ``nesting`` levels down."""
-    def one(member):
-        kind, text = member["type"], member["coordinates"]
-        inner = _collection(member["geometries"], nesting - 1) if nesting else _bad(F.to_json(member))
-        whole = F.when(kind == "GeometryCollection", inner).otherwise(_bad(F.to_json(member)))
-        return _plain_wkt(kind, {d: _coordinates(kind, text, d) for d in (1, 2, 3, 4)}, whole)
-
-    parsed = F.transform(members, lambda g: F.from_json(g, PARSED, STRICT))
-    return F.concat(F.lit("GEOMETRYCOLLECTION"), F.when(F.size(members) == 0, F.lit(" EMPTY")).otherwise(
-        _group(F.transform(parsed, one))))
+    one = f"c{nesting}"
+    inner = _collection(f"{one}.geometries", nesting - 1) if nesting else _bad(f"to_json({one})")
+    whole = f"CASE WHEN {one}.type = 'GeometryCollection' THEN {inner} ELSE {_bad(f'to_json({one})')} END"
+    text = {d: _coordinates(f"{one}.type", f"{one}.coordinates", d) for d in (1, 2, 3, 4)}
+    parsed = f"transform({members}, t -> from_json(t, '{PARSED}', {STRICT}))"
+    listed = _each(parsed, one, _plain_wkt(f"{one}.type", text, whole))
+    return f"concat('GEOMETRYCOLLECTION', if(size({members}) = 0, ' EMPTY', {listed}))"
 
 
 def geojson_to_wkt(frame: DataFrame, geometry: str, nesting: int = 0) -> DataFrame:
@@ -90,16 +94,16 @@ def geojson_to_wkt(frame: DataFrame, geometry: str, nesting: int = 0) -> DataFra
     inside collections.
     """
     others = [c for c in frame.columns if c != geometry]
-    parsed = frame.select(*others, geometry, F.from_json(geometry, PARSED, STRICT).alias("_g"))
-    kind, text = F.col("_g.type"), F.col("_g.coordinates")
-    split = parsed.select(*others, geometry, kind.alias("_kind"), F.col("_g.geometries").alias("_members"), *[
-        _coordinates(kind, text, d).alias(f"_c{d}") for d in (1, 2, 3, 4)])
-    missing = F.col(geometry).isNull() | (F.col(geometry) == "null")
-    collection = F.when(F.col("_kind") == "GeometryCollection", _collection(F.col("_members"), nesting))
-    wkt = F.when(missing, F.lit(None).cast("string")).otherwise(_plain_wkt(
-        F.col("_kind"), {d: F.col(f"_c{d}") for d in (1, 2, 3, 4)},
-        collection.otherwise(_bad(F.col(geometry)))))
-    return split.select(*[wkt.alias(c) if c == geometry else F.col(c) for c in frame.columns])
+    parsed = frame.select(*others, geometry, F.expr(f"from_json(`{geometry}`, '{PARSED}', {STRICT})").alias("_g"))
+    split = parsed.select(
+        *others, geometry, F.col("_g.type").alias("_kind"), F.col("_g.geometries").alias("_members"),
+        *[F.expr(_coordinates("_g.type", "_g.coordinates", d)).alias(f"_c{d}") for d in (1, 2, 3, 4)])
+    collection = (f"CASE WHEN _kind = 'GeometryCollection' THEN {_collection('_members', nesting)} "
+                  f"ELSE {_bad(f'`{geometry}`')} END")
+    text = _plain_wkt("_kind", {d: f"_c{d}" for d in (1, 2, 3, 4)}, collection)
+    shown = split.select(*others, F.expr(
+        f"CASE WHEN `{geometry}` IS NULL OR `{geometry}` = 'null' THEN NULL ELSE {text} END").alias("_wkt"))
+    return shown.select(*[plain_numbers(F.col("_wkt")).alias(c) if c == geometry else F.col(c) for c in frame.columns])
 
 
 def esri_to_geojson(geometry: Column) -> Column:

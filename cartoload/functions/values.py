@@ -38,17 +38,21 @@ def csv_line(texts: list[Column]) -> Column:
 # --- numbers, dates, times -----------------------------------------------------------------------
 
 def number_text(number: Column) -> Column:
-    """Shortest digits, no trailing ``.0`` and no exponent.
-
-    The rare exponent form is worked out inside a one-element ``transform``, which names the text
-    once and keeps the generated code of the usual path short.
-    """
+    """Shortest digits, no trailing ``.0`` and no exponent."""
     text = number.cast("string")
-    return (
-        F.when(text.contains("E"), F.transform(F.array(text), _spread)[0])
-        .when(text.endswith("Infinity"), F.replace(text, F.lit("Infinity"), F.lit("inf")))
-        .otherwise(F.regexp_replace(text, r"\.0$", ""))
-    )
+    return F.when(text.endswith("Infinity"), F.replace(text, F.lit("Infinity"), F.lit("inf"))).otherwise(
+        plain_numbers(text))
+
+
+def plain_numbers(text: Column) -> Column:
+    """V15 for every number in a text of numbers, blanks, commas and brackets."""
+    pieces = F.split(text, r"(?<=[ ,(])|(?=[ ,)])")
+    shown = F.transform(pieces, lambda t: F.when(t.rlike(r"[0-9]E-?[0-9]+$"), _spread(t)).otherwise(_bare(t)))
+    return F.when(text.rlike(r"[0-9]E-?[0-9]"), F.array_join(shown, "")).otherwise(_bare(text))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"\.0(?![0-9])", "")
 
 
 def _spread(text: Column) -> Column:

@@ -14,10 +14,10 @@ from cartoload.operators.ordinal import numbered
 def insert_rows(spark: SparkSession, table: DataFrame, rows: DataFrame, id_column: str,
                 order_by: list[str]) -> DataFrame:
     """M1: ``rows`` with ids that continue the table's, dense and in the given order."""
-    top = table.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("bigint").alias("_top"))
+    top = table.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("bigint"))
     placed = numbered(spark, rows, order_by, "_number")
-    return placed.join(F.broadcast(top)).select(  # one row
-        (F.col("_top") + F.col("_number")).alias(id_column), *[c for c in rows.columns if c != id_column])
+    return placed.select((top.scalar() + F.col("_number")).alias(id_column),
+                         *[c for c in rows.columns if c != id_column])
 
 
 def update_rows(table: DataFrame, changes: DataFrame, key: str, columns: list[str],
@@ -75,15 +75,16 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str, actor: str, al
     without the right, keys changed twice in the batch and inserts of known keys are rejected with a
     reason; updates and deletes of unknown keys do nothing, as in SQL.
     """
-    accepted, refused = gate(changes, actor, allowed, message)
-    twice = accepted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
-    repeated = accepted.join(twice, key, "left_semi").withColumn(
-        "reason", F.format_string("key %s is changed more than once", F.col(key).cast("string")))
-    single = accepted.join(twice, key, "left_anti")
-    known = table.select(F.col(key).alias("_known"))
-    clash = single.filter("action = 'I'").join(known, F.col(key) == F.col("_known"), "left_semi").withColumn(
-        "reason", F.format_string("key %s exists", F.col(key).cast("string")))
-    wanted = single.select(F.col(key), F.col("action"), F.struct(*[
+    grants = allowed.select(F.col("uid").alias("_uid"), F.lit(True).alias("_granted")).distinct()
+    asked = changes.join(grants, F.col(actor) == F.col("_uid"), "left")
+    twice = asked.filter("_granted").groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
+        F.col(key).alias("_key"), F.lit(True).alias("_twice"))
+    reason = (
+        F.when(F.col("_granted").isNull(), F.format_string(message, F.col(actor).cast("string")))
+        .when(F.col("_twice"), F.format_string("key %s is changed more than once", F.col(key).cast("string")))
+    )
+    judged = asked.join(twice, F.col(key) == F.col("_key"), "left").select(*changes.columns, reason.alias("reason"))
+    wanted = judged.filter("reason is null").select(F.col(key), "action", F.struct(*changes.columns).alias("change"), F.struct(*[
         (F.nullif(F.col(c), F.lit("")) if c in optional_text else F.col(c)).alias(c) for c in table.columns
     ]).alias("wanted"))
     joined = table.select(key, F.struct(*table.columns).alias("old")).join(wanted, key, "full_outer")
@@ -96,7 +97,9 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str, actor: str, al
     )
     pairs = joined.select(key, "old", new.alias("new"))
     after = pairs.filter("new is not null").select("new.*")
-    rejected = refused.unionByName(repeated.select(refused.columns)).unionByName(clash.select(refused.columns))
+    clash = joined.filter(exists & (action == "I")).select("change.*", F.format_string(
+        "key %s exists", F.col(f"old.{key}").cast("string")).alias("reason"))
+    rejected = judged.filter("reason is not null").unionByName(clash)
     return Applied(after, rejected, changes_between(pairs, [key], table.columns, ignored))
 
 
