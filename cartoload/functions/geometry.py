@@ -94,7 +94,8 @@ def geojson_to_wkt(frame: DataFrame, geometry: str, nesting: int = 0) -> DataFra
     inside collections.
     """
     others = [c for c in frame.columns if c != geometry]
-    parsed = frame.select(*others, geometry, F.expr(f"from_json(`{geometry}`, '{PARSED}', {STRICT})").alias("_g"))
+    parsed = frame.select(*others, geometry, F.expr(
+        f"from_json(nullif(`{geometry}`, 'null'), '{PARSED}', {STRICT})").alias("_g"))
     split = parsed.select(
         *others, geometry, F.col("_g.type").alias("_kind"), F.col("_g.geometries").alias("_members"),
         *[F.expr(_coordinates("_g.type", "_g.coordinates", d)).alias(f"_c{d}") for d in (1, 2, 3, 4)])
@@ -141,8 +142,8 @@ def _wkb_geometry(data: bytes, at: int) -> tuple[str, str, int]:
     at += 5
     if code & 0x20000000:  # EWKB: spatial reference id
         at += 4
-    width = 2 + (code >> 31) + (code >> 30 & 1) + (0, 1, 1, 2)[code % 100000 // 1000 % 4]
     kind = code & 0x0FFFFFFF
+    width = 2 + (code >> 31) + (code >> 30 & 1) + (0, 1, 1, 2)[kind // 1000]
     name = WKB_NAMES[kind % 1000]
 
     def count(at):

@@ -38,10 +38,18 @@ def csv_line(texts: list[Column]) -> Column:
 # --- numbers, dates, times -----------------------------------------------------------------------
 
 def number_text(number: Column) -> Column:
-    """Shortest digits, no trailing ``.0`` and no exponent."""
+    """Shortest digits, no trailing ``.0`` and no exponent.
+
+    The rare exponent form is worked out inside a one-element ``transform``, which keeps the code
+    generated for the usual path short.
+    """
     text = number.cast("string")
-    return F.when(text.endswith("Infinity"), F.replace(text, F.lit("Infinity"), F.lit("inf"))).otherwise(
-        plain_numbers(text))
+    return (
+        F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2))
+        .when(text.contains("E"), F.transform(F.array(text), _spread)[0])
+        .when(text.endswith("Infinity"), F.replace(text, F.lit("Infinity"), F.lit("inf")))
+        .otherwise(text)
+    )
 
 
 def plain_numbers(text: Column) -> Column:
@@ -143,17 +151,19 @@ def tagged_json(kind: Column, text: Column) -> Column:
     return F.to_json(F.struct(kind.alias("type"), F.coalesce(text, F.lit("")).alias("value")))
 
 
-def _little_endian(data: Column, start: int) -> Column:
-    four = F.reverse(F.regexp_extract_all(F.hex(F.substring(data, start, 4)), F.lit("(..)"), 1))
-    return F.conv(F.array_join(four, ""), 16, 10).cast("bigint")
+def _little_endian(digits: Column, start: int) -> Column:
+    """Number from four bytes given as hex digits, lowest byte first."""
+    swapped = F.concat(*[F.substring(digits, start + i, 2) for i in (6, 4, 2, 0)])
+    return F.conv(swapped, 16, 10).cast("bigint")
 
 
 def duration_json(data: Column) -> Column:
     """Three little-endian 32-bit numbers."""
+    digits = F.hex(data)
     parts = F.struct(
-        _little_endian(data, 1).alias("months"),
-        _little_endian(data, 5).alias("days"),
-        _little_endian(data, 9).alias("millis"),
+        _little_endian(digits, 1).alias("months"),
+        _little_endian(digits, 9).alias("days"),
+        _little_endian(digits, 17).alias("millis"),
     )
     return F.when(data.isNotNull(), F.to_json(parts))
 

@@ -32,6 +32,9 @@ def write_files(frame: DataFrame, path: str, suffix: str, save) -> str:
             save(stem, pa.Table.from_batches(batches, batches[0].schema))
             yield pa.RecordBatch.from_pydict({"path": [stem + suffix]})
 
+    tasks = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() < tasks:
+        frame = frame.repartition(tasks)
     frame.mapInArrow(part, "path string").write.format("noop").mode("overwrite").save()
     return path
 
@@ -74,16 +77,19 @@ def _long(value: int) -> bytes:
     return bytes(out)
 
 
-def encode(schema, value) -> bytes:
+def encode(schema, value, named: dict) -> bytes:
     """One value in Avro binary; union branches are picked by null or not, else ``(index, value)``."""
     if isinstance(schema, list):
         if not isinstance(value, tuple):
             null = schema.index("null")
             value = (null, None) if value is None else (1 - null, value)
-        return _long(value[0]) + encode(schema[value[0]], value[1])
+        return _long(value[0]) + encode(schema[value[0]], value[1], named)
+    schema = named.get(schema, schema) if isinstance(schema, str) else schema
     kind = schema if isinstance(schema, str) else schema["type"]
     if isinstance(kind, (dict, list)):
-        return encode(kind, value)
+        return encode(kind, value, named)
+    if kind in ("record", "enum", "fixed"):
+        named[schema["name"]] = schema
     if kind == "null":
         return b""
     if kind == "boolean":
@@ -104,23 +110,23 @@ def encode(schema, value) -> bytes:
     if kind == "enum":
         return _long(schema["symbols"].index(value))
     if kind == "array":
-        items = b"".join(encode(schema["items"], item) for item in value)
+        items = b"".join(encode(schema["items"], item, named) for item in value)
         return (_long(len(value)) + items if value else b"") + b"\x00"
     if kind == "map":
-        items = b"".join(encode("string", k) + encode(schema["values"], v) for k, v in dict(value).items())
+        items = b"".join(encode("string", k, named) + encode(schema["values"], v, named) for k, v in dict(value).items())
         return (_long(len(value)) + items if value else b"") + b"\x00"
-    return b"".join(encode(f["type"], value[f["name"]]) for f in schema["fields"])
+    return b"".join(encode(f["type"], value[f["name"]], named) for f in schema["fields"])
 
 
 def avro_bytes(schema: dict, rows, codec: str = "deflate", block_rows: int = 1000) -> bytes:
     sync = b"cartoload-sync-1"
     meta = {"avro.schema": json.dumps(schema).encode(), "avro.codec": codec.encode()}
     out = [b"Obj\x01", _long(len(meta)),
-           *[encode("string", k) + encode("bytes", v) for k, v in meta.items()], b"\x00", sync]
-    rows = list(rows)
+           *[encode("string", k, {}) + encode("bytes", v, {}) for k, v in meta.items()], b"\x00", sync]
+    rows, named = list(rows), {}
     for start in range(0, len(rows), block_rows):
         chunk = rows[start:start + block_rows]
-        body = b"".join(encode(schema, row) for row in chunk)
+        body = b"".join(encode(schema, row, named) for row in chunk)
         if codec == "deflate":
             packer = zlib.compressobj(wbits=-15)
             body = packer.compress(body) + packer.flush()
@@ -205,6 +211,7 @@ def write_shapefile(frame: DataFrame, path: str, fields: list[tuple], shape) ->
 # --- workbooks -----------------------------------------------------------------------------------
 
 SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+SHEET_ROWS = 1_000_000  # a sheet holds 1,048,576 rows
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 
@@ -261,8 +268,9 @@ def write_workbooks(frame: DataFrame, path: str, sheet: str) -> str:
         return value
 
     def save(stem, data: pa.Table):
-        rows = [data.column_names] + [[cell(v) for v in row.values()] for row in data.to_pylist()]
-        content = workbook_bytes(sheet, rows)
-        put_file(stem + ".xlsx", lambda sink: sink.write(content))
+        for i, start in enumerate(range(0, data.num_rows, SHEET_ROWS)):
+            chunk = data.slice(start, SHEET_ROWS).to_pylist()
+            content = workbook_bytes(sheet, [data.column_names] + [[cell(v) for v in row.values()] for row in chunk])
+            put_file(f"{stem}-{i}.xlsx", lambda sink, c=content: sink.write(c))
 
     return write_files(frame, path, ".xlsx", save)

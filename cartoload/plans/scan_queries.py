@@ -429,7 +429,11 @@ def load_job_report(spark, folder):
 # --- feature services ----------------------------------------------------------------------------
 
 def customer_layers(spark, folder):
-    """One layer per customer with orders: description, row count and id range."""
+    """One layer per customer with orders: description, row count and id range.
+
+    A layer without pagination gets a page as wide as its average id gap, so that it has about as
+    many windows as rows.
+    """
     orders = table(spark, folder, "orders")
     profile = featureservice.id_range(orders, "o_custkey", "o_orderkey")
     layers = profile.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -437,8 +441,10 @@ def customer_layers(spark, folder):
         '[{"name":"OBJECTID","type":"esriFieldTypeOID"},{"name":"Name","type":"esriFieldTypeString"},'
         '{"name":"Placed","type":"esriFieldTypeDate"},{"name":"Shape","type":"esriFieldTypeGeometry"}]')
     segment = F.col("c_mktsegment")
+    gap = F.floor((F.col("max_oid") - F.col("min_oid")) / F.col("count")) + 1
+    page = F.when(segment.isin("BUILDING", "MACHINERY"), F.col("c_nationkey") + 1).otherwise(gap)
     metadata = F.concat(
-        F.lit('{"name":"'), F.col("c_name"), F.lit('","maxRecordCount":'), (F.col("c_nationkey") + 1).cast("string"),
+        F.lit('{"name":"'), F.col("c_name"), F.lit('","maxRecordCount":'), page.cast("string"),
         F.lit(',"type":"'), F.when(segment == "BUILDING", "Table").otherwise("Feature Layer"),
         F.lit('","geometryType":"esriGeometryPoint","supportedQueryFormats":"'),
         F.when(segment == "FURNITURE", "JSON").otherwise("JSON, geoJSON, PBF"),
@@ -454,7 +460,9 @@ def customer_layers(spark, folder):
 LAYERS_SQL = """
 WITH profile AS (SELECT o_custkey, count(*) AS count, min(o_orderkey) AS min_oid, max(o_orderkey) AS max_oid
   FROM orders GROUP BY o_custkey),
-layers AS (SELECT 'http://gis.example.org/' || c_custkey AS url, c_name AS name, c_nationkey + 1 AS page_size,
+layers AS (SELECT 'http://gis.example.org/' || c_custkey AS url, c_name AS name,
+  CAST(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_nationkey + 1
+    ELSE least((max_oid - min_oid) // count + 1, 10000) END AS INTEGER) AS page_size,
   c_mktsegment = 'BUILDING' AS is_table, c_mktsegment IN ('BUILDING', 'MACHINERY') AS paginated,
   CASE WHEN c_mktsegment = 'FURNITURE' THEN 'json' ELSE 'geojson' END AS query_format,
   count, min_oid, max_oid FROM profile JOIN customer ON o_custkey = c_custkey)"""

@@ -122,8 +122,11 @@ SELECT l_orderkey, l_linenumber, l_partkey,
 FROM lineitem""")
 def duration_json(spark, folder):
     """Twelve bytes put together from three numbers."""
-    word = lambda c: F.reverse(F.regexp_extract_all(F.lpad(F.hex(c), 8, "0"), F.lit("(..)"), 1))
-    packed = F.unhex(F.array_join(F.concat(word("l_linenumber"), word("l_suppkey"), word("l_partkey")), ""))
+    def word(column):
+        digits = F.lpad(F.hex(column), 8, "0")
+        return F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)])
+
+    packed = F.unhex(F.concat(word("l_linenumber"), word("l_suppkey"), word("l_partkey")))
     return table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", values.duration_json(packed).alias("duration"))
 

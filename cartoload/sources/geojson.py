@@ -33,17 +33,17 @@ def features(spark: SparkSession, path: str, how: str | None = None) -> DataFram
     freely. ``document`` reads a whole collection as one value, so a file has to stay below 2 GB.
     """
     how = how or layout(head_text(first_file(path, ".geojson", ".json", ".txt")))
+    feature = F.col("feature")
+    parsed = F.from_json(feature, "geometry string, properties string", STRICT)
     if how == "lines":
         text = spark.read.text(path, pathGlobFilter="[!_.]*").select(
-            F.regexp_replace("value", "^﻿|[\\s,]+$", "").alias("feature"))
+            F.regexp_replace("value", "^\ufeff|[\\s,]+$", "").alias("feature"))
         # The lines around the features open and close the collection.
-        text = text.filter(F.col("feature").rlike(r'^\s*\{\s*"type"\s*:\s*"Feature"\s*,'))
+        parsed = F.when(feature.rlike(r'^\s*\{\s*"type"\s*:\s*"Feature"\s*,'), parsed)
     else:
         whole = spark.read.text(path, wholetext=True, pathGlobFilter="[!_.]*")
-        body = F.regexp_replace("value", "^﻿", "")
-        parsed = F.from_json(body, "features array<string>", STRICT)
-        text = whole.select(F.explode(parsed["features"]).alias("feature"))
-    parsed = F.from_json("feature", "geometry string, properties string", STRICT)
+        collection = F.from_json(F.regexp_replace("value", "^\ufeff", ""), "features array<string>", STRICT)
+        text = whole.select(F.explode(collection["features"]).alias("feature"))
     return text.select(parsed.alias("f")).select("f.geometry", "f.properties").filter(
         F.col("properties").isNotNull())
 
