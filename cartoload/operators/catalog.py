@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,7 +118,11 @@ def seed_rows() -> dict[str, list[tuple]]:
 
 
 def seed(spark: SparkSession, table: str) -> DataFrame:
-    return spark.createDataFrame(seed_rows().get(table, []), TABLES[table])
+    """Seed rows as a local relation: its size is known, so the planner may broadcast it."""
+    names = [entry.split(" ", 1)[0] for entry in TABLES[table].split(", ")]
+    columns = zip(*seed_rows()[table])
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, columns))))).select(*[
+        F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], TABLES[table]).schema])
 
 
 # --- views ---------------------------------------------------------------------------------------

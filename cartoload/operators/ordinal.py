@@ -42,8 +42,10 @@ def numbered(spark: SparkSession, rows: DataFrame, order_by: list[str], name: st
     earlier = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.sum("_n").over(earlier)).filter("_before > 0").drop("_n")
-    local = fixed.withColumn("_local", F.row_number().over(
-        Window.partitionBy(*groups, "_range").orderBy("_at")))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    if groups:
+        place = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy("_at"))
+    local = fixed.withColumn("_local", place)
     joined = local.join(offsets, same(local, offsets, [*groups, "_range"]), "left")
     number = F.col("_local").cast("bigint") + F.coalesce("_before", F.lit(0))
     return joined.select(*[local[c] for c in rows.columns], number.alias(name))

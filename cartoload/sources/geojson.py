@@ -7,42 +7,68 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartoload.files import first_file, head_text
+from cartoload.files import head_text, list_files
 from cartoload.functions.geometry import geojson_to_wkt
 from cartoload.functions.names import table_name
 from cartoload.functions.types import from_json_text, type_or_text
 from cartoload.functions.values import empty_to_null, json_values, typed
-from cartoload.sources.base import Scan, project, quoted
+from cartoload.sources.base import Scan, project, quoted, split_bytes
 
 STRICT = {"mode": "FAILFAST"}
 FEATURE_LINE = re.compile(r'^\s*\{\s*"type"\s*:\s*"Feature"\s*,.*\}\s*,?\s*$')
+FEATURE_START = re.compile(r'\{\s*"type"\s*:\s*"Feature"\s*,')
+BYTE_ORDER_MARK = "^\ufeff"
 
 
-def layout(head: str) -> str:
-    """``lines`` when the first feature seen sits alone on one line, else ``document``."""
+def layout(head: str, large: bool) -> str:
+    """How to read files that begin like this.
+
+    ``lines`` when a feature sits alone on a line; else ``document``, or ``pieces`` for files too
+    large for one task whose features all begin with the same text.
+    """
     whole_lines = head.split("\n")
     if len(whole_lines) > 1:
         whole_lines.pop()
-    return "lines" if any(FEATURE_LINE.match(line.rstrip("\r")) for line in whole_lines) else "document"
+    if any(FEATURE_LINE.match(line.rstrip("\r")) for line in whole_lines):
+        return "lines"
+    return "pieces" if large and len(set(FEATURE_START.findall(head))) == 1 else "document"
+
+
+def _pieces(spark: SparkSession, path: str, marker: str) -> DataFrame:
+    """Features of collections without line structure: the reader splits at the text they begin with.
+
+    What follows a feature in its piece is not looked at. A nested object that begins like a feature
+    would break its piece, which fails the load; such files need the ``document`` layout.
+    """
+    text = spark.read.text(path, lineSep=marker, pathGlobFilter="[!_.]*")
+    # The piece before the first feature begins with the brace of the collection.
+    text = text.filter(~F.col("value").rlike("^\ufeff?\\s*(\\{|$)"))
+    return text.select(F.concat(F.lit(marker), "value").alias("feature"))
 
 
 def features(spark: SparkSession, path: str, how: str | None = None) -> DataFrame:
     """One row per feature: ``geometry`` and ``properties`` as JSON text.
 
-    ``lines`` reads one feature per line, inside a collection or on their own, and splits files
-    freely. ``document`` reads a whole collection as one value, so a file has to stay below 2 GB.
+    ``lines`` reads one feature per line, inside a collection or on their own, and ``pieces`` splits
+    at the start of features; both split files freely. ``document`` reads a whole collection as one
+    value, so a file has to stay below 2 GB.
     """
-    how = how or layout(head_text(first_file(path, ".geojson", ".json", ".txt")))
+    sizes = list_files(path, ".geojson", ".json", ".txt")
+    head = head_text(sizes[0][0])
+    how = how or layout(head, max(size for _, size in sizes) > split_bytes(spark, sum(s for _, s in sizes)))
     feature = F.col("feature")
     parsed = F.from_json(feature, "geometry string, properties string", STRICT)
     if how == "lines":
         text = spark.read.text(path, pathGlobFilter="[!_.]*").select(
-            F.regexp_replace("value", "^\ufeff|[\\s,]+$", "").alias("feature"))
+            F.regexp_replace("value", BYTE_ORDER_MARK + "|[\\s,]+$", "").alias("feature"))
         # The lines around the features open and close the collection.
         parsed = F.when(feature.rlike(r'^\s*\{\s*"type"\s*:\s*"Feature"\s*,'), parsed)
+    elif how == "pieces":
+        text = _pieces(spark, path, FEATURE_START.search(head).group())
     else:
         whole = spark.read.text(path, wholetext=True, pathGlobFilter="[!_.]*")
-        collection = F.from_json(F.regexp_replace("value", "^\ufeff", ""), "features array<string>", STRICT)
+        collection = F.from_json(
+            F.regexp_replace("value", BYTE_ORDER_MARK, ""), "features array<string>", STRICT)
         text = whole.select(F.explode(collection["features"]).alias("feature"))
     return text.select(parsed.alias("f")).select("f.geometry", "f.properties").filter(
         F.col("properties").isNotNull())

@@ -77,6 +77,30 @@ def test_delimited_splits_lines_without_quoted_ends(spark, tmp_path):
     assert delimited.scan(spark, {"file_path": path, "delimiter": ",", "multi_line": False}).frame.count() == 2000
 
 
+def test_delimited_split_inside_quoted_values(spark, tmp_path):
+    """Splits of a few bytes fall into the middle of values; the records must not notice."""
+    values = ["plain", "two\nlines", 'say "x"', "", None, "a,b", "\n\n", "é" * 30 + "\n", '"\n"'] * 12
+    cells = lambda v: "" if v is None else '"' + v.replace('"', '""') + '"'
+    text = "id,name,rest\n" + "".join(f"{i},{cells(v)},r{i}\n" for i, v in enumerate(values))
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    put(folder, "one.csv", text)
+    put(folder, "two.csv", text.replace("\n", "\r\n"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        options = {"file_path": str(folder), "delimiter": ",", "qualified": True}
+        found = delimited.scan(spark, {**options, "multi_line": "split"}).frame
+        whole = delimited.scan(spark, {**options, "multi_line": True}).frame
+        assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+        assert sorted((int(r.id), str(r.name), r.rest) for r in found.collect()) == sorted(
+            [(i, str(v), f"r{i}") for i, v in enumerate(values)] * 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "4MB")
+
+
 def test_colliding_headers_fail(spark, tmp_path):
     with pytest.raises(ValueError, match="collide"):
         delimited.scan(spark, {"file_path": put(tmp_path, "c.csv", "a b,a-b\n1,2\n"), "delimiter": ","})
@@ -102,6 +126,24 @@ def test_geojson_layouts_agree(spark):
     assert [c.column_type for c in inferred] == [kind for _, kind in lines.columns]
 
 
+def test_geojson_pieces(spark, tmp_path):
+    features = [feature({"A": i, "B": 'has {"type":"Feature", inside'}, {"type": "Point", "coordinates": [i, 0]}) for i in range(500)]
+    text = '{"type":"FeatureCollection","features":[' + ",".join(features) + '],"crs":{"type":"name"}}'
+    path = put(tmp_path, "one line.geojson", text)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        found = geojson.scan(spark, {"file_path": path, "layout": "pieces"}).frame
+        assert found.rdd.getNumPartitions() > 10
+        assert sorted(map(str, found.collect())) == sorted(map(str, geojson.scan(
+            spark, {"file_path": path, "layout": "document"}).frame.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "4MB")
+    assert geojson.layout(text[:2000], large=True) == "pieces" and geojson.layout(text[:2000], large=False) == "document"
+
+
 def feature(properties, geometry=None):
     return json.dumps({"type": "Feature", "geometry": geometry, "properties": properties}, separators=(",", ":"))
 
