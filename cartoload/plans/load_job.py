@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartoload.operators.catalog import sources_to_load
+from cartoload.operators.changes import update_rows
 from cartoload.operators.stage import stage
 from cartoload.session import configure
 from cartoload.sources.dispatch import scan
 
-REPORT = "sd_id bigint, table_name string, rows bigint, error string"
+REPORT = "sd_id bigint, table_name string, rows bigint, error string, loaded_timestamp timestamp"
 
 
 def load_one(spark: SparkSession, sd_id: int, options: str, root: str) -> tuple:
     try:
         source = scan(spark, options)
-        return sd_id, source.table_name, stage(spark, source, root), None
+        rows = stage(spark, source, root)
+        return sd_id, source.table_name, rows, None, datetime.now(timezone.utc)
     except Exception as error:  # any failure of a source belongs in the report
         reason = str(error).split("\n\nJVM stacktrace", 1)[0]
         return sd_id, None, None, (
-            f"Error attempting to bulk load data for sd_id = {sd_id}.\n{reason}")
+            f"Error attempting to bulk load data for sd_id = {sd_id}.\n{reason}"), None
 
 
 def run_load(spark: SparkSession, manifest: DataFrame, root: str, at_once: int = 4) -> DataFrame:
@@ -35,8 +39,18 @@ def run_load(spark: SparkSession, manifest: DataFrame, root: str, at_once: int =
         entries = manifest.select("sd_id", "options").toLocalIterator()
         waiting = [pool.submit(load_one, spark, row.sd_id, row.options, root) for row in entries]
         report = [job.result() for job in waiting]
-    return spark.createDataFrame(report, REPORT).withColumn(
-        "loaded_timestamp", F.when(F.col("error").isNull(), F.current_timestamp()))
+    return spark.createDataFrame(report, REPORT)
+
+
+def run_workflow(spark: SparkSession, source_data: DataFrame, load_instances: DataFrame, workflow_run_id: int,
+                 root: str, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
+    """One workflow run: load its sources, and hand back the report and the updated source entries.
+
+    An entry that loaded gets its time and loses its error; one that failed gets the error.
+    """
+    report = run_load(spark, sources_to_load(source_data, load_instances, workflow_run_id), root, at_once)
+    outcome = report.select("sd_id", "loaded_timestamp", F.col("error").alias("error_message"))
+    return report, update_rows(source_data, outcome, "sd_id", ["loaded_timestamp", "error_message"])
 
 
 def succeeded(report: DataFrame) -> bool:

@@ -22,17 +22,32 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
-@query("delimited_scan", """
+DOCUMENTS_SQL = """
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, CASE WHEN lang <> 'fr' THEN lang END AS lang,
        CASE WHEN source = 'src0' THEN '' ELSE source END AS source
-FROM documents""")
-def delimited_scan(spark, folder):
-    """Values with quotes and line ends, NULL and empty text."""
+FROM documents"""
+
+
+def document_csv(spark, folder):
+    """Documents with quotes and line ends, NULL and empty text."""
     rows = table(spark, folder, "documents").select(
         "doc_id", "text", F.when(F.col("lang") != "fr", F.col("lang")).alias("lang"),
         F.when(F.col("source") == "src0", "").otherwise(F.col("source")).alias("source"))
-    path = files.write_csv(rows, scratch(spark, "delimited") + "/documents.csv")
-    return delimited.scan(spark, {"file_path": path, "delimiter": ",", "qualified": True}).frame
+    return files.write_csv(rows, scratch(spark, "delimited") + "/documents.csv")
+
+
+@query("delimited_scan", DOCUMENTS_SQL)
+def delimited_scan(spark, folder):
+    """S2, the way of reading picked by file size."""
+    options = {"file_path": document_csv(spark, folder), "delimiter": ",", "qualified": True}
+    return delimited.scan(spark, options).frame
+
+
+@query("delimited_records_scan", DOCUMENTS_SQL)
+def delimited_records_scan(spark, folder):
+    """S2 as for large files: read in splits although values run over lines."""
+    options = {"file_path": document_csv(spark, folder), "delimiter": ",", "multi_line": "split"}
+    return delimited.scan(spark, options).frame
 
 
 @query("delimited_split_scan", """
@@ -74,6 +89,20 @@ def geojson_scan(spark, folder):
         "acctbal", F.col("acctbal").cast("double"))
 
 
+@query("geojson_pieces", """
+SELECT event_id, event_type, value, props AS props, 'POINT(' || event_id || ' ' || user_id || ')' AS geometry FROM events""")
+def geojson_pieces(spark, folder):
+    """S4 on features that follow each other without line ends."""
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.lit("Point").alias("type"), F.array("event_id", "user_id").alias("coordinates")).alias("geometry"),
+        F.struct("event_id", "event_type", "value", "props").alias("properties"))
+    path = scratch(spark, "geojson") + "/events.geojson"
+    table(spark, folder, "events").select(F.to_json(feature).alias("value")).write.text(path, lineSep=",")
+    frame = geojson.scan(spark, {"file_path": path, "layout": "pieces"}).frame
+    return frame.withColumns({"event_id": F.col("event_id").cast("bigint"), "value": F.col("value").cast("double")})
+
+
 @query("geojson_infer", """
 SELECT * FROM (VALUES (0, 'CustKey', 'Number'), (1, 'Name', 'Text'), (2, 'AcctBal', 'Number'),
   (3, 'In Credit', 'Boolean'), (4, 'Home', 'Json'), (5, 'geometry', 'Geometry'))

@@ -19,3 +19,9 @@ SCANS = {
 def scan(spark: SparkSession, options: str | dict) -> Scan:
     kind, parsed = parse_options(options)
     return SCANS[kind](spark, parsed)
+
+
+def infer_schema(spark: SparkSession, options: str | dict) -> tuple[str, list[tuple[str, str]]]:
+    """Table name and ``(column, logical type)`` list of a source, without loading it."""
+    found = scan(spark, options)
+    return found.table_name, found.columns

@@ -4,9 +4,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import cartoload
 from cartoload.operators.schema import load_options
 from cartoload.operators.stage import export_csv, stage, stage_table
-from cartoload.plans.load_job import run_load, succeeded
+from cartoload.plans.load_job import run_load, run_workflow, succeeded
 from cartoload.session import scratch
 from cartoload.sources import delimited
 from cartoload.sources.dispatch import scan
@@ -53,6 +54,23 @@ def test_load_job_goes_on_past_failures(spark, tmp_path):
     assert not succeeded(report) and succeeded(report.filter("sd_id = 1"))
 
 
+def test_workflow_run_updates_its_entries(spark, tmp_path):
+    good, bad = json.dumps(csv_options(put(tmp_path, "g.csv", "a\n1\n"))), '{"file_path":"none.parquet"}'
+    entries = spark.createDataFrame(
+        [(1, 1, good, True, None, "old"), (2, 1, bad, True, None, None), (3, 1, good, False, None, None), (4, 2, good, True, None, None)],
+        "sd_id bigint, li_id bigint, options string, to_load boolean, loaded_timestamp timestamp, error_message string")
+    instances = spark.createDataFrame([(1, 50), (2, 51)], "li_id bigint, load_workflow_run_id bigint")
+    report, after = run_workflow(spark, entries, instances, 50, scratch(spark, "staging"))
+    assert sorted((r.sd_id, r.rows) for r in report.collect()) == [(1, 1), (2, None)]
+    found = {r.sd_id: (r.loaded_timestamp is not None, r.error_message is not None) for r in after.collect()}
+    assert found == {1: (True, False), 2: (False, True), 3: (False, False), 4: (False, False)}
+
+
+def test_schema_only(spark, tmp_path):
+    path = put(tmp_path, "S.csv", "a,B c\n1,2\n")
+    assert cartoload.infer_schema(spark, csv_options(path)) == ("s", [("a", "Text"), ("b_c", "Text")])
+
+
 def test_stage_into_the_catalog(spark, tmp_path):
     source = scan(spark, csv_options(put(tmp_path, "cat.csv", "a\n1\n")))
     spark.sql(f"create database if not exists bulk_test location '{tmp_path}/db'")
