@@ -107,13 +107,14 @@ def geojson_to_wkt(frame: DataFrame, geometry: str, nesting: int = 0) -> DataFra
     return shown.select(*[plain_numbers(F.col("_wkt")).alias(c) if c == geometry else F.col(c) for c in frame.columns])
 
 
-def esri_to_geojson(geometry: Column) -> Column:
-    """An Esri point ``{"x":…,"y":…}`` as a GeoJSON point; other documents are left as they are."""
-    parsed = F.from_json(geometry, "x double, y double, Point struct<x:double,y:double>")
-    x = F.coalesce(parsed["x"], parsed["Point"]["x"])
-    y = F.coalesce(parsed["y"], parsed["Point"]["y"])
-    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates")))
-    return F.when(x.isNotNull() & y.isNotNull(), point).otherwise(geometry)
+ESRI_POINT = "x double, y double, Point struct<x:double,y:double>"
+
+
+def esri_to_geojson(point: Column) -> Column:
+    """A parsed Esri point, plain or under its kind, as a GeoJSON document; NULL for others."""
+    x, y = F.coalesce(point["x"], point["Point"]["x"]), F.coalesce(point["y"], point["Point"]["y"])
+    text = F.concat(F.lit('{"type":"Point","coordinates":['), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]}"))
+    return F.when(x.isNotNull() & y.isNotNull(), text)
 
 
 # --- helpers used inside tasks -------------------------------------------------------------------

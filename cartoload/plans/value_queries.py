@@ -127,8 +127,8 @@ def duration_json(spark, folder):
         return F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)])
 
     packed = F.unhex(F.concat(word("l_linenumber"), word("l_suppkey"), word("l_partkey")))
-    return table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", values.duration_json(packed).alias("duration"))
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", packed.alias("packed"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", values.duration_json(F.col("packed")).alias("duration"))
 
 
 @query("epoch_render", """

@@ -3,7 +3,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from cartoload.functions.geometry import esri_to_geojson, geojson_to_wkt, plain, wkb_wkt
+from cartoload.functions.geometry import ESRI_POINT, esri_to_geojson, geojson_to_wkt, plain, wkb_wkt
 
 SHAPES = [
     ('{"type":"Point","coordinates":[459728.9375,4961124]}', "POINT(459728.9375 4961124)"),
@@ -43,8 +43,10 @@ def test_bad_geometry_fails(spark, bad):
 
 
 def test_esri_points(one):
-    assert one(esri_to_geojson(F.lit('{"x":1.5,"y":2}'))) == '{"type":"Point","coordinates":[1.5,2.0]}'
-    assert one(esri_to_geojson(F.lit('{"Point":{"x":1,"y":2}}'))) == '{"type":"Point","coordinates":[1.0,2.0]}'
+    shown = lambda text: one(esri_to_geojson(F.from_json(F.lit(text), ESRI_POINT)))
+    assert shown('{"x":1.5,"y":2}') == '{"type":"Point","coordinates":[1.5,2.0]}'
+    assert shown('{"Point":{"x":1,"y":2}}') == '{"type":"Point","coordinates":[1.0,2.0]}'
+    assert shown('{"paths":[]}') is None
 
 
 def point(x, y, order="<"):
