@@ -64,7 +64,14 @@ def _bare(text: Column) -> Column:
 
 
 def _spread(text: Column) -> Column:
-    """``1.5E-7`` written out."""
+    """``1.5E-7`` written out.
+
+    Java before 19 may show a large double with more digits than it needs, so the fewest that name
+    the same number are looked for first.
+    """
+    shorter = [F.format_string(f"%.{places}E", text.cast("double")) for places in (14, 15, 16)]
+    fewest = F.coalesce(*[F.when(t.cast("double") == text.cast("double"), t) for t in shorter], text)
+    text = F.replace(fewest, F.lit("E+"), F.lit("E"))
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
     digits = F.regexp_replace(F.regexp_replace(text, r"^-|\.|E.*$", ""), "0+$", "")

@@ -1,4 +1,4 @@
-"""Predicates and set-based constraint checks."""
+"""Predicates and set-based constraint checks."""
 
 from __future__ import annotations
 
@@ -60,6 +60,13 @@ def member(value: Column, allowed: list[str]) -> Column:
     return F.coalesce(value.isin(allowed), F.lit(True))
 
 
+def valid_columns(columns: Column) -> Column:
+    """A non-empty list of named and typed columns; NULL counts as missing."""
+    fine = F.forall(columns, lambda c: (
+        c["name"].isNotNull() & not_blank(c["name"]) & c["column_type"].isNotNull()))
+    return F.coalesce((F.size(columns) > 0) & fine, F.lit(False))
+
+
 def violations(rows: DataFrame, table: str, key: Column, rules: dict[str, Column]) -> DataFrame:
     """P10: one row per broken rule, ``(table_name, key, rule)``, in one pass without a shuffle."""
     broken = F.filter(
@@ -79,8 +86,6 @@ def catalogue_rules() -> dict[str, dict[str, Column]]:
     def required(*columns):
         return {f"{x}_not_null": c(x).isNotNull() for x in columns}
 
-    from cartoload.operators.schema import valid_columns
-
     phases = ("collect", "load", "check")
     return {
         "roles": {**required("name", "description"), **named("name", "description")},

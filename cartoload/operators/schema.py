@@ -1,13 +1,12 @@
-"""Schemas as data: column lists, their checks, and the statements they turn into."""
+"""Schemas as data: column lists, their checks, and the statements they turn into."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoload.functions.names import clean_identifier
 from cartoload.functions.types import sql_type_name, type_or_text
-from cartoload.operators.checks import not_blank
 from cartoload.sources.base import Scan
 
 # Fixed value: most columns a table can have; more could not be created.
@@ -41,13 +40,6 @@ def create_statements(schemas: DataFrame, db_schema: str) -> DataFrame:
     return schemas.select("table_name", text.alias("statement"))
 
 
-def valid_columns(columns: Column) -> Column:
-    """A non-empty list of named and typed columns; NULL counts as missing."""
-    fine = F.forall(columns, lambda c: (
-        c["name"].isNotNull() & not_blank(c["name"]) & c["column_type"].isNotNull()))
-    return F.coalesce((F.size(columns) > 0) & fine, F.lit(False))
-
-
 def load_options(scan: Scan, db_schema: str, delimiter: str = ",", header: bool = False,
                  qualified: bool = True) -> dict:
     """K2: how a text form of the scan is to be read back into its staging table."""

@@ -22,6 +22,11 @@ def _move_over(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not move {source} to {target}")
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(spark: SparkSession, scan: Scan, root: str) -> int:
     """K1, K3: load into ``root/<table>``; the old table stays until every row is written.
 
@@ -29,8 +34,11 @@ def stage(spark: SparkSession, scan: Scan, root: str) -> int:
     """
     attempt = f"{root}/_attempt-{uuid.uuid4().hex}"
     seen = Observation("loaded")
-    scan.frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(attempt)
-    _move_over(spark, attempt, f"{root}/{scan.table_name}")
+    try:
+        scan.frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(attempt)
+        _move_over(spark, attempt, f"{root}/{scan.table_name}")
+    finally:
+        _remove(spark, attempt)  # there is nothing left of an attempt that went well
     return seen.get["rows"]
 
 

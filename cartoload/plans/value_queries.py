@@ -75,7 +75,7 @@ def column_list_check(spark, folder):
     turns = table(spark, folder, "conversations").select("conv_id", F.struct(
         F.col("text").alias("name"), F.when(F.col("role") != "system", "Text").alias("column_type")).alias("c"))
     # The check is an "every": per-turn lists are combined by partial aggregation, not collected.
-    return turns.groupBy("conv_id").agg(F.bool_and(schema.valid_columns(F.array("c"))).alias("ok"))
+    return turns.groupBy("conv_id").agg(F.bool_and(checks.valid_columns(F.array("c"))).alias("ok"))
 
 
 @query("json_values", """

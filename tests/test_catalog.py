@@ -123,7 +123,7 @@ def test_schemas_and_statements(spark):
 @pytest.mark.parametrize("columns,ok", [
     ([("a", "Text")], True), ([], False), (None, False), ([(None, "Text")], False), ([(" ", "Text")], False), ([("a", None)], False)])
 def test_column_lists(one, columns, ok):
-    assert one(schema.valid_columns(F.col("c")), "c array<struct<name:string,column_type:string>>", (columns,)) is ok
+    assert one(checks.valid_columns(F.col("c")), "c array<struct<name:string,column_type:string>>", (columns,)) is ok
 
 
 # --- views ---------------------------------------------------------------------------------------
