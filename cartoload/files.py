@@ -42,6 +42,27 @@ def list_files(path: str, *suffixes: str) -> list[tuple[str, int]]:
     return sorted(found)
 
 
+OPEN_COST = 4 << 20  # what opening a file counts for, in bytes, when small files share a task
+
+
+def packed(files: list[list[tuple[int, object]]], size: int) -> list[list]:
+    """Work per task from the ``(bytes, piece)`` lists of files.
+
+    The pieces of a divided file get a task each; files of one piece share tasks of about ``size``.
+    """
+    divided = [[piece] for pieces in files if len(pieces) > 1 for _, piece in pieces]
+    shared: list[list] = []
+    room = 0
+    for weight, piece in (pieces[0] for pieces in files if len(pieces) == 1):
+        cost = weight + OPEN_COST
+        if not shared or cost > room:
+            shared.append([])
+            room = max(size, OPEN_COST)
+        shared[-1].append(piece)
+        room -= cost
+    return divided + shared
+
+
 def first_file(path: str, *suffixes: str) -> str:
     return list_files(path, *suffixes)[0][0]
 

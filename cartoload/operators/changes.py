@@ -20,10 +20,21 @@ def insert_rows(spark: SparkSession, table: DataFrame, rows: DataFrame, id_colum
                          *[c for c in rows.columns if c != id_column])
 
 
+def single(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row per key, failing on a key that comes twice; by partial aggregation on the join key."""
+    twice = F.raise_error(F.format_string("key %s is changed more than once", F.col(key).cast("string")))
+    kept = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*columns)).alias("_row"))
+    return kept.select(F.when(F.col("_n") > 1, twice).otherwise(F.col(key)).cast(rows.schema[key].dataType).alias(key),
+                       *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
 def update_rows(table: DataFrame, changes: DataFrame, key: str, columns: list[str],
                 optional_text: tuple[str, ...] = ()) -> DataFrame:
-    """M2: the table with the given columns replaced where a change has the key."""
-    new = changes.select(F.col(key).alias("_key"), F.lit(True).alias("_hit"), *[
+    """M2: the table with the given columns replaced where a change has the key.
+
+    A key changed twice fails, as there is no order to apply the changes in.
+    """
+    new = single(changes, key, columns).select(F.col(key).alias("_key"), F.lit(True).alias("_hit"), *[
         (F.nullif(F.col(c), F.lit("")) if c in optional_text else F.col(c)).alias(f"_new_{c}") for c in columns])
     joined = table.join(new, table[key] == new["_key"], "left")
     picked = [
@@ -127,6 +138,7 @@ def set_null(child: DataFrame, child_key: str, deleted: DataFrame, parent_key: s
 
 def update_key(child: DataFrame, child_key: str, renamed: DataFrame) -> DataFrame:
     """``on update cascade``; ``renamed`` has ``old_key`` and ``new_key``."""
+    renamed = single(renamed, "old_key", ["new_key"])
     joined = child.join(renamed, child[child_key] == renamed["old_key"], "left")
     moved = F.when(F.col("old_key").isNotNull(), F.col("new_key")).otherwise(F.col(child_key)).alias(child_key)
     return joined.select(*[moved if c == child_key else F.col(c) for c in child.columns])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from cartoload.files import first_file, list_files, open_input
+from cartoload.files import first_file, list_files, open_input, packed
 from cartoload.functions import values
 from cartoload.functions.geometry import plain
 from cartoload.functions.names import table_name
@@ -280,22 +280,27 @@ def _unsnappy(block: bytes) -> bytes:
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     path: str
     start: int
     end: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    ranges: list[ByteRange]
+
+
 class AvroBlockReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int):
         self.path, self.split_bytes = path, split_bytes
 
     def partitions(self):
-        return [
-            ByteRange(path, start, min(start + self.split_bytes, size))
+        step = self.split_bytes
+        return [ByteRanges(run) for run in packed([
+            [(min(step, size - start), ByteRange(path, start, min(start + step, size))) for start in range(0, size, step)]
             for path, size in list_files(self.path, ".avro")
-            for start in range(0, size, self.split_bytes)
-        ]
+        ], step)]
 
     def blocks(self, part: ByteRange):
         """``(record count, raw block)`` of the blocks this range owns."""
@@ -327,7 +332,11 @@ class AvroBlockReader(DataSourceReader):
             at += step
         return None
 
-    def read(self, part: ByteRange):
+    def read(self, part: ByteRanges):
+        for piece in part.ranges:
+            yield from self.read_range(piece)
+
+    def read_range(self, part: ByteRange):
         fields = record_fields(part.path)
         named: dict = {}
         target, kinds = arrow_layout(fields)

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from cartoload.files import first_file, list_files, open_input
+from cartoload.files import first_file, list_files, open_input, packed
 from cartoload.functions.names import table_name
 from cartoload.functions.types import from_arrow
 from cartoload.functions.values import empty_to_null
@@ -69,12 +69,17 @@ def _time_text(column: pa.Array) -> pa.Array:
 
 
 @dataclass
-class BatchRange(InputPartition):
+class BatchRange:
     path: str
     first: int
     last: int | None
 
 
+@dataclass
+class BatchRanges(InputPartition):
+    ranges: list[BatchRange]
+
+
 class ArrowFileReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int):
         self.path, self.split_bytes = path, split_bytes
@@ -83,15 +88,20 @@ class ArrowFileReader(DataSourceReader):
         ranges = []
         for path, size in list_files(self.path, ".ipc", ".feather", ".arrow"):
             if size <= self.split_bytes:
-                ranges.append(BatchRange(path, 0, None))  # no need to look at the footer
+                ranges.append([(size, BatchRange(path, 0, None))])  # no need to look at the footer
                 continue
             with open_input(path) as handle:
                 batches = pa.ipc.open_file(handle).num_record_batches
             step = max(1, batches * self.split_bytes // size)
-            ranges += [BatchRange(path, i, min(i + step, batches)) for i in range(0, batches, step)]
-        return ranges
+            ranges.append([(size * step // batches, BatchRange(path, i, min(i + step, batches)))
+                           for i in range(0, batches, step)])
+        return [BatchRanges(run) for run in packed(ranges, self.split_bytes)]
+
+    def read(self, partition: BatchRanges):
+        for piece in partition.ranges:
+            yield from self.read_range(piece)
 
-    def read(self, partition: BatchRange):
+    def read_range(self, partition: BatchRange):
         with open_input(partition.path) as handle:
             reader = pa.ipc.open_file(handle)
             last = reader.num_record_batches if partition.last is None else partition.last

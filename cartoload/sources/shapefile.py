@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from cartoload.files import first_file, list_files, open_input
+from cartoload.files import first_file, list_files, open_input, packed
 from cartoload.functions import values
 from cartoload.functions.geometry import path_text, plain
 from cartoload.functions.names import table_name
@@ -24,6 +24,7 @@ from cartoload.sources.base import Scan, project, quoted
 
 RECORDS_PER_SPLIT = 100_000
 BATCH_RECORDS = 10_000
+SPLIT_BYTES = 64 << 20
 DBF_HEADER = np.dtype([("version", "u1"), ("date", "u1", 3), ("rows", "<u4"), ("header", "<u2"),
                        ("width", "<u2"), ("rest", "u1", 20)])
 DBF_FIELD = np.dtype([("name", "S11"), ("kind", "S1"), ("skip", "u1", 4), ("width", "u1"),
@@ -131,12 +132,17 @@ def shape_wkt(record: bytes) -> str | None:
 
 
 @dataclass
-class RecordRange(InputPartition):
+class RecordRange:
     path: str
     first: int
     last: int
 
 
+@dataclass
+class RecordRanges(InputPartition):
+    ranges: list[RecordRange]
+
+
 class ShapefileReader(DataSourceReader):
     def __init__(self, path: str, split_records: int):
         self.path, self.split_records = path, split_records
@@ -148,11 +154,17 @@ class ShapefileReader(DataSourceReader):
             index = sibling(path, ".shx")
             size = sizes[index] if index in sizes else list_files(index)[0][1]
             count = (size - 100) // 8
-            ranges += [RecordRange(path, i, min(i + self.split_records, count))
-                       for i in range(0, count, self.split_records)]
-        return ranges
+            step = self.split_records
+            ranges.append([
+                (sizes[path] * step // max(count, step), RecordRange(path, i, min(i + step, count)))
+                for i in range(0, count, step)])
+        return [RecordRanges(run) for run in packed(ranges, SPLIT_BYTES)]
+
+    def read(self, part: RecordRanges):
+        for piece in part.ranges:
+            yield from self.read_range(piece)
 
-    def read(self, part: RecordRange):
+    def read_range(self, part: RecordRange):
         rows, header, row_type, fields = dbf_fields(sibling(part.path, ".dbf"))
         target = stored_schema(fields)
         if rows < part.last:

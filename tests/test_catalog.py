@@ -216,6 +216,8 @@ def test_batches(spark):
     assert [tuple(r) for r in changes.insert_rows(spark, table, rows, "id", ["t"]).orderBy("id").collect()] == [(6, "b", "y"), (7, "c", "z")]
     new = spark.createDataFrame([(5, None, "")], "id bigint, t string, o string")
     assert changes.update_rows(table, new, "id", ["t", "o"], ("o",)).first() == (5, None, None)
+    with pytest.raises(Exception, match="changed more than once"):
+        changes.update_rows(table, new.unionByName(new), "id", ["t"]).collect()
     kept, gone = changes.delete_rows(table, spark.createDataFrame([(5,), (6,)], "id bigint"), "id")
     assert kept.count() == 0 and gone.first().t == "a"
     ok, refused = changes.gate(table.withColumn("actor", F.lit(3)), "actor", spark.createDataFrame([(4,)], "uid int"), "uid %s cannot")
