@@ -18,6 +18,16 @@ def _unmatched(production: DataFrame, staging: DataFrame, keys: list[str]) -> Da
     return production.join(staging.select(*keys), keys, "left_anti").select(*production.columns)
 
 
+def _once(staging: DataFrame, keys: list[str]) -> DataFrame:
+    """Staging rows, failing on a record that comes twice; by partial aggregation on the join keys."""
+    others = [c for c in staging.columns if c not in keys]
+    twice = F.raise_error(F.concat_ws(" ", F.lit("staging holds a record more than once:"), *[
+        F.col(k).cast("string") for k in keys]))
+    found = staging.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*others)).alias("_row"))
+    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(twice.cast(found.schema["_row"].dataType))
+    return found.select(*keys, row.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
+
+
 def merge(production: DataFrame, staging: DataFrame, keys: list[str], mode: str) -> Merged:
     """``keys`` identify a record on both sides.
 
@@ -34,7 +44,7 @@ def merge(production: DataFrame, staging: DataFrame, keys: list[str], mode: str)
     if mode == "Historical":
         return Merged(staging.select(*columns).unionByName(_unmatched(production, staging, keys)))
     if mode == "Full Historical":
-        old, new = production.alias("old"), staging.alias("new")
+        old, new = production.alias("old"), _once(staging, keys).alias("new")
         joined = old.join(new, keys, "full_outer")
         return Merged(joined.select(*[
             F.col(c) if c in keys else F.coalesce(f"new.{c}", f"old.{c}").alias(c) for c in columns]))
@@ -42,12 +52,11 @@ def merge(production: DataFrame, staging: DataFrame, keys: list[str], mode: str)
 
 
 def counters(production: DataFrame, staging: DataFrame, keys: list[str]) -> DataFrame:
-    """Production, staging, match and new counts of a load, from the keys alone."""
-    old = production.select(*keys, F.lit(1).alias("_old"))
-    new = staging.select(*keys, F.lit(1).alias("_new"))
-    both = old.join(new, keys, "full_outer")
-    count = lambda condition, name: F.count(F.when(condition, 1)).alias(name)
-    has_old, has_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    """Production, staging, match and new counts of a load, from row counts per record."""
+    counted = lambda rows, name: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = counted(production, "_old").join(counted(staging, "_new"), keys, "full_outer")
+    old, new = F.col("_old"), F.col("_new")
+    total = lambda count, name: F.coalesce(F.sum(count), F.lit(0)).alias(name)
     return both.agg(
-        count(has_old, "production_count"), count(has_new, "staging_count"),
-        count(has_old & has_new, "match_count"), count(~has_old & has_new, "new_count"))
+        total(old, "production_count"), total(new, "staging_count"),
+        total(F.when(old.isNotNull(), new), "match_count"), total(F.when(old.isNull(), new), "new_count"))

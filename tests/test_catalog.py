@@ -253,5 +253,10 @@ def test_warehouse_modes(spark):
     assert rows(run("Historical").production) == [(1, "a", 1), (2, "-", 5), (3, "c", 3)]
     assert rows(run("Full Historical").production) == [(1, "a", 1), (2, "b", 5), (3, "c", 3)]
     assert warehouse.counters(old, new, ["k"]).first() == (2, 2, 1, 1)
+    double = new.unionByName(new)
+    assert warehouse.counters(old, double, ["k"]).first() == (2, 4, 2, 2)
+    assert warehouse.counters(old.limit(0), new.limit(0), ["k"]).first() == (0, 0, 0, 0)
+    with pytest.raises(Exception, match="more than once"):
+        warehouse.merge(old, double, ["k"], "Full Historical").production.collect()
     with pytest.raises(ValueError, match="unknown warehouse type"):
         run("Other")
