@@ -38,15 +38,11 @@ def csv_line(texts: list[Column]) -> Column:
 # --- numbers, dates, times -----------------------------------------------------------------------
 
 def number_text(number: Column) -> Column:
-    """Shortest digits, no trailing ``.0`` and no exponent.
-
-    The rare exponent form is worked out inside a one-element ``transform``, which keeps the code
-    generated for the usual path short.
-    """
+    """Shortest digits, no trailing ``.0`` and no exponent."""
     text = number.cast("string")
     return (
         F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2))
-        .when(text.contains("E"), F.transform(F.array(text), _spread)[0])
+        .when(text.contains("E"), _plain(text))
         .when(text.endswith("Infinity"), F.replace(text, F.lit("Infinity"), F.lit("inf")))
         .otherwise(text)
     )
@@ -55,7 +51,7 @@ def number_text(number: Column) -> Column:
 def plain_numbers(text: Column) -> Column:
     """V15 for every number in a text of numbers, blanks, commas and brackets."""
     pieces = F.split(text, r"(?<=[ ,(])|(?=[ ,)])")
-    shown = F.transform(pieces, lambda t: F.when(t.rlike(r"[0-9]E-?[0-9]+$"), _spread(t)).otherwise(_bare(t)))
+    shown = F.transform(pieces, lambda t: F.when(t.rlike(r"[0-9]E-?[0-9]+$"), _plain(t)).otherwise(_bare(t)))
     return F.when(text.rlike(r"[0-9]E-?[0-9]"), F.array_join(shown, "")).otherwise(_bare(text))
 
 
@@ -63,15 +59,21 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(text, r"\.0(?![0-9])", "")
 
 
-def _spread(text: Column) -> Column:
-    """``1.5E-7`` written out.
-
-    Java before 19 may show a large double with more digits than it needs, so the fewest that name
-    the same number are looked for first.
-    """
+def _fewest_digits(text: Column) -> Column:
+    """Java before 19 may show a large double with more digits than it needs, so the fewest that name
+    the same number are looked for. A short text has no digit to spare."""
     shorter = [F.format_string(f"%.{places}E", text.cast("double")) for places in (14, 15, 16)]
     fewest = F.coalesce(*[F.when(t.cast("double") == text.cast("double"), t) for t in shorter], text)
-    text = F.replace(fewest, F.lit("E+"), F.lit("E"))
+    return F.when(F.length(text) < 17, text).otherwise(F.replace(fewest, F.lit("E+"), F.lit("E")))
+
+
+def _plain(text: Column) -> Column:
+    """``1.5E-7`` written out; the inner text is named once by a one-element ``transform``."""
+    return F.transform(F.array(_fewest_digits(text)), _spread)[0]
+
+
+def _spread(text: Column) -> Column:
+    """The digits of an exponent form around the dot at its place."""
     sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
     digits = F.regexp_replace(F.regexp_replace(text, r"^-|\.|E.*$", ""), "0+$", "")
