@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,27 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+SLICE = 4_000_000  # bytes of text, or list items, that a function gets at once
+
+
+def slices(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts or lists in one column are not much over ``SLICE`` together."""
+    column = batch.column(place)
+    if pa.types.is_list(column.type):
+        sizes = pc.list_value_length(column)
+    elif pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        sizes = pc.binary_length(column)
+    else:
+        sizes = None
+    if sizes is None or batch.num_rows == 0:
+        yield batch
+        return
+    part = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(edges, edges[1:]):
+        yield batch.slice(start, end - start)
+
+
 def annotate(df: DataFrame, uses: list[str], fields: str, function: Callable[..., list]) -> DataFrame:
     """``df`` with the columns ``fields`` that ``function`` makes of the columns ``uses``, batch by batch.
 
@@ -37,7 +60,7 @@ def annotate(df: DataFrame, uses: list[str], fields: str, function: Callable[...
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, use[0])):
             made = function(*[batch.column(i) for i in use])
             new = [m if isinstance(m, pa.Array) else pa.array(m, type=t) for m, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in stay] + new, names=names)

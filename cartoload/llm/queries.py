@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from cartoload.llm import quality_rules, simhash
+from cartoload.llm import bpe, packing, quality_rules, simhash
 from cartoload.plans.registry import query, table
 
 
@@ -49,3 +50,26 @@ def op5_quality_rules(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     judged = quality_rules.judge(spark, docs, keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op6_bpe")
+def op6_bpe(spark, folder):
+    """Every document encoded, and decoded from its ids again."""
+    vocabulary = bpe.read_text(BYTE_VOCABULARY)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = bpe.encode(spark, docs, vocabulary).select("doc_id", "ids")
+    back = bpe.decode(spark, encoded, vocabulary)
+    return back.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op9_packing")
+def op9_packing(spark, folder):
+    """Every piece of every document and where it is packed."""
+    return packing.pack(spark, table(spark, folder, "documents"), bpe.read_text(WORD_VOCABULARY)).drop("ids")
