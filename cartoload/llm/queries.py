@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cartoload.llm import bpe, packing, quality_rules, simhash
+from cartoload.llm import bpe, packing, quality_rules, simhash, urlrules, warc
+from cartoload.llm.common import scratch
 from cartoload.plans.registry import query, table
 
 
@@ -73,3 +74,40 @@ def op6_bpe(spark, folder):
 def op9_packing(spark, folder):
     """Every piece of every document and where it is packed."""
     return packing.pack(spark, table(spark, folder, "documents"), bpe.read_text(WORD_VOCABULARY)).drop("ids")
+
+
+@query("op1_warc", """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first_id from d)
+select page_id, payload_bytes, payload_digest, case when first_id = page_id then 'response' else 'revisit' end as record_type,
+       case when first_id <> page_id then first_id end as refers_to from f
+""")
+def op1_warc(spark, folder):
+    """Every page through the archive and back."""
+    archive = scratch(spark, "archive")
+    warc.write_archive(spark, table(spark, folder, "pages").select("page_id", "url", "html"), archive)
+    back = warc.read_archive(spark, archive)
+    return back.select(
+        warc.field("X-Page-ID").cast("bigint").alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"), warc.field("WARC-Type").alias("record_type"),
+        warc.field("X-Refers-To-Page-ID").cast("bigint").alias("refers_to"))
+
+
+#: The rules of the query: (rule, action).
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op3_url_rules", r"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+rules(host, path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+select h.page_id, h.host, h.path, arg_max(r.host || r.path, length(r.host || r.path)) as rule, coalesce(arg_max(r.verdict, length(r.host || r.path)), 'allow') as verdict
+from h left join rules r on (h.host = r.host or ends_with(h.host, '.' || r.host)) and starts_with(h.path, r.path)
+group by h.page_id, h.host, h.path
+""")
+def op3_url_rules(spark, folder):
+    """Host, path, deciding rule and verdict of every page."""
+    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    return urlrules.verdicts(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
