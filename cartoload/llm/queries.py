@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cartoload.llm import bpe, packing, quality_rules, simhash, urlrules, warc
+from cartoload.llm import bpe, packing, quality_model, quality_rules, simhash, urlrules, warc
 from cartoload.llm.common import scratch
 from cartoload.plans.registry import query, table
 
@@ -111,3 +111,9 @@ def op3_url_rules(spark, folder):
     """Host, path, deciding rule and verdict of every page."""
     rules = spark.createDataFrame(URL_RULES, "rule string, action string")
     return urlrules.verdicts(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@query("op4_quality_model")
+def op4_quality_model(spark, folder):
+    """Quality score of every document."""
+    return quality_model.classify(spark, table(spark, folder, "documents"), table(spark, folder, "labels"))
