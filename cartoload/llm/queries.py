@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cartoload.llm import bpe, packing, quality_model, quality_rules, simhash, urlrules, warc
+from cartoload.llm import bpe, packing, quality_model, quality_rules, simhash, urlrules, vectors, warc
 from cartoload.llm.common import scratch
 from cartoload.plans.registry import query, table
 
@@ -117,3 +117,9 @@ def op3_url_rules(spark, folder):
 def op4_quality_model(spark, folder):
     """Quality score of every document."""
     return quality_model.classify(spark, table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_vectors")
+def op10_vectors(spark, folder):
+    """Links and component of every embedding."""
+    return vectors.near_duplicates(spark, table(spark, folder, "embeddings"))
