@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cartoload.llm import bpe, packing, quality_model, quality_rules, simhash, urlrules, vectors, warc
+from cartoload.llm import bpe, packing, pii, quality_model, quality_rules, simhash, urlrules, vectors, warc
 from cartoload.llm.common import scratch
 from cartoload.plans.registry import query, table
 
@@ -123,3 +123,12 @@ def op4_quality_model(spark, folder):
 def op10_vectors(spark, folder):
     """Links and component of every embedding."""
     return vectors.near_duplicates(spark, table(spark, folder, "embeddings"))
+
+
+PII_KEY = "surrogates of the registered query"
+
+
+@query("op7_pii")
+def op7_pii(spark, folder):
+    """Every document with its personal data replaced."""
+    return pii.replace(spark, table(spark, folder, "documents").select("doc_id", "text"), PII_KEY)
