@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cartoload.llm import bpe, packing, pii, quality_model, quality_rules, simhash, urlrules, vectors, warc
+from cartoload.llm import bpe, chat, packing, pii, quality_model, quality_rules, simhash, urlrules, vectors, warc
 from cartoload.llm.common import scratch
 from cartoload.plans.registry import query, table
 
@@ -132,3 +132,40 @@ PII_KEY = "surrogates of the registered query"
 def op7_pii(spark, folder):
     """Every document with its personal data replaced."""
     return pii.replace(spark, table(spark, folder, "documents").select("doc_id", "text"), PII_KEY)
+
+
+#: Tools of the query's calls: (tool, schema).
+TOOLS = [
+    ("measure", '{"properties":{"chars":{"type":"integer","maximum":400},"unit":{"type":"string","enum":["letter","byte"]}},"required":["chars","unit"]}'),
+    ("lookup", '{"properties":{"query":{"type":"string","maxLength":300},"limit":{"type":"integer","minimum":0}},"required":["query"]}'),
+]
+
+
+@query("op8_tool_links", """
+with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations),
+calls as (select conv_id, turn, 'call-' || conv_id || '-' || turn as call_id, turn % 4 < 2 as measured, text,
+                 turn % 4 >= 2 and exists (select 1 from c p where p.conv_id = c.conv_id and p.turn = c.turn - 2 and p.role = 'user') as later,
+                 exists (select 1 from c a where a.conv_id = c.conv_id and a.turn = c.turn + 1 and a.role = 'assistant') as answered from c where role = 'user'),
+checked as (select *, case when measured and length(text) > 400 then 'out of range: chars' when not measured and length(text) > 300 then 'too long: query' end as fault from calls),
+told as (select conv_id, turn - 1 as call_turn, 'call-' || conv_id || '-' || (turn - 1) as call_id, text from c where role = 'assistant')
+select conv_id, turn, 0 as level, 0 as slot, null as call_id, 'ok' as status, null as fault, '{"content":' || to_json(text) || ',"role":"' || role || '"}' as line from c
+union all
+select conv_id, turn, later::int, 1, call_id, case when fault is not null then 'invalid' when answered then 'linked' else 'unanswered' end, fault,
+       '{"role":"assistant","tool_call":{"arguments":' || case when measured then '{"chars":' || length(text) || ',"unit":"letter"}' else '{"limit":' || turn || ',"query":' || to_json(text) || '}' end
+       || ',"id":"' || call_id || '","name":"' || case when measured then 'measure' else 'lookup' end || '"}}' from checked
+union all
+select t.conv_id, k.turn, k.later::int, 2, t.call_id, case when k.call_id is null then 'orphan' else 'linked' end, null,
+       '{"content":' || to_json(t.text) || ',"role":"tool","tool":' || coalesce('"' || case when k.measured then 'measure' else 'lookup' end || '"', 'null') || ',"tool_call_id":"' || t.call_id || '"}'
+from told t left join calls k on t.conv_id = k.conv_id and t.call_id = k.call_id
+""")
+def op8_tool_links(spark, folder):
+    """Every turn as a message; user turns also as tool calls, assistant turns as their results."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    name = lambda turn: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    measured = F.col("turn") % 4 < 2
+    arguments = F.when(measured, F.to_json(F.struct(F.lit("letter").alias("unit"), F.length("text").alias("chars")))).otherwise(F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("limit"))))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", "turn", name(F.col("turn")).alias("call_id"), F.when(measured, "measure").otherwise("lookup").alias("tool"), arguments.alias("arguments"),
+        F.when(measured, F.array().cast("array<string>")).otherwise(F.array(name(F.col("turn") - 2))).alias("depends_on"))
+    results = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return chat.lines(spark, turns, calls, results, spark.createDataFrame(TOOLS, "tool string, schema string"))
