@@ -22,14 +22,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoload.llm.common import annotate, map_arrow, scratch
+from cartoload.llm.common import annotate, map_arrow, scratch, slices
 
 #: Fixed value: the pattern of the byte-level vocabulary's pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pattern's white space, as Unicode has it (Python's ``\s`` also takes the separators U+001C to U+001F).
 SPACE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEXICON_WORDS = 50_000
-KNOWN_WORDS = 600_000  # words a task remembers; beyond it starts afresh
+KNOWN_WORDS = 400_000  # words a task remembers; beyond it starts afresh
 FAR = np.iinfo(np.int64).max
 
 
@@ -119,8 +119,10 @@ class Vocabulary:
             moved = np.cumsum(stay) - 1
             places = moved[places]
             symbols, owner, rank = symbols[stay], owner[stay], rank[stay]
-            near = np.unique(np.r_[places, places - 1])
-            near = near[near >= 0]
+            beside = np.zeros(len(symbols), dtype=bool)
+            beside[places] = True
+            beside[places[places > 0] - 1] = True
+            near = np.flatnonzero(beside)
             rank[near] = FAR
             inside = near[near < len(symbols) - 1]
             inside = inside[owner[inside] == owner[inside + 1]]
@@ -238,34 +240,37 @@ def pieces_pattern() -> regex.Pattern:
     return regex.compile(PATTERN.replace(r"[^\s\p{L}", rf"[^{SPACE}\p{{L}}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
 
 
-def units(text: str, pattern: regex.Pattern, loose: regex.Pattern) -> tuple[list[str], list[str]]:
-    """``(heads, spaced)``: pieces to take as they stand, then runs that follow a single space.
+#: Marks that a run may end in; with letters before them, such a run needs no pattern to be cut.
+MARKS = ".,;:!?*#$%&|()[]{}\"-"
 
-    Where each space is followed by something that isn't white space, cutting at the spaces cuts where
-    the pattern cuts, so that runs can be looked up as a whole. Other texts are cut by the pattern.
-    """
-    if loose.search(text):
-        return pattern.findall(text), []
-    head, *spaced = text.split(" ")
-    return pattern.findall(head), spaced
+
+def cut_run(run: str, lead: str, pattern: regex.Pattern) -> list[str]:
+    """The words of ``lead`` (nothing or a space) and ``run``."""
+    if run.isalpha():
+        return [lead + run]
+    body = run.rstrip(MARKS)
+    return [lead + body, run[len(body):]] if body.isalpha() else pattern.findall(lead + run)
+
+
+def loose_pattern() -> regex.Pattern:
+    """A space with white space or nothing behind it. Texts without it are cut by the vocabulary's
+    pattern at every space, so that what stands between spaces can be looked up as a whole."""
+    return regex.compile(rf" (?:[{SPACE}]|\Z)")
 
 
 class Encoder:
-    """Encodes texts; remembers words and runs of words that it has met."""
+    """Encodes texts; remembers words, and runs of words that it has met."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.pattern = pieces_pattern()
-        self.loose = regex.compile(rf" (?:[{SPACE}]|\Z)")
+        self.pattern, self.loose = pieces_pattern(), loose_pattern()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}  # words by themselves
-        self.spaced: dict[str, int] = {}  # runs that follow a space
-        self.flat, self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for content, number in self.vocabulary.special.items():
-            self.number["\0special" + content] = self._add(np.array([number]), np.array([1]))[0]
+        self.words: dict[str, int] = {}
+        self.runs: dict[str, dict[str, int]] = {"": {}, " ": {}}  # by what stands before the run
+        self.flat = self.starts = self.lengths = np.zeros(0, dtype=np.int64)
 
     def _add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
         first = len(self.starts)
@@ -273,70 +278,110 @@ class Encoder:
         self.flat, self.lengths = np.r_[self.flat, ids], np.r_[self.lengths, lengths]
         return range(first, first + len(lengths))
 
-    def _words(self, words: list[str]) -> np.ndarray:
+    def _numbers(self, words: list[str]) -> np.ndarray:
         """Numbers of words; new ones are looked up in the lexicon, or merged."""
-        fresh = [w for w in dict.fromkeys(words) if w not in self.number]
+        fresh = list(set(words).difference(self.words))
         if fresh:
-            raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
+            raw = [w.encode() for w in fresh]
             at = self.lexicon.find(raw) if self.lexicon else np.full(len(raw), -1)
             held, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
             if len(held):
                 n = self.lexicon.lengths[at[held]]
-                self.number.update(zip((fresh[i] for i in held), self._add(gather(self.lexicon.ids, self.lexicon.starts[at[held]], n), n)))
-            self.number.update(zip((fresh[i] for i in rest), self._add(*self.vocabulary.merge([raw[i] for i in rest]))))
-        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+                self.words.update(zip((fresh[i] for i in held), self._add(gather(self.lexicon.ids, self.lexicon.starts[at[held]], n), n)))
+            self.words.update(zip((fresh[i] for i in rest), self._add(*self.vocabulary.merge([raw[i] for i in rest]))))
+        return np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _run_numbers(self, runs: list[str], lead: str) -> np.ndarray:
+        known = self.runs[lead]
+        fresh = list(set(runs).difference(known))
+        if fresh:
+            cut = [cut_run(run, lead, self.pattern) for run in fresh]
+            words = self._numbers([w for ws in cut for w in ws])
+            ends = np.r_[0, np.cumsum(self.lengths[words])][np.cumsum([0, *map(len, cut)])]
+            known.update(zip(fresh, self._add(gather(self.flat, self.starts[words], self.lengths[words]), np.diff(ends))))
+        return np.fromiter(map(known.__getitem__, runs), dtype=np.int64, count=len(runs))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that are cut at their spaces."""
+        lists = pc.split_pattern(texts, pattern=" ")
+        offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        numbers = self._run_numbers(distinct, " ")[coded.indices.to_numpy()]
+        first = offsets[:-1]
+        numbers[first] = self._run_numbers([distinct[k] for k in coded.indices.to_numpy()[first]], "")
+        return self._ids(numbers, offsets)
+
+    def _ids(self, numbers: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.lengths[numbers]
+        return gather(self.flat, self.starts[numbers], lengths), np.diff(np.r_[0, np.cumsum(lengths)][offsets])
+
+    def _other(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that the pattern has to go through, or that hold special tokens."""
+        ids, lengths = [np.zeros(0, dtype=np.int64)], []
+        for text in texts:
+            n = 0
+            for part in self.cut.split(text) if self.cut else [text]:
+                if part in self.vocabulary.special:
+                    own = np.array([self.vocabulary.special[part]])
+                else:
+                    numbers = self._numbers(self.pattern.findall(part))
+                    own = gather(self.flat, self.starts[numbers], self.lengths[numbers])
+                ids.append(own)
+                n += len(own)
+            lengths.append(n)
+        return np.concatenate(ids), np.array(lengths, dtype=np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, lengths)``: the ids of all texts in a row, and how many each has."""
-        if len(self.number) + len(self.spaced) > KNOWN_WORDS:
+        if len(self.words) + len(self.runs[" "]) > KNOWN_WORDS:
             self.reset()
-        plan: list[tuple[int, list[str], list[str]]] = []
-        for place, text in enumerate(texts):
-            text = text or ""
-            if self.cut is not None and self.cut.search(text):
-                for part in self.cut.split(text):
-                    if part in self.vocabulary.special:
-                        plan.append((place, ["\0special" + part], []))
-                    elif part:
-                        plan.append((place, *units(part, self.pattern, self.loose)))
-            elif text:
-                plan.append((place, *units(text, self.pattern, self.loose)))
-        fresh = [run for run in dict.fromkeys(run for _, _, spaced in plan for run in spaced) if run not in self.spaced]
-        if fresh:
-            cut = [self.pattern.findall(" " + run) for run in fresh]
-            words = self._words([w for ws in cut for w in ws])
-            n_words = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-            n_ids = np.add.reduceat(self.lengths[words], np.cumsum(n_words) - n_words)
-            self.spaced.update(zip(fresh, self._add(gather(self.flat, self.starts[words], self.lengths[words]), n_ids)))
-        self._words([w for _, heads, _ in plan for w in heads])
-        numbers = [n for _, heads, spaced in plan for part in (map(self.number.__getitem__, heads), map(self.spaced.__getitem__, spaced)) for n in part]
-        numbers = np.array(numbers, dtype=np.int64)
-        owner = np.repeat(np.array([p for p, _, _ in plan], dtype=np.int64), np.array([len(h) + len(s) for _, h, s in plan], dtype=np.int64))
-        lengths = np.bincount(owner, weights=self.lengths[numbers], minlength=len(texts)).astype(np.int64)
-        return gather(self.flat, self.starts[numbers], self.lengths[numbers]), lengths
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        other = np.array([bool(self.loose.search(t) or (self.cut and self.cut.search(t))) for t in texts.to_pylist()])
+        ids, lengths = [], np.zeros(len(texts), dtype=np.int64)
+        starts = np.zeros(len(texts), dtype=np.int64)
+        done = 0
+        for rows, encode in ((np.flatnonzero(~other), self._plain), (np.flatnonzero(other), lambda chosen: self._other(chosen.to_pylist()))):
+            if len(rows):
+                made, n = encode(texts.take(pa.array(rows)))
+                ids.append(made)
+                starts[rows], lengths[rows] = done + np.cumsum(n) - n, n
+                done += len(made)
+        return gather(np.concatenate(ids), starts, lengths), lengths
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts, summed per task before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, loose = pieces_pattern(), regex.compile(rf" (?:[{SPACE}]|\Z)")
-        spaced, words = Counter(), Counter()
+        pattern, loose = pieces_pattern(), loose_pattern()
+        runs, words = Counter(), Counter()
 
         def out():
-            for piece, n in spaced.items():
-                for word in pattern.findall(" " + piece):
+            for piece, n in runs.items():
+                for word in cut_run(piece, " ", pattern):
                     words[word] += n
-            rows = pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array(list(words.values()), type=pa.int64())], names=["word", "n"])
-            spaced.clear()
+            rows = pa.RecordBatch.from_arrays([pa.array(list(words), type=pa.string()), pa.array(list(words.values()), type=pa.int64())], names=["word", "n"])
+            runs.clear()
             words.clear()
             return rows
 
-        for batch in batches:
-            for text in batch.column(0):
-                heads, runs = units(text.as_py() or "", pattern, loose)
-                words.update(heads)
-                spaced.update(runs)
-            if len(spaced) + len(words) > KNOWN_WORDS:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            texts = pc.fill_null(batch.column(0), "")
+            plain = np.ones(len(texts), dtype=bool)
+            for place, text in enumerate(texts.to_pylist()):
+                if loose.search(text):
+                    plain[place] = False
+                    words.update(pattern.findall(text))
+                else:
+                    head = text.split(" ", 1)[0]
+                    words.update(cut_run(head, "", pattern))
+                    runs[head] -= 1  # counted below as if it had a space before it
+            counted = pc.split_pattern(texts.filter(pa.array(plain)), pattern=" ").flatten().value_counts()
+            for piece, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist()):
+                runs[piece] += n
+            if len(runs) + len(words) > KNOWN_WORDS:
                 yield out()
         yield out()
 
@@ -383,7 +428,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary_text: str, lexicon_w
     def run(texts: pa.Array) -> list:
         if not state:
             state.append(Encoder(Vocabulary(shared.value), Lexicon(SparkFiles.get(name))))
-        ids, lengths = state[0].encode(texts.to_pylist())
+        ids, lengths = state[0].encode(texts)
         offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))]
 

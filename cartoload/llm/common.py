@@ -22,22 +22,23 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-SLICE = 4_000_000  # bytes of text, or list items, that a function gets at once
+SLICE = 4_000_000  # bytes of text that a function gets at once
+ITEMS = 500_000  # or list items
 
 
 def slices(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts or lists in one column are not much over ``SLICE`` together."""
+    """Runs of rows whose texts or lists in one column are not much over ``SLICE`` or ``ITEMS`` together."""
     column = batch.column(place)
     if pa.types.is_list(column.type):
-        sizes = pc.list_value_length(column)
+        sizes, most = pc.list_value_length(column), ITEMS
     elif pa.types.is_string(column.type) or pa.types.is_binary(column.type):
-        sizes = pc.binary_length(column)
+        sizes, most = pc.binary_length(column), SLICE
     else:
         sizes = None
     if sizes is None or batch.num_rows == 0:
         yield batch
         return
-    part = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+    part = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for start, end in zip(edges, edges[1:]):
         yield batch.slice(start, end - start)
