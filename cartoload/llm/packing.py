@@ -19,12 +19,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from cartoload.llm.bpe import Vocabulary, gather
+from cartoload.llm.bpe import Vocabulary, cut_run, gather
 from cartoload.llm.common import arrow_schema, map_arrow, slices
 
 CAPACITY = 2048
@@ -54,48 +55,50 @@ class WordTokens:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[str, int] = {}
         self.flat = self.starts = self.lengths = np.zeros(0, dtype=np.int64)
 
-    def _add(self, chunks: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.starts)
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
         self.flat, self.lengths = np.r_[self.flat, ids], np.r_[self.lengths, lengths]
         self.number.update(zip(chunks, range(first, first + len(chunks))))
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: list[str]) -> None:
         plain, other, cut = [], [], []
         for chunk in fresh:
-            text = chunk.decode("utf-8", "surrogatepass")
-            if self.plain.fullmatch(text):
+            if (chunk.isascii() and "<" not in chunk) or self.plain.fullmatch(chunk):
                 plain.append(chunk)
-                cut.append(self.pattern.findall(text.lower()))
+                cut.append(cut_run(chunk.lower(), "", self.pattern) if chunk else [])
             else:
                 other.append(chunk)
-        words = dict.fromkeys(w for ws in cut for w in ws)
+        words = list({w for ws in cut for w in ws})
         ids, lengths = self.vocabulary.merge([w.encode() for w in words])
         starts = np.cumsum(lengths) - lengths
         place = dict(zip(words, range(len(words))))
-        at = np.fromiter((place[w] for ws in cut for w in ws), dtype=np.int64)
-        n_words = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        if plain:
-            self._add(plain, gather(ids, starts[at], lengths[at]), np.add.reduceat(lengths[at], np.cumsum(n_words) - n_words))
+        at = np.array([place[w] for ws in cut for w in ws], dtype=np.int64)
+        ends = np.r_[0, np.cumsum(lengths[at])][np.cumsum([0, *map(len, cut)])]
+        self._add(plain, gather(ids, starts[at], lengths[at]), np.diff(ends))
         if other:
-            made = [e.ids for e in self.library.encode_batch([c.decode("utf-8", "surrogatepass") for c in other], add_special_tokens=False)]
+            made = [e.ids for e in self.library.encode_batch(other, add_special_tokens=False)]
             self._add(other, np.array([i for ids in made for i in ids], dtype=np.int64), np.array(list(map(len, made)), dtype=np.int64))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.number) > KNOWN_CHUNKS:
             self.reset()
-        chunks = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        fresh = [c for c in dict.fromkeys(c for cs in chunks for c in cs) if c not in self.number]
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        fresh = list(set(distinct).difference(self.number))
         if fresh:
             self._learn(fresh)
-        out = []
-        for cs in chunks:
-            at = np.fromiter(map(self.number.__getitem__, cs), dtype=np.int64, count=len(cs))
-            out.append(gather(self.flat, self.starts[at], self.lengths[at]).astype(np.int32))
-        return out
+        numbers = np.fromiter(map(self.number.__getitem__, distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
+        lengths = self.lengths[numbers]
+        ids = gather(self.flat, self.starts[numbers], lengths).astype(np.int32)
+        ends = np.r_[0, np.cumsum(lengths)][offsets - (offsets[0] if len(offsets) else 0)].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
 
 @dataclass
@@ -226,7 +229,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary_text: str, capacity: i
 
         for batch in (part for whole in batches for part in slices(whole, 1)):
             names += batch.column(0).to_pylist()
-            made = [np.append(i, np.int32(end)) for i in tokens.encode(batch.column(1).to_pylist())]
+            made = [np.append(i, np.int32(end)) for i in tokens.encode(batch.column(1))]
             ids += made
             held += sum(map(len, made))
             if held >= block_tokens:
