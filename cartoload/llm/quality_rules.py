@@ -69,7 +69,7 @@ SHARES = [
 def shares(counted: DataFrame) -> DataFrame:
     """One column per share, null where a text has no word."""
     some = F.col("n_words") > 0
-    return counted.withColumns({f"share_{name}": F.when(some, F.expr(f"cast({text.split(' / ')[0]} as double) / {text.split(' / ')[1]}"))
+    return counted.withColumns({f"__share_{name}": F.when(some, F.expr(f"cast({text.split(' / ')[0]} as double) / {text.split(' / ')[1]}"))
                                 for name, text, *_ in SHARES})
 
 
@@ -86,7 +86,7 @@ def bucket_value(number, accuracy: float = ACCURACY):
 
 def sketches(shared: DataFrame, accuracy: float = ACCURACY) -> DataFrame:
     """``(lang, source, share, bucket, n)``. Rows of two such tables merge by adding ``n``."""
-    named = F.explode(F.array(*[F.struct(F.lit(name).alias("share"), F.col(f"share_{name}").alias("value")) for name, *_ in SHARES]))
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("share"), F.col(f"__share_{name}").alias("value")) for name, *_ in SHARES]))
     return (shared.select("lang", "source", named.alias("s")).where("s.value is not null")
             .groupBy("lang", "source", F.col("s.share").alias("share"), bucket(F.col("s.value"), accuracy).alias("bucket"))
             .agg(F.count("*").alias("n")))
@@ -124,7 +124,7 @@ def limits(sketch: DataFrame, width: float = 6.0, accuracy: float = ACCURACY) ->
             fence = F.least(F.lit(furthest), F.greatest(F.lit(nearest), F.col("q50") + F.lit(width) * (F.col("q50") - F.col("q25"))))
         else:
             fence = F.greatest(F.lit(furthest), F.least(F.lit(nearest), F.col("q50") - F.lit(width) * (F.col("q75") - F.col("q50"))))
-        made.append(F.max(F.when(F.col("share") == name, fence)).alias(f"limit_{name}"))
+        made.append(F.max(F.when(F.col("share") == name, fence)).alias(f"__limit_{name}"))
     return q.groupBy("lang", "source").agg(*made)
 
 
@@ -140,10 +140,10 @@ def judge(spark: SparkSession, docs: DataFrame, keep_text: bool = True) -> DataF
     counted = counts(docs).withColumn("base_failed", F.expr(BASE_FAILED))
     counted = truncate_lineage(spark, counted if keep_text else counted.drop("text"), "counts")
     shared = shares(counted)
-    fences = limits(sketches(shared.where("not base_failed"))).withColumnsRenamed({"lang": "fence_lang", "source": "fence_source"})
+    fences = limits(sketches(shared.where("not base_failed"))).withColumnsRenamed({"lang": "__fence_lang", "source": "__fence_source"})
     within = F.lit(True)
     for name, _, side, *_ in SHARES:
-        inside = F.col(f"share_{name}") <= F.col(f"limit_{name}") if side == "high" else F.col(f"share_{name}") >= F.col(f"limit_{name}")
+        inside = F.col(f"__share_{name}") <= F.col(f"__limit_{name}") if side == "high" else F.col(f"__share_{name}") >= F.col(f"__limit_{name}")
         within = within & F.coalesce(inside, F.lit(True))
-    same = F.col("lang").eqNullSafe(F.col("fence_lang")) & F.col("source").eqNullSafe(F.col("fence_source"))
-    return shared.join(fences, same, "left").select(*counted.columns, (~F.col("base_failed") & within).alias("kept"))
+    same = F.col("lang").eqNullSafe(F.col("__fence_lang")) & F.col("source").eqNullSafe(F.col("__fence_source"))
+    return shared.join(fences, same, "left").select(*[F.col(f"`{c}`") for c in counted.columns if c.lower() != "kept"], (~F.col("base_failed") & within).alias("kept"))

@@ -1,0 +1,284 @@
+"""Operators on documents next to brute-force versions, and their edge cases."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+from cartoload.llm import bpe, packing, pii, quality_model, quality_rules, simhash
+
+FOLDER = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, kept string, IDS int"
+LONG = "word another third " * 30_000
+ODD = [
+    (1, None, "en", "a", 0, "x", "y", 1), (2, "", None, None, 0, "x", "y", 1), (3, " \n\t ", "en", "a", 4, "x", "y", 1), (4, LONG, "en", "a", len(LONG), "x", "y", 1),
+    (5, "same text here", "en", "a", 14, "x", "y", 1), (6, "same text here", "en", "a", 14, "x", "y", 1), (6, "same text here", "en", "a", 14, "x", "y", 1),
+    (None, "no id for this one", "de", "b", 18, "x", "y", 1), (7, "<|endoftext|> 漢字 🎉  ½\x1c é́", "en", "b", 20, "x", "y", 1)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+def library(name):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def plain_fingerprint(text, size=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    shingles = [" ".join(words[i:i + size]) for i in range(len(words) - size + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    """Smallest id reachable, by comparing all pairs."""
+    keys = list(prints)
+    top = {k: k for k in keys}
+
+    def root(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for i, a in enumerate(keys):
+        for b in keys[i + 1:]:
+            if bin(a ^ b).count("1") <= 3 and root(a) != root(b):
+                top[max(root(a), root(b))] = min(root(a), root(b))
+    best = {}
+    for k in keys:
+        best[root(k)] = min([best.get(root(k)), prints[k]], key=lambda v: (v is None, v))
+    return {k: best[root(k)] for k in keys}
+
+
+def check_simhash(rows, result):
+    prints = {}
+    for doc_id, text in rows:
+        value = plain_fingerprint(text)
+        prints[value] = min([prints.get(value), doc_id], key=lambda v: (v is None, v)) if value in prints else doc_id
+    names = plain_components(prints)
+    want = sorted(((d, f"{plain_fingerprint(t):016x}", names[plain_fingerprint(t)]) for d, t in rows), key=str)
+    assert sorted(((r.doc_id, f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in result), key=str) == want
+
+
+def test_simhash_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    near = [(1000 + i, rows[3][1] + " more" * i) for i in range(6)]
+    frame = spark.createDataFrame(rows + near, "doc_id bigint, text string")
+    check_simhash(rows + near, simhash.near_duplicates(spark, frame).collect())
+
+
+def test_simhash_edges(spark, odd):
+    check_simhash([(r[0], r[1]) for r in ODD], simhash.near_duplicates(spark, odd).collect())
+    assert simhash.near_duplicates(spark, odd.limit(0)).count() == 0
+
+
+def test_simhash_links_are_whole(spark):
+    """Random fingerprints and flips of up to five bits: all pairs within three, whatever the number of parts."""
+    draw = np.random.default_rng(1)
+    base = draw.integers(-(2**63), 2**63 - 1, size=60)
+    values = {int(b) for b in base} | {0, -1}
+    for b in base:
+        for k in range(1, 6):
+            flip = sum(1 << int(x) for x in draw.choice(64, size=k, replace=False))
+            values.add(int(np.int64(np.uint64((int(b) ^ flip) & (2**64 - 1)).view(np.int64))))
+    values = sorted(values)
+    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1:] if bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+    frame = spark.createDataFrame([(v,) for v in values], "fp bigint")
+    for parts in (2, 3):
+        assert {(r.a, r.b) for r in simhash.links(spark, frame, parts=parts).collect()} == want
+
+
+def test_threshold_allocation():
+    costs = np.array([[[0, 10, 100, 1000, 9000], [0, 10, 100, 1000, 9000]], [[0, 500, 9000, 9000, 9000], [0, 1, 2, 3, 4]]], dtype=float)
+    assert simhash.allocate(costs, 3).tolist() == [[1, 1], [-1, 3]]
+
+
+def test_quality_counts():
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+        often = Counter(windows)
+        hit = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines), len(lines) - len(set(lines)), len(hit))
+
+    for text in ("", "a b c a b c", "é é é é", "x|y #\n\nx|y #\n\t\nz w", "a b c d a b c", "1 2 3 4 2 3 4 9 1 2 3\r\n"):
+        assert quality_rules.text_counts(text) == plain(text)
+
+
+def test_quality_rules_edges(spark, odd):
+    rows = quality_rules.judge(spark, odd).collect()
+    assert len(rows) == len(ODD) and not any(r.kept for r in rows)
+    assert {(r.doc_id, r.n_words) for r in rows if r.doc_id in (1, 2, 3, 4)} == {(1, 0), (2, 0), (3, 0), (4, 90_000)}
+    assert quality_rules.judge(spark, odd.limit(0)).count() == 0
+
+
+def test_quantiles_are_near(spark):
+    values = [(("en"), "s", float(v)) for v in np.random.default_rng(0).lognormal(size=5000)]
+    frame = spark.createDataFrame(values, "lang string, source string, __share_symbols double")
+    for name, *_ in quality_rules.SHARES[1:]:
+        frame = frame.withColumn(f"__share_{name}", F.lit(None).cast("double"))
+    row = quality_rules.quantiles(quality_rules.sketches(frame), {"q": 0.5, "r": 0.9}).where("share = 'symbols'").first()
+    exact = np.quantile([v[2] for v in values], [0.5, 0.9])
+    assert abs(row.q / exact[0] - 1) < 0.02 and abs(row.r / exact[1] - 1) < 0.02
+
+
+def test_quality_model_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    found = entry.queries()["op4_quality_model"](spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = found.join(labels, "doc_id").where("held_out and quality is not null").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_quality_model_edges(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1)], "doc_id bigint, quality int")
+    rows = quality_model.classify(spark, odd, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    none = quality_model.classify(spark, odd, labels.limit(0)).collect()
+    assert {round(r.score, 2) for r in none} == {0.5}
+    assert quality_model.classify(spark, odd.limit(0), labels).count() == 0
+
+
+def test_isotonic_pool():
+    assert quality_model.pool(np.array([1, 1, 2, 1]), np.array([0, 1, 0, 1])).tolist() == [0, 1 / 3, 1 / 3, 1]
+
+
+def test_bpe_exact(spark, docs, odd):
+    vocabulary = bpe.read_text(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = library("byte_bpe_50k.json")
+    for frame in (docs, odd):
+        coded = bpe.decode(spark, bpe.encode(spark, frame, vocabulary, lexicon_words=500), vocabulary).select("text", "ids", "decoded").collect()
+        for row in coded:
+            want = tokenizer.encode(row.text or "", add_special_tokens=False).ids
+            assert row.ids == want and row.decoded == tokenizer.decode(want, skip_special_tokens=False)
+    assert bpe.encode(spark, odd.limit(0), vocabulary).count() == 0
+
+
+def test_lexicon(tmp_path):
+    vocabulary = bpe.Vocabulary(bpe.read_text(public_tokenizers.path("byte_bpe_50k.json")))
+    words = sorted({w.encode() for w in (" walking", " talking", " walks", " talks", "a", "aa", " é", "\n")})
+    path = tmp_path / "lexicon"
+    path.write_bytes(bpe.compile_lexicon(words, *vocabulary.merge(words)))
+    lexicon = bpe.Lexicon(str(path))
+    assert lexicon.find(words).tolist() == list(range(len(words)))
+    assert lexicon.find([b" walk", b" walkings", b"b", b"aaa"]).tolist() == [-1] * 4
+    assert len(lexicon.final) < sum(map(len, words)) - 10  # suffixes are shared
+    path.write_bytes(bpe.compile_lexicon([], *vocabulary.merge([])))
+    assert bpe.Lexicon(str(path)).find([b"a"]).tolist() == [-1]
+
+
+def test_packing(spark, docs, odd):
+    vocabulary = bpe.read_text(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = library("word_bpe_49k.json")
+    for frame in (docs, odd):
+        pieces = packing.pack(spark, frame, vocabulary, block_tokens=30_000).collect()
+        want = Counter()
+        for row in frame.collect():
+            ids = tokenizer.encode(row.text or "", add_special_tokens=False).ids + [1]
+            want[(row.doc_id, len(ids))] += 1
+            own = [p for p in pieces if p.doc_id == row.doc_id and p.doc_tokens == len(ids)]
+            for p in own:
+                assert p.ids == ids[p.start:p.start + p.length]
+                assert p.ids_crc32 == zlib.crc32(np.array(p.ids, dtype="<u4").tobytes())
+        assert sum(p.length for p in pieces) == sum(n * size for (_, size), n in want.items())
+        rows = {}
+        for p in pieces:
+            rows.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        for row in rows.values():
+            at = 0
+            for offset, length in sorted(row):
+                assert offset == at
+                at += length
+            assert at == 2048 or at & (at - 1) == 0
+    assert packing.pack(spark, odd.limit(0), vocabulary).count() == 0
+
+
+def test_packer_balances():
+    packer = packing.Packer(100, 1.0, 0.01)
+    left = packer.pack([60, 60, 55, 30, 30, 25, 20, 250, 17], last=False)
+    assert all(sum(p.length for p in s) == 100 for s in packer.sequences)
+    assert sum(p.length for s in packer.sequences for p in s) + sum(p.length for p in left) == 547 and sum(p.length for p in left) == 47
+
+
+PRIVATE = [(1, "mail anna.34@mail7.example.com, ANNA.34@MAIL7.EXAMPLE.COM"), (2, "ask anna.34@mail7.example.com or anna.35@mail7.example.com at 97.51.17.173."),
+           (3, "+1 (974) 555-3436, +1-974-555-3436; 4111 1111 1111 1111 and 4111111111111111"), (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'),
+           (5, "Mrs. Anna Smith, Mr. John Smith; г-жа Анна Иванова"), (6, None), (7, ""), (8, "nothing here 12, 1.5 (2020)"), (8, "nothing here 12, 1.5 (2020)")]
+
+
+def test_surrogates(spark):
+    frame = spark.createDataFrame([(*r, "kept") for r in PRIVATE], "doc_id bigint, text string, N_Entities string")
+    out = {r.doc_id: r for r in pii.replace(spark, frame, "k").collect()}
+    first, second = re.findall(r"\S+@[\w.]*\w", out[1].text)
+    assert second == first.upper() and first in out[2].text  # one entity, one surrogate, in its own spelling
+    mails = re.findall(r"\S+@[\w.]*\w", out[2].text)
+    assert len(set(mails)) == 2 and len({m.split("@")[1] for m in mails}) == 1 and all(m.endswith(".com") for m in mails)
+    phone = re.findall(r"\+1[ ()0-9-]{13,}", out[3].text)
+    assert re.sub(r"\D", "", phone[0]) == re.sub(r"\D", "", phone[1]) and phone[0] != "+1 (974) 555-3436"
+    card = re.findall(r"4\d{15}", out[3].text)[0]
+    assert sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(card))) % 10 == 0
+    assert re.search(r'token = "[0-9a-f]{40}"$', out[4].text) and "04dbebab" not in out[4].text
+    assert re.match(r"Mrs\. [A-Z][a-z]+ ([A-Z][a-z]+), Mr\. [A-Z][a-z]+ \1; г-жа [А-Я][а-я]+(на|лия|рина|ша) [А-Я][а-я]+$", out[5].text)
+    assert out[6].text is None and out[7].text == "" and out[8].text == PRIVATE[7][1] and out[8].n_entities == 0
+    assert pii.replace(spark, frame.limit(0), "k").count() == 0
+
+
+def test_surrogates_collide_and_move_on(spark):
+    entities = spark.createDataFrame([("ssn", str(n)) for n in range(3)], "kind string, canon string").union(spark.createDataFrame([("ssn", str(n)) for n in range(10, 50)], "kind string, canon string"))
+    moved = pii.exceptions(spark, entities, "k")
+    final = entities.join(moved, ["kind", "canon"], "left").select("canon", pii.made("k", F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0))).alias("made")).collect()
+    assert len({r.made for r in final}) == len(final) and not {r.made for r in final} & {r.canon for r in final}
+    assert moved.count() > 0
+
+
+def test_surrogates_with_exceptions_in_texts(spark):
+    texts = [(n, f"card {n}{n}{n}-{n}{n}-{n}{n}{n}{n} and Mr. Li{'aeiou'[n % 5]}") for n in range(10)]
+    out = pii.replace(spark, spark.createDataFrame(texts, "doc_id int, text string"), "k").collect()
+    assert len({r.text for r in out}) == 10
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, FOLDER).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    kept = {d for d, r in docs.items() if quality_rules.text_counts(r.text)[0] >= 50}
+    found = {p.doc_id for p in pieces}
+    assert found and found <= kept
+    prints = [plain_fingerprint(docs[d].text) for d in found]
+    assert all(bin(a ^ b).count("1") > 3 for i, a in enumerate(prints) for b in prints[i + 1:])
+    tokens = Counter()
+    for p in pieces:
+        tokens[p.doc_id] += p.length
+    assert all(tokens[p.doc_id] == p.doc_tokens for p in pieces)
+
+
+def test_pipeline_edges(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    good = [(100 + k, " ".join(f"word{k} w{i} other{i * k}" for i in range(40)), "en", "a", 400, "x", "y", 1) for k in range(5)]
+    spark.createDataFrame(ODD + good, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100, 1, 0), (4, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for frame in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, frame, str(tmp_path)).columns == corpus_pipeline.COLUMNS
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} >= {1, 4, 5, 7}
