@@ -81,11 +81,6 @@ def first_line(path: str, encoding: str = "utf-8-sig") -> str:
     return head.split(b"\n", 1)[0].rstrip(b"\r").decode(encoding)
 
 
-def head_text(path: str, size: int = 1 << 16) -> str:
-    with open_input(path) as handle:
-        return handle.read(size).decode("utf-8-sig", errors="ignore")
-
-
 def put_file(path: str, writer) -> None:
     """Write under a temporary name and move into place, so a retried task leaves one whole file."""
     import os

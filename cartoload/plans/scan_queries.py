@@ -99,7 +99,35 @@ def geojson_pieces(spark, folder):
         F.struct("event_id", "event_type", "value", "props").alias("properties"))
     path = scratch(spark, "geojson") + "/events.geojson"
     table(spark, folder, "events").select(F.to_json(feature).alias("value")).write.text(path, lineSep=",")
-    frame = geojson.scan(spark, {"file_path": path, "layout": "pieces"}).frame
+    frame = geojson.scan(spark, {"file_path": path}).frame
+    return frame.withColumns({"event_id": F.col("event_id").cast("bigint"), "value": F.col("value").cast("double")})
+
+
+@query("geojson_layouts", """
+SELECT event_id, event_type, value, 'POINT(' || event_id || ' ' || user_id || ')' AS geometry FROM events""")
+def geojson_layouts(spark, folder):
+    """S4 on collections of mixed text layout: on the opening line, several per line, over lines, other key order."""
+    kept = {"ignoreNullFields": "false"}
+    properties = F.to_json(F.struct("event_id", "event_type", "value"), kept)
+    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("event_id", "user_id").alias("coordinates")))
+    shapes = [
+        ('{"type":"Feature","geometry":', point, ',"properties":', properties, "}"),
+        ('{\n  "type" : "Feature",\n  "properties" : ', properties, ',\n  "geometry" :\n', point, "\n}"),
+        ('{"id": "a \\"}]{ \\\\", "type": "Feature", "geometry": ', point, ', "properties": ', properties, " }"),
+        ('{"properties":', properties, ',"bbox":[[1,2],[3]],"geometry":', point, ',"type":"Feature"}')]
+    kind = F.col("event_id") % 4
+    text = None
+    for k, parts in enumerate(shapes):
+        joined = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        text = F.when(kind == k, joined) if text is None else text.when(kind == k, joined)
+    # Fifty events to a collection; their separators differ as well.
+    events = table(spark, folder, "events").select(F.floor(F.col("event_id") / 50).alias("part"), F.struct("event_id", text.alias("text")).alias("f"))
+    listed = events.groupBy("part").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["text"]).alias("f"))
+    separator = F.when(F.col("part") % 2 == 0, ",").otherwise(" ,\n\n ")
+    value = F.concat(F.lit('{"type":"FeatureCollection","crs":{"a":[{"b":1}]},"other":[{"c":2}], "features" : ['), F.array_join("f", "\u0001"), F.lit('],"bbox":[0]}'))
+    path = scratch(spark, "geojson") + "/layouts.geojson"
+    listed.select(F.replace(value, F.lit("\u0001"), separator).alias("value")).write.text(path)
+    frame = geojson.scan(spark, {"file_path": path}).frame
     return frame.withColumns({"event_id": F.col("event_id").cast("bigint"), "value": F.col("value").cast("double")})
 
 

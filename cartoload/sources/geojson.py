@@ -2,76 +2,40 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartoload.files import head_text, list_files
+from cartoload.files import list_files
 from cartoload.functions.geometry import geojson_to_wkt
 from cartoload.functions.names import table_name
 from cartoload.functions.types import from_json_text, type_or_text
 from cartoload.functions.values import empty_to_null, json_values, typed
+from cartoload.sources import jsonranges
 from cartoload.sources.base import Scan, project, quoted, split_bytes
 
 STRICT = {"mode": "FAILFAST"}
-FEATURE_LINE = re.compile(r'^\s*\{\s*"type"\s*:\s*"Feature"\s*,.*\}\s*,?\s*$')
-FEATURE_START = re.compile(r'\{\s*"type"\s*:\s*"Feature"\s*,')
-BYTE_ORDER_MARK = "^\ufeff"
+LARGEST_RANGE = 16 << 20
 
 
-def layout(head: str, large: bool) -> str:
-    """How to read files that begin like this.
+def features(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """One row per feature: ``place`` (its file and offset), and ``geometry`` and ``properties`` as JSON text.
 
-    ``lines`` when a feature sits alone on a line; else ``document``, or ``pieces`` for files too
-    large for one task whose features all begin with the same text.
+    Features are found by their depth (``jsonranges``), so the text layout and the way a file is cut
+    don't matter; ``size`` is the number of bytes per range. Features without properties are left out,
+    as the load has no row for them; an object that is no feature fails.
     """
-    whole_lines = head.split("\n")
-    if len(whole_lines) > 1:
-        whole_lines.pop()
-    if any(FEATURE_LINE.match(line.rstrip("\r")) for line in whole_lines):
-        return "lines"
-    return "pieces" if large and len(set(FEATURE_START.findall(head))) == 1 else "document"
-
+    files = list_files(path, ".geojson", ".json", ".txt")
+    text = jsonranges.features(spark, files, size or range_bytes(spark, sum(n for _, n in files)))
+    parsed = F.from_json("feature", "type string, geometry string, properties string", STRICT)
+    wrong = F.raise_error(F.concat(F.lit("no feature: "), F.substring("feature", 1, 80)))
+    whole = text.select("place", "feature", parsed.alias("f"))
+    checked = whole.select("place", F.when(F.coalesce(F.col("f.type"), F.lit("")) == "Feature", F.col("f")).otherwise(wrong).alias("f"))
+    return checked.select("place", "f.geometry", "f.properties").filter("properties is not null")
 
-def _pieces(spark: SparkSession, path: str, marker: str) -> DataFrame:
-    """Features of collections without line structure: the reader splits at the text they begin with.
-
-    What follows a feature in its piece is not looked at. A nested object that begins like a feature
-    would break its piece, which fails the load; such files need the ``document`` layout.
-    """
-    text = spark.read.text(path, lineSep=marker, pathGlobFilter="[!_.]*")
-    # The piece before the first feature begins with the brace of the collection.
-    text = text.filter(~F.col("value").rlike("^\ufeff?\\s*(\\{|$)"))
-    return text.select(F.concat(F.lit(marker), "value").alias("feature"))
 
-
-def features(spark: SparkSession, path: str, how: str | None = None) -> DataFrame:
-    """One row per feature: ``geometry`` and ``properties`` as JSON text.
-
-    ``lines`` reads one feature per line, inside a collection or on their own, and ``pieces`` splits
-    at the start of features; both split files freely. ``document`` reads a whole collection as one
-    value, so a file has to stay below 2 GB.
-    """
-    sizes = list_files(path, ".geojson", ".json", ".txt")
-    head = head_text(sizes[0][0])
-    how = how or layout(head, max(size for _, size in sizes) > split_bytes(spark, sum(s for _, s in sizes)))
-    feature = F.col("feature")
-    parsed = F.from_json(feature, "geometry string, properties string", STRICT)
-    if how == "lines":
-        text = spark.read.text(path, pathGlobFilter="[!_.]*").select(
-            F.regexp_replace("value", BYTE_ORDER_MARK + "|[\\s,]+$", "").alias("feature"))
-        # The lines around the features open and close the collection.
-        parsed = F.when(feature.rlike(r'^\s*\{\s*"type"\s*:\s*"Feature"\s*,'), parsed)
-    elif how == "pieces":
-        text = _pieces(spark, path, FEATURE_START.search(head).group())
-    else:
-        whole = spark.read.text(path, wholetext=True, pathGlobFilter="[!_.]*")
-        collection = F.from_json(
-            F.regexp_replace("value", BYTE_ORDER_MARK, ""), "features array<string>", STRICT)
-        text = whole.select(F.explode(collection["features"]).alias("feature"))
-    return text.select(parsed.alias("f")).select("f.geometry", "f.properties").filter(
-        F.col("properties").isNotNull())
+def range_bytes(spark: SparkSession, total: int) -> int:
+    """Bytes per range: those of a file split, and no more than a task holds well in memory."""
+    return min(split_bytes(spark, total), LARGEST_RANGE)
 
 
 def _cells(feature_rows: DataFrame) -> DataFrame:
@@ -81,7 +45,7 @@ def _cells(feature_rows: DataFrame) -> DataFrame:
         F.json_object_keys("properties").alias("name"),
         F.transform(F.map_values(variants), lambda v: F.to_json(v)).alias("value"),
     )
-    numbered = feature_rows.select(F.monotonically_increasing_id().alias("feature_ix"), zipped.alias("c"))
+    numbered = feature_rows.select(F.col("place").alias("feature_ix"), zipped.alias("c"))
     return numbered.select("feature_ix", F.posexplode("c").alias("position", "cell")).select(
         "feature_ix", "position", F.col("cell.name").alias("source_name"),
         from_json_text(F.col("cell.value")).alias("kind"))
@@ -121,7 +85,7 @@ def infer(feature_rows: DataFrame) -> DataFrame:
 
 def header(feature_rows: DataFrame) -> list[tuple[str, str]]:
     """``(source name, type)`` per property; later features are read only for types still open."""
-    first = _cells(feature_rows.limit(1)).orderBy("position").collect()
+    first = _cells(feature_rows.orderBy("place").limit(1)).orderBy("position").collect()
     open_positions = [c.position for c in first if c.kind is None]
     later = {}
     if open_positions:
@@ -133,7 +97,7 @@ def header(feature_rows: DataFrame) -> list[tuple[str, str]]:
 
 def scan(spark: SparkSession, options: dict) -> Scan:
     path = options["file_path"]
-    rows = features(spark, path, options.get("layout"))
+    rows = features(spark, path, options.get("range_bytes"))
     columns = header(rows)
     mismatch = F.raise_error(F.format_string(
         f"a feature has %d properties but the first one has {len(columns)}", F.size("v")))

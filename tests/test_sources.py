@@ -25,6 +25,7 @@ datasource_desc Text, geometry Geometry"""
 
 def put(folder, name, content):
     path = folder / name
+    path.parent.mkdir(parents=True, exist_ok=True)
     path.write_bytes(content if isinstance(content, bytes) else content.encode())
     return str(path)
 
@@ -138,31 +139,43 @@ def test_geojson_columns(spark, gauges):
     assert first.geometry == "POINT(459728.9375 4961124)" and first.datasource_desc is None and first.zip is None
 
 
-def test_geojson_layouts_agree(spark, gauges):
-    whole = geojson.scan(spark, {"file_path": gauges, "layout": "document"})
-    lines = geojson.scan(spark, {"file_path": gauges, "layout": "lines"})
-    assert whole.columns == lines.columns
-    assert sorted(map(str, whole.frame.collect())) == sorted(map(str, lines.frame.collect()))
+def test_geojson_inferred_types(spark, gauges):
+    found = geojson.scan(spark, {"file_path": gauges})
     inferred = geojson.infer(geojson.features(spark, gauges)).orderBy("position").collect()
-    assert [c.column_type for c in inferred] == [kind for _, kind in lines.columns]
-
-
-def test_geojson_pieces(spark, tmp_path):
-    features = [feature({"A": i, "B": 'has {"type":"Feature", inside'}, {"type": "Point", "coordinates": [i, 0]}) for i in range(500)]
-    text = '{"type":"FeatureCollection","features":[' + ",".join(features) + '],"crs":{"type":"name"}}'
-    path = put(tmp_path, "one line.geojson", text)
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
-        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
-        found = geojson.scan(spark, {"file_path": path, "layout": "pieces"}).frame
-        assert found.rdd.getNumPartitions() > 10
-        assert sorted(map(str, found.collect())) == sorted(map(str, geojson.scan(
-            spark, {"file_path": path, "layout": "document"}).frame.collect()))
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        spark.conf.set("spark.sql.files.openCostInBytes", "4MB")
-    assert geojson.layout(text[:2000], large=True) == "pieces" and geojson.layout(text[:2000], large=False) == "document"
+    assert [c.column_type for c in inferred] == [kind for _, kind in found.columns]
+
+
+@pytest.mark.parametrize("size", [61, 400, None])
+def test_geojson_any_layout_any_cut(spark, tmp_path, size):
+    """Strings with braces, quotes and backslashes; other keys first; several per line; over several lines."""
+    texts = ['has {"type":"Feature", inside', 'end \\\\', 'a "quoted\\" ] } word', "é漢🎉", "", "\\\\\\\""]
+    made = [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 0]}, "properties": {"A": i, "B": texts[i % len(texts)]}} for i in range(24)]
+    shown = [json.dumps(f, ensure_ascii=i % 2 == 0, indent=2 if i % 3 == 0 else None) for i, f in enumerate(made)]
+    shown[5] = json.dumps({"id": 5, **made[5]})
+    texts = {
+        "a": '{"type":"FeatureCollection","features":[' + ",".join(shown[:12]) + '],"crs":{"type":"name"}}',
+        "b": '\ufeff{"crs":{"x":[{"y":"}"}]},\n"extra":[{"no":1}],"features" : [\n' + " ,\n".join(shown[12:20]) + '\n],"later":[{"no":2}]}\n',
+        "c": "\n".join(json.dumps(f) for f in made[20:])}
+    for name, text in texts.items():
+        put(tmp_path, f"folder/{name}.geojson", text)
+    found = geojson.scan(spark, {"file_path": str(tmp_path / "folder"), "range_bytes": size}).frame.collect()
+    assert sorted((int(r.a), r.b or "", r.geometry) for r in found) == [(i, f["properties"]["B"], f"POINT({i} 0)") for i, f in enumerate(made)]
+
+
+@pytest.mark.parametrize("text", [
+    '{"type":"FeatureCollection","features":[{"type":"Feature","geometry":null,"properties":{"A":1}}, 7 {"type":"Feature","geometry":null,"properties":{"A":2}}]}',
+    '{"type":"FeatureCollection","features":[{"type":"Feature","geometry":null,"properties":{"A":1}},{"type":"Feature","geom',
+    '{"type":"FeatureCollection","features":[]}{"type":"Feature","geometry":null,"properties":{"A":1}}',
+    '{"type":"Topology","properties":{}}'])
+def test_geojson_left_over_text_fails(spark, tmp_path, text):
+    with pytest.raises(Exception, match="feature"):
+        geojson.scan(spark, {"file_path": put(tmp_path, "x.geojson", text)}).frame.collect()
+
+
+def test_geojson_header_is_the_first_file(spark, tmp_path):
+    put(tmp_path, "f/a.geojson", feature({"First": 1}))
+    put(tmp_path, "f/b.geojson", "\n".join(feature({"Second": i}) for i in range(500)))
+    assert [name for name, _ in geojson.scan(spark, {"file_path": str(tmp_path / "f")}).columns] == ["first", "geometry"]
 
 
 def feature(properties, geometry=None):
