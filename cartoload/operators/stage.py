@@ -13,13 +13,28 @@ from cartoload.sources.base import Scan, quoted
 
 
 def _move_over(spark: SparkSession, source: str, target: str) -> None:
-    """Put a finished folder in the place of the old one."""
+    """Put a finished folder in the place of the old one; if that fails, the old one is back in place.
+
+    The old folder is renamed aside, not deleted, until the new one has its name. A target that is
+    there again by then, put there by someone else, is left alone.
+    """
     jvm = spark._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    new, old, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target, f"{source}-replaced"))
     system = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(old, True)
-    if not system.rename(new, old):
+    had_old = system.exists(old)
+    if had_old and not system.rename(old, aside):
+        raise OSError(f"could not move {target} aside")
+    # A rename onto a folder would go inside it.
+    if system.exists(old) or not _renamed(system, new, old):
+        if had_old and not system.exists(old):
+            system.rename(aside, old)
         raise OSError(f"could not move {source} to {target}")
+    if had_old:
+        system.delete(aside, True)
+
+
+def _renamed(system, new, old) -> bool:
+    return system.rename(new, old)
 
 
 def _remove(spark: SparkSession, folder: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
@@ -12,33 +13,52 @@ from cartoload.operators.catalog import sources_to_load
 from cartoload.operators.changes import update_rows
 from cartoload.operators.stage import stage
 from cartoload.session import configure
+from cartoload.sources.base import Scan
 from cartoload.sources.dispatch import scan
 
 REPORT = "sd_id bigint, table_name string, rows bigint, error string, loaded_timestamp timestamp"
 
 
-def load_one(spark: SparkSession, sd_id: int, options: str, root: str) -> tuple:
+def failed(sd_id: int, error: Exception | str) -> tuple:
+    reason = str(error).split("\n\nJVM stacktrace", 1)[0]
+    return sd_id, None, None, f"Error attempting to bulk load data for sd_id = {sd_id}.\n{reason}", None
+
+
+def found_source(spark: SparkSession, options: str) -> Scan | Exception:
     try:
-        source = scan(spark, options)
-        rows = stage(spark, source, root)
-        return sd_id, source.table_name, rows, None, datetime.now(timezone.utc)
+        return scan(spark, options)
     except Exception as error:  # any failure of a source belongs in the report
-        reason = str(error).split("\n\nJVM stacktrace", 1)[0]
-        return sd_id, None, None, (
-            f"Error attempting to bulk load data for sd_id = {sd_id}.\n{reason}"), None
+        return error
+
+
+def load_one(spark: SparkSession, sd_id: int, source: Scan, root: str) -> tuple:
+    try:
+        return sd_id, source.table_name, stage(spark, source, root), None, datetime.now(timezone.utc)
+    except Exception as error:
+        return failed(sd_id, error)
 
 
 def run_load(spark: SparkSession, manifest: DataFrame, root: str, at_once: int = 4) -> DataFrame:
     """``manifest`` holds ``(sd_id, options)``; the report has one row per entry.
 
-    Sources load ``at_once`` at a time as separate Spark jobs, so small ones do not leave the
-    cluster idle. Only manifest rows pass through the driver.
+    Sources are opened first, so that entries of one run that would load the same table are refused,
+    all of them, before anything is written. They load ``at_once`` at a time as separate Spark jobs, so
+    small ones do not leave the cluster idle. Only manifest rows pass through the driver.
     """
     configure(spark)
+    entries = [(row.sd_id, row.options) for row in manifest.select("sd_id", "options").toLocalIterator()]
     with ThreadPoolExecutor(at_once) as pool:
-        entries = manifest.select("sd_id", "options").toLocalIterator()
-        waiting = [pool.submit(load_one, spark, row.sd_id, row.options, root) for row in entries]
-        report = [job.result() for job in waiting]
+        sources = list(pool.map(lambda entry: found_source(spark, entry[1]), entries))
+        wanted = Counter(source.table_name for source in sources if isinstance(source, Scan))
+
+        def load(entry: tuple, source: Scan | Exception) -> tuple:
+            if isinstance(source, Exception):
+                return failed(entry[0], source)
+            if wanted[source.table_name] > 1:
+                return failed(entry[0], f'{wanted[source.table_name]} sources of this run load the table "{source.table_name}"')
+            return load_one(spark, entry[0], source, root)
+
+        report = list(pool.map(load, entries, sources))
     return spark.createDataFrame(report, REPORT)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import cartoload
 from cartoload.operators.schema import load_options
+from cartoload.operators import stage as stage_module
 from cartoload.operators.stage import export_csv, stage, stage_table
 from cartoload.plans.load_job import run_load, run_workflow, succeeded
 from cartoload.session import scratch
@@ -42,6 +43,30 @@ def test_a_failed_load_leaves_the_old_table(spark, tmp_path):
     assert spark.read.parquet(f"{root}/t").count() == 1
 
 
+def test_a_refused_rename_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    root = scratch(spark, "staging")
+    path = put(tmp_path, "t.csv", "a\n1\n")
+    stage(spark, scan(spark, csv_options(path)), root)
+    put(tmp_path, "t.csv", "a\n2\n3\n")
+    monkeypatch.setattr(stage_module, "_renamed", lambda *_: False)
+    with pytest.raises(OSError):
+        stage(spark, scan(spark, csv_options(path)), root)
+    assert [r.a for r in spark.read.parquet(f"{root}/t").collect()] == ["1"]
+    monkeypatch.undo()
+    assert stage(spark, scan(spark, csv_options(path)), root) == 2
+    assert os.listdir(root.removeprefix("file:")) == ["t"]
+
+
+def test_two_sources_of_one_table_are_refused(spark, tmp_path):
+    (tmp_path / "other").mkdir()
+    one, two, three = put(tmp_path, "t.csv", "a\n1\n"), put(tmp_path / "other", "t.csv", "a\n2\n3\n"), put(tmp_path, "u.csv", "a\n1\n")
+    manifest = spark.createDataFrame([(k, json.dumps(csv_options(p))) for k, p in enumerate((one, two, three))], "sd_id bigint, options string")
+    root = scratch(spark, "staging")
+    found = {r.sd_id: r for r in run_load(spark, manifest, root).collect()}
+    assert all('2 sources of this run load the table "t"' in found[k].error for k in (0, 1)) and found[2].rows == 1
+    assert os.listdir(root.removeprefix("file:")) == ["u"]
+
+
 def test_load_job_goes_on_past_failures(spark, tmp_path):
     good, bad = put(tmp_path, "good.csv", "a\n1\n"), put(tmp_path, "bad.csv", "a,b\n1\n")
     manifest = spark.createDataFrame(
