@@ -6,7 +6,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoload.operators.ordinal import LARGEST_ARRAY, collected
 
 STAMPS = "created timestamp_ntz, created_by bigint, last_updated timestamp_ntz, updated_by bigint"
 COLUMN_LIST = "array<struct<name:string,column_type:string>>"
@@ -152,17 +151,15 @@ def contacts_with_names(contacts: DataFrame, users: DataFrame, keep_unmatched: b
 
 
 def data_sources_view(sources: DataFrame, regions: DataFrame, users: DataFrame, warehouse_types: DataFrame,
-                      contacts: DataFrame, keep_unmatched: bool = False,
-                      largest_array: int = LARGEST_ARRAY) -> DataFrame:
-    """Data sources with region, user names, warehouse type and contacts.
+                      contacts: DataFrame, keep_unmatched: bool = False) -> DataFrame:
+    """Data sources with region, user names, warehouse type and contacts, in long form.
 
-    One row per source, as long as its contacts fit one array; a larger source goes on in further
-    rows, told apart by ``contacts_part``. The lookups carry no hints: the planner broadcasts the
-    sides it measures as small and splits hot keys of the others.
+    One row per source and contact, and one with a null ``contact`` for a source without any, however
+    many contacts a source has: they are never brought together. The inner and the anti join let hot
+    sources be split; the lookups carry no hints, so the planner broadcasts what it measures as small.
     """
     named = contacts_with_names(contacts, users, keep_unmatched)
-    item = F.struct(*[c for c in named.columns if c != "ds_id"])
-    listed = collected(named, "ds_id", item, "contact_id", "contacts", largest_array)
+    items = named.select("ds_id", F.struct(*[c for c in named.columns if c != "ds_id"]).alias("contact"))
     who = lambda prefix: users.select(F.col("uid").alias(f"_{prefix}"), F.col("name").alias(f"{prefix}_name"))
     types = warehouse_types.select(
         "wt_id", F.col("name").alias("warehouse_name"), F.col("description").alias("warehouse_description"))
@@ -173,19 +170,18 @@ def data_sources_view(sources: DataFrame, regions: DataFrame, users: DataFrame,
         .join(who("creator"), F.col("created_by") == F.col("_creator"), how)
         .join(who("updater"), F.col("updated_by") == F.col("_updater"), how)
         .join(types, F.col("warehouse_type") == F.col("wt_id"))
-        .join(listed, "ds_id", "left")
     )
-    none = F.array().cast(listed.schema["contacts"].dataType)
-    return joined.select(
+    known = joined.select(
         "ds_id", "name", "description", "search_radius", "comments",
         "region_id", "country_code", "country_name", "prov_code", "prov_name", "county",
         F.col("assigned_name").alias("assigned_user"), "created", F.col("creator_name").alias("created_by"),
         "last_updated", F.col("updater_name").alias("updated_by"),
         "wt_id", "warehouse_name", "warehouse_description",
         "collection_workflow", "load_workflow", "check_workflow",
-        F.coalesce("contacts", none).alias("contacts"),
-        F.coalesce("contacts_part", F.lit(0)).alias("contacts_part"),
     )
+    without = known.join(items.select("ds_id").distinct(), "ds_id", "left_anti")
+    return known.join(items, "ds_id").unionByName(
+        without.withColumn("contact", F.lit(None).cast(items.schema["contact"].dataType)))
 
 
 def sources_to_load(source_data: DataFrame, load_instances: DataFrame, workflow_run_id: int | None = None) -> DataFrame:

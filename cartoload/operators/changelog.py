@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -35,10 +36,11 @@ class Context:
         ]
 
 
-def row_text(row: str, columns: list[str]) -> Column:
-    """A row as a map of column name to text."""
-    names = F.array(*map(F.lit, columns))
-    return F.map_from_arrays(names, F.array(*[F.col(f"{row}.{c}").cast("string") for c in columns]))
+def row_text(row: str, columns: list[T.StructField]) -> Column:
+    """A row as a map of column name to text; of nested values their JSON."""
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    texts = [to_json(F.col(f"{row}.{c.name}")) if isinstance(c.dataType, nested) else F.col(f"{row}.{c.name}").cast("string") for c in columns]
+    return F.map_from_arrays(F.array(*[F.lit(c.name) for c in columns]), F.array(*texts))
 
 
 def changed_entries(old: Column, new: Column) -> Column:
@@ -57,7 +59,8 @@ def paired(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def changes_between(pairs: DataFrame, keys: list[str], columns: list[str], ignored: tuple[str, ...] = ()) -> DataFrame:
     """M6, M7: ``(keys, action, row_data, changed_fields)`` as JSON text, from ``(keys, old, new)``.
 
-    Rows are compared column by column, and text maps are built for changed rows only. Updates that
+    ``row_data`` is the typed image of the row, with numbers, booleans, nulls and nested values as such;
+    ``changed_fields`` holds texts (of nested values their JSON). Rows are compared column by column, and text maps are built for changed rows only. Updates that
     touch nothing but ignored columns leave no entry.
     """
     tracked = [c for c in columns if c not in ignored]
@@ -67,10 +70,12 @@ def changes_between(pairs: DataFrame, keys: list[str], columns: list[str], ignor
     gone, fresh = F.col("new").isNull(), F.col("old").isNull()
     action = F.when(gone & fresh, None).when(fresh, "I").when(gone, "D").when(differs, "U")
     changed = pairs.withColumn("action", action).filter("action is not null")
-    before, after = row_text("old", tracked), row_text("new", tracked)
-    row_data = F.when(F.col("action") == "I", after).otherwise(before)
+    fields = [f for f in pairs.schema["old"].dataType if f.name in tracked]
+    before, after = row_text("old", fields), row_text("new", fields)
+    image = lambda row: F.struct(*[F.col(f"{row}.{c}").alias(c) for c in tracked])
+    row_data = F.when(F.col("action") == "I", to_json(image("new"))).otherwise(to_json(image("old")))
     fields = F.when(F.col("action") == "U", changed_entries(before, after))
-    return changed.select(*keys, "action", to_json(row_data).alias("row_data"), to_json(fields).alias("changed_fields"))
+    return changed.select(*keys, "action", row_data.alias("row_data"), to_json(fields).alias("changed_fields"))
 
 
 def change_rows(old: DataFrame, new: DataFrame, keys: list[str], ignored: tuple[str, ...] = ()) -> DataFrame:

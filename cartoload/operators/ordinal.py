@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from cartoload.session import truncate_lineage
 
-# A group up to this many rows is numbered by one task; sorting that many rows spills at worst.
-LARGEST_GROUP = 1_000_000
 # Items per array in collected columns.
 LARGEST_ARRAY = 10_000
 
@@ -52,17 +50,12 @@ def numbered(spark: SparkSession, rows: DataFrame, order_by: list[str], name: st
 
 
 def row_numbers(spark: SparkSession, rows: DataFrame, partition_by: list[str], order_by: list[str],
-                name: str = "rn", largest_group: int = LARGEST_GROUP) -> DataFrame:
-    """``row_number() over (partition by … order by …)``; only oversized groups leave the plain window."""
-    sizes = rows.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > largest_group).select(*partition_by)
-    window = Window.partitionBy(*partition_by).orderBy(*order_by)
-    number = F.row_number().over(window).cast("bigint").alias(name)
-    if hot.isEmpty():
-        return rows.select("*", number)
-    usual = rows.join(hot, same(rows, hot, partition_by), "left_anti").select("*", number)
-    large = rows.join(hot, same(rows, hot, partition_by), "left_semi")
-    return usual.unionByName(numbered(spark, large, order_by, name, partition_by))
+                name: str = "rn") -> DataFrame:
+    """``row_number() over (partition by … order by …)``, by ranges whatever the group sizes.
+
+    Rows equal in the order are numbered by a digest of the whole row.
+    """
+    return numbered(spark, rows, order_by, name, partition_by)
 
 
 def collected(rows: DataFrame, key: str, item, spread_by: str, name: str,

@@ -9,19 +9,14 @@ from cartoload.functions.names import clean_identifier
 from cartoload.functions.types import sql_type_name, type_or_text
 from cartoload.sources.base import Scan
 
-# Fixed value: most columns a table can have; more could not be created.
-MOST_COLUMNS = 1600
-
 
 def build_schemas(columns: DataFrame) -> DataFrame:
     """C11: ``(table_name, position, name, column_type)`` rows to one ordered column list per table.
 
-    Names are cleaned and open types become Text. A position beyond the column limit fails the job
-    before anything is collected, so every list is small.
+    Names are cleaned and open types become Text. A list is as long as its table has columns.
     """
-    too_many = F.raise_error(F.format_string("%s has too many columns", F.col("table_name")))
     entry = F.struct(
-        F.when(F.col("position") < MOST_COLUMNS, F.col("position")).otherwise(too_many).alias("position"),
+        F.col("position"),
         clean_identifier(F.col("name")).alias("name"),
         type_or_text(F.col("column_type")).alias("column_type"),
     )

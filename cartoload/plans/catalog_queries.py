@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartoload.operators import catalog, changelog, changes, checks, warehouse
-from cartoload.operators.ordinal import collected
+from cartoload.operators.ordinal import collected, row_numbers
 from cartoload.plans.registry import query, table
 
 ROLE_NAMES = ["admin", "check", "collection", "create_ds", "load"]
@@ -104,13 +104,13 @@ def contacts_with_names(spark, folder):
 
 
 @query("source_catalog", """
-WITH contacts AS (SELECT l_suppkey, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM (
+WITH contacts AS (SELECT l_suppkey, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM (
   SELECT l_suppkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER),
     strftime(l_shipdate, '%Y%m%d')) AS id
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R') GROUP BY l_suppkey)
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N') GROUP BY l_suppkey)
 SELECT s_suppkey AS ds_id, s_name AS name, n_nationkey AS region_id, r_name AS country_name, n_name AS prov_name,
   s_acctbal > 0 AS in_credit, p.p_name AS assigned_user, CASE WHEN s_acctbal > 0 THEN 'Current' ELSE 'Archive' END AS warehouse_name,
-  coalesce(n, 0) AS contacts, coalesce(md5(ids), md5('')) AS contact_ids
+  coalesce(n, 0) AS contacts, first_id AS first_contact, last_id AS last_contact
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 JOIN part p ON p_partkey = s_suppkey LEFT JOIN contacts ON l_suppkey = s_suppkey""")
 def source_catalog(spark, folder):
@@ -131,12 +131,13 @@ def source_catalog(spark, folder):
         F.col("r_name").alias("country_name"), F.col("n_nationkey").cast("string").alias("prov_code"),
         F.col("n_name").alias("prov_name"), F.lit(None).cast("string").alias("county"))
     users = table(spark, folder, "part").select(F.col("p_partkey").alias("uid"), F.col("p_name").alias("name"))
-    contacts = contact_rows(spark, folder).filter("name = 'R'")
-    view = catalog.data_sources_view(sources, regions, users, catalog.seed(spark, "warehouse_types"), contacts)
-    ids = F.array_join(F.transform("contacts", lambda c: c["contact_id"]), ",")
-    return view.select("ds_id", "name", "region_id", "country_name", "prov_name",
-                       F.col("comments").isNotNull().alias("in_credit"), "assigned_user", "warehouse_name",
-                       F.size("contacts").cast("bigint").alias("contacts"), F.md5(ids).alias("contact_ids"))
+    view = catalog.data_sources_view(
+        sources, regions, users, catalog.seed(spark, "warehouse_types"), contact_rows(spark, folder))
+    kept = ["ds_id", "name", "region_id", "country_name", "prov_name", F.col("comments").isNotNull().alias("in_credit"),
+            "assigned_user", "warehouse_name"]
+    return view.groupBy(*kept).agg(
+        F.count("contact").alias("contacts"), F.min("contact.contact_id").alias("first_contact"),
+        F.max("contact.contact_id").alias("last_contact"))
 
 
 @query("bounded_arrays", "SELECT o_custkey, o_orderkey FROM orders")
@@ -225,6 +226,16 @@ def order_gaps(spark, folder):
     return checks.order_gaps(spark, table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
 
 
+@query("status_numbers", """
+SELECT l_linestatus, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey, l_linenumber,
+  l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem""")
+def status_numbers(spark, folder):
+    """W1 where two groups hold the whole table."""
+    rows = table(spark, folder, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    ranked = row_numbers(spark, rows, ["l_linestatus"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
+    return ranked.select("l_linestatus", "l_orderkey", "l_linenumber", "rn")
+
+
 @query("latest_per_key", """
 SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id""")
 def latest_per_key(spark, folder):
@@ -303,9 +314,9 @@ def orders_after(spark, folder):
     return kept.unionByName(fresh)
 
 
-ROW = """'{{"o_orderkey":"' || {k} || '",{owner}"o_orderstatus":"' || o_orderstatus || '","o_totalprice":"' ||
-  CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR) || '","o_orderpriority":"' || o_orderpriority || '"}}'"""
-OWNER = """"o_custkey":"' || o_custkey || '","""
+ROW = """'{{"o_orderkey":' || {k} || ',{owner}"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' ||
+  CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR) || ',"o_orderpriority":"' || o_orderpriority || '"}}'"""
+OWNER = """"o_custkey":' || o_custkey || ',"""
 
 
 def _log_sql(owner: str, owner_changes: str) -> str:
