@@ -22,14 +22,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoload.llm.common import annotate, map_arrow, scratch, slices
+from cartoload.llm.common import annotate, map_arrow, scratch, slices, truncate_lineage
 
 #: Fixed value: the pattern of the byte-level vocabulary's pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pattern's white space, as Unicode has it (Python's ``\s`` also takes the separators U+001C to U+001F).
 SPACE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEXICON_WORDS = 50_000
-KNOWN_WORDS = 400_000  # words a task remembers; beyond it starts afresh
+KNOWN_WORDS = 700_000  # words a task remembers; beyond it starts afresh
 FAR = np.iinfo(np.int64).max
 
 
@@ -391,11 +391,20 @@ def count_words(docs: DataFrame) -> DataFrame:
 def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary_text: str, size: int = LEXICON_WORDS) -> str:
     """Compile the ``size`` most frequent words of ``docs`` and give the file to the executors; its name.
 
-    ``size`` bounds what comes to the driver. Words beyond it are merged where they occur, to the same
-    ids. The file is written below ``spark.checkpoint.dir``, and Spark brings it to every executor.
+    ``size`` bounds what comes to the driver; words of equal or nearly equal counts are in or out
+    together. Words that are out are merged where they occur, to the same ids. The file is written below ``spark.checkpoint.dir``, and Spark brings it to every executor.
     """
-    rows = count_words(docs).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
-    words = sorted({r[0].encode("utf-8", "surrogatepass") for r in rows} - {b""})
+    counted = truncate_lineage(spark, count_words(docs).where("word <> ''"), "words")
+    # The least count that leaves no more than ``size`` words, from a short table of count classes.
+    place = F.floor(F.log2("n") * 16)
+    left, least = size, None
+    for row in counted.groupBy(place.alias("place")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("place")).collect():
+        left -= row.words
+        if left < 0:
+            break
+        least = row.least
+    rows = counted.where(F.col("n") >= least).select("word").collect() if least is not None else []
+    words = sorted({r[0].encode() for r in rows})
     content = compile_lexicon(words, *Vocabulary(vocabulary_text).merge(words))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     jvm = spark._jvm
@@ -414,45 +423,59 @@ def read_text(path: str) -> str:
         return handle.read()
 
 
-def encode(spark: SparkSession, docs: DataFrame, vocabulary_text: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+class Decoder:
+    """Texts from ids."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.lengths = np.fromiter(map(len, vocabulary.bytes), dtype=np.int64, count=vocabulary.size)
+        self.flat, self.starts = np.frombuffer(b"".join(vocabulary.bytes), dtype=np.uint8), np.cumsum(self.lengths) - self.lengths
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """One text for each run of ``counts`` ids; bytes that are no UTF-8 become U+FFFD."""
+        sizes = self.lengths[ids]
+        octets = gather(self.flat, self.starts[ids], sizes).tobytes()
+        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]].tolist()
+        return [octets[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+
+
+def listed(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def encode(spark: SparkSession, docs: DataFrame, vocabulary_text: str, lexicon_words: int = LEXICON_WORDS, decoded: bool = False) -> DataFrame:
     """``docs`` with ``ids array<int>``: the whole text's ids, special tokens in the text included.
 
-    ``vocabulary_text`` is the content of the tokenizer file, which is read once on the driver. A null
-    or empty text has no ids; repeated rows and extra columns stay; a column ``ids`` is replaced; an
-    empty table gives an empty result (and an empty lexicon).
+    With ``decoded`` also ``decoded string``, the text that the ids come back to. ``vocabulary_text`` is
+    the content of the tokenizer file, which is read once on the driver. A null or empty text has no
+    ids; repeated rows and extra columns stay; columns of the added names are replaced; an empty table
+    gives an empty result (and an empty lexicon).
     """
     name = build_lexicon(spark, docs, vocabulary_text, lexicon_words)
     shared = spark.sparkContext.broadcast(vocabulary_text)
-    state: list[Encoder] = []
+    state: list[tuple[Encoder, Decoder]] = []
 
     def run(texts: pa.Array) -> list:
         if not state:
-            state.append(Encoder(Vocabulary(shared.value), Lexicon(SparkFiles.get(name))))
-        ids, lengths = state[0].encode(texts)
-        offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))]
+            vocabulary = Vocabulary(shared.value)
+            state.append((Encoder(vocabulary, Lexicon(SparkFiles.get(name))), Decoder(vocabulary)))
+        ids, lengths = state[0][0].encode(texts)
+        return [listed(ids, lengths), state[0][1].decode(ids, lengths)] if decoded else [listed(ids, lengths)]
 
-    return annotate(docs, ["text"], "ids array<int>", run)
+    return annotate(docs, ["text"], "ids array<int>, decoded string" if decoded else "ids array<int>", run)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, vocabulary_text: str) -> DataFrame:
-    """``encoded`` with ``decoded string`` from its ``ids``; bytes that are no UTF-8 become U+FFFD.
+    """``encoded`` with ``decoded string`` from its ``ids``.
 
     Null ids give an empty text, ids outside the vocabulary fail; a column ``decoded`` is replaced.
     """
     shared = spark.sparkContext.broadcast(vocabulary_text)
-    state: list[tuple] = []
+    state: list[Decoder] = []
 
     def run(lists: pa.Array) -> list:
         if not state:
-            table = Vocabulary(shared.value).bytes
-            sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-            state.append((np.frombuffer(b"".join(table), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes))
-        flat, starts, sizes = state[0]
+            state.append(Decoder(Vocabulary(shared.value)))
         counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        octets = gather(flat, starts[ids], sizes[ids]).tobytes()
-        ends = np.r_[0, np.cumsum(sizes[ids])][np.r_[0, np.cumsum(counts)]].tolist()
-        return [[octets[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]]
+        return [state[0].decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)]
 
     return annotate(encoded, ["ids"], "decoded string", run)

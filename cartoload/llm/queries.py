@@ -62,8 +62,7 @@ def op6_bpe(spark, folder):
     """Every document encoded, and decoded from its ids again."""
     vocabulary = bpe.read_text(BYTE_VOCABULARY)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = bpe.encode(spark, docs, vocabulary).select("doc_id", "ids")
-    back = bpe.decode(spark, encoded, vocabulary)
+    back = bpe.encode(spark, docs, vocabulary, decoded=True).drop("text")
     return back.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

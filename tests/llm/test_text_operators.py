@@ -166,10 +166,11 @@ def test_bpe_exact(spark, docs, odd):
     vocabulary = bpe.read_text(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer = library("byte_bpe_50k.json")
     for frame in (docs, odd):
-        coded = bpe.decode(spark, bpe.encode(spark, frame, vocabulary, lexicon_words=500), vocabulary).select("text", "ids", "decoded").collect()
+        both = bpe.encode(spark, frame, vocabulary, lexicon_words=500, decoded=True).withColumnRenamed("decoded", "same_pass")
+        coded = bpe.decode(spark, both, vocabulary).select("text", "ids", "decoded", "same_pass").collect()
         for row in coded:
             want = tokenizer.encode(row.text or "", add_special_tokens=False).ids
-            assert row.ids == want and row.decoded == tokenizer.decode(want, skip_special_tokens=False)
+            assert row.ids == want and row.decoded == row.same_pass == tokenizer.decode(want, skip_special_tokens=False)
     assert bpe.encode(spark, odd.limit(0), vocabulary).count() == 0
 
 
