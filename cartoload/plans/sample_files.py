@@ -46,6 +46,20 @@ def write_csv(frame: DataFrame, path: str) -> str:
     return path
 
 
+def write_lines(rows: DataFrame, path: str, header: str) -> str:
+    """Files of one column ``value``, each with a header line."""
+    def headed(batches):
+        first = pa.array([header], pa.string())
+        for batch in batches:
+            if first is not None:
+                yield pa.RecordBatch.from_arrays([first], names=["value"])
+                first = None
+            yield batch
+
+    rows.select("value").mapInArrow(headed, "value string").write.mode("overwrite").text(path)
+    return path
+
+
 def write_geojson_lines(properties: F.Column, geometry: F.Column, frame: DataFrame, path: str) -> str:
     """One feature per line."""
     feature = F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(geometry, F.lit("null")),

@@ -38,18 +38,29 @@ def document_csv(spark, folder):
 
 @query("delimited_scan", DOCUMENTS_SQL)
 def delimited_scan(spark, folder):
-    """S2, the way of reading picked by file size."""
+    """S2 over values that hold line ends."""
     options = {"file_path": document_csv(spark, folder), "delimiter": ",", "qualified": True}
     return delimited.scan(spark, options).frame
 
 
 @query("delimited_records_scan", DOCUMENTS_SQL)
 def delimited_records_scan(spark, folder):
-    """S2 as for large files: read in splits although values run over lines."""
-    options = {"file_path": document_csv(spark, folder), "delimiter": ",", "multi_line": "split"}
+    """S2 in small ranges, most of which begin inside a value."""
+    options = {"file_path": document_csv(spark, folder), "delimiter": ",", "range_bytes": 1 << 16}
     return delimited.scan(spark, options).frame
 
 
+@query("delimited_blank_lines", """
+SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus || o_orderkey END AS name FROM orders""")
+def delimited_blank_lines(spark, folder):
+    """S2 with one column: blank lines are rows without a value."""
+    rows = table(spark, folder, "orders").select(
+        F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.concat("o_orderstatus", "o_orderkey")).alias("value"))
+    path = scratch(spark, "delimited") + "/names.csv"
+    files.write_lines(rows, path, "name")
+    return delimited.scan(spark, {"file_path": path, "delimiter": ","}).frame
+
+
 @query("delimited_split_scan", """
 SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
        l_returnflag, strftime(l_shipdate, '%Y-%m-%d') AS shipped
@@ -60,7 +71,7 @@ def delimited_split_scan(spark, folder):
         "l_orderkey", "l_linenumber", "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))
     path = scratch(spark, "delimited") + "/lineitem.txt"
     rows.write.csv(path, header=True, sep="|")
-    options = {"file_path": path, "delimiter": "|", "qualified": False, "multi_line": False}
+    options = {"file_path": path, "delimiter": "|", "qualified": False}
     return delimited.scan(spark, options).frame
 
 

@@ -4,93 +4,45 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartoload.files import first_file, first_line, list_files
 from cartoload.functions.names import table_name
+from cartoload.sources import csvranges
 from cartoload.sources.base import Scan, project, quoted, split_bytes
 
 # Stands for a quoted empty string, which Spark's reader would fold into NULL.
 EMPTY_MARK = "\u0001"
+LARGEST_RANGE = 16 << 20
 
 
-def _has_quoted_line_ends(spark: SparkSession, path: str) -> bool:
-    """Whether any line holds an odd number of quotes, that is, a value running over lines."""
-    lines = spark.read.text(path, pathGlobFilter="[!_.]*")
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not lines.filter(quotes % 2 == 1).limit(1).isEmpty()
-
-
-def _records(spark: SparkSession, path: str) -> DataFrame:
-    """Whole records as text, without the header, from files read in splits although values hold line ends.
+def scan(spark: SparkSession, options: dict) -> Scan:
+    """One way for every file: records are cut in byte ranges (``range_bytes`` each) and parsed one by one.
 
-    A line starts a record when an even number of quotes comes before it in its file. Quotes are
-    counted within each split, and the splits of a file are chained by their totals, one row each.
-    Lines that are a record on their own stay where they are; only the lines of longer records are
-    brought together.
+    A blank line is a row of NULL if there is one column, and a row of the wrong width otherwise.
     """
-    value = F.regexp_replace("value", "\r$", "")
-    lines = spark.read.text(path, lineSep="\n", pathGlobFilter="[!_.]*").select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("ix"), value.alias("value"),
-        ((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2).alias("odd"))
-    # A split is as large as a read task, so the windows over it are, too.
-    split = Window.partitionBy("file", "block").orderBy("ix")
-    before = F.coalesce(F.sum("odd").over(split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
-    counted = lines.withColumn("before", before)
-    splits = counted.groupBy("file", "block").agg(
-        F.sum("odd").alias("odd"), F.count(F.when(F.col("before") == 0, 1)).alias("even_starts"),
-        F.count(F.when(F.col("before") == 1, 1)).alias("odd_starts"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    entered = splits.withColumn("entry", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
-    started = entered.select("file", "block", "entry", F.when(
-        F.col("entry") == 0, F.col("even_starts")).otherwise(F.col("odd_starts")).alias("starts"))
-    full = F.when(F.col("starts") > 0, F.struct("block", F.col("starts").alias("no")))
-    placed = started.select("file", "block", "entry", F.last(full, ignorenulls=True).over(earlier).alias("home"))
-    starts = (F.col("before") + F.col("entry")) % 2 == 0
-    number = F.sum(F.when(starts, 1).otherwise(0)).over(split)
-    known = counted.join(placed, ["file", "block"]).select(
-        "file", "block", "ix", "value", "odd", "home", starts.alias("starts"), number.alias("no"))
-    # Lines before the first start of a split belong to the last record of an earlier one.
-    record = F.when(F.col("no") > 0, F.struct("block", "no")).otherwise(F.col("home"))
-    keyed = known.withColumn("record", record).filter(~((F.col("record.block") == 0) & (F.col("record.no") == 1)))
-    alone = F.col("starts") & (F.col("odd") == 0)
-    longer = keyed.filter(~alone).groupBy("file", "record").agg(
-        F.array_sort(F.collect_list(F.struct("block", "ix", "value"))).alias("lines"))
-    return keyed.filter(alone).select("value").unionByName(longer.select(
-        F.array_join(F.transform("lines", lambda line: line["value"]), "\n").alias("value")))
-
-
-def scan(spark: SparkSession, options: dict) -> Scan:
-    """``multi_line`` may be True (files read whole), False (no value holds a line end) or "split"."""
     path = options["file_path"]
     delimiter = options["delimiter"]
+    files = list_files(path, ".csv", ".txt")
     header = next(csv.reader([first_line(first_file(path, ".csv", ".txt"))], delimiter=delimiter))
-    multi_line = options.get("multi_line")
-    if multi_line is None:
-        sizes = [size for _, size in list_files(path, ".csv", ".txt")]
-        if max(sizes) <= split_bytes(spark, sum(sizes)):
-            multi_line = True  # no file would be split anyway
-        else:
-            multi_line = "split" if _has_quoted_line_ends(spark, path) else False
     raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
     reading = {
         "sep": delimiter, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": EMPTY_MARK,
         "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
         "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(header))),
     }
-    if multi_line == "split":
-        parsed = F.from_csv("value", raw.simpleString()[7:-1].replace(":", " "), reading)
-        frame = _records(spark, path).select(parsed.alias("r")).select("r.*")
+    size = options.get("range_bytes") or min(split_bytes(spark, sum(n for _, n in files)), LARGEST_RANGE)
+    value = F.col("value")
+    parsed = F.from_csv(value, ", ".join(f"{name} string" for name in raw.names), reading)
+    if len(header) == 1:
+        blank = F.struct(F.lit(None).cast("string").alias("c0"))
     else:
-        frame = spark.read.options(**reading).csv(
-            path, schema=raw, header=True, enforceSchema=True, multiLine=multi_line, pathGlobFilter="[!_.]*")
+        blank = F.raise_error(F.lit(f"a line is blank, but the header has {len(header)} columns"))
+    frame = csvranges.records(spark, files, size).select(F.when(value == "", blank).otherwise(parsed).alias("r")).select("r.*")
     parts = []
     for item, name in zip(raw.names, header):
-        value = F.when(quoted(item) == EMPTY_MARK, F.lit("")).otherwise(quoted(item))
-        if multi_line:
-            value = F.replace(value, F.lit("\r\n"), F.lit("\n"))
-        parts.append((name, "Text", value))
+        cell = F.when(quoted(item) == EMPTY_MARK, F.lit("")).otherwise(quoted(item))
+        parts.append((name, "Text", F.replace(cell, F.lit("\r\n"), F.lit("\n"))))
     return Scan(table_name(path), project(frame, parts))

@@ -6,6 +6,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cartoload.plans import sample_files as files
@@ -56,11 +57,12 @@ def test_options_must_be_an_object():
 
 def test_delimited(spark, tmp_path):
     path = put(tmp_path, "ust data.csv", '﻿"Facility ID","Name, full",ZIP\r\n1,"","x\r\ny"\r\n,z,"q""u"\r\n" pad ",é,\r\n')
-    for split in (True, None):
-        found = delimited.scan(spark, {"file_path": path, "delimiter": ",", "qualified": True, "multi_line": split})
+    for size in (7, None):
+        found = delimited.scan(spark, {"file_path": path, "delimiter": ",", "qualified": True, "range_bytes": size})
         assert found.table_name == "ust_data"
         assert found.columns == [("facility_id", "Text"), ("name_full", "Text"), ("zip", "Text")]
-        assert [tuple(r) for r in found.frame.collect()] == [("1", "", "x\ny"), (None, "z", 'q"u'), (" pad ", "é", None)]
+        assert sorted(map(str, found.frame.collect())) == sorted(str(Row("facility_id", "name_full", "zip")(*r)) for r in [
+            ("1", "", "x\ny"), (None, "z", 'q"u'), (" pad ", "é", None)])
 
 
 def test_delimited_rows_of_other_width_fail(spark, tmp_path):
@@ -70,11 +72,17 @@ def test_delimited_rows_of_other_width_fail(spark, tmp_path):
             delimited.scan(spark, {"file_path": path, "delimiter": ",", "qualified": False}).frame.collect()
 
 
-def test_delimited_splits_lines_without_quoted_ends(spark, tmp_path):
-    path = put(tmp_path, "d.csv", "a,b\n" + "".join(f'{i},"v{i}"\n' for i in range(2000)))
-    assert not delimited._has_quoted_line_ends(spark, path)
-    assert delimited._has_quoted_line_ends(spark, put(tmp_path, "q.csv", 'a,b\n1,"x\ny"\n'))
-    assert delimited.scan(spark, {"file_path": path, "delimiter": ",", "multi_line": False}).frame.count() == 2000
+@pytest.mark.parametrize("size", [1, 5, None])
+def test_delimited_blank_lines_and_stray_quotes(spark, tmp_path, size):
+    one = put(tmp_path, "one.csv", "a\nx\n\n  \n5\" and 6\"\n\n")
+    rows = delimited.scan(spark, {"file_path": one, "delimiter": ",", "range_bytes": size}).frame.collect()
+    assert sorted(str(r.a) for r in rows) == ["  ", '5" and 6"', "None", "None", "x"]
+    two = put(tmp_path, "two.csv", "a,b\n1,2\n\n")
+    with pytest.raises(Exception, match="blank"):
+        delimited.scan(spark, {"file_path": two, "delimiter": ",", "range_bytes": size}).frame.collect()
+    open_quote = put(tmp_path, "open.csv", 'a,b\n1,5" pipe\n2,3\n')
+    with pytest.raises(Exception, match="not closed"):
+        delimited.scan(spark, {"file_path": open_quote, "delimiter": ",", "range_bytes": size}).frame.collect()
 
 
 def test_delimited_split_inside_quoted_values(spark, tmp_path):
@@ -86,19 +94,11 @@ def test_delimited_split_inside_quoted_values(spark, tmp_path):
     folder.mkdir()
     put(folder, "one.csv", text)
     put(folder, "two.csv", text.replace("\n", "\r\n"))
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
-        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
-        options = {"file_path": str(folder), "delimiter": ",", "qualified": True}
-        found = delimited.scan(spark, {**options, "multi_line": "split"}).frame
-        whole = delimited.scan(spark, {**options, "multi_line": True}).frame
-        assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+    options = {"file_path": str(folder), "delimiter": ",", "qualified": True}
+    for size in (64, 1000, None):
+        found = delimited.scan(spark, {**options, "range_bytes": size}).frame
         assert sorted((int(r.id), str(r.name), r.rest) for r in found.collect()) == sorted(
             [(i, str(v), f"r{i}") for i, v in enumerate(values)] * 2)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        spark.conf.set("spark.sql.files.openCostInBytes", "4MB")
 
 
 def test_colliding_headers_fail(spark, tmp_path):
