@@ -84,34 +84,88 @@ WAREHOUSE_TYPES = [
                         "and non-matched records are retained."),
 ]
 
-# Region codes and names, in seed order; a country alone comes after its provinces.
-PROVINCES = {
-    "US": """AL Alabama, AK Alaska, AZ Arizona, AR Arkansas, CA California, CO Colorado, CT Connecticut,
-        DE Delaware, DC District of Columbia, FL Florida, GA Georgia, HI Hawaii, ID Idaho, IL Illinois,
-        IN Indiana, IA Iowa, KS Kansas, KY Kentucky, LA Louisiana, ME Maine, MD Maryland,
-        MA Massachusetts, MI Michigan, MN Minnesota, MS Mississippi, MO Missouri, MT Montana, NE Nebraska,
-        NV Nevada, NH New Hampshire, NJ New Jersey, NM New Mexico, NY New York, NC North Carolina,
-        ND North Dakota, OH Ohio, OK Oklahoma, OR Oregon, PA Pennsylvania, RI Rhode Island,
-        SC South Carolina, SD South Dakota, TN Tennessee, TX Texas, UT Utah, VT Vermont, VA Virginia,
-        WA Washington, WV West Virginia, WI Wisconsin, WY Wyoming, AS American Samoa, GU Guam,
-        MP Northern Mariana Islands, PR Puerto Rico, UM U.S. Minor Outlying Islands, VI U.S. Virgin Islands""",
-    "CA": """AB Alberta, BC British Columbia, SK Saskatchewan, MB Manitoba, NB New Brunswick,
-        NL Newfoundland and Labrador, NT Northwest Territories, NS Nova Scotia, NU Nunavut, ON Ontario,
-        PE Prince Edward Island, QC Quebec, YT Yukon""",
-}
-COUNTRIES = {"US": "United States", "CA": "Canada"}
-COUNTRIES_ALONE = ["CA", "US"]
+# Fixed values: (country code, country name, province code, province name), in seed order.
+REGIONS = [
+    ("US", "United States", "AL", "Alabama"),
+    ("US", "United States", "AK", "Alaska"),
+    ("US", "United States", "AZ", "Arizona"),
+    ("US", "United States", "AR", "Arkansas"),
+    ("US", "United States", "CA", "California"),
+    ("US", "United States", "CO", "Colorado"),
+    ("US", "United States", "CT", "Connecticut"),
+    ("US", "United States", "DE", "Delaware"),
+    ("US", "United States", "DC", "District of Columbia"),
+    ("US", "United States", "FL", "Florida"),
+    ("US", "United States", "GA", "Georgia"),
+    ("US", "United States", "HI", "Hawaii"),
+    ("US", "United States", "ID", "Idaho"),
+    ("US", "United States", "IL", "Illinois"),
+    ("US", "United States", "IN", "Indiana"),
+    ("US", "United States", "IA", "Iowa"),
+    ("US", "United States", "KS", "Kansas"),
+    ("US", "United States", "KY", "Kentucky"),
+    ("US", "United States", "LA", "Louisiana"),
+    ("US", "United States", "ME", "Maine"),
+    ("US", "United States", "MD", "Maryland"),
+    ("US", "United States", "MA", "Massachusetts"),
+    ("US", "United States", "MI", "Michigan"),
+    ("US", "United States", "MN", "Minnesota"),
+    ("US", "United States", "MS", "Mississippi"),
+    ("US", "United States", "MO", "Missouri"),
+    ("US", "United States", "MT", "Montana"),
+    ("US", "United States", "NE", "Nebraska"),
+    ("US", "United States", "NV", "Nevada"),
+    ("US", "United States", "NH", "New Hampshire"),
+    ("US", "United States", "NJ", "New Jersey"),
+    ("US", "United States", "NM", "New Mexico"),
+    ("US", "United States", "NY", "New York"),
+    ("US", "United States", "NC", "North Carolina"),
+    ("US", "United States", "ND", "North Dakota"),
+    ("US", "United States", "OH", "Ohio"),
+    ("US", "United States", "OK", "Oklahoma"),
+    ("US", "United States", "OR", "Oregon"),
+    ("US", "United States", "PA", "Pennsylvania"),
+    ("US", "United States", "RI", "Rhode Island"),
+    ("US", "United States", "SC", "South Carolina"),
+    ("US", "United States", "SD", "South Dakota"),
+    ("US", "United States", "TN", "Tennessee"),
+    ("US", "United States", "TX", "Texas"),
+    ("US", "United States", "UT", "Utah"),
+    ("US", "United States", "VT", "Vermont"),
+    ("US", "United States", "VA", "Virginia"),
+    ("US", "United States", "WA", "Washington"),
+    ("US", "United States", "WV", "West Virginia"),
+    ("US", "United States", "WI", "Wisconsin"),
+    ("US", "United States", "WY", "Wyoming"),
+    ("US", "United States", "AS", "American Samoa"),
+    ("US", "United States", "GU", "Guam"),
+    ("US", "United States", "MP", "Northern Mariana Islands"),
+    ("US", "United States", "PR", "Puerto Rico"),
+    ("US", "United States", "UM", "U.S. Minor Outlying Islands"),
+    ("US", "United States", "VI", "U.S. Virgin Islands"),
+    ("CA", "Canada", "AB", "Alberta"),
+    ("CA", "Canada", "BC", "British Columbia"),
+    ("CA", "Canada", "SK", "Saskatchewan"),
+    ("CA", "Canada", "MB", "Manitoba"),
+    ("CA", "Canada", "NB", "New Brunswick"),
+    ("CA", "Canada", "NL", "Newfoundland and Labrador"),
+    ("CA", "Canada", "NT", "Northwest Territories"),
+    ("CA", "Canada", "NS", "Nova Scotia"),
+    ("CA", "Canada", "NU", "Nunavut"),
+    ("CA", "Canada", "ON", "Ontario"),
+    ("CA", "Canada", "PE", "Prince Edward Island"),
+    ("CA", "Canada", "QC", "Quebec"),
+    ("CA", "Canada", "YT", "Yukon"),
+    ("CA", "Canada", None, None),
+    ("US", "United States", None, None),
+]
 
 
 def seed_rows() -> dict[str, list[tuple]]:
     """The rows a new catalogue starts with."""
-    places = [
-        (country, COUNTRIES[country], *entry.strip().split(" ", 1), None)
-        for country, listed in PROVINCES.items() for entry in listed.split(",")
-    ] + [(country, COUNTRIES[country], None, None, None) for country in COUNTRIES_ALONE]
     return {
         "roles": [(i, *row) for i, row in enumerate(ROLES, 1)],
-        "regions": [(i, *row) for i, row in enumerate(places, 1)],
+        "regions": [(i, *row, None) for i, row in enumerate(REGIONS, 1)],
         "warehouse_types": [(i, *row) for i, row in enumerate(WAREHOUSE_TYPES, 1)],
     }
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute
 import pyarrow.ipc
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -21,7 +22,13 @@ SPLIT_BYTES = 128 << 20
 
 
 def stored_type(kind: pa.DataType) -> pa.DataType:
-    """The Arrow type a column is handed to Spark in."""
+    """The Arrow type a column is handed to Spark in; nested types stay nested."""
+    if pa.types.is_map(kind):
+        return pa.map_(stored_type(kind.key_type), stored_type(kind.item_type))
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind) or pa.types.is_fixed_size_list(kind):
+        return pa.list_(stored_type(kind.value_type))
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, stored_type(f.type)) for f in kind])
     if kind == pa.uint8():
         return pa.int16()
     if kind == pa.uint16():
@@ -57,8 +64,6 @@ def _stored(column: pa.Array) -> pa.Array:
         return _time_text(column)
     if pa.types.is_timestamp(kind) or pa.types.is_duration(kind):
         return column.cast(target, safe=False)
-    if pa.types.is_nested(kind):
-        return pa.array([None if v is None else str(v) for v in column.to_pylist()], pa.string())
     return column.cast(target)
 
 
@@ -139,5 +144,7 @@ def scan(spark: SparkSession, options: dict) -> Scan:
     for item in file_schema(path):
         column_type = from_arrow(item.type)
         value = quoted(item.name)
+        if pa.types.is_nested(item.type):
+            value = F.to_json(value, {"ignoreNullFields": "false"})
         parts.append((item.name, column_type, empty_to_null(value) if column_type == "Text" else value))
     return Scan(table_name(path), project(frame, parts))

@@ -58,6 +58,8 @@ def attribute(cells: np.ndarray, kind: str) -> pa.Array:
     """One DBF column in its stored form: text for most, numbers for the binary kinds."""
     width = cells.dtype.itemsize
     packed = np.ascontiguousarray(cells)
+    if kind == "M":
+        raise ValueError("memo columns are kept in a file of their own, which is not read")
     if kind == "I":
         return pa.array(packed.view("<i4"), pa.int32())
     if kind == "Y":

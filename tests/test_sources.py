@@ -3,6 +3,7 @@ import json
 import struct
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -353,6 +354,21 @@ def test_shapefile_splits_and_kinds(spark, tmp_path):
     assert found[7] == "MULTIPOLYGON(((0 0,0 2,2 2,2 0,0 0),(0.5 0.5,1 0.5,1 1,0.5 0.5)),((9 9,9 10,10 10,9 9)))"
 
 
+def test_memo_columns_fail(spark, tmp_path):
+    with pytest.raises(ValueError, match="memo"):
+        shapefile.attribute(np.zeros((1, 10), dtype="u1").view("V10")[:, 0], "M")
+
+
+def test_nested_arrow_columns_are_json(spark, tmp_path):
+    data = pa.table({"s": pa.array([{"a": 1, "b": "x"}, {"a": None, "b": None}, None]), "l": pa.array([[1, 2], [], None], pa.large_list(pa.uint8()))})
+    path = str(tmp_path / "n.ipc")
+    with pa.ipc.new_file(path, data.schema) as writer:
+        writer.write_table(data)
+    found = ipc.scan(spark, {"file_path": path})
+    assert found.columns == [("s", "Text"), ("l", "Text")]
+    assert [tuple(r) for r in found.frame.collect()] == [('{"a":1,"b":"x"}', "[1,2]"), ('{"a":null,"b":null}', "[]"), (None, None)]
+
+
 def test_empty_shapefile_fails(spark, tmp_path):
     with pytest.raises(ValueError, match="first feature"):
         shapefile.scan(spark, {"file_path": write_shapes(tmp_path, [], [("ID", "N", 8, 0)], [])})
