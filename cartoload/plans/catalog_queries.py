@@ -559,3 +559,76 @@ SELECT (SELECT count(*) FROM production) AS production_count, (SELECT count(*) F
 def warehouse_counters(spark, folder):
     """The counters of a load instance."""
     return warehouse.counters(*warehouse_sides(spark, folder), ["o_orderkey"])
+
+
+# --- rules, seeds and views over whole tables ----------------------------------------------------
+
+REGION_RULES = {
+    "country_name_not_null": "country_name IS NOT NULL", "country_code_not_blank": "trim(country_code) <> ''",
+    "regions_prov_check": "(prov_code IS NULL) = (prov_name IS NULL)",
+    "regions_county_prov_check": "county IS NULL OR prov_code IS NOT NULL",
+}
+
+
+@query("region_rules", """
+WITH r AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE c_mktsegment END AS country_code,
+  CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS country_name, CASE WHEN c_custkey % 2 = 0 THEN 'p' || c_nationkey END AS prov_code,
+  CASE WHEN c_custkey % 3 = 0 THEN 'n' END AS prov_name, CASE WHEN c_custkey % 5 = 0 THEN 'c' END AS county FROM customer)
+""" + " UNION ALL ".join(
+    f"SELECT 'regions' AS table_name, CAST(key AS VARCHAR) AS key, '{rule}' AS rule FROM r WHERE NOT ({test})"
+    for rule, test in REGION_RULES.items()))
+def region_rules(spark, folder):
+    """P10 with the declared rules of the regions, P1 and P5."""
+    c = F.col
+    rows = table(spark, folder, "customer").select(
+        c("c_custkey").alias("region_id"), F.when(c("c_custkey") % 7 == 0, " ").otherwise(c("c_mktsegment")).alias("country_code"),
+        F.when(c("c_custkey") % 11 != 0, c("c_name")).alias("country_name"),
+        F.when(c("c_custkey") % 2 == 0, F.concat(F.lit("p"), c("c_nationkey"))).alias("prov_code"),
+        F.when(c("c_custkey") % 3 == 0, "n").alias("prov_name"), F.when(c("c_custkey") % 5 == 0, "c").alias("county"))
+    return checks.violations(rows, "regions", F.col("region_id"), checks.catalogue_rules()["regions"])
+
+
+@query("plotting_rules", """
+WITH r AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS key, CASE WHEN l_linestatus = 'O' THEN l_orderkey END AS sd_id,
+  l_linenumber - 2 AS plotting_order, CASE WHEN l_returnflag <> 'R' THEN l_suppkey END AS method_type FROM lineitem)
+SELECT 'plotting_methods' AS table_name, key, 'sd_id_not_null' AS rule FROM r WHERE sd_id IS NULL
+UNION ALL SELECT 'plotting_methods', key, 'method_type_not_null' FROM r WHERE method_type IS NULL
+UNION ALL SELECT 'plotting_methods', key, 'plotting_order_positive' FROM r WHERE plotting_order <= 0""")
+def plotting_rules(spark, folder):
+    """P10 with the declared rules of the plotting methods, P6."""
+    rows = table(spark, folder, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("key"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_orderkey")).alias("sd_id"),
+        (F.col("l_linenumber") - 2).alias("plotting_order"), F.when(F.col("l_returnflag") != "R", F.col("l_suppkey")).alias("method_type"))
+    return checks.violations(rows, "plotting_methods", F.col("key"), checks.catalogue_rules()["plotting_methods"])
+
+
+@query("seeded_grants", """
+SELECT r.name, count(*) AS grants FROM orders JOIN (VALUES (1, 'admin'), (2, 'collection'), (3, 'load'), (4, 'check'), (5, 'create_ls'), (6, 'create_ds')) r(role_id, name)
+ON CAST(substring(o_orderpriority, 1, 1) AS INTEGER) = r.role_id GROUP BY r.name""")
+def seeded_grants(spark, folder):
+    """Grants under the seeded roles."""
+    _, grants, _ = people(spark, folder)
+    return grants.join(catalog.seed(spark, "roles"), "role_id").groupBy("name").agg(F.count("*").alias("grants"))
+
+
+@query("seeded_regions", """
+SELECT c_custkey, CASE c_custkey % 72 WHEN 1 THEN 'Alaska' WHEN 4 THEN 'California' WHEN 57 THEN 'Alberta' WHEN 69 THEN 'Yukon' END AS prov_name,
+  CASE c_custkey % 72 WHEN 57 THEN 'Canada' WHEN 69 THEN 'Canada' ELSE 'United States' END AS country_name
+FROM customer WHERE c_custkey % 72 IN (1, 4, 57, 69)""")
+def seeded_regions(spark, folder):
+    """Customers placed in seeded regions by number."""
+    regions = catalog.seed(spark, "regions").select((F.col("region_id") - 1).alias("place"), "prov_name", "country_name")
+    customer = table(spark, folder, "customer").select("c_custkey", (F.col("c_custkey") % 72).alias("place"))
+    return customer.join(regions, "place").filter("prov_name in ('Alaska', 'California', 'Alberta', 'Yukon')").select("c_custkey", "prov_name", "country_name")
+
+
+@query("catalog_views", ROLES_SQL + """
+SELECT count(*) AS users, CAST(sum(n) AS BIGINT) AS roles, CAST(0 AS BIGINT) AS sources FROM (SELECT uid, count(DISTINCT role_id) AS n FROM grants JOIN roles USING (role_id)
+  JOIN customer ON uid = c_custkey GROUP BY uid)""")
+def catalog_views(spark, folder):
+    """The catalogue tables as views, asked in SQL."""
+    users, grants, roles = people(spark, folder)
+    tables = {name: spark.createDataFrame([], catalog.TABLES[name]) for name in catalog.TABLES}
+    catalog.register_views(tables | {"users": users, "user_roles": grants, "roles": roles})
+    return spark.sql("select count(*) as users, sum(size(roles)) as roles, (select count(*) from v_data_sources) as sources from v_users")
