@@ -236,4 +236,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS,
     named = reach.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = joined.join(named, "component").select(F.col("node").alias("fp"), "component_id")
     ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    ids = truncate_lineage(spark, ids, "ids")  # so that the join below may split a fingerprint that very many share
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
