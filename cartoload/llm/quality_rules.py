@@ -135,12 +135,15 @@ def judge(spark: SparkSession, docs: DataFrame, keep_text: bool = True) -> DataF
     language and source (nulls are a group of their own). The limits come from the documents that
     pass the base. Null and empty texts have no words and fail the base; repeated rows are judged
     alike and all stay in the result; an empty table gives an empty result; input columns named like
-    an added one are replaced. The counted rows are written once below ``spark.checkpoint.dir``.
+    an added one are replaced. The counts are written below ``spark.checkpoint.dir`` without the texts;
+    with ``keep_text`` the texts are counted a second time rather than written or moved.
     """
     counted = counts(docs).withColumn("base_failed", F.expr(BASE_FAILED))
-    counted = truncate_lineage(spark, counted if keep_text else counted.drop("text"), "counts")
+    slim = truncate_lineage(spark, counts(docs.select("lang", "source", "text") if keep_text else docs).withColumn("base_failed", F.expr(BASE_FAILED)).drop("text"), "counts")
+    # Written, so that the planner knows the size of the table of limits before texts would move for it.
+    fences = truncate_lineage(spark, limits(sketches(shares(slim).where("not base_failed"))), "limits").withColumnsRenamed({"lang": "__fence_lang", "source": "__fence_source"})
+    counted = counted if keep_text else slim
     shared = shares(counted)
-    fences = limits(sketches(shared.where("not base_failed"))).withColumnsRenamed({"lang": "__fence_lang", "source": "__fence_source"})
     within = F.lit(True)
     for name, _, side, *_ in SHARES:
         inside = F.col(f"__share_{name}") <= F.col(f"__limit_{name}") if side == "high" else F.col(f"__share_{name}") >= F.col(f"__limit_{name}")
