@@ -34,8 +34,8 @@ PATTERNS = {
     "name": _L + "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without these has no entity.
-HINT = r"[0-9]{3}|@|[0-9]\.[0-9]|" + _L + "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}"
+#: A text without these has no entity: addresses hold "@", names begin with a title, all other kinds ask for a digit.
+HINT = r"[0-9]|@|" + _L + "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}"
 
 # The alphabets that letters stay in, and the parts of made-up names.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
