@@ -37,6 +37,9 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these has no entity: addresses hold "@", names begin with a title, all other kinds ask for a digit.
 HINT = r"[0-9]|@|" + _L + "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}"
 
+#: Country codes by ITU-T E.164: one digit, two digits, and three for all others.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
 # The alphabets that letters stay in, and the parts of made-up names.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 MOST_ATTEMPTS = 100
@@ -65,8 +68,10 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """The form that spellings of one entity share."""
-    return F.when(kind.isin("email", "ip", "secret", "name"), F.lower(entity)).otherwise(F.regexp_replace(F.lower(entity), r"[^\p{L}\p{N}]", ""))
+    """The form that spellings of one entity share; a phone number keeps its plus, which says that a country code follows."""
+    bare = F.regexp_replace(F.lower(entity), r"[^\p{L}\p{N}]", "")
+    return (F.when(kind.isin("email", "ip", "secret", "name"), F.lower(entity))
+            .when((kind == "phone") & entity.startswith("+"), F.concat(F.lit("+"), bare)).otherwise(bare))
 
 
 def stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -106,6 +111,8 @@ def made(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 
 def of_kind(kind: Column, canon: Column, attempt: Column, digits: Column, plain: Column, key: str) -> Column:
     """The surrogate from keyed digits, and from the canonical form with all its letters turned."""
+    called = code(canon)
+    phone = F.concat(F.substring(canon, F.lit(1), called), F.substring(plain, called + 1, F.length(canon)))
     # Phone numbers keep the country's digits, card numbers the first one and the check digit's validity.
     card = F.concat(F.substring(canon, 1, 1), F.substring(plain, F.lit(2), F.length(canon) - 2))
     # The digit that makes the sum zero stands in place 0, where it counts once.
@@ -129,7 +136,7 @@ def of_kind(kind: Column, canon: Column, attempt: Column, digits: Column, plain:
         body = F.array_join(F.transform(F.sequence(F.lit(1), 2 + F.floor(attempt / 3).cast("int")), lambda k: pick(values, k)), "")
         return F.concat(body, pick(endings if endings else values, F.lit(0)))
 
-    out = (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
+    out = (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone)
            .when((kind == "surname") & cyrillic, F.concat(name(CYRILLIC, None), F.lit("н"))).when(kind == "surname", F.concat(name(SYLLABLES, None), F.lit("n"))))
     for gender in ENDINGS:
         out = out.when((kind == f"given-{gender}") & cyrillic, name(CYRILLIC, CYRILLIC_ENDINGS[gender])).when(kind == f"given-{gender}", name(SYLLABLES, ENDINGS[gender]))
@@ -183,20 +190,20 @@ def surrogate(key: str, entity: Column, attempt_of) -> Column:
     def name() -> Column:
         return F.concat(title_of(entity), F.array_join(F.zip_with(name_parts(entity), name_words(entity), word), " "))
 
-    def other(kind: Column, canon: Column, plain: Column) -> Column:
-        called = F.concat(F.substring(canon, F.lit(1), code(entity)), F.substring(plain, code(entity) + 1, F.length(canon)))
-        return F.when(kind == "ip", plain).otherwise(let(F.when(kind == "phone", called).otherwise(plain), lambda whole: dressed(entity, kind, whole)))
+    def other(kind: Column, plain: Column) -> Column:
+        # The plus of a phone number is layout to dressed().
+        return F.when(kind == "ip", plain).otherwise(let(F.when(kind == "phone", F.ltrim(plain, F.lit("+"))).otherwise(plain), lambda whole: dressed(entity, kind, whole)))
 
     def of(kind: Column) -> Column:
-        plain = let(canonical(kind, entity), lambda canon: let(made(key, kind, canon, attempt_of(kind, canon)), lambda new: other(kind, canon, new)))
+        plain = let(canonical(kind, entity), lambda canon: let(made(key, kind, canon, attempt_of(kind, canon)), lambda new: other(kind, new)))
         return F.when(kind == "name", name()).otherwise(plain)
 
     return let(kind_of(entity), of)
 
 
-def code(entity: Column) -> Column:
-    """How many digits of a phone number are its country code: those between ``+`` and the first separator."""
-    return F.length(F.regexp_extract(entity, r"^\+([0-9]{1,3})[ .(-]", 1))
+def code(canon: Column) -> Column:
+    """How long a phone number's plus and country code are, 0 without a plus; four digits at least come after them."""
+    return F.least(F.length(F.regexp_extract(canon, COUNTRY, 0)), F.length(canon) - 4)
 
 
 def exceptions(spark: SparkSession, entities: DataFrame, key: str) -> DataFrame:

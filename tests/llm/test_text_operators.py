@@ -267,6 +267,22 @@ def test_an_entity_alone_is_found(spark):
     assert all(r.n_entities == 1 and r.text != texts[r.doc_id] for r in out)
 
 
+def test_phones_are_checked_as_written(spark):
+    texts = [f"+1 {n // 100:02d} {n % 100:02d}" for n in range(300)]  # so few digits that surrogates collide
+    out = [r.text for r in pii.replace(spark, spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()]
+    assert len(set(out)) == 300 and not set(out) & set(texts) and all(re.fullmatch(r"\+1 \d\d \d\d", t) for t in out)
+
+
+def test_country_code_whatever_the_layout(spark):
+    texts = ["+15551234567", "+1 555 123 4567", "+1(555)123-4567", "+4930123456", "+49 30 12 34 56", "+358401234567", "+35812", "(555) 123-4567"]
+    out = [re.sub(r"[^+\d]", "", r.text) for r in pii.replace(spark, spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()]
+    assert len(set(out[:3])) == 1 and out[3] == out[4] and [t[:2] for t in out[:3]] == ["+1"] * 3
+    assert out[3].startswith("+49") and out[5].startswith("+358") and out[6].startswith("+3") and len(out[7]) == 10
+    canons = [re.sub(r"[^+\d]", "", t) for t in texts]
+    made = spark.createDataFrame([(c,) for c in canons], "canon string").select(pii.made("k", F.lit("phone"), F.col("canon"), F.lit(0)).alias("made"))
+    assert [r.made for r in made.collect()] == out  # no collision among these: what is checked is what is written
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
