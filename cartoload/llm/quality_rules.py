@@ -128,12 +128,32 @@ def limits(sketch: DataFrame, width: float = 6.0, accuracy: float = ACCURACY) ->
     return q.groupBy("lang", "source").agg(*made)
 
 
-def judge(spark: SparkSession, docs: DataFrame, keep_text: bool = True) -> DataFrame:
+#: The least quartile distance of a share, for groups whose documents are nearly alike: one repeated line of three is no junk.
+LEAST_SPREAD = {"symbols": 0.01, "dup_lines": 0.06, "repeats": 0.05, "long_words": 0.25, "short_words": 0.25}
+
+
+def group_limits(sketch: DataFrame, width: float = 6.0, accuracy: float = ACCURACY) -> DataFrame:
+    """As ``limits``, but a group's own quantiles set its limit: no constant holds it away from the clean end.
+
+    The quartile distance is ``LEAST_SPREAD`` at least, and what the sketch may be wrong by. A limit
+    never lies beyond ``furthest``.
+    """
+    q = quantiles(sketch, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, accuracy)
+    made = []
+    for name, _, side, _, furthest in SHARES:
+        own = F.col("q50") - F.col("q25") if side == "high" else F.col("q75") - F.col("q50")
+        spread = F.greatest(own, F.lit(LEAST_SPREAD[name]), F.lit(2 * accuracy) * F.col("q50"))
+        fence = F.least(F.lit(furthest), F.col("q50") + F.lit(width) * spread) if side == "high" else F.greatest(F.lit(furthest), F.col("q50") - F.lit(width) * spread)
+        made.append(F.max(F.when(F.col("share") == name, fence)).alias(f"__limit_{name}"))
+    return q.groupBy("lang", "source").agg(*made)
+
+
+def judge(spark: SparkSession, docs: DataFrame, keep_text: bool = True, fences_of=limits) -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept``; without ``text`` if it isn't to be kept.
 
     ``kept`` is false if ``base_failed``, or if a share lies beyond the limit of the document's
     language and source (nulls are a group of their own). The limits come from the documents that
-    pass the base. Null and empty texts have no words and fail the base; repeated rows are judged
+    pass the base, by ``fences_of`` (``limits`` or ``group_limits``). Null and empty texts have no words and fail the base; repeated rows are judged
     alike and all stay in the result; an empty table gives an empty result; input columns named like
     an added one are replaced. The counts are written below ``spark.checkpoint.dir`` without the texts;
     with ``keep_text`` the texts are counted a second time rather than written or moved.
@@ -141,7 +161,7 @@ def judge(spark: SparkSession, docs: DataFrame, keep_text: bool = True) -> DataF
     counted = counts(docs).withColumn("base_failed", F.expr(BASE_FAILED))
     slim = truncate_lineage(spark, counts(docs.select("lang", "source", "text") if keep_text else docs).withColumn("base_failed", F.expr(BASE_FAILED)).drop("text"), "counts")
     # Written, so that the planner knows the size of the table of limits before texts would move for it.
-    fences = truncate_lineage(spark, limits(sketches(shares(slim).where("not base_failed"))), "limits").withColumnsRenamed({"lang": "__fence_lang", "source": "__fence_source"})
+    fences = truncate_lineage(spark, fences_of(sketches(shares(slim).where("not base_failed"))), "limits").withColumnsRenamed({"lang": "__fence_lang", "source": "__fence_source"})
     counted = counted if keep_text else slim
     shared = shares(counted)
     within = F.lit(True)

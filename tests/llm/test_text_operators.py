@@ -130,6 +130,24 @@ def test_quality_rules_edges(spark, odd):
     assert quality_rules.judge(spark, odd.limit(0)).count() == 0
 
 
+def test_groups_set_their_own_limits(spark):
+    def text(marked):
+        return " ".join(f"word{i}" + "#" * (i < marked) for i in range(100))
+
+    repeated = "\n".join(" ".join(f"word{c}{i}" for c in "abcdef") + "\nsame" for i in range(10))
+    rows = [(n, text(0), "plain") for n in range(20)] + [(100 + n, text(20 + n), "marked") for n in range(20)]
+    rows += [(50, text(19), "plain"), (150, text(19), "marked"), (51, repeated, "plain")]
+    docs = spark.createDataFrame([(n, t, "en", source, len(t)) for n, t, source in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.rules(spark, docs, "").collect()}
+    assert quality_rules.text_counts(repeated)[3:] == (20, 9, 0)
+    assert kept == set(range(20)) | set(range(100, 120)) | {150}
+    shared = quality_rules.shares(quality_rules.counts(docs))
+    limit = {r.source: r["__limit_symbols"] for r in quality_rules.group_limits(quality_rules.sketches(shared)).collect()}
+    assert limit["plain"] < 0.19 < limit["marked"]
+
+
 def test_quantiles_are_near(spark):
     values = [(("en"), "s", float(v)) for v in np.random.default_rng(0).lognormal(size=5000)]
     frame = spark.createDataFrame(values, "lang string, source string, __share_symbols double")
