@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators: thin wrappers that derive the agreed columns."""
+"""The registered queries of the operators: thin wrappers that derive the agreed columns."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cartoload.llm import bpe, chat, packing, pii, quality_model, quality_rules, simhash, urlrules, vectors, warc
+from cartoload.llm import bpe, chat, lexical, mixing, packing, pii, quality_model, quality_rules, simhash, urlrules, vectorcodes, vectors, warc
 from cartoload.llm.common import scratch
 from cartoload.plans.registry import query, table
 
@@ -168,3 +168,68 @@ def op8_tool_links(spark, folder):
         F.when(measured, F.array().cast("array<string>")).otherwise(F.array(name(F.col("turn") - 2))).alias("depends_on"))
     results = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return chat.lines(spark, turns, calls, results, spark.createDataFrame(TOOLS, "tool string, schema string"))
+
+
+@query("op11_mixing", r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+s as (select source, sum(size)::bigint as size, row_number() over (order by source nulls last) as place from d group by source),
+w as (select *, [2.0::double, 3.0::double, 1.0::double][(place % 3 + 1)::int] as weight from s),
+r as (select *, 1.5::double * sum(size) over () as want, sum(weight) over () as weights, coalesce(sum(2.0::double * size) over before, 0.0) as limits, coalesce(sum(weight) over before, 0.0) as closed
+      from w window before as (order by 2.0::double * size / weight, place rows between unbounded preceding and 1 preceding)),
+l as (select arg_min((want - limits) / (weights - closed), closed) as level from r where 2.0::double * size > weight * ((want - limits) / (weights - closed))),
+t as (select source, size, place, least(2.0::double * size, weight * coalesce(level, 0.0)) as target from w cross join l),
+n as (select floor(sum(target) / 16 + 0.5)::bigint as seats from t),
+q as (select source, row_number() over (order by target / (2 * k + 1) desc, place) as turn from t cross join n, range((ceil(target * seats / (select sum(target) from t)) + (select count(*) from t) + 2)::bigint) x(k) where target > 0),
+g as (select t.*, least(16 * coalesce((select count(*) from q cross join n where turn <= seats and q.source is not distinct from t.source), 0), 2 * size) as given from t),
+p as (select doc_id, source, size, coalesce(sum(size) over (partition by source order by md5('mix:' || coalesce(doc_id::varchar, '')), doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as start from d)
+select p.doc_id, p.size, g.size as source_size, g.target, case when g.size > 0 then (given // g.size) * p.size + greatest(0, least(p.size, given % g.size - start)) else 0 end::bigint as taken
+from p join g on p.source is not distinct from g.source
+""")
+def op11_mixing(spark, folder):
+    """Words that a mix of the sources takes of every document."""
+    mixed, _ = mixing.mix(spark, table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_lexical", r"""
+with t as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+i as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+a as (select item_id, term, count(*) as times from i group by all),
+s as (select count(*) as docs, sum(len(terms))::bigint as total from t where len(terms) > 0),
+o as (select doc_id, len(terms) as n, unnest(terms) as term from t),
+p as (select doc_id, term, any_value(n) as n, count(*) as tf from o semi join a using (term) group by doc_id, term),
+w as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from p cross join s group by term),
+c as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total))))::bigint as score
+      from a join p using (term) join w using (term) cross join s group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from c where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 20
+""")
+def op12_lexical(spark, folder):
+    """The twenty best documents of every benchmark item."""
+    return lexical.search(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def round_sql(k: int) -> str:
+    """The nearest entries of round ``k`` and, but for the last round, the entries of the next one."""
+    near = f"""
+n{k} as (select i, part, x, arg_min(k, far * 1000 + k) as k, min(far) as far from (
+  select p.i, p.part, p.x, c.k, list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c.c[j]) * (x[j] - c.c[j])))::bigint as far from p join c{k} c using (part)) group by all)"""
+    return near.replace("group by all", "group by i, part, x") + ("" if k == 2 else f""",
+s{k} as (select part, k, j, sum(x[j])::bigint as s, count(*) as n from n{k}, range(1, len(x) + 1) r(j) group by part, k, j),
+c{k + 1} as (select c.part, c.k, coalesce(m.c, c.c) as c from c{k} c left join
+  (select part, k, list((s - ((s % n) + n) % n) // n order by j) as c from s{k} group by part, k) m on c.part = m.part and c.k = m.k),""")
+
+
+@query("op13_vector_codes", f"""
+with v as (select row_number() over (order by vec_id) as i, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as z from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select i, part, z[part * len(z) // 16 + 1:(part + 1) * len(z) // 16] as x from v, range(16) r(part)),
+c0 as (select part, i - 1 as k, x as c from p where i <= 64),{round_sql(0)}{round_sql(1)}{round_sql(2)},
+h as (select sha256(string_agg(c[j], ',' order by part, k, j)) as codebooks_sha256 from c2, range(1, len(c) + 1) r(j)),
+e as (select i, string_agg(printf('%02x', k), '' order by part) as code, sum(far)::bigint as error from n2 group by i)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from e join v using (i) cross join h
+""")
+def op13_vector_codes(spark, folder):
+    """Code and error of every embedding."""
+    coded, books = vectorcodes.compress(spark, table(spark, folder, "embeddings"))
+    return vectorcodes.with_label_errors(spark, coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
