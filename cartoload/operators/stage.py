@@ -12,7 +12,7 @@ from cartoload.functions.values import csv_line, text_of
 from cartoload.sources.base import Scan, quoted
 
 
-def _move_over(spark: SparkSession, source: str, target: str) -> None:
+def swap_in(spark: SparkSession, source: str, target: str) -> None:
     """Put a finished folder in the place of the old one; if that fails, the old one is back in place.
 
     The old folder is renamed aside, not deleted, until the new one has its name. A target that is
@@ -24,6 +24,7 @@ def _move_over(spark: SparkSession, source: str, target: str) -> None:
     had_old = system.exists(old)
     if had_old and not system.rename(old, aside):
         raise OSError(f"could not move {target} aside")
+    system.mkdirs(old.getParent())
     # A rename onto a folder would go inside it.
     if system.exists(old) or not _renamed(system, new, old):
         if had_old and not system.exists(old):
@@ -37,7 +38,7 @@ def _renamed(system, new, old) -> bool:
     return system.rename(new, old)
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -51,9 +52,9 @@ def stage(spark: SparkSession, scan: Scan, root: str) -> int:
     seen = Observation("loaded")
     try:
         scan.frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(attempt)
-        _move_over(spark, attempt, f"{root}/{scan.table_name}")
+        swap_in(spark, attempt, f"{root}/{scan.table_name}")
     finally:
-        _remove(spark, attempt)  # there is nothing left of an attempt that went well
+        remove(spark, attempt)  # there is nothing left of an attempt that went well
     return seen.get["rows"]
 
 

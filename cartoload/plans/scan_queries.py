@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cartoload.functions.geometry import wkb_wkt
 from cartoload.operators.stage import stage, text_lines
 from cartoload.plans import sample_files as files
-from cartoload.plans.load_job import run_load
+from cartoload.plans.load_job import read_rejects, run_load, run_load_by_format
 from cartoload.plans.registry import query, table
 from cartoload.session import scratch
 from cartoload.sources import (
@@ -494,6 +494,78 @@ def load_job_report(spark, folder):
                          F.col("error").isNotNull().alias("failed"))
 
 
+# --- loads with a reject channel --------------------------------------------------------------------
+
+LINE_COLUMNS = [("l_orderkey", "BigInt"), ("l_linenumber", "SmallInt"), ("l_quantity", "Integer"), ("l_shipdate", "Date"), ("l_comment", "Text"), ("l_price", "Money")]
+
+
+def faulty_lines(spark, folder):
+    """Line items as text in two tables, some with cells that don't fit; where those are, the keys are part of the text."""
+    lines = table(spark, folder, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+    texts = lines.select(
+        "l_returnflag", F.col("l_orderkey").cast("string").alias("l_orderkey"), F.col("l_linenumber").cast("string").alias("l_linenumber"),
+        F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("q"), key)).when(F.col("l_partkey") % 7 == 1, F.concat(F.lit("9"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")))
+        .otherwise(F.col("l_quantity").cast("int").cast("string")).alias("l_quantity"),
+        F.when(F.col("l_suppkey") % 5 == 0, F.concat(F.lit("day "), key)).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("l_shipdate"),
+        F.when(F.col("l_linestatus") == "O", F.lit("two\nlines")).otherwise(F.lit("")).alias("l_comment"),
+        F.concat(F.lit("$"), F.col("l_extendedprice").cast("decimal(15,2)").cast("string")).alias("l_price"))
+    base = scratch(spark, "lines")
+    for flag, name in (("R", "returned"), ("N", "kept")):
+        files.write_csv(texts.where(F.col("l_returnflag") == flag).drop("l_returnflag"), f"{base}/{name}.csv")
+    columns = [{"name": n, "column_type": c} for n, c in LINE_COLUMNS]
+    return spark.createDataFrame(
+        [(k, f'{{"file_path":"{base}/{name}.csv","delimiter":","}}', columns) for k, name in ((1, "returned"), (2, "kept"))],
+        "sd_id bigint, options string, columns array<struct<name:string,column_type:string>>")
+
+
+FAULTS_SQL = """
+WITH l AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS key FROM lineitem WHERE l_returnflag IN ('R', 'N')),
+q AS (SELECT CASE l_returnflag WHEN 'R' THEN 'returned' ELSE 'kept' END AS target, *,
+  CASE l_partkey % 7 WHEN 0 THEN 'q' || key WHEN 1 THEN '9' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') END AS bad_quantity,
+  CASE WHEN l_suppkey % 5 = 0 THEN 'day ' || key END AS bad_day FROM l)"""
+
+
+@query("reject_channel", FAULTS_SQL + """
+SELECT target, CASE target WHEN 'returned' THEN 1 ELSE 2 END AS source, 'l_quantity' AS "column", bad_quantity AS text,
+  CASE WHEN bad_quantity LIKE 'q%' THEN 'invalid Integer' ELSE 'out of range for Integer' END AS reason, true AS found FROM q WHERE bad_quantity IS NOT NULL
+UNION ALL SELECT target, CASE target WHEN 'returned' THEN 1 ELSE 2 END, 'l_shipdate', bad_day, 'invalid Date', true FROM q WHERE bad_day IS NOT NULL""")
+def reject_channel(spark, folder):
+    """Every cell that doesn't fit, with its reason; ``found`` tells that the file has the text behind the offset."""
+    rejects_root = scratch(spark, "rejects") + "/found"
+    run_load_by_format(spark, faulty_lines(spark, folder), scratch(spark, "staging"), "keep", rejects_root)
+    found = read_rejects(spark, rejects_root)
+    lines = spark.read.format("binaryFile").load([r[0] for r in found.select("file").distinct().collect()]).select(
+        F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    near = F.expr("cast(substring(content, offset + 1, 200) as string)")
+    joined = found.join(lines, F.regexp_replace("file", "^file:/+", "/") == F.col("path"))
+    return joined.select("target", F.col("source").cast("int").alias("source"), "column", "text", "reason", near.contains(F.col("text")).alias("found"))
+
+
+@query("reject_staged", FAULTS_SQL + """
+SELECT l_orderkey, CAST(l_linenumber AS SMALLINT) AS l_linenumber, CAST(l_quantity AS INTEGER) AS l_quantity, CAST(l_shipdate AS DATE) AS l_shipdate,
+  CASE WHEN l_linestatus = 'O' THEN 'two' || chr(10) || 'lines' ELSE '' END AS l_comment, CAST(CAST(l_extendedprice AS DECIMAL(15, 2)) AS DOUBLE) AS l_price
+FROM q WHERE bad_quantity IS NULL AND bad_day IS NULL""")
+def reject_staged(spark, folder):
+    """The rows of both tables whose cells all fit, as staged by the scan that also wrote the rejects."""
+    root = scratch(spark, "staging")
+    run_load_by_format(spark, faulty_lines(spark, folder), root, "keep")
+    rows = spark.read.parquet(f"{root}/returned").unionByName(spark.read.parquet(f"{root}/kept"))
+    return rows.withColumn("l_price", F.col("l_price").cast("double"))
+
+
+@query("load_by_format", FAULTS_SQL + """, c AS (SELECT target, count(*) FILTER (bad_quantity IS NOT NULL OR bad_day IS NOT NULL) AS bad FROM q GROUP BY target)
+SELECT CASE target WHEN 'returned' THEN 1 ELSE 2 END AS sd_id, target AS table_name, CAST(NULL AS BIGINT) AS rows, bad AS rejected, bad || ' rows do not fit their columns' AS error FROM c
+UNION ALL SELECT 3, 'customer', count(*), 0, NULL FROM customer
+UNION ALL SELECT 4, 'orders', count(*), 0, NULL FROM orders""")
+def load_by_format(spark, folder):
+    """Text sources of one shape in one job, refused as they have rejects, and Parquet sources beside them."""
+    others = spark.createDataFrame([(k, f'{{"file_path":"{folder}/{name}.parquet"}}', None) for k, name in ((3, "customer"), (4, "orders"))],
+                                   "sd_id bigint, options string, columns array<struct<name:string,column_type:string>>")
+    report = run_load_by_format(spark, faulty_lines(spark, folder).union(others), scratch(spark, "staging"))
+    return report.select(F.col("sd_id").cast("int").alias("sd_id"), "table_name", "rows", "rejected", "error")
+
+
 # --- feature services ----------------------------------------------------------------------------
 
 def customer_layers(spark, folder):

@@ -16,7 +16,7 @@ def configure(spark: SparkSession) -> SparkSession:
     Only runtime settings are touched. Cluster sizing (executors, shuffle partitions) stays with
     whoever built the session; adaptive execution picks the partition count from it.
     """
-    from cartoload.sources import avro, ipc, shapefile
+    from cartoload.sources import avro, ipc, shapefile, stagingsink
 
     # Executors need not have the package installed: its functions travel inside the task closure.
     cloudpickle.register_pickle_by_value(sys.modules["cartoload"])
@@ -26,7 +26,7 @@ def configure(spark: SparkSession) -> SparkSession:
     # A hot join key is split even where that costs one more shuffle downstream.
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    for source in (ipc.ArrowFileSource, avro.AvroBlockSource, shapefile.ShapefileSource):
+    for source in (ipc.ArrowFileSource, avro.AvroBlockSource, shapefile.ShapefileSource, stagingsink.StagingSink):
         spark.dataSource.register(source)
     return spark
 

@@ -4,45 +4,39 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cartoload.files import first_file, first_line, list_files
 from cartoload.functions.names import table_name
 from cartoload.sources import csvranges
 from cartoload.sources.base import Scan, project, quoted, split_bytes
 
-# Stands for a quoted empty string, which Spark's reader would fold into NULL.
-EMPTY_MARK = "\u0001"
 LARGEST_RANGE = 16 << 20
 
 
+def header_of(options: dict) -> list[str]:
+    path, delimiter = options["file_path"], options["delimiter"]
+    return next(csv.reader([first_line(first_file(path, ".csv", ".txt"))], delimiter=delimiter))
+
+
+def ranges(spark: SparkSession, options: list[dict], width: int, placed: bool = False) -> DataFrame:
+    """Cells of the files of one or more sources of the same width and delimiter, in one scan."""
+    files = [entry for own in options for entry in list_files(own["file_path"], ".csv", ".txt")]
+    size = options[0].get("range_bytes") or min(split_bytes(spark, sum(n for _, n in files)), LARGEST_RANGE)
+    return csvranges.records(spark, files, size, width, options[0]["delimiter"], placed)
+
+
+def cell(name: str):
+    """A cell as it is loaded: line ends inside values are single characters."""
+    return F.replace(quoted(name), F.lit("\r\n"), F.lit("\n"))
+
+
 def scan(spark: SparkSession, options: dict) -> Scan:
-    """One way for every file: records are cut in byte ranges (``range_bytes`` each) and parsed one by one.
+    """One way for every file: records are cut and parsed in byte ranges (``range_bytes`` each).
 
     A blank line is a row of NULL if there is one column, and a row of the wrong width otherwise.
     """
-    path = options["file_path"]
-    delimiter = options["delimiter"]
-    files = list_files(path, ".csv", ".txt")
-    header = next(csv.reader([first_line(first_file(path, ".csv", ".txt"))], delimiter=delimiter))
-    raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    reading = {
-        "sep": delimiter, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": EMPTY_MARK,
-        "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-        "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, len(header))),
-    }
-    size = options.get("range_bytes") or min(split_bytes(spark, sum(n for _, n in files)), LARGEST_RANGE)
-    value = F.col("value")
-    parsed = F.from_csv(value, ", ".join(f"{name} string" for name in raw.names), reading)
-    if len(header) == 1:
-        blank = F.struct(F.lit(None).cast("string").alias("c0"))
-    else:
-        blank = F.raise_error(F.lit(f"a line is blank, but the header has {len(header)} columns"))
-    frame = csvranges.records(spark, files, size).select(F.when(value == "", blank).otherwise(parsed).alias("r")).select("r.*")
-    parts = []
-    for item, name in zip(raw.names, header):
-        cell = F.when(quoted(item) == EMPTY_MARK, F.lit("")).otherwise(quoted(item))
-        parts.append((name, "Text", F.replace(cell, F.lit("\r\n"), F.lit("\n"))))
-    return Scan(table_name(path), project(frame, parts))
+    header = header_of(options)
+    frame = ranges(spark, [options], len(header))
+    return Scan(table_name(options["file_path"]), project(frame, [(name, "Text", cell(f"c{i}")) for i, name in enumerate(header)]))

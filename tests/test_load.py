@@ -8,7 +8,8 @@ import cartoload
 from cartoload.operators.schema import load_options
 from cartoload.operators import stage as stage_module
 from cartoload.operators.stage import export_csv, stage, stage_table
-from cartoload.plans.load_job import run_load, run_workflow, succeeded
+from cartoload.plans import load_job as load_module
+from cartoload.plans.load_job import read_rejects, run_load, run_load_by_format, run_workflow, succeeded
 from cartoload.session import scratch
 from cartoload.sources import delimited
 from cartoload.sources.dispatch import scan
@@ -119,3 +120,113 @@ def test_tasks_need_no_installed_package(spark, tmp_path):
     """Functions shipped to the tasks carry their code along."""
     seen = spark.range(1).select(F.pandas_udf(lambda s: s.map(lambda _: os.getcwd()), "string")("id").alias("d")).first().d
     assert seen
+
+
+# --- all sources of one kind and schema in one job --------------------------------------------------
+
+COLUMNS = [("id", "Integer"), ("name", "Text"), ("paid", "Money"), ("seen", "Date"), ("parts", "SmallIntArray")]
+GOOD_LINE = '7,"a ""b""","$1,250.50",2020-02-29,"{1,2}"\n'
+
+
+def declared(entries, columns=COLUMNS):
+    return [(k, json.dumps(o), [{"name": n, "column_type": c} for n, c in columns] if c is None else c) for k, o, c in entries]
+
+
+MANIFEST = "sd_id bigint, options string, columns array<struct<name:string,column_type:string>>"
+
+
+def bad_and_good(folder):
+    head = "id,name,paid,seen,parts\n"
+    put(folder, "fine.csv", head + GOOD_LINE * 40)
+    bad = head + GOOD_LINE + "x7,,,,\n" + "99999999999,n,$x,2021-02-29,{99999}\n" + "1,2\n" + "\n" + "8,\x01,,,{}\n" + '9,"",,,\n' + GOOD_LINE
+    put(folder, "mixed.csv", bad)
+    return head, bad
+
+
+@pytest.mark.parametrize("size", [16, None])
+def test_rejects_keep_place_and_reason(spark, tmp_path, size):
+    _, text = bad_and_good(tmp_path)
+    extra = {"range_bytes": size} if size else {}
+    entries = declared([(k, {**csv_options(str(tmp_path / f"{n}.csv")), **extra}, None) for k, n in ((1, "fine"), (2, "mixed"))])
+    root = scratch(spark, "staging")
+    report = {r.sd_id: r for r in run_load_by_format(spark, spark.createDataFrame(entries, MANIFEST), root, "keep").collect()}
+    assert (report[1].rows, report[1].rejected, report[2].rows, report[2].rejected) == (40, 0, 4, 4) and not report[2].error
+    staged = spark.read.parquet(f"{root}/mixed")
+    assert [f.metadata["column_type"] for f in staged.schema] == [k for _, k in COLUMNS]
+    assert sorted((r.id, r.name, str(r.paid), str(r.seen), r.parts) for r in staged.collect()) == [
+        (7, 'a "b"', "1250.50", "2020-02-29", [1, 2]), (7, 'a "b"', "1250.50", "2020-02-29", [1, 2]), (8, "\x01", "None", "None", []), (9, "", "None", "None", None)]
+    found = [r for r in read_rejects(spark, f"{root}/_rejects").collect()]
+    raw = text.encode()
+    assert {(r.target, r.source) for r in found} == {("mixed", 2)}
+    assert sorted((raw[r.offset:].split(b"\n")[0].decode(), str(r.column), r.text, r.reason) for r in found) == sorted([
+        ("x7,,,,", "id", "x7", "invalid Integer"), ("99999999999,n,$x,2021-02-29,{99999}", "id", "99999999999", "out of range for Integer"),
+        ("99999999999,n,$x,2021-02-29,{99999}", "paid", "$x", "invalid Money"), ("99999999999,n,$x,2021-02-29,{99999}", "seen", "2021-02-29", "invalid Date"),
+        ("99999999999,n,$x,2021-02-29,{99999}", "parts", "{99999}", "out of range for SmallIntArray"),
+        ("1,2", "None", "1,2", "2 columns, but the header has 5"), ("", "None", "", "a line is blank, but the header has 5 columns")])
+
+
+def test_a_refused_source_keeps_its_old_table(spark, tmp_path):
+    head, _ = bad_and_good(tmp_path)
+    root = scratch(spark, "staging")
+    entries = declared([(k, csv_options(str(tmp_path / f"{n}.csv")), None) for k, n in ((1, "fine"), (2, "mixed"))])
+    manifest = spark.createDataFrame(entries, MANIFEST)
+    put(tmp_path, "mixed.csv", head + GOOD_LINE)
+    assert succeeded(run_load_by_format(spark, manifest, root))
+    bad_and_good(tmp_path)
+    report = {r.sd_id: r for r in run_load_by_format(spark, manifest, root).collect()}
+    assert report[1].rows == 40 and report[2].rows is None and report[2].error == "4 rows do not fit their columns"
+    assert spark.read.parquet(f"{root}/mixed").count() == 1 and read_rejects(spark, f"{root}/_rejects").count() == 7
+    assert sorted(os.listdir(root.removeprefix("file:"))) == ["_rejects", "fine", "mixed"]
+
+
+def test_one_job_for_each_shape(spark, tmp_path, monkeypatch):
+    for k in range(6):
+        put(tmp_path, f"t{k}.csv", "a,b\n" + f"{k},x\n" * k)
+    put(tmp_path, "open.csv", 'a,b\n1,"x\n')
+    put(tmp_path, "pipe.txt", "a|b\n1|x\n")
+    spark.range(5).write.parquet(str(tmp_path / "p.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "q.parquet"))
+    entries = [(k, {**csv_options(str(tmp_path / f"t{k}.csv"))}, []) for k in range(6)]
+    entries += [(6, csv_options(str(tmp_path / "open.csv")), []), (7, {"file_path": str(tmp_path / "pipe.txt"), "delimiter": "|"}, []),
+                (8, {"file_path": str(tmp_path / "p.parquet")}, []), (9, {"file_path": str(tmp_path / "q.parquet")}, []), (10, {"file_path": str(tmp_path / "none.parquet")}, [])]
+    jobs = []
+    inner = load_module.stagingsink.write
+    monkeypatch.setattr(load_module.stagingsink, "write", lambda *given: jobs.append(1) or inner(*given))
+    root = scratch(spark, "staging")
+    manifest = spark.createDataFrame([(k, json.dumps(o), None) for k, o, _ in entries], MANIFEST)
+    report = {r.sd_id: r for r in run_load_by_format(spark, manifest, root).collect()}
+    assert not [report[k].error for k in (7, 8, 9) if report[k].error]
+    assert {k: report[k].rows for k in report} == {**{k: k for k in range(6)}, 6: None, 7: 1, 8: 5, 9: 3, 10: None}
+    assert "not closed" in report[6].error and report[10].error
+    # Seven csv sources in one job, then each by itself as one of them failed; one job for the text and one for both Parquet sources.
+    assert len(jobs) == 1 + 7 + 1 + 1
+    assert all(spark.read.parquet(f"{root}/t{k}").count() == k for k in range(6)) and spark.read.parquet(f"{root}/q").count() == 3
+
+
+def test_what_a_failed_task_left_does_not_count(spark, tmp_path):
+    from cartoload.sources import stagingsink
+
+    put(tmp_path, "t.csv", "a\n1\n")
+    root = scratch(spark, "attempt")
+    source = load_module.opened(spark, 1, json.dumps(csv_options(str(tmp_path / "t.csv"))), None)
+    judged = load_module.one_scan(spark, [source])
+    os.makedirs(root.removeprefix("file:") + "/t")
+    put(tmp_path.__class__(root.removeprefix("file:")), "t/part-left-behind.parquet", "not a whole file")
+    assert stagingsink.write(spark, judged, root, source.row_schema)["rows"] == {"t": 1}
+    assert spark.read.parquet(f"{root}/t").count() == 1
+
+
+@pytest.mark.parametrize("kind,good,bad", [
+    ("Boolean", "true", "maybe"), ("SmallInt", "12", "40000"), ("BigInt", "-5", "1.x"), ("Number", "1.5", "a"), ("Real", "1e3", "e"), ("DoublePrecision", "2.5", "--"),
+    ("Timestamp", "2020-01-01 10:00:00", "2020-13-01 00:00:00"), ("TimestampWithZone", "2020-01-01 10:00:00+02", "soon"), ("Time", "23:59:59", "24:00:00"),
+    ("UUID", "{123e4567-e89b-12d3-a456-426614174000}", "123"), ("Json", '{"a":[1]}', "{a"), ("Interval", "5 microsecond", "5 weeks"), ("SmallIntArray", "{1, -2}", "1,2"), ("Money", "$5.10", "5 dollars")])
+def test_cells_are_tried(spark, kind, good, bad):
+    from cartoload.functions.values import typed
+    from cartoload.operators.rejects import attempt
+
+    value, reason = attempt(F.col("t"), kind)
+    rows = spark.createDataFrame([(good,), (bad,), (None,), ("",)], "t string").select("t", value.alias("v"), reason.alias("r"), F.when(F.col("t") == good, typed(F.col("t"), kind)).alias("same")).collect()
+    found = {r.t: (r.v, r.r, r.same) for r in rows}
+    assert found[good][0] == found[good][2] is not None and found[good][1] is None
+    assert found[bad][0] is None and found[bad][1] in (f"invalid {kind}", f"out of range for {kind}")
+    assert found[None][:2] == found[""][:2] == (None, None)
