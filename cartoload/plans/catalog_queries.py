@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartoload.operators import catalog, changelog, changes, checks, warehouse
+from cartoload.operators import catalog, changelog, changes, checks, deltachecks, entries, filechanges, references, warehouse
 from cartoload.operators.ordinal import collected, row_numbers
 from cartoload.plans.registry import query, table
+from cartoload.session import scratch
 
 ROLE_NAMES = ["admin", "check", "collection", "create_ds", "load"]
 
@@ -632,3 +633,190 @@ def catalog_views(spark, folder):
     tables = {name: spark.createDataFrame([], catalog.TABLES[name]) for name in catalog.TABLES}
     catalog.register_views(tables | {"users": users, "user_roles": grants, "roles": roles})
     return spark.sql("select count(*) as users, sum(size(roles)) as roles, (select count(*) from v_data_sources) as sources from v_users")
+
+
+# --- source entries ------------------------------------------------------------------------------
+
+def entry_batch(spark, folder):
+    """Customers as load instances, orders as their entries; open orders ask for a new entry, finished ones for a
+    new name, pending ones for their deletion."""
+    c = F.col
+    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    columns = F.array(F.struct(F.lit("id").alias("name"), F.lit("Text").alias("column_type")))
+    existing = orders.select(
+        c("o_orderkey").alias("sd_id"), c("o_custkey").alias("li_id"), (c("o_orderkey") % 50 + 1).cast("smallint").alias("load_source_id"),
+        F.lit(False).alias("user_generated"), F.lit("{}").alias("options"), F.concat(F.lit("T_"), c("o_orderkey")).alias("table_name"), columns.alias("columns"),
+        F.lit(True).alias("to_load"), F.lit(None).cast("timestamp").alias("loaded_timestamp"), F.lit(None).cast("string").alias("error_message"))
+    instances = customer.select(c("c_custkey").alias("li_id"), c("c_custkey").alias("collect_user_id"), (c("c_custkey") + 1).alias("load_user_id"), F.lit(None).cast("bigint").alias("check_user_id"))
+    admins = table(spark, folder, "supplier").where("s_acctbal > 5000").select(c("s_suppkey").alias("uid"))
+    priority = c("o_orderpriority")
+    actor = F.when(priority == "1-URGENT", c("o_custkey") + 1).when(priority == "2-HIGH", c("o_custkey") + 2).when(priority == "3-MEDIUM", c("o_custkey")).otherwise(c("o_orderkey") % 10)
+    action = F.when(c("o_orderstatus") == "O", "I").when(c("o_orderstatus") == "F", "U").otherwise("D")
+    name = F.when(c("o_orderkey") % 11 == 0, F.lit("no-name")).when(action == "I", F.concat(F.lit("NEW_"), c("o_orderkey") % 2)).otherwise(F.concat(F.lit("U_"), c("o_orderkey") % 3))
+    batch = orders.select(
+        c("o_orderkey").alias("position"), action.alias("action"), actor.alias("actor"), F.when(action != "I", c("o_orderkey")).alias("sd_id"),
+        F.when(action == "I", c("o_custkey")).alias("li_id"), F.lit(True).alias("user_generated"),
+        F.when((action != "U") | (c("o_orderkey") % 13 > 0), "{}").alias("options"), name.alias("table_name"), columns.alias("columns"))
+    return entries.apply_entries(spark, existing, batch, instances, admins)
+
+
+ENTRIES_SQL = """
+WITH asked AS (SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'O' THEN 'I' WHEN 'F' THEN 'U' ELSE 'D' END AS action,
+  CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey + 1 WHEN '2-HIGH' THEN o_custkey + 2 WHEN '3-MEDIUM' THEN o_custkey ELSE o_orderkey % 10 END AS actor,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'no-name' WHEN o_orderstatus = 'O' THEN 'NEW_' || o_orderkey % 2 ELSE 'U_' || o_orderkey % 3 END AS name
+  FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 13 > 0),
+gated AS (SELECT *, actor IN (o_custkey, o_custkey + 1) OR actor IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) AS may FROM asked),
+checked AS (SELECT *, CASE WHEN NOT may THEN 'uid ' || actor || ' is neither part of load instance ' || o_custkey || ' nor an admin'
+  WHEN action <> 'D' AND name = 'no-name' THEN 'table name "no-name" has the wrong form' END AS early FROM gated),
+judged AS (SELECT *, coalesce(early, CASE WHEN action <> 'D' AND row_number() OVER (PARTITION BY o_custkey, name, early IS NULL AND action <> 'D' ORDER BY o_orderkey) > 1
+  THEN 'load instance ' || o_custkey || ' has a table "' || name || '"' END) AS reason FROM checked),
+tops AS (SELECT o_custkey, max(o_orderkey % 50 + 1) AS top FROM orders GROUP BY o_custkey),
+created AS (SELECT o_orderkey AS position, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY o_orderkey) AS sd_id, o_custkey AS li_id,
+  top + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS load_source_id, name FROM judged JOIN tops USING (o_custkey) WHERE action = 'I' AND reason IS NULL)"""
+
+
+@query("source_entry_batch", ENTRIES_SQL + """
+SELECT sd_id, li_id, load_source_id, name AS table_name, true AS user_generated FROM created
+UNION ALL SELECT o.o_orderkey, o.o_custkey, o.o_orderkey % 50 + 1, coalesce(CASE j.action WHEN 'U' THEN name END, 'T_' || o.o_orderkey), j.action IS NOT NULL
+FROM orders o LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL AND action <> 'I') j USING (o_orderkey) WHERE j.action IS DISTINCT FROM 'D'""")
+def source_entry_batch(spark, folder):
+    """All entries after the batch; new ones continue their instance's numbers."""
+    return entry_batch(spark, folder).table.select("sd_id", "li_id", F.col("load_source_id").cast("bigint").alias("load_source_id"), "table_name", "user_generated")
+
+
+@query("source_entry_outcome", ENTRIES_SQL + """
+SELECT o_orderkey AS id, 'rejected' AS outcome, reason AS detail FROM judged WHERE reason IS NOT NULL
+UNION ALL SELECT CASE action WHEN 'I' THEN c.sd_id ELSE o_orderkey END, action,
+  CASE action WHEN 'U' THEN '{"user_generated":"true","table_name":"' || j.name || '"}' END FROM judged j LEFT JOIN created c ON c.position = o_orderkey WHERE reason IS NULL""")
+def source_entry_outcome(spark, folder):
+    """M5, M6: what was rejected and why, and the log of the rest."""
+    result = entry_batch(spark, folder)
+    return result.rejected.select(F.col("position").alias("id"), F.lit("rejected").alias("outcome"), F.col("reason").alias("detail")).unionByName(
+        result.log.select(F.col("sd_id").alias("id"), F.col("action").alias("outcome"), F.col("changed_fields").alias("detail")))
+
+
+# --- changes of files ----------------------------------------------------------------------------
+
+@query("file_changes", """
+WITH a AS (SELECT orders.*, c_acctbal > 0 AS ok FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT 'row' AS kind, o_orderkey, CAST(o_totalprice AS DECIMAL(15, 2))::VARCHAR AS detail FROM a WHERE NOT ok OR o_orderstatus = 'P'
+UNION ALL SELECT 'row', o_orderkey, (CAST(o_totalprice AS DECIMAL(15, 2)) + 1)::VARCHAR FROM a WHERE ok AND o_orderstatus = 'O'
+UNION ALL SELECT 'row', -o_orderkey - 1, CAST(o_totalprice AS DECIMAL(15, 2))::VARCHAR FROM a WHERE ok AND o_orderstatus = 'P'
+UNION ALL SELECT 'log', CASE WHEN o_orderstatus = 'P' THEN -o_orderkey - 1 ELSE o_orderkey END, CASE o_orderstatus WHEN 'O' THEN 'U' WHEN 'F' THEN 'D' ELSE 'I' END FROM a WHERE ok
+UNION ALL SELECT 'rejected', CASE WHEN o_orderstatus = 'P' THEN -o_orderkey - 1 ELSE o_orderkey END, 'uid ' || o_custkey || ' cannot change orders' FROM a WHERE NOT ok""")
+def file_changes(spark, folder):
+    """M1 to M6 on a folder of files: its rows afterwards, the log and the rejected rows."""
+    orders, batch = order_batch(spark, folder)
+    path = scratch(spark, "orders") + "/table"
+    orders.repartition(8, "o_orderstatus").write.parquet(path)
+    allowed = table(spark, folder, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("uid"))
+    _, rejected, log = filechanges.apply_to_files(spark, path, batch, "o_orderkey", "actor", allowed, "uid %s cannot change orders")
+    return spark.read.parquet(path).select(F.lit("row").alias("kind"), "o_orderkey", F.col("o_totalprice").cast("string").alias("detail")).unionByName(
+        log.select(F.lit("log").alias("kind"), "o_orderkey", F.col("action").alias("detail"))).unionByName(
+        rejected.select(F.lit("rejected").alias("kind"), "o_orderkey", F.col("reason").alias("detail")))
+
+
+@query("file_merge", WAREHOUSE_SQL + """
+SELECT coalesce(s.o_orderkey, p.o_orderkey) AS o_orderkey, coalesce(s.o_custkey, p.o_custkey) AS o_custkey,
+  coalesce(s.o_totalprice, p.o_totalprice) AS o_totalprice, coalesce(s.o_orderpriority, p.o_orderpriority) AS o_orderpriority
+FROM staging s FULL JOIN production p ON s.o_orderkey = p.o_orderkey""")
+def file_merge(spark, folder):
+    """A full historical merge into a folder of files; files without a staged record stay."""
+    production, staging = warehouse_sides(spark, folder)
+    path = scratch(spark, "production") + "/table"
+    production.repartitionByRange(8, "o_orderkey").write.parquet(path)
+    filechanges.merge_into_files(spark, path, staging, ["o_orderkey"], "Full Historical")
+    return spark.read.parquet(path)
+
+
+# --- references over all tables ------------------------------------------------------------------
+
+#: Child, column, parent, its column, action on delete.
+SALES_EDGES = [
+    ("nation", "n_regionkey", "region", "r_regionkey", "cascade"), ("customer", "c_nationkey", "nation", "n_nationkey", "cascade"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey", "set null"), ("orders", "o_custkey", "customer", "c_custkey", "cascade"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey", "cascade"), ("lineitem", "l_suppkey", "supplier", "s_suppkey", "restrict")]
+SALES_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "orders": ["o_orderkey"]}
+
+
+def sales(spark, folder):
+    found = {name: table(spark, folder, name) for name in ("region", "nation", "customer", "supplier", "orders")}
+    return found | {"lineitem": table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")}
+
+
+KEPT_SQL = """
+WITH n AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'), c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)),
+o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))"""
+
+
+@query("fk_graph_delete", KEPT_SQL + """
+SELECT 'nation' AS kept, n_nationkey AS key, n_regionkey AS refers_to FROM n UNION ALL SELECT 'customer', c_custkey, c_nationkey FROM c UNION ALL SELECT 'orders', o_orderkey, o_custkey FROM o
+UNION ALL SELECT 'lineitem', l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)
+UNION ALL SELECT 'supplier', s_suppkey, CASE WHEN s_nationkey IN (SELECT n_nationkey FROM n) THEN s_nationkey END FROM supplier""")
+def fk_graph_delete(spark, folder):
+    """A region goes, with all that hangs on it over four levels; suppliers stay without a nation."""
+    tables = sales(spark, folder)
+    found = references.delete(spark, tables, SALES_KEYS, SALES_EDGES, {"region": tables["region"].where("r_name = 'ASIA'")})
+    shown = {"nation": ("n_nationkey", "n_regionkey"), "customer": ("c_custkey", "c_nationkey"), "orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_suppkey"), "supplier": ("s_suppkey", "s_nationkey")}
+    out = None
+    for name, (key, other) in shown.items():
+        rows = found.tables[name].select(F.lit(name).alias("kept"), F.col(key).cast("bigint").alias("key"), F.col(other).cast("bigint").alias("refers_to"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("fk_graph_blocked", """
+WITH gone AS (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')),
+c AS (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+SELECT 'lineitem' AS child, CAST(l_suppkey AS VARCHAR) AS value, 'restrict' AS rule, count(*) AS n, (SELECT count(*) FROM orders) AS orders_left
+FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM gone) AND l_orderkey NOT IN (SELECT o_orderkey FROM o) GROUP BY l_suppkey""")
+def fk_graph_blocked(spark, folder):
+    """Lines of orders that stay hold suppliers that the cascade reaches, so nothing goes."""
+    tables = sales(spark, folder)
+    edges = [(*edge[:4], "cascade") if edge[0] == "supplier" else edge for edge in SALES_EDGES]
+    found = references.delete(spark, tables, SALES_KEYS, edges, {"region": tables["region"].where("r_name = 'ASIA'")})
+    left = found.tables["orders"].agg(F.count("*").alias("orders_left"))
+    return found.blocked.select("child", "value", "rule", "n", left.scalar().alias("orders_left"))
+
+
+# --- checks of what a batch touched --------------------------------------------------------------
+
+def region_batch(spark, folder):
+    """Customers as regions without conflicts, and a batch that renames some and adds copies of others."""
+    c = F.col
+    before = table(spark, folder, "customer").select(
+        F.concat(F.lit("N"), c("c_nationkey")).alias("country_code"), F.concat(F.lit("nation "), c("c_nationkey")).alias("country_name"),
+        F.concat(F.lit("P"), c("c_custkey") % 100).alias("prov_code"), F.concat(F.lit("prov "), c("c_custkey") % 100).alias("prov_name"), c("c_name").alias("county"))
+    chosen = before.where("country_code in ('N3', 'N5', 'N11')")
+    renamed = chosen.where("prov_code = 'P7'").withColumn("prov_name", F.lit("renamed"))
+    other = chosen.where("country_code = 'N5' and prov_code = 'P9'").withColumn("country_name", F.lit("other")).withColumn("prov_code", F.lit("PX"))
+    again = chosen.where("prov_code = 'P12'")
+    return before, renamed.unionByName(other).unionByName(again)
+
+
+@query("delta_regions", """
+WITH b AS (SELECT 'N' || c_nationkey AS country_code, 'nation ' || c_nationkey AS country_name, 'P' || c_custkey % 100 AS prov_code, 'prov ' || c_custkey % 100 AS prov_name, c_name AS county FROM customer),
+g AS (SELECT * FROM b WHERE country_code IN ('N3', 'N5', 'N11')),
+a AS (SELECT * FROM b UNION ALL SELECT country_code, country_name, prov_code, 'renamed', county FROM g WHERE prov_code = 'P7'
+  UNION ALL SELECT country_code, 'other', 'PX', prov_name, county FROM g WHERE country_code = 'N5' AND prov_code = 'P9' UNION ALL SELECT * FROM g WHERE prov_code = 'P12')
+SELECT 'country_name' AS rule, country_code, NULL AS prov_code, NULL AS county, count(DISTINCT country_name) AS n FROM a GROUP BY country_code HAVING count(DISTINCT country_name) > 1
+UNION ALL SELECT 'prov_name', country_code, prov_code, NULL, count(DISTINCT prov_name) FROM a GROUP BY country_code, prov_code HAVING count(DISTINCT prov_name) > 1
+UNION ALL SELECT 'repeated', country_code, prov_code, county, count(*) FROM a GROUP BY country_code, prov_code, county HAVING count(*) > 1""")
+def delta_regions(spark, folder):
+    """The conflicts of the whole table, found in the countries of the batch."""
+    before, batch = region_batch(spark, folder)
+    return deltachecks.region_conflicts(before.unionByName(batch), batch)
+
+
+@query("delta_references", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+UNION ALL SELECT -o_orderkey - 1, 1, 1, 1 FROM orders WHERE o_orderpriority = '5-LOW'""")
+def delta_references(spark, folder):
+    """Lines without an order, after orders went and lines came; only those keys are looked at."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    lines = table(spark, folder, "lineitem").select(*[F.col(c).cast("bigint").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    one = F.lit(1).cast("bigint")
+    batch = orders.where("o_orderpriority = '5-LOW'").select((-F.col("o_orderkey") - 1).alias("l_orderkey"), one.alias("l_linenumber"), one.alias("l_partkey"), one.alias("l_suppkey"))
+    gone, kept = orders.where("o_orderstatus = 'P'"), orders.where("o_orderstatus <> 'P'")
+    return deltachecks.orphans(lines.unionByName(batch), batch, "l_orderkey", kept, "o_orderkey", gone)
