@@ -104,18 +104,27 @@ def contacts_with_names(spark, folder):
         "contact_id", "ds_id", "created_by", "updated_by")
 
 
-@query("source_catalog", """
-WITH contacts AS (SELECT l_suppkey, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM (
-  SELECT l_suppkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER),
-    strftime(l_shipdate, '%Y%m%d')) AS id
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N') GROUP BY l_suppkey)
+SOURCES_SQL = """
+WITH contacts AS (SELECT l_suppkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER),
+    strftime(l_shipdate, '%Y%m%d')) AS contact_id, l_linestatus AS contact_type, p_name AS contact_by
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N')
 SELECT s_suppkey AS ds_id, s_name AS name, n_nationkey AS region_id, r_name AS country_name, n_name AS prov_name,
   s_acctbal > 0 AS in_credit, p.p_name AS assigned_user, CASE WHEN s_acctbal > 0 THEN 'Current' ELSE 'Archive' END AS warehouse_name,
-  coalesce(n, 0) AS contacts, first_id AS first_contact, last_id AS last_contact
+  contact_id, contact_type, contact_by
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-JOIN part p ON p_partkey = s_suppkey LEFT JOIN contacts ON l_suppkey = s_suppkey""")
+JOIN part p ON p_partkey = s_suppkey LEFT JOIN contacts ON l_suppkey = s_suppkey"""
+
+
+@query("source_catalog", SOURCES_SQL)
 def source_catalog(spark, folder):
-    """Suppliers as data sources, nations as regions, returned lines as contacts."""
+    """Suppliers as data sources, nations as regions, returned lines as contacts; a row for each contact."""
+    tables = source_tables(spark, folder)
+    view = catalog.data_sources_view(tables["data_sources"], tables["regions"], tables["users"], tables["warehouse_types"], tables["data_source_contacts"])
+    return view.select("ds_id", "name", "region_id", "country_name", "prov_name", F.col("comments").isNotNull().alias("in_credit"), "assigned_user", "warehouse_name",
+                       F.col("contact.contact_id").alias("contact_id"), F.col("contact.contact_type").alias("contact_type"), F.col("contact.created_by").alias("contact_by"))
+
+
+def source_tables(spark, folder):
     supplier = table(spark, folder, "supplier")
     now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     sources = supplier.select(
@@ -132,13 +141,8 @@ def source_catalog(spark, folder):
         F.col("r_name").alias("country_name"), F.col("n_nationkey").cast("string").alias("prov_code"),
         F.col("n_name").alias("prov_name"), F.lit(None).cast("string").alias("county"))
     users = table(spark, folder, "part").select(F.col("p_partkey").alias("uid"), F.col("p_name").alias("name"))
-    view = catalog.data_sources_view(
-        sources, regions, users, catalog.seed(spark, "warehouse_types"), contact_rows(spark, folder))
-    kept = ["ds_id", "name", "region_id", "country_name", "prov_name", F.col("comments").isNotNull().alias("in_credit"),
-            "assigned_user", "warehouse_name"]
-    return view.groupBy(*kept).agg(
-        F.count("contact").alias("contacts"), F.min("contact.contact_id").alias("first_contact"),
-        F.max("contact.contact_id").alias("last_contact"))
+    return {"data_sources": sources, "regions": regions, "users": users, "warehouse_types": catalog.seed(spark, "warehouse_types"),
+            "data_source_contacts": contact_rows(spark, folder)}
 
 
 @query("bounded_arrays", "SELECT o_custkey, o_orderkey FROM orders")
@@ -613,26 +617,36 @@ def seeded_grants(spark, folder):
     return grants.join(catalog.seed(spark, "roles"), "role_id").groupBy("name").agg(F.count("*").alias("grants"))
 
 
-@query("seeded_regions", """
-SELECT c_custkey, CASE c_custkey % 72 WHEN 1 THEN 'Alaska' WHEN 4 THEN 'California' WHEN 57 THEN 'Alberta' WHEN 69 THEN 'Yukon' END AS prov_name,
-  CASE c_custkey % 72 WHEN 57 THEN 'Canada' WHEN 69 THEN 'Canada' ELSE 'United States' END AS country_name
-FROM customer WHERE c_custkey % 72 IN (1, 4, 57, 69)""")
+def _region_values() -> str:
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    return ", ".join(f"({k}, {text(country)}, {text(province)})" for k, (_, country, _, province) in enumerate(catalog.REGIONS))
+
+
+@query("seeded_regions", f"""
+SELECT c_custkey, country_name, prov_name FROM customer JOIN (VALUES {_region_values()}) r(place, country_name, prov_name) ON c_custkey % 72 = place""")
 def seeded_regions(spark, folder):
-    """Customers placed in seeded regions by number."""
+    """Every customer placed in one of the seeded regions by number."""
     regions = catalog.seed(spark, "regions").select((F.col("region_id") - 1).alias("place"), "prov_name", "country_name")
     customer = table(spark, folder, "customer").select("c_custkey", (F.col("c_custkey") % 72).alias("place"))
-    return customer.join(regions, "place").filter("prov_name in ('Alaska', 'California', 'Alberta', 'Yukon')").select("c_custkey", "prov_name", "country_name")
+    return customer.join(regions, "place").select("c_custkey", "country_name", "prov_name")
 
 
-@query("catalog_views", ROLES_SQL + """
-SELECT count(*) AS users, CAST(sum(n) AS BIGINT) AS roles, CAST(0 AS BIGINT) AS sources FROM (SELECT uid, count(DISTINCT role_id) AS n FROM grants JOIN roles USING (role_id)
-  JOIN customer ON uid = c_custkey GROUP BY uid)""")
+@query("catalog_views", f"""
+WITH v AS ({SOURCES_SQL})
+SELECT country_name, warehouse_name, count(DISTINCT ds_id) AS sources, count(contact_id) AS contacts, count(DISTINCT assigned_user) AS assigned, min(contact_id) AS first_contact,
+  max(contact_by) AS last_by, (SELECT count(*) FROM part JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = p_partkey) AS users_with_roles,
+  (SELECT count(*) FROM (SELECT DISTINCT o_custkey, substring(o_orderpriority, 1, 1) FROM orders JOIN part ON o_custkey = p_partkey)) AS grants
+FROM v GROUP BY country_name, warehouse_name""")
 def catalog_views(spark, folder):
-    """The catalogue tables as views, asked in SQL."""
-    users, grants, roles = people(spark, folder)
-    tables = {name: spark.createDataFrame([], catalog.TABLES[name]) for name in catalog.TABLES}
-    catalog.register_views(tables | {"users": users, "user_roles": grants, "roles": roles})
-    return spark.sql("select count(*) as users, sum(size(roles)) as roles, (select count(*) from v_data_sources) as sources from v_users")
+    """The catalogue tables as views, asked in SQL: both views with rows of the given tables."""
+    _, grants, roles = people(spark, folder)
+    tables = {name: spark.createDataFrame([], catalog.TABLES[name]) for name in catalog.TABLES} | source_tables(spark, folder) | {"user_roles": grants, "roles": roles}
+    catalog.register_views(tables | {"users": tables["users"].withColumn("username", F.lower("name"))})
+    return spark.sql("""
+        select country_name, warehouse_name, count(distinct ds_id) as sources, count(contact.contact_id) as contacts, count(distinct assigned_user) as assigned,
+          min(contact.contact_id) as first_contact, max(contact.created_by) as last_by, (select count(*) from v_users) as users_with_roles,
+          (select sum(size(roles)) from v_users) as grants
+        from v_data_sources group by country_name, warehouse_name""")
 
 
 # --- source entries ------------------------------------------------------------------------------

@@ -683,3 +683,53 @@ FROM events""")
 def feature_pages(spark, folder):
     """S9, S11, S12 on saved answers, V19."""
     return featureservice.scan(spark, {"url": EVENT_LAYER, "saved_pages": saved_event_pages(spark, folder)}).frame
+
+
+@query("id_windows", """
+WITH ids AS (SELECT o_custkey % 50 AS layer, CASE WHEN o_orderkey % 997 = 0 THEN o_orderkey + 5000000000 ELSE o_orderkey END AS oid FROM orders),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY layer ORDER BY oid) - 1) // (10 + layer) AS page FROM (SELECT DISTINCT * FROM ids))
+SELECT 'http://gis.example.org/' || layer AS url, page, 'http://gis.example.org/' || layer || '/query?f=json&outFields=OBJECTID&where=OBJECTID+%3E%3D+' || min(oid) || '+and+OBJECTID+%3C%3D+' || max(oid) AS query
+FROM placed GROUP BY layer, page""")
+def id_windows(spark, folder):
+    """Windows of existing ids; a few ids lie five thousand millions further on."""
+    layer = F.col("o_custkey") % 50
+    far = F.when(F.col("o_orderkey") % 997 == 0, F.col("o_orderkey") + 5_000_000_000).otherwise(F.col("o_orderkey"))
+    url = F.concat(F.lit("http://gis.example.org/"), layer.cast("string"))
+    ids = table(spark, folder, "orders").select(url.alias("url"), far.alias("oid"))
+    layers = table(spark, folder, "orders").select(url.alias("url"), (layer + 10).alias("page_size")).distinct().select(
+        "*", F.lit(True).alias("is_table"), F.lit(None).cast("string").alias("geometry_type"), F.lit(False).alias("paginated"), F.lit("OBJECTID").alias("oid_field"),
+        F.lit("json").alias("query_format"), F.array(F.struct(F.lit("OBJECTID").alias("name"))).alias("fields"))
+    return featureservice.windowed_plan(layers, featureservice.id_windows(spark, ids, layers))
+
+
+def busy_service(path: str):
+    """A service over saved answers that is busy the first two times that a page is asked."""
+    asked: dict[str, int] = {}
+
+    def ask(url: str):
+        import pyarrow.dataset
+
+        asked[url] = asked.get(url, 0) + 1
+        if asked[url] <= 2:
+            return 503, None
+        rows = pyarrow.dataset.dataset(path.removeprefix("file:")).to_table(columns=["body"], filter=pyarrow.dataset.field("query") == url)
+        return 200, rows.column("body")[0].as_py()
+
+    return ask
+
+
+@query("resumable_pages", """
+SELECT (event_id // 100) * 100 AS first_id, count(*) AS features, CAST(3 AS INTEGER) AS tries, CAST(0 AS BIGINT) AS asked_again FROM events GROUP BY event_id // 100""")
+def resumable_pages(spark, folder):
+    """Pages of a service that is busy at first, with the tries of each; a second run asks for nothing."""
+    saved, kept = saved_event_pages(spark, folder), scratch(spark, "ledger") + "/pages"
+    queries = spark.read.parquet(saved).where("query like '%resultOffset%'").select("query")
+    # The first run has half of the pages, the second one all of them, the third none to ask for.
+    for part in (queries.where(F.xxhash64("query") % 2 == 0), queries):
+        featureservice.ledger_fetcher(kept, 4, wave=100, ask=busy_service(saved))(part)
+    before = featureservice.ledger(spark, kept).count()
+    featureservice.ledger_fetcher(kept, 4, wave=100, ask=busy_service(saved))(queries)
+    again = featureservice.ledger(spark, kept).count() - before
+    features = F.size(F.from_json("body", "features array<struct<attributes:string>>")["features"]).cast("bigint")
+    first = F.regexp_extract("query", "resultOffset=([0-9]+)", 1).cast("bigint")
+    return featureservice.ledger(spark, kept).select(first.alias("first_id"), features.alias("features"), "tries", F.lit(again).cast("bigint").alias("asked_again"))
