@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,13 +28,13 @@ SLICE = 4_000_000  # bytes of text that a function gets at once
 ITEMS = 500_000  # or list items
 
 
-def slices(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts or lists in one column are not much over ``SLICE`` or ``ITEMS`` together."""
+def slices(batch: pa.RecordBatch, place: int, text_bytes: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts or lists in one column are not much over ``text_bytes`` or ``ITEMS`` together."""
     column = batch.column(place)
     if pa.types.is_list(column.type):
         sizes, most = pc.list_value_length(column), ITEMS
     elif pa.types.is_string(column.type) or pa.types.is_binary(column.type):
-        sizes, most = pc.binary_length(column), SLICE
+        sizes, most = pc.binary_length(column), text_bytes
     else:
         sizes = None
     if sizes is None or batch.num_rows == 0:
@@ -44,6 +46,15 @@ def slices(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, end - start)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system; workers live on for the next stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def annotate(df: DataFrame, uses: list[str], fields: str, function: Callable[..., list]) -> DataFrame:
     """``df`` with the columns ``fields`` that ``function`` makes of the columns ``uses``, batch by batch.
 
@@ -65,6 +76,8 @@ def annotate(df: DataFrame, uses: list[str], fields: str, function: Callable[...
             made = function(*[batch.column(i) for i in use])
             new = [m if isinstance(m, pa.Array) else pa.array(m, type=t) for m, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in stay] + new, names=names)
+            made = new = None
+        release()
 
     return df.mapInArrow(run, schema)
 

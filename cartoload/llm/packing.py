@@ -26,12 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from cartoload.llm.bpe import Vocabulary, cut_run, gather
-from cartoload.llm.common import arrow_schema, map_arrow, slices
+from cartoload.llm.common import arrow_schema, map_arrow, release, slices
 
 CAPACITY = 2048
 END = 1  # the id after each document
-BLOCK_TOKENS = 2_000_000  # packed together; bounds a task's memory
-KNOWN_CHUNKS = 600_000
+BLOCK_TOKENS = 500_000  # packed together; bounds a task's memory
+TEXT_BYTES = 2_000_000  # of texts encoded together
+KNOWN_BYTES = 48_000_000  # of chunks that a task remembers with their ids; beyond it starts afresh
+ENTRY_BYTES = 160  # what a chunk takes besides its letters
+LEARN = 20_000  # chunks encoded together
+ROW_TOKENS = 500_000  # of pieces in one batch of rows
 PIECE = "doc_id bigint, start bigint, length bigint, ids array<int>, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Fixed value: the pattern of the word-end vocabulary's pre-tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -56,13 +60,22 @@ class WordTokens:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat = self.starts = self.lengths = np.zeros(0, dtype=np.int64)
+        self.held = 0
+        self.flat = np.zeros(1 << 16, dtype=np.int32)
+        self.starts, self.lengths = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int32)
+        self.used = 0
 
     def _add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self.starts)
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
-        self.flat, self.lengths = np.r_[self.flat, ids], np.r_[self.lengths, lengths]
-        self.number.update(zip(chunks, range(first, first + len(chunks))))
+        first, last = len(self.number), len(self.number) + len(chunks)
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.starts) < last:
+            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.starts[first:last], self.lengths[first:last] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used += len(ids)
+        self.held += sum(map(len, chunks)) + ENTRY_BYTES * len(chunks)
+        self.number.update(zip(chunks, range(first, last)))
 
     def _learn(self, fresh: list[str]) -> None:
         plain, other, cut = [], [], []
@@ -80,23 +93,23 @@ class WordTokens:
         ends = np.r_[0, np.cumsum(lengths[at])][np.cumsum([0, *map(len, cut)])]
         self._add(plain, gather(ids, starts[at], lengths[at]), np.diff(ends))
         if other:
-            made = [e.ids for e in self.library.encode_batch(other, add_special_tokens=False)]
+            made = [e.ids for k in range(0, len(other), 2_000) for e in self.library.encode_batch(other[k:k + 2_000], add_special_tokens=False)]
             self._add(other, np.array([i for ids in made for i in ids], dtype=np.int64), np.array(list(map(len, made)), dtype=np.int64))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.number) > KNOWN_CHUNKS:
+        if self.held > KNOWN_BYTES:
             self.reset()
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         fresh = list(set(distinct).difference(self.number))
-        if fresh:
-            self._learn(fresh)
+        for k in range(0, len(fresh), LEARN):
+            self._learn(fresh[k:k + LEARN])
         numbers = np.fromiter(map(self.number.__getitem__, distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
         lengths = self.lengths[numbers]
-        ids = gather(self.flat, self.starts[numbers], lengths).astype(np.int32)
+        ids = gather(self.flat, self.starts[numbers], lengths)
         ends = np.r_[0, np.cumsum(lengths)][offsets - (offsets[0] if len(offsets) else 0)].tolist()
         return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
@@ -181,8 +194,8 @@ class Packer:
             self.sequences.append(row)
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary_text: str, capacity: int = CAPACITY, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per piece of a document, with its ids and its place (``PIECE``).
+def pack(spark: SparkSession, docs: DataFrame, vocabulary_text: str, capacity: int = CAPACITY, end: int = END, block_tokens: int = BLOCK_TOKENS, with_ids: bool = True) -> DataFrame:
+    """One row per piece of a document, with its ids and its place (``PIECE``); ``with_ids=False`` leaves ``ids`` out.
 
     Every token of every row of ``docs`` (its text's ids, then ``end``) is in exactly one piece. A
     null or empty text is the one token ``end``; a null ``doc_id`` stays null; rows that repeat an id
@@ -191,49 +204,57 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary_text: str, capacity: i
     held by one task.
     """
     shared = spark.sparkContext.broadcast(vocabulary_text)
-    schema = arrow_schema(PIECE)
+    columns = PIECE if with_ids else PIECE.replace("ids array<int>, ", "")
+    schema = arrow_schema(columns)
+
+    def batch_of(rows: list[tuple], parts: list[np.ndarray]) -> pa.RecordBatch:
+        names = [f.name for f in schema if f.name != "ids"]
+        arrays = {name: pa.array(values, type=schema.field(name).type) for name, values in zip(names, zip(*rows))}
+        if with_ids:
+            offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+            arrays["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32, copy=False)))
+        return pa.RecordBatch.from_arrays([arrays[name] for name in schema.names], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(shared.value)
         first = TaskContext.get().partitionId() << 36
         done = 0
-        names: list[int | None] = []
-        ids: list[np.ndarray] = []
+        owners: list[tuple[int | None, int, int, np.ndarray]] = []  # (doc_id, start, tokens of the document, ids)
         held = 0
-        carried: list[tuple[int | None, int, int, np.ndarray]] = []  # (doc_id, start, tokens of the document, ids) left by the block before
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal names, ids, held, carried, done
+            nonlocal owners, held, done
             packer = Packer(capacity, 1.0, 1 / capacity)
-            base = [(n, 0, len(i), i) for n, i in zip(names, ids)]
-            owners = carried + base
             left = packer.pack([len(o[3]) for o in owners], last)
             rows: list[tuple] = []
+            parts: list[np.ndarray] = []
+            size = 0
             for row in packer.sequences:
                 offset = 0
                 for p in row:
                     name, start, total, own = owners[p.document]
                     part = own[p.start:p.start + p.length]
-                    rows.append((name, start + p.start, p.length, part, zlib.crc32(part.astype("<u4").tobytes()), total, first + done, offset))
+                    rows.append((name, start + p.start, p.length, zlib.crc32(part.astype("<u4").tobytes()), total, first + done, offset))
+                    parts.append(part)
                     offset += p.length
+                size += offset
                 done += 1
-            carried = [(owners[p.document][0], owners[p.document][1] + p.start, owners[p.document][2], owners[p.document][3][p.start:p.start + p.length].copy()) for p in left]
-            names, ids, held = [], [], 0
-            for k in range(0, len(rows), 4000):
-                columns = list(zip(*rows[k:k + 4000]))
-                flat = np.concatenate(columns[3]).astype(np.int32)
-                offsets = np.r_[0, np.cumsum(columns[2])].astype(np.int32)
-                arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema) if f.name != "ids"]
-                arrays.insert(3, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-        for batch in (part for whole in batches for part in slices(whole, 1)):
-            names += batch.column(0).to_pylist()
-            made = [np.append(i, np.int32(end)) for i in tokens.encode(batch.column(1))]
-            ids += made
-            held += sum(map(len, made))
+                if size >= ROW_TOKENS:
+                    yield batch_of(rows, parts)
+                    rows, parts, size = [], [], 0
+            if rows:
+                yield batch_of(rows, parts)
+            owners = [(owners[p.document][0], owners[p.document][1] + p.start, owners[p.document][2], owners[p.document][3][p.start:p.start + p.length].copy()) for p in left]
+            held = 0
+
+        for batch in (part for whole in batches for part in slices(whole, 1, TEXT_BYTES)):
+            for name, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1))):
+                owners.append((name, 0, len(ids) + 1, np.append(ids, np.int32(end))))
+                held += len(ids) + 1
             if held >= block_tokens:
                 yield from flush(False)
         yield from flush(True)
+        owners, tokens = [], None
+        release()
 
-    return map_arrow(docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text"), PIECE, run)
+    return map_arrow(docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text"), columns, run)

@@ -72,7 +72,7 @@ def op6_bpe(spark, folder):
 @query("op9_packing")
 def op9_packing(spark, folder):
     """Every piece of every document and where it is packed."""
-    return packing.pack(spark, table(spark, folder, "documents"), bpe.read_text(WORD_VOCABULARY)).drop("ids")
+    return packing.pack(spark, table(spark, folder, "documents"), bpe.read_text(WORD_VOCABULARY), with_ids=False)
 
 
 @query("op1_warc", """
