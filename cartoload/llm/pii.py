@@ -22,16 +22,20 @@ from cartoload.llm.common import truncate_lineage
 # What entities look like.
 _L, _R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "госпожа"], "n": ["Dr", "Prof"]}
+# Every pattern takes a number of steps at each place that has a bound, so that texts of any make take time in
+# proportion to their length: addresses have the lengths that mail formats allow (64 before the sign, 63 a
+# label, 127 labels), secrets 1,024 characters, words of names 40. Runs beyond that are no entities.
+NAME_WORD = r"\p{Lu}[\p{L}'’-]{1,39}(?![\p{L}'’-])"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": _L + r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,126}+",
     "iban": _L + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _R,
-    "secret": _L + r"(?=[A-Za-z_]*[0-9])(?=[0-9_]*[A-Za-z])[A-Za-z0-9_]{20,}" + _R,
+    "secret": _L + r"(?<![A-Za-z0-9_]_)(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{20,1024}" + _R,
     "ip": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}" + _R
              + r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}" + _R + "|" + _L + r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}" + _R,
     "card": _L + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _R,
     "ssn": _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R,
-    "name": _L + "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}",
+    "name": _L + "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? " + NAME_WORD + "(?: " + NAME_WORD + "){0,2}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these has no entity: addresses hold "@", names begin with a title, all other kinds ask for a digit.
@@ -233,6 +237,7 @@ def replace(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
 
     Null and empty texts stay as they are, with no entity; texts without an entity stay byte for byte;
     repeated rows get the same text; an empty table gives none; a column ``n_entities`` is replaced.
+    A text of any length is gone through as a whole, in time proportional to its length.
     Within a name's title, only the words that follow it are replaced.
     """
     names = [c for c in docs.columns if c.lower() != "n_entities"]
