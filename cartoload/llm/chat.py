@@ -13,6 +13,8 @@ rows: a conversation of any length is never brought together in one task.
 from __future__ import annotations
 
 import json
+import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,19 +23,79 @@ from pyspark.sql import functions as F
 from cartoload.llm.common import annotate, scratch, truncate_lineage
 
 ROLES = ("system", "user", "assistant", "tool")
-KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+KINDS = {"string": str, "integer": int, "number": float, "boolean": bool, "array": list, "object": dict, "null": type(None)}
+LONE = re.compile("[\ud800-\udfff]")
 
 
-def fault_of(text: str | None, schema: dict | None) -> str | None:
-    """What is wrong with a call's arguments under the schema of its tool; null if nothing.
+def parsed(text: str | None):
+    """The value of a JSON text; fails on NaN, infinities and numbers too large for a double."""
+    def refuse(name: str):
+        raise ValueError(name)
 
-    The schema has ``properties`` (with ``type``, ``enum``, ``minimum``, ``maximum``, ``maxLength``),
-    ``required`` and ``additionalProperties``.
+    def real(digits: str) -> float:
+        value = float(digits)
+        return value if math.isfinite(value) else refuse(digits)
+
+    return json.loads(text or "", parse_constant=refuse, parse_float=real)
+
+
+def schema_of(text: str | None) -> dict | str | None:
+    """A tool's schema from its JSON text: null without a text, a fault where it can't be used."""
+    if text is None:
+        return None
+    try:
+        schema = parsed(text)
+    except (ValueError, RecursionError):
+        return "schema is no JSON"
+    if not isinstance(schema, dict):
+        return "schema is no object"
+    rules = schema.get("properties", {})
+    if not isinstance(rules, dict) or not all(isinstance(r, dict) for r in rules.values()):
+        return "schema has bad properties"
+    required = schema.get("required", [])
+    if not isinstance(required, list) or not all(isinstance(n, str) for n in required):
+        return "schema has a bad list of required names"
+    for name in sorted(rules):
+        rule = rules[name]
+        kinds = rule.get("type")
+        if kinds is not None and not (isinstance(kinds, str) or isinstance(kinds, list) and all(isinstance(k, str) for k in kinds)):
+            return f"schema has a bad type: {name}"
+        unknown = [k for k in ([kinds] if isinstance(kinds, str) else kinds or []) if k not in KINDS]
+        if unknown:
+            return f"schema has an unknown type: {name}"
+        if "enum" in rule and not isinstance(rule["enum"], list):
+            return f"schema has a bad enum: {name}"
+        if any(not is_number(rule[k]) for k in ("minimum", "maximum", "maxLength") if k in rule):
+            return f"schema has a bad limit: {name}"
+    return schema
+
+
+def is_number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def is_kind(value, kind: str) -> bool:
+    """Whether a value is of a JSON type; a number without a fraction is an integer, however it is written."""
+    if kind == "integer":
+        return is_number(value) and float(value).is_integer() if not isinstance(value, int) else not isinstance(value, bool)
+    if kind == "number":
+        return is_number(value)
+    return isinstance(value, KINDS[kind])
+
+
+def fault_of(text: str | None, schema: dict | str | None) -> str | None:
+    """What is wrong with a call's arguments under the schema of its tool (see ``schema_of``); null if nothing.
+
+    The schema has ``properties`` (with ``type``, one or a list, ``enum``, ``minimum``, ``maximum``, ``maxLength``),
+    ``required`` and ``additionalProperties``. Limits of numbers hold for numbers, ``maxLength`` for texts; other
+    values pass them, as in JSON Schema.
     """
     if schema is None:
         return "unknown tool"
+    if isinstance(schema, str):
+        return schema
     try:
-        value = json.loads(text or "", parse_constant=lambda name: (_ for _ in ()).throw(ValueError(name)))
+        value = parsed(text)
     except (ValueError, RecursionError):
         return "arguments are no JSON"
     if not isinstance(value, dict):
@@ -48,21 +110,27 @@ def fault_of(text: str | None, schema: dict | None) -> str | None:
             if schema.get("additionalProperties", False):
                 continue
             return f"unexpected: {name}"
-        item, kind = value[name], rule.get("type")
-        if kind and (not isinstance(item, KINDS[kind]) or (isinstance(item, bool) and kind != "boolean")):
-            return f"no {kind}: {name}"
-        if "enum" in rule and item not in rule["enum"]:
+        item, kinds = value[name], rule.get("type")
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        if kinds and not any(is_kind(item, kind) for kind in kinds):
+            return f"no {' or '.join(kinds)}: {name}"
+        if "enum" in rule and not any(type(item) is type(e) and item == e or is_number(item) and is_number(e) and item == e for e in rule["enum"]):
             return f"not allowed: {name}"
-        if "minimum" in rule and item < rule["minimum"] or "maximum" in rule and item > rule["maximum"]:
+        if is_number(item) and ("minimum" in rule and item < rule["minimum"] or "maximum" in rule and item > rule["maximum"]):
             return f"out of range: {name}"
-        if "maxLength" in rule and len(item) > rule["maxLength"]:
+        if isinstance(item, str) and "maxLength" in rule and len(item) > rule["maxLength"]:
             return f"too long: {name}"
     return None
 
 
+def writable(text: str | None) -> str | None:
+    """A text in which surrogates without their partner, which UTF-8 can't hold, are escaped as in JSON."""
+    return None if text is None else LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no spare space and the shortest numbers; other letters as they are."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    """JSON with sorted keys, no spare space and the shortest numbers; other letters as they are, but for lone surrogates."""
+    return writable(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
 
 
 def levels(spark: SparkSession, calls: DataFrame) -> DataFrame:
@@ -106,14 +174,18 @@ def lines(spark: SparkSession, messages: DataFrame, calls: DataFrame, results: D
     * ``schemas``: ``tool schema`` (JSON text); of a tool given twice the smaller text counts.
 
     Identifiers are compared within a conversation; null ones link with nothing. Of calls with one
-    identifier the first by turn, tool and arguments is the call. Empty tables give no lines; extra
+    identifier the first by turn, tool and arguments is the call. Arguments and schemas may be any text: what is
+    wrong with them is the call's ``fault``. Very long texts are held one batch at a time. Empty tables give no lines; extra
     columns are ignored.
     """
     tools = schemas.where("tool is not null").groupBy("tool").agg(F.min("schema").alias("schema"))
     calls = calls.select("conv_id", "turn", "call_id", "tool", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
     # Checked before any shuffle but that of the schemas, which the planner sends along where it finds them small.
-    checked = annotate(calls.join(tools, "tool", "left"), ["arguments", "schema"], "fault string",
-                       lambda texts, rules: [[fault_of(t, json.loads(r) if r is not None else None) for t, r in zip(texts.to_pylist(), rules.to_pylist())]])
+    def faults(texts, rules) -> list:
+        known: dict[str | None, dict | str | None] = {}
+        return [[writable(fault_of(t, known[r] if r in known else known.setdefault(r, schema_of(r)))) for t, r in zip(texts.to_pylist(), rules.to_pylist())]]
+
+    checked = annotate(calls.join(tools, "tool", "left"), ["arguments", "schema"], "fault string", faults)
     checked = truncate_lineage(spark, checked.select("conv_id", "turn", "call_id", "tool", "arguments", "depends_on", "fault"), "checked")
     rank = F.struct(F.col("turn"), F.col("tool"), F.col("arguments"))
     # The first call of an identifier and the number of its results, by partial aggregation.
@@ -142,8 +214,7 @@ def lines(spark: SparkSession, messages: DataFrame, calls: DataFrame, results: D
         for slot, call, role, name, body in zip(*(c.to_pylist() for c in (slots, ids, roles, names, bodies))):
             if slot == 1:
                 try:
-                    arguments = json.loads(body or "", parse_constant=lambda text: (_ for _ in ()).throw(ValueError(text)))
-                    shown = canonical(arguments)
+                    shown = canonical(parsed(body))
                 except (ValueError, RecursionError):
                     shown = canonical(body)
                 out.append('{"role":"assistant","tool_call":{"arguments":' + shown + ',"id":' + canonical(call) + ',"name":' + canonical(name) + "}}")

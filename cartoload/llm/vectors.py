@@ -107,7 +107,7 @@ class Grid:
         noise -= (noise * x).sum(1)[:, None] * x
         noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-12)[:, None]
         y = cosine * x + np.sqrt(1 - cosine * cosine) * noise
-        most = min(self.k * self.k, 256)
+        most = self.k * self.k  # all cells: then every pair meets
         visits = 1
         while visits < most:
             met = (self.traverse(x, visits) == self.cells(y)[:, None]).any(1) | (self.traverse(y, visits) == self.cells(x)[:, None]).any(1)

@@ -104,8 +104,16 @@ def field(name: str, header: str = "header") -> Column:
 
 
 def parse_records(raw: DataFrame) -> DataFrame:
-    """``(header, block)`` of raw ``record`` bytes: cut behind the first empty line, by the stated length."""
-    at = F.expr("locate('\r\n\r\n', decode(substring(record, 1, 65536), 'ISO-8859-1'))")
-    cut = raw.withColumn("header", F.substring("record", F.lit(1), at + 3))
-    return cut.withColumn("block", F.expr("substring(record, octet_length(header) + 1)")).withColumn(
-        "block", F.substring("block", F.lit(1), F.coalesce(field("Content-Length").cast("int"), F.lit(0)))).drop("record")
+    """``(header, block)`` of raw ``record`` bytes: cut behind the first empty line, by the stated length.
+
+    The empty line is sought in the whole record, whatever the length of its header; a record without
+    one fails, and so does one that is shorter than it states.
+    """
+    at = F.expr("instr(decode(record, 'ISO-8859-1'), '\r\n\r\n')")
+    end = F.when(at > 0, at + 3).otherwise(F.raise_error(F.lit("a record has no empty line after its header")).cast("int"))
+    cut = raw.withColumn("header", F.substring("record", F.lit(1), end))
+    length = F.coalesce(field("Content-Length").cast("bigint"), F.lit(0))
+    whole = F.octet_length("record") >= F.octet_length("header") + length
+    block = F.expr("substring(record, octet_length(header) + 1)")
+    stated = F.when(whole, F.substring(block, F.lit(1), length.cast("int"))).otherwise(F.raise_error(F.lit("a record is shorter than it states")).cast("binary"))
+    return cut.withColumn("block", stated).drop("record")
