@@ -151,7 +151,7 @@ def test_deep_chain_and_empty(spark):
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("op") and "_" in n and n in entry.oracle_sql() and n[2].isdigit()])
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         db.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     frame = entry.queries()[name](spark, FOLDER)
     answer = db.execute(entry.oracle_sql()[name])
