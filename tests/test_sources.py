@@ -102,6 +102,19 @@ def test_delimited_split_inside_quoted_values(spark, tmp_path):
             [(i, str(v), f"r{i}") for i, v in enumerate(values)] * 2)
 
 
+@pytest.mark.parametrize("size", [3, None])
+def test_delimited_odd_values(spark, tmp_path, size):
+    text = 'a,b\n\x01,""\n"\x01\x02",\n"two\nlines","x ""y"""\n'
+    rows = delimited.scan(spark, {"file_path": put(tmp_path, "o.csv", text), "delimiter": ",", "range_bytes": size}).frame.collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("\x01", ""), ("\x01\x02", None), ("two\nlines", 'x "y"')], key=str)
+    stray = put(tmp_path, "s.csv", 'a,b\n1,x"y\nz"w\n2,fine\n')
+    with pytest.raises(Exception, match="reaches over a line end"):
+        delimited.scan(spark, {"file_path": stray, "delimiter": ",", "range_bytes": size}).frame.collect()
+    lone = put(tmp_path, "r.csv", "a\nx\ry\n")
+    with pytest.raises(Exception, match="carriage return"):
+        delimited.scan(spark, {"file_path": lone, "delimiter": ",", "range_bytes": size}).frame.collect()
+
+
 def test_colliding_headers_fail(spark, tmp_path):
     with pytest.raises(ValueError, match="collide"):
         delimited.scan(spark, {"file_path": put(tmp_path, "c.csv", "a b,a-b\n1,2\n"), "delimiter": ","})
