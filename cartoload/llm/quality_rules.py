@@ -54,23 +54,28 @@ def counts(docs: DataFrame) -> DataFrame:
                     lambda texts: [list(c) for c in zip(*map(text_counts, texts.to_pylist()))] or [[] for _ in range(6)])
 
 
-#: Shares, with the span that limits may take: (name, expression, side, nearest, furthest). A limit
-#: never lies nearer to the clean end than ``nearest``, so that a group of equal documents loses
-#: none, and never beyond ``furthest``, so that a group which is mostly junk doesn't excuse it.
+#: Shares: (name, expression, side, furthest, events, length, quantile). A limit never lies beyond
+#: ``furthest``, so that a group which is mostly junk doesn't excuse it. ``events`` of what is counted are no
+#: sign of junk in a document as long as the ``quantile`` of the group's ``length``: six symbols, four repeated
+#: lines, six repeats of six words each.
 SHARES = [
-    ("symbols", "n_symbols / n_words", "high", 0.2, 1.0),
-    ("dup_lines", "n_dup_lines / n_lines", "high", 0.5, 0.8),
-    ("repeats", "n_repeat_words / n_words", "high", 0.3, 0.5),
-    ("long_words", "word_chars / n_words", "high", 12.0, 40.0),
-    ("short_words", "word_chars / n_words", "low", 2.5, 1.5),
+    ("symbols", "n_symbols / n_words", "high", 1.0, 6, "words", 0.1),
+    ("dup_lines", "n_dup_lines / n_lines", "high", 0.8, 4, "lines", 0.5),
+    ("repeats", "n_repeat_words / n_words", "high", 0.5, 36, "words", 0.1),
+    ("long_words", "word_chars / n_words", "high", 40.0, None, None, None),
+    ("short_words", "word_chars / n_words", "low", 1.5, None, None, None),
 ]
+#: Lengths that are sketched beside the shares; a document of one line has none to repeat.
+LENGTHS = {"words": "n_words", "lines": "case when n_lines > 1 then n_lines end"}
+LEAST_SPREAD = 0.05  # least quartile distance of word lengths, as a part of their median
 
 
 def shares(counted: DataFrame) -> DataFrame:
-    """One column per share, null where a text has no word."""
+    """One column per share and length, null where a text has no word."""
     some = F.col("n_words") > 0
-    return counted.withColumns({f"__share_{name}": F.when(some, F.expr(f"cast({text.split(' / ')[0]} as double) / {text.split(' / ')[1]}"))
-                                for name, text, *_ in SHARES})
+    made = {name: f"cast({text.split(' / ')[0]} as double) / {text.split(' / ')[1]}" for name, text, *_ in SHARES}
+    made |= {name: f"cast({text} as double)" for name, text in LENGTHS.items()}
+    return counted.withColumns({f"__share_{name}": F.when(some, F.expr(text)) for name, text in made.items()})
 
 
 def bucket(value, accuracy: float = ACCURACY):
@@ -86,7 +91,7 @@ def bucket_value(number, accuracy: float = ACCURACY):
 
 def sketches(shared: DataFrame, accuracy: float = ACCURACY) -> DataFrame:
     """``(lang, source, share, bucket, n)``. Rows of two such tables merge by adding ``n``."""
-    named = F.explode(F.array(*[F.struct(F.lit(name).alias("share"), F.col(f"__share_{name}").alias("value")) for name, *_ in SHARES]))
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("share"), F.col(f"__share_{name}").alias("value")) for name in [*(s[0] for s in SHARES), *LENGTHS]]))
     return (shared.select("lang", "source", named.alias("s")).where("s.value is not null")
             .groupBy("lang", "source", F.col("s.share").alias("share"), bucket(F.col("s.value"), accuracy).alias("bucket"))
             .agg(F.count("*").alias("n")))
@@ -111,49 +116,34 @@ def quantiles(sketch: DataFrame, points: dict[str, float], accuracy: float = ACC
     return filled.select("lang", "source", "share", F.col("total").alias("n_docs"), *[at(q).alias(name) for name, q in points.items()])
 
 
-def limits(sketch: DataFrame, width: float = 6.0, accuracy: float = ACCURACY) -> DataFrame:
-    """One row per ``(lang, source)`` with a limit per share: median and ``width`` quartile distances.
-
-    The distance is that from the median to the quartile on the clean side, which junk above it
-    doesn't stretch.
-    """
-    q = quantiles(sketch, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, accuracy)
-    made = []
-    for name, _, side, nearest, furthest in SHARES:
-        if side == "high":
-            fence = F.least(F.lit(furthest), F.greatest(F.lit(nearest), F.col("q50") + F.lit(width) * (F.col("q50") - F.col("q25"))))
-        else:
-            fence = F.greatest(F.lit(furthest), F.least(F.lit(nearest), F.col("q50") - F.lit(width) * (F.col("q75") - F.col("q50"))))
-        made.append(F.max(F.when(F.col("share") == name, fence)).alias(f"__limit_{name}"))
-    return q.groupBy("lang", "source").agg(*made)
-
-
-#: The least quartile distance of a share, for groups whose documents are nearly alike: one repeated line of three is no junk.
-LEAST_SPREAD = {"symbols": 0.01, "dup_lines": 0.06, "repeats": 0.05, "long_words": 0.25, "short_words": 0.25}
-
-
 def group_limits(sketch: DataFrame, width: float = 6.0, accuracy: float = ACCURACY) -> DataFrame:
-    """As ``limits``, but a group's own quantiles set its limit: no constant holds it away from the clean end.
+    """One row per ``(lang, source)`` with a limit per share, all from the group's own quantiles.
 
-    The quartile distance is ``LEAST_SPREAD`` at least, and what the sketch may be wrong by. A limit
-    never lies beyond ``furthest``.
+    The limit lies ``width`` quartile distances from the median. The distance is that from the median
+    to the quartile on the clean side, which junk above it doesn't stretch. Where most documents have
+    none of what is counted the quartiles tie; there a limit is as far as a few events move the share
+    of a document of the group's length. Word lengths differ by ``LEAST_SPREAD`` of the median at least.
     """
-    q = quantiles(sketch, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, accuracy)
+    q = quantiles(sketch, {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75}, accuracy)
+    wide = q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("share") == name, F.struct("q10", "q25", "q50", "q75"))).alias(name)
+                                             for name in [*(s[0] for s in SHARES), *LENGTHS]])
     made = []
-    for name, _, side, _, furthest in SHARES:
-        own = F.col("q50") - F.col("q25") if side == "high" else F.col("q75") - F.col("q50")
-        spread = F.greatest(own, F.lit(LEAST_SPREAD[name]), F.lit(2 * accuracy) * F.col("q50"))
-        fence = F.least(F.lit(furthest), F.col("q50") + F.lit(width) * spread) if side == "high" else F.greatest(F.lit(furthest), F.col("q50") - F.lit(width) * spread)
-        made.append(F.max(F.when(F.col("share") == name, fence)).alias(f"__limit_{name}"))
-    return q.groupBy("lang", "source").agg(*made)
+    for name, _, side, furthest, events, length, point in SHARES:
+        own = F.col(f"{name}.q50") - F.col(f"{name}.q25") if side == "high" else F.col(f"{name}.q75") - F.col(f"{name}.q50")
+        least = F.lit(float(events)) / F.col(f"{length}.q{round(100 * point)}") if events else F.lit(width * LEAST_SPREAD) * F.col(f"{name}.q50")
+        far = F.greatest(F.lit(width) * own, least)
+        fence = F.least(F.lit(furthest), F.col(f"{name}.q50") + far) if side == "high" else F.greatest(F.lit(furthest), F.col(f"{name}.q50") - far)
+        made.append(F.when(F.col(name).isNotNull(), fence).alias(f"__limit_{name}"))
+    return wide.select("lang", "source", *made)
 
 
-def judge(spark: SparkSession, docs: DataFrame, keep_text: bool = True, fences_of=limits) -> DataFrame:
+def judge(spark: SparkSession, docs: DataFrame, keep_text: bool = True, fences_of=group_limits) -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept``; without ``text`` if it isn't to be kept.
 
     ``kept`` is false if ``base_failed``, or if a share lies beyond the limit of the document's
     language and source (nulls are a group of their own). The limits come from the documents that
-    pass the base, by ``fences_of`` (``limits`` or ``group_limits``). Null and empty texts have no words and fail the base; repeated rows are judged
+    pass the base, by ``fences_of``. Null and empty texts have no words and fail the base; texts are counted
+    whole whatever their length, so a very long one takes memory of a few times its size in its task; repeated rows are judged
     alike and all stay in the result; an empty table gives an empty result; input columns named like
     an added one are replaced. The counts are written below ``spark.checkpoint.dir`` without the texts;
     with ``keep_text`` the texts are counted a second time rather than written or moved.

@@ -31,16 +31,20 @@ covered as (select doc_id, count(distinct i + k) as n from windows semi join oft
 counted as (select base.* exclude (words), coalesce(covered.n, 0) as n_repeat_words,
                    n_words < 50 or 100 * coalesce(covered.n, 0) > 50 * n_words as base_failed from base left join covered using (doc_id)),
 values_ as (unpivot (select doc_id, lang, source, n_symbols::double / n_words as symbols, n_dup_lines::double / n_lines as dup_lines,
-                            n_repeat_words::double / n_words as repeats, word_chars::double / n_words as long_words, word_chars::double / n_words as short_words
-                     from counted where not base_failed) on symbols, dup_lines, repeats, long_words, short_words into name share value v),
+                            n_repeat_words::double / n_words as repeats, word_chars::double / n_words as long_words, word_chars::double / n_words as short_words,
+                            n_words::double as words, case when n_lines > 1 then n_lines::double end as lines
+                     from counted where not base_failed) on symbols, dup_lines, repeats, long_words, short_words, words, lines into name share value v),
 bins as (select lang, source, share, ceil(ln(greatest(v, 1e-6)) / ln(1.01 / 0.99))::int as b, count(*) as n from values_ group by all),
 runs as (select *, sum(n) over (partition by lang, source, share order by b) as seen, sum(n) over (partition by lang, source, share) as total from bins),
-points as (select lang, source, share, exp(min(b) filter (seen >= greatest(ceil(total * 0.25), 1)) * ln(1.01 / 0.99)) * 0.99 as q25,
+points as (select lang, source, share, exp(min(b) filter (seen >= greatest(ceil(total * 0.1), 1)) * ln(1.01 / 0.99)) * 0.99 as q10,
+                  exp(min(b) filter (seen >= greatest(ceil(total * 0.25), 1)) * ln(1.01 / 0.99)) * 0.99 as q25,
                   exp(min(b) filter (seen >= greatest(ceil(total * 0.5), 1)) * ln(1.01 / 0.99)) * 0.99 as q50,
                   exp(min(b) filter (seen >= greatest(ceil(total * 0.75), 1)) * ln(1.01 / 0.99)) * 0.99 as q75 from runs group by all),
-fences as (select lang, source, share, case share when 'symbols' then least(1.0, greatest(0.2, q50 + 6 * (q50 - q25)))
-                  when 'dup_lines' then least(0.8, greatest(0.5, q50 + 6 * (q50 - q25))) when 'repeats' then least(0.5, greatest(0.3, q50 + 6 * (q50 - q25)))
-                  when 'long_words' then least(40.0, greatest(12.0, q50 + 6 * (q50 - q25))) else greatest(1.5, least(2.5, q50 - 6 * (q75 - q50))) end as fence from points),
+lengths as (select lang, source, max(q10) filter (share = 'words') as words, max(q50) filter (share = 'lines') as lines from points group by all),
+fences as (select p.lang, p.source, share, case share when 'symbols' then least(1.0, q50 + greatest(6 * (q50 - q25), 6 / words))
+                  when 'dup_lines' then least(0.8, q50 + greatest(6 * (q50 - q25), 4 / lines)) when 'repeats' then least(0.5, q50 + greatest(6 * (q50 - q25), 36 / words))
+                  when 'long_words' then least(40.0, q50 + greatest(6 * (q50 - q25), 0.3 * q50)) when 'short_words' then greatest(1.5, q50 - greatest(6 * (q75 - q50), 0.3 * q50)) end as fence
+           from points p join lengths l on p.lang is not distinct from l.lang and p.source is not distinct from l.source),
 beyond as (select distinct doc_id from values_ v join fences f on v.share = f.share and v.lang is not distinct from f.lang and v.source is not distinct from f.source
            where case when v.share = 'short_words' then v.v < fence else v.v > fence end)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

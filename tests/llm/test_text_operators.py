@@ -148,10 +148,27 @@ def test_groups_set_their_own_limits(spark):
     assert limit["plain"] < 0.19 < limit["marked"]
 
 
+def test_all_five_limits_differ_by_group(spark):
+    """Two groups of unlike texts: each share has its own limit in each, and one document passes in one only."""
+    def text(n_words, letters, lines):
+        words = [(f"{i}x" + "y" * 40)[:letters] for i in range(n_words)]
+        return "\n".join(" ".join(words[k::lines]) for k in range(lines))
+
+    rows = [(n, text(60 + n, 5, 5), "short") for n in range(20)] + [(100 + n, text(400 + n, 8, 20), "long") for n in range(20)]
+    middle = text(200, 7, 8) + " #" * 2
+    rows += [(50, middle, "short"), (150, middle, "long")]
+    docs = spark.createDataFrame([(n, t, "en", source) for n, t, source in rows], "doc_id bigint, text string, lang string, source string")
+    limits = {r.source: r for r in quality_rules.group_limits(quality_rules.sketches(quality_rules.shares(quality_rules.counts(docs)))).collect()}
+    for name, *_ in quality_rules.SHARES:
+        assert abs(limits["short"][f"__limit_{name}"] - limits["long"][f"__limit_{name}"]) > 0.01, name
+    kept = {r.doc_id for r in quality_rules.judge(spark, docs).where("kept").collect()}
+    assert kept == set(range(20)) | set(range(100, 120)) | {150}  # its words are too long for the other group
+
+
 def test_quantiles_are_near(spark):
     values = [(("en"), "s", float(v)) for v in np.random.default_rng(0).lognormal(size=5000)]
     frame = spark.createDataFrame(values, "lang string, source string, __share_symbols double")
-    for name, *_ in quality_rules.SHARES[1:]:
+    for name in [*(s[0] for s in quality_rules.SHARES[1:]), *quality_rules.LENGTHS]:
         frame = frame.withColumn(f"__share_{name}", F.lit(None).cast("double"))
     row = quality_rules.quantiles(quality_rules.sketches(frame), {"q": 0.5, "r": 0.9}).where("share = 'symbols'").first()
     exact = np.quantile([v[2] for v in values], [0.5, 0.9])
