@@ -12,6 +12,14 @@ met are verified on all 64 bits. Nothing is missed whatever the thresholds; they
 * The thresholds are allocated per fingerprint by dynamic programming over the groups: the cost of a
   group at a threshold is the number of values to probe plus the estimated number of candidates,
   from the counts of the most crowded values and a background of independent bits.
+
+Three bits find copies with hardly a change. ``similar_documents`` finds texts whose sets of shingles have a
+Jaccard similarity of ``SIMILAR`` or more. Such texts differ in up to 15 % of the bits, too many for
+64 of them to leave groups that tell texts apart. So a fingerprint has eight words there, dealt into 32
+groups of 16 bits, with the thresholds allocated as before. All fingerprints within 31 of the 512 bits meet for
+certain. Two texts with a similarity of 0.8 agree in a given group with a chance of 0.85 ** 16, in one of 32
+with 1 - (1 - 0.85 ** 16) ** 32 = 0.91; the more alike they are, the surer. Pairs that meet are
+judged on all 512 bits, and where these leave it open on their shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartoload.llm.common import LOWER, annotate, components, map_arrow, truncate_lineage
@@ -30,24 +38,36 @@ from cartoload.llm.common import LOWER, annotate, components, map_arrow, truncat
 BITS = 64
 SHINGLE = 3
 RADIUS = 3
+SIMILAR = 0.8  # similarity of sets of shingles
+WORDS = 8  # 64-bit words of a long fingerprint
+WIDTH = 16  # bits of a group of a long fingerprint
+#: How many open pairs of a text are judged by their shingles, nearest first, before those inside a component
+#: drop out; at last all that are left.
+ROUNDS = (4, 64, None)
 CROWDED = 256  # how many of the most crowded values the cost estimates know
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit number; 0 for a text without a word."""
+def shingle_hashes(text: str | None, size: int) -> list[int]:
+    """The hashes of a text's shingles, repeats included; none for a text without a word."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
     if len(words) < size:
-        hashes = [hashed(joined, 42)]
-    else:
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(words) - size + 1].tolist()
-        hashes = [hashed(joined[a:b], 42) for a, b in zip(starts, ends[size - 1:].tolist())]
+        return [hashed(joined, 42)]
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(words) - size + 1].tolist()
+    return [hashed(joined[a:b], 42) for a, b in zip(starts, ends[size - 1:].tolist())]
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The fingerprint as a signed 64-bit number; 0 for a text without a word."""
+    hashes = shingle_hashes(text, size)
+    if not hashes:
+        return 0
     octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
@@ -114,20 +134,20 @@ def flips(width: int, threshold: int) -> np.ndarray:
 def allocate(costs: np.ndarray, radius: int) -> np.ndarray:
     """Thresholds per row from ``costs[row, group, threshold + 1]``, by dynamic programming over the groups.
 
-    A group at threshold t uses t + 1 units; all groups together use ``radius + 1`` units.
+    A group at threshold t uses t + 1 units; all groups together use ``radius + 1`` units. No threshold
+    is higher than ``costs`` has columns for.
     """
-    rows, parts, _ = costs.shape
+    rows, parts, most = costs.shape
     units = radius + 1
     best = np.full((rows, units + 1), np.inf)
     best[:, 0] = 0
     chosen = np.zeros((rows, parts, units + 1), dtype=np.int64)
     for g in range(parts):
-        options = np.full((rows, units + 1, units + 1), np.inf)  # [row, units so far, units of this group]
-        for total in range(units + 1):
-            for own in range(total + 1):
-                options[:, total, own] = best[:, total - own] + costs[:, g, own]
-        chosen[:, g] = options.argmin(axis=2)
-        best = options.min(axis=2)
+        options = np.full((most, rows, units + 1), np.inf)  # [units of this group, row, units so far]
+        for own in range(min(most, units + 1)):
+            options[own, :, own:] = best[:, :units + 1 - own] + costs[:, g, own, None]
+        chosen[:, g] = options.argmin(axis=0)
+        best = options.min(axis=0)
     thresholds = np.zeros((rows, parts), dtype=np.int64)
     left = np.full(rows, units)
     for g in reversed(range(parts)):
@@ -238,3 +258,174 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS,
     ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     ids = truncate_lineage(spark, ids, "ids")  # so that the join below may split a fingerprint that very many share
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+# ------------------------------------------------------------------ texts by the similarity of their shingles
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` further hashes of each hash, by the finishing steps of the splitmix64 generator."""
+    steps = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = hashes[:, None] + steps[None, :]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
+
+
+def long_fingerprint(text: str | None, size: int) -> bytes:
+    """The majority over the set of a text's shingles in each of ``64 * WORDS`` bits; zeros without a word."""
+    hashes = shingle_set(text, size)
+    ones = np.zeros(BITS * WORDS, dtype=np.int64)
+    for start in range(0, len(hashes), 4096):
+        octets = mixed(hashes[start:start + 4096]).astype("<u8").view(np.uint8)
+        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def words_of_prints(prints: pa.Array) -> np.ndarray:
+    """``[row, word]`` of long fingerprints."""
+    return np.frombuffer(b"".join(prints.to_pylist()), dtype="<u8").reshape(-1, WORDS)
+
+
+def similar_pairs(spark: SparkSession, classes: DataFrame, close: int) -> DataFrame:
+    """Pairs ``(a, b)``, ``a < b``, of ids whose long fingerprints meet in a group and are near in their first word.
+
+    ``classes`` holds distinct ``(id, fp)`` and is read several times, so it should be a table.
+    """
+    def sums(batches):
+        total, n = np.zeros((WORDS, BITS, BITS), dtype=np.int64), 0
+        for batch in batches:
+            own = words_of_prints(batch.column(0))
+            for w in range(WORDS):
+                bits = np.unpackbits(np.ascontiguousarray(own[:, w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                total[w] += np.rint(bits.T @ bits).astype(np.int64)
+            n += len(own)
+        if n:
+            yield pa.RecordBatch.from_pydict({"bit": list(range(WORDS * BITS)), "n": [n] * WORDS * BITS, "both": total.reshape(-1, BITS).tolist()},
+                                             schema=pa.schema([("bit", pa.int32()), ("n", pa.int64()), ("both", pa.list_(pa.int64()))]))
+
+    partial = map_arrow(classes.select("fp"), "bit int, n bigint, both array<bigint>", sums)
+    rows = partial.groupBy("bit").agg(F.sum("n"), *[F.sum(F.col("both")[k]) for k in range(BITS)]).collect()
+    n = rows[0][1] if rows else 0
+    together = np.zeros((WORDS * BITS, BITS), dtype=np.int64)
+    for row in rows:
+        together[row[0]] = row[2:]
+    together = together.reshape(WORDS, BITS, BITS)
+    per_word = BITS // WIDTH
+    groups = [group_bits(n, together[w], per_word) for w in range(WORDS)]
+    share = [together[w].diagonal() / max(n, 1) for w in range(WORDS)]
+    schema = "key int, id bigint, head bigint"
+
+    def batch_of(part: int, values: np.ndarray, ids: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32) | np.int32(part << WIDTH)), pa.array(ids), pa.array(heads.view(np.int64))], names=["key", "id", "head"])
+
+    def taken(batch):
+        own = words_of_prints(batch.column(1))
+        return batch.column(0).to_numpy(zero_copy_only=False), own, np.ascontiguousarray(own[:, 0])
+
+    def indexed(batches):
+        for batch in batches:
+            ids, own, heads = taken(batch)
+            for w in range(WORDS):
+                for g, group in enumerate(groups[w]):
+                    yield batch_of(w * per_word + g, project(own[:, w], group), ids, heads)
+
+    index = map_arrow(classes.select("id", "fp"), schema, indexed)
+    counted = index.groupBy("key").count().orderBy(F.desc("count"), "key").limit(CROWDED).collect()
+    crowded = []
+    for part in range(WORDS * per_word):
+        mine = [(r[0] & (1 << WIDTH) - 1, r[1]) for r in counted if r[0] >> WIDTH == part and r[1] > 1]
+        crowded.append((np.array([v for v, _ in mine], dtype=np.uint64), np.array([c for _, c in mine], dtype=np.float64)))
+
+    def probed(batches):
+        for batch in batches:
+            every = taken(batch)
+            for start in range(0, len(every[0]), 2000):
+                ids, own, heads = (column[start:start + 2000] for column in every)
+                costs = np.concatenate([probe_costs(own[:, w], groups[w], n, share[w], crowded[w * per_word:(w + 1) * per_word], 1) for w in range(WORDS)], axis=1)
+                thresholds = allocate(costs, WORDS * per_word - 1)
+                for part in range(WORDS * per_word):
+                    w, g = divmod(part, per_word)
+                    value = project(own[:, w], groups[w][g])
+                    for t in (0, 1):
+                        mine = thresholds[:, part] == t
+                        if mine.any():
+                            near = flips(WIDTH, t)
+                            yield batch_of(part, (value[mine][:, None] ^ near[None, :]).ravel(), np.repeat(ids[mine], len(near)), np.repeat(heads[mine], len(near)))
+
+    probes = map_arrow(classes.select("id", "fp"), schema, probed).withColumnsRenamed({"id": "probe", "head": "probe_head"})
+    met = probes.join(index, "key").where((F.col("probe") != F.col("id")) & (F.bit_count(F.col("probe_head").bitwiseXOR(F.col("head"))) <= close))
+    return met.select(F.least("probe", "id").alias("a"), F.greatest("probe", "id").alias("b")).distinct()
+
+
+def spread(similarity: float, bits: int, errors: float) -> int:
+    """Bits of ``bits`` in which texts of a similarity differ, ``errors`` standard errors off the mean."""
+    chance = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * chance + errors * np.sqrt(bits * chance * (1 - chance)))
+
+
+def between(spark: SparkSession, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ``pairs`` whose ends are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.withColumnsRenamed({"node": end, "component": f"in_{end}"}), end, "left")
+    apart = F.coalesce("in_a", "a") != F.coalesce("in_b", "b")
+    return truncate_lineage(spark, pairs.where(apart).select("a", "b", "apart"), "open")
+
+
+def nearest(pairs: DataFrame, most: int) -> DataFrame:
+    """The pairs that are among the ``most`` nearest of one of their ends."""
+    ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
+    ranked = ends.withColumn("place", F.row_number().over(Window.partitionBy("end").orderBy("apart", "a", "b")))
+    return ranked.where(F.col("place") <= most).select("a", "b", "apart").distinct()
+
+
+def similar_documents(spark: SparkSession, docs: DataFrame, similarity: float = SIMILAR, size: int = 5) -> DataFrame:
+    """``(doc_id, component_id)`` per row of ``docs``: the smallest ``doc_id`` reachable over similar texts.
+
+    Two texts link if the sets of their shingles of ``size`` words have a Jaccard similarity of
+    ``similarity`` or more and their fingerprints meet (see above for the chance of that). A pair far
+    nearer or farther on 512 bits than the similarity asks for is decided by them, at three standard
+    errors; a pair between them only if the surer ones don't join it already, by its shingles. Equal
+    fingerprints are one class, so copies cost nothing; a class is judged by its smallest text.
+    Texts without a word are one class; texts are taken whole, a very long one in its task. Repeated rows each get a
+    row; rows with a null ``doc_id`` link with nothing and have a null ``component_id``; other columns are ignored; an empty
+    table gives an empty result.
+    """
+    bits = BITS * WORDS
+    named = docs.select("doc_id", "text")
+    marked = truncate_lineage(spark, annotate(named, ["text"], "fp binary", lambda texts: [[long_fingerprint(t, size) for t in texts.to_pylist()]]).select("doc_id", "fp"), "fingerprints")
+    classes = truncate_lineage(spark, marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")).select("id", "fp"), "classes")
+    # An id that stands for two texts is one node, so its classes are one, too.
+    prints = classes.groupBy("id").agg(F.min("fp").alias("fp")) if classes.groupBy("id").count().where("count > 1").count() else classes
+    pairs = truncate_lineage(spark, similar_pairs(spark, classes, spread(similarity, BITS, 4)), "pairs")
+    sides = pairs.join(prints.select(F.col("id").alias("a"), F.col("fp").alias("fp_a")), "a").join(prints.select(F.col("id").alias("b"), F.col("fp").alias("fp_b")), "b")
+
+    def apart(left: pa.Array, right: pa.Array) -> list:
+        return [np.bitwise_count(words_of_prints(left) ^ words_of_prints(right)).sum(axis=1, dtype=np.int64)]
+
+    near = annotate(sides, ["fp_a", "fp_b"], "apart bigint", apart).select("a", "b", "apart").where(F.col("apart") <= spread(similarity, bits, 3))
+    near = truncate_lineage(spark, near, "near")
+    surely = spread(similarity, bits, -3)
+    labels = truncate_lineage(spark, components(spark, near.where(F.col("apart") <= surely)), "labels")
+    rest = between(spark, near.where(F.col("apart") > surely), labels)
+    ends = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct()
+    texts = named.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = truncate_lineage(spark, annotate(texts, ["text"], "hashes array<bigint>", lambda t: [[shingle_set(x, size).view(np.int64) for x in t.to_pylist()]]).drop("text"), "sets")
+    for most in ROUNDS:
+        if rest.isEmpty():
+            break
+        tried = truncate_lineage(spark, nearest(rest, most), "tried") if most else rest
+        both = tried.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("of_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("of_b")), "b")
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        alike = both.where(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+        # The labels so far are links, too: from each node to its component.
+        labels = truncate_lineage(spark, components(spark, labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike)), "labels")
+        if most:
+            rest = between(spark, rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), labels)
+    node = classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
+    ids = truncate_lineage(spark, node.select("fp", F.coalesce("component", "id").alias("component_id")), "ids")
+    return marked.join(ids, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -110,6 +110,64 @@ def test_threshold_allocation():
     assert simhash.allocate(costs, 3).tolist() == [[1, 1], [-1, 3]]
 
 
+def plain_similar(rows, size=5):
+    """Smallest id reachable over pairs with a Jaccard similarity of 0.8 or more, by comparing all pairs."""
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        return frozenset(" ".join(words[i:i + size]) for i in range(len(words) - size + 1)) or frozenset([" ".join(words)] if words else [])
+
+    sets = {d: shingles(t) for d, t in rows}
+    top = {d: d for d in sets}
+    for _ in sets:
+        before = dict(top)
+        for a in sets:
+            for b in sets:
+                common = len(sets[a] & sets[b])
+                if a < b and (sets[a] == sets[b] or common >= 0.8 * (len(sets[a]) + len(sets[b]) - common)):
+                    top[a] = top[b] = min(top[a], top[b])
+        if top == before:
+            break
+    return top
+
+
+@pytest.mark.parametrize("rounds", [(4, 64, None), (1, None)])
+def test_similar_documents_brute_force(spark, monkeypatch, rounds):
+    """Families of texts with ever more words changed: what brute force joins is joined, and nothing else."""
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    rng = np.random.default_rng(7)
+    rows = []
+    for family in range(30):
+        base = [f"w{n}" for n in rng.integers(0, 5000, 300)]
+        rows.append((len(rows), " ".join(base)))
+        for changes in (0, 1, 2, 4, 5, 8, 40):
+            words = list(base)
+            for at in rng.integers(0, 300, changes):
+                words[at] = f"new{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = plain_similar(rows)
+    linked = [d for d in want if want[d] != d]
+    assert len(linked) > 100 and sum(found[d] == want[d] for d in linked) >= 0.97 * len(linked)
+    joined = {}
+    for d, c in found.items():
+        joined.setdefault(c, set()).add(want[d])
+    assert all(len(v) == 1 or c in v for c, v in joined.items()) and sum(len(v) > 1 for v in joined.values()) == 0
+
+
+def test_similar_documents_edges(spark, odd):
+    rows = simhash.similar_documents(spark, odd).collect()
+    assert len(rows) == len(ODD)
+    assert {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (7, 7), (None, None)}
+    assert simhash.similar_documents(spark, odd.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n"), (3, "A b c d e f g"), (4, "p q")], "doc_id bigint, text string")
+    assert {r.component_id for r in simhash.similar_documents(spark, twice).where("doc_id < 4").collect()} == {1}
+
+
+def test_thresholds_stay_within_the_costs():
+    costs = np.array([[[0, 1, 9], [0, 90, 99], [0, 2, 3]]], dtype=float)
+    assert simhash.allocate(costs, 2).tolist() == [[0, -1, 1]]
+
+
 def test_quality_counts():
     def plain(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
