@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoload.llm.common import annotate, map_arrow, scratch, slices, truncate_lineage
+from cartoload.llm.common import annotate, map_arrow, release, scratch, slices, truncate_lineage
 
 #: Fixed value: the pattern of the byte-level vocabulary's pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pattern's white space, as Unicode has it (Python's ``\s`` also takes the separators U+001C to U+001F).
 SPACE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEXICON_WORDS = 50_000
-KNOWN_WORDS = 700_000  # words a task remembers; beyond it starts afresh
+KNOWN_WORDS = 1_000_000  # counts a task holds before it adds them up, and hands over when they stay many
+TEXT_BYTES = 8_000_000  # of texts looked at together
 FAR = np.iinfo(np.int64).max
 
 
@@ -46,6 +46,18 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def octets_of(words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(octets, sizes)``: the words' bytes one after the other, and how many each has."""
+    if not isinstance(words, pa.Array):
+        words = pa.array(words, type=pa.large_binary())
+    if not len(words):
+        return np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64)
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8) if words.buffers()[2] else np.zeros(0, dtype=np.uint8)
+    return data[ends[0]:ends[-1]], np.diff(ends)
+
+
 class Vocabulary:
     """Symbols, merges and bytes of a tokenizer file of the BPE kind."""
 
@@ -78,19 +90,21 @@ class Vocabulary:
         return np.where(self.keys[at] == wanted, self.ranks[at], FAR)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, lengths)`` of the words, none of them empty.
+        """``(ids, lengths)`` of the words, none of them empty."""
+        return self.merge_octets(*octets_of(words))
+
+    def merge_octets(self, octets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, lengths)`` of words that lie one after the other; empty ones have no ids.
 
         Round by round every word merges all places of its best-ranked pair, left to right, until no
         word has a pair left. A merged symbol's own merges rank later, so this is the one-by-one order.
         """
-        if not words:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        octets = np.frombuffer(b"".join(words), dtype=np.uint8)
+        if not len(octets):
+            return np.zeros(0, dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
         symbols = self.inner[octets]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes)[sizes > 0]
         symbols[ends - 1] = self.last[octets[ends - 1]]
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         done_symbols, done_owner = [], []
         rank = np.full(len(symbols), FAR)
         same = owner[:-1] == owner[1:]
@@ -129,7 +143,7 @@ class Vocabulary:
             rank[inside] = self.rank(symbols[inside], symbols[inside + 1])
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
         order = np.argsort(owner, kind="stable")
-        return symbols[order], np.bincount(owner, minlength=len(words))
+        return symbols[order], np.bincount(owner, minlength=len(sizes))
 
 
 # ---------------------------------------------------------------------------- the lexicon automaton
@@ -208,13 +222,15 @@ class Lexicon:
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Place of each word in the table of ids, -1 if the lexicon doesn't hold it."""
-        found = np.full(len(words), -1, dtype=np.int64)
-        if not words or not len(self.keys):
+        return self.find_octets(*octets_of(words))
+
+    def find_octets(self, octets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``find`` of words that lie one after the other."""
+        found = np.full(len(sizes), -1, dtype=np.int64)
+        if not len(sizes) or not len(self.keys):
             return found
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        octets = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        active, state, total = np.arange(len(words)), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        active, state, total = np.arange(len(sizes)), np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
         depth = 0
         while len(active):
             ended = sizes[active] == depth
@@ -252,98 +268,143 @@ def cut_run(run: str, lead: str, pattern: regex.Pattern) -> list[str]:
     return [lead + body, run[len(body):]] if body.isalpha() else pattern.findall(lead + run)
 
 
-def loose_pattern() -> regex.Pattern:
-    """A space with white space or nothing behind it. Texts without it are cut by the vocabulary's
-    pattern at every space, so that what stands between spaces can be looked up as a whole."""
-    return regex.compile(rf" (?:[{SPACE}]|\Z)")
+#: For Arrow's regular expressions, whose ``\p{L}`` is what Python calls a letter: a space with white space or
+#: nothing behind it (texts without it are cut by the vocabulary's pattern at every space, so that what stands
+#: between spaces can be looked up as a whole); a run of letters; letters and then marks.
+LOOSE = " (?:[" + regex.sub(r"\\u([0-9a-f]{4})|\\x([0-9a-f]{2})", r"\\x{\1\2}", SPACE) + r"]|\z)"
+LETTERS = r"^\p{L}+\z"
+ENDING = r"^(?P<body>\p{L}+)(?P<tail>[" + regex.sub(r"([^\w])", r"\\\1", MARKS) + r"]+)\z"
+
+
+class Cutter:
+    """Cuts texts into words with Arrow's kernels; only runs of an unusual make go through the pattern one by one."""
+
+    def __init__(self, special: Iterable[str] = ()):
+        self.pattern = pieces_pattern()
+        self.special = list(special)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are cut at every space and hold no special token."""
+        other = pc.match_substring_regex(texts, pattern=LOOSE)
+        for token in self.special:
+            other = pc.or_(other, pc.match_substring(texts, pattern=token))
+        return ~other.to_numpy(zero_copy_only=False)
+
+    def runs(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """``(words, of_run, per_run, run_of_piece, offsets)`` of plain texts.
+
+        ``words`` are distinct; ``of_run`` are their places in all distinct runs, ``per_run`` of them each; the
+        pieces of text ``i`` are ``run_of_piece[offsets[i]:offsets[i + 1]]``. A text's first piece has no space before it.
+        """
+        lists = pc.split_pattern(texts, pattern=" ")
+        offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        run_of_piece = coded.indices.to_numpy().astype(np.int64)
+        heads = coded.dictionary.take(pa.array(run_of_piece[offsets[:-1]])).dictionary_encode()
+        run_of_piece[offsets[:-1]] = len(coded.dictionary) + heads.indices.to_numpy()
+        bodies = pa.concat_arrays([coded.dictionary, heads.dictionary])
+        leads = [" "] * len(coded.dictionary) + [""] * len(heads.dictionary)
+        return *self.words_of_runs(bodies, pa.array(leads, type=bodies.type)), run_of_piece, offsets
+
+    def words_of_runs(self, bodies: pa.Array, leads: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """``(words, of_run, per_run)``: distinct words, the place of each run's words in them, and how many it has."""
+        letters = pc.match_substring_regex(bodies, pattern=LETTERS).to_numpy(zero_copy_only=False)
+        marked = np.flatnonzero(~letters)
+        ending = pc.extract_regex(bodies.take(pa.array(marked)), pattern=ENDING)
+        valid = ending.is_valid().to_numpy(zero_copy_only=False)
+        one, two, other = np.flatnonzero(letters), marked[valid], marked[~valid]
+        ending = ending.filter(pa.array(valid))
+        nothing = pa.scalar("", bodies.type)
+        joined = pc.binary_join_element_wise(leads, bodies, nothing)
+        first = pc.binary_join_element_wise(leads.take(pa.array(two)), ending.field("body").cast(bodies.type), nothing)
+        found = [self.pattern.findall(run) for run in joined.take(pa.array(other)).to_pylist()]
+        per_run = np.ones(len(bodies), dtype=np.int64)
+        per_run[two] = 2
+        per_run[other] = list(map(len, found))
+        at = np.cumsum(per_run) - per_run
+        place = np.empty(int(per_run.sum()), dtype=np.int64)
+        place[at[one]] = np.arange(len(one))
+        place[at[two]] = len(one) + np.arange(len(two))
+        place[at[two] + 1] = len(one) + len(two) + np.arange(len(two))
+        rest = per_run[other]
+        steps = np.arange(rest.sum())
+        place[np.repeat(at[other] - (np.cumsum(rest) - rest), rest) + steps] = len(one) + 2 * len(two) + steps
+        listed_words = pa.array([w for ws in found for w in ws], type=bodies.type)
+        coded = pa.concat_arrays([joined.take(pa.array(one)), first, ending.field("tail").cast(bodies.type), listed_words]).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy()[place], per_run
 
 
 class Encoder:
-    """Encodes texts; remembers words, and runs of words that it has met."""
+    """Encodes texts; every distinct run and word of the texts given together is looked at once."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.pattern, self.loose = pieces_pattern(), loose_pattern()
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
-        self.reset()
-
-    def reset(self) -> None:
-        self.words: dict[str, int] = {}
-        self.runs: dict[str, dict[str, int]] = {"": {}, " ": {}}  # by what stands before the run
-        self.flat = self.starts = self.lengths = np.zeros(0, dtype=np.int64)
-
-    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
-        first = len(self.starts)
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
-        self.flat, self.lengths = np.r_[self.flat, ids], np.r_[self.lengths, lengths]
-        return range(first, first + len(lengths))
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of words; new ones are looked up in the lexicon, or merged."""
-        fresh = list(set(words).difference(self.words))
-        if fresh:
-            raw = [w.encode() for w in fresh]
-            at = self.lexicon.find(raw) if self.lexicon else np.full(len(raw), -1)
-            held, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-            if len(held):
-                n = self.lexicon.lengths[at[held]]
-                self.words.update(zip((fresh[i] for i in held), self._add(gather(self.lexicon.ids, self.lexicon.starts[at[held]], n), n)))
-            self.words.update(zip((fresh[i] for i in rest), self._add(*self.vocabulary.merge([raw[i] for i in rest]))))
-        return np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def _run_numbers(self, runs: list[str], lead: str) -> np.ndarray:
-        known = self.runs[lead]
-        fresh = list(set(runs).difference(known))
-        if fresh:
-            cut = [cut_run(run, lead, self.pattern) for run in fresh]
-            words = self._numbers([w for ws in cut for w in ws])
-            ends = np.r_[0, np.cumsum(self.lengths[words])][np.cumsum([0, *map(len, cut)])]
-            known.update(zip(fresh, self._add(gather(self.flat, self.starts[words], self.lengths[words]), np.diff(ends))))
-        return np.fromiter(map(known.__getitem__, runs), dtype=np.int64, count=len(runs))
+        self.cutter = Cutter(vocabulary.special)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, starts, lengths)`` of distinct words, looked up in the lexicon or merged."""
+        octets, sizes = octets_of(words)
+        if not self.lexicon:
+            ids, lengths = self.vocabulary.merge_octets(octets, sizes)
+            return ids, np.cumsum(lengths) - lengths, lengths
+        at = self.lexicon.find_octets(octets, sizes)
+        held, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        begins = np.cumsum(sizes) - sizes
+        ids, merged = self.vocabulary.merge_octets(gather(octets, begins[rest], sizes[rest]), sizes[rest])
+        starts, lengths = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
+        starts[rest], lengths[rest] = len(self.lexicon.ids) + np.cumsum(merged) - merged, merged
+        starts[held], lengths[held] = self.lexicon.starts[at[held]], self.lexicon.lengths[at[held]]
+        return np.concatenate([self.lexicon.ids, ids]), starts, lengths
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Texts that are cut at their spaces."""
-        lists = pc.split_pattern(texts, pattern=" ")
-        offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-        coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        numbers = self._run_numbers(distinct, " ")[coded.indices.to_numpy()]
-        first = offsets[:-1]
-        numbers[first] = self._run_numbers([distinct[k] for k in coded.indices.to_numpy()[first]], "")
-        return self._ids(numbers, offsets)
-
-    def _ids(self, numbers: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = self.lengths[numbers]
-        return gather(self.flat, self.starts[numbers], lengths), np.diff(np.r_[0, np.cumsum(lengths)][offsets])
+        words, of_run, per_run, run_of_piece, offsets = self.cutter.runs(texts)
+        ids, starts, lengths = self.words(words)
+        run_lengths = lengths[of_run]
+        ids = gather(ids, starts[of_run], run_lengths)
+        ends = np.r_[0, np.cumsum(run_lengths)][np.r_[0, np.cumsum(per_run)]]
+        starts, lengths = ends[:-1], np.diff(ends)
+        piece_lengths = lengths[run_of_piece]
+        return gather(ids, starts[run_of_piece], piece_lengths), np.diff(np.r_[0, np.cumsum(piece_lengths)][offsets])
 
     def _other(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Texts that the pattern has to go through, or that hold special tokens."""
-        ids, lengths = [np.zeros(0, dtype=np.int64)], []
+        special = self.vocabulary.special
+        words, own, per_text = [], [], []
         for text in texts:
-            n = 0
-            for part in self.cut.split(text) if self.cut else [text]:
-                if part in self.vocabulary.special:
-                    own = np.array([self.vocabulary.special[part]])
+            before = len(words)
+            for part in self.cutter.cut.split(text) if self.cutter.cut else [text]:
+                if part in special:
+                    own.append((len(words), special[part]))
+                    words.append("")
                 else:
-                    numbers = self._numbers(self.pattern.findall(part))
-                    own = gather(self.flat, self.starts[numbers], self.lengths[numbers])
-                ids.append(own)
-                n += len(own)
-            lengths.append(n)
-        return np.concatenate(ids), np.array(lengths, dtype=np.int64)
+                    words.extend(self.cutter.pattern.findall(part))
+            per_text.append(len(words) - before)
+        if not words:
+            return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        coded = pa.array(words, type=pa.large_string()).dictionary_encode()
+        ids, starts, lengths = self.words(coded.dictionary)
+        number = coded.indices.to_numpy()
+        starts, lengths = starts[number], lengths[number]
+        if own:  # special tokens stand behind all other ids
+            places, tokens = map(list, zip(*own))
+            starts[places], lengths[places] = len(ids) + np.arange(len(own)), 1
+            ids = np.concatenate([ids, np.array(tokens, dtype=np.int64)])
+        return gather(ids, starts, lengths), np.diff(np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(per_text)]])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, lengths)``: the ids of all texts in a row, and how many each has."""
-        if len(self.words) + len(self.runs[" "]) > KNOWN_WORDS:
-            self.reset()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        other = np.array([bool(self.loose.search(t) or (self.cut and self.cut.search(t))) for t in texts.to_pylist()])
+        plain = self.cutter.plain(texts)
+        if plain.all():
+            return self._plain(texts)
         ids, lengths = [], np.zeros(len(texts), dtype=np.int64)
         starts = np.zeros(len(texts), dtype=np.int64)
         done = 0
-        for rows, encode in ((np.flatnonzero(~other), self._plain), (np.flatnonzero(other), lambda chosen: self._other(chosen.to_pylist()))):
+        for rows, encode in ((np.flatnonzero(plain), self._plain), (np.flatnonzero(~plain), lambda chosen: self._other(chosen.to_pylist()))):
             if len(rows):
                 made, n = encode(texts.take(pa.array(rows)))
                 ids.append(made)
@@ -355,37 +416,41 @@ class Encoder:
 def count_words(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts, summed per task before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, loose = pieces_pattern(), loose_pattern()
-        runs, words = Counter(), Counter()
-
-        def out():
-            for piece, n in runs.items():
-                for word in cut_run(piece, " ", pattern):
-                    words[word] += n
-            rows = pa.RecordBatch.from_arrays([pa.array(list(words), type=pa.string()), pa.array(list(words.values()), type=pa.int64())], names=["word", "n"])
-            runs.clear()
-            words.clear()
-            return rows
-
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            texts = pc.fill_null(batch.column(0), "")
-            plain = np.ones(len(texts), dtype=bool)
-            for place, text in enumerate(texts.to_pylist()):
-                if loose.search(text):
-                    plain[place] = False
-                    words.update(pattern.findall(text))
-                else:
-                    head = text.split(" ", 1)[0]
-                    words.update(cut_run(head, "", pattern))
-                    runs[head] -= 1  # counted below as if it had a space before it
-            counted = pc.split_pattern(texts.filter(pa.array(plain)), pattern=" ").flatten().value_counts()
-            for piece, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist()):
-                runs[piece] += n
-            if len(runs) + len(words) > KNOWN_WORDS:
-                yield out()
-        yield out()
-
-    return map_arrow(docs.select("text"), "word string, n bigint", run).groupBy("word").agg(F.sum("n").alias("n"))
+        cutter = Cutter()
+        held: list[pa.Table] = []
+
+        def add(words: pa.Array, n: np.ndarray | pa.Array) -> None:
+            held.append(pa.table({"word": words.cast(pa.large_string()), "n": pa.array(n, type=pa.int64())}))
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from rows.cast(pa.schema([("word", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=100_000)
+
+        for batch in (part for whole in batches for part in slices(whole, 0, TEXT_BYTES)):
+            texts = pc.fill_null(batch.column(0).cast(pa.large_string()), "")
+            plain = cutter.plain(texts)
+            if plain.any():
+                words, of_run, per_run, run_of_piece, _ = cutter.runs(texts.filter(pa.array(plain)))
+                n = np.repeat(np.bincount(run_of_piece, minlength=len(per_run)), per_run)
+                total = np.bincount(of_run, weights=n, minlength=len(words)).astype(np.int64)
+                add(words, total)
+            for text in texts.filter(pa.array(~plain)).to_pylist():
+                counted = pa.array(cutter.pattern.findall(text), type=pa.large_string()).value_counts()
+                add(counted.field(0), counted.field(1))
+            if sum(map(len, held)) > KNOWN_WORDS:
+                held = [summed()]
+                if len(held[0]) > KNOWN_WORDS // 2:
+                    yield from out(held[0])
+                    held = []
+        if held:
+            yield from out(summed())
+        held = []
+        release()
+
+    counted = map_arrow(docs.select("text"), "word string, n bigint", run).where("n > 0")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary_text: str, size: int = LEXICON_WORDS) -> str:
@@ -461,7 +526,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary_text: str, lexicon_w
         ids, lengths = state[0][0].encode(texts)
         return [listed(ids, lengths), state[0][1].decode(ids, lengths)] if decoded else [listed(ids, lengths)]
 
-    return annotate(docs, ["text"], "ids array<int>, decoded string" if decoded else "ids array<int>", run)
+    return annotate(docs, ["text"], "ids array<int>, decoded string" if decoded else "ids array<int>", run, TEXT_BYTES)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, vocabulary_text: str) -> DataFrame:

@@ -55,10 +55,10 @@ def release() -> None:
         trim(0)
 
 
-def annotate(df: DataFrame, uses: list[str], fields: str, function: Callable[..., list]) -> DataFrame:
+def annotate(df: DataFrame, uses: list[str], fields: str, function: Callable[..., list], text_bytes: int = SLICE) -> DataFrame:
     """``df`` with the columns ``fields`` that ``function`` makes of the columns ``uses``, batch by batch.
 
-    ``function`` takes one Arrow array per used column and returns one list or array per field. An
+    ``function`` gets about ``text_bytes`` of the first used column at once; it takes one Arrow array per used column and returns one list or array per field. An
     input column named like a field (in any case) is replaced, as by ``withColumn``.
     """
     added = T._parse_datatype_string(fields)
@@ -72,7 +72,7 @@ def annotate(df: DataFrame, uses: list[str], fields: str, function: Callable[...
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, use[0])):
+        for batch in (part for whole in batches for part in slices(whole, use[0], text_bytes)):
             made = function(*[batch.column(i) for i in use])
             new = [m if isinstance(m, pa.Array) else pa.array(m, type=t) for m, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in stay] + new, names=names)
