@@ -87,14 +87,17 @@ select page_id, payload_bytes, payload_digest, case when first_id = page_id then
        case when first_id <> page_id then first_id end as refers_to from f
 """)
 def op1_warc(spark, folder):
-    """Every page through the archive and back."""
+    """Every page through the archive and back: whole records are made, and cut into headers and blocks again."""
     archive = scratch(spark, "archive")
     warc.write_archive(spark, table(spark, folder, "pages").select("page_id", "url", "html"), archive)
-    back = warc.read_archive(spark, archive)
-    return back.select(
-        warc.field("X-Page-ID").cast("bigint").alias("page_id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"), warc.field("WARC-Type").alias("record_type"),
-        warc.field("X-Refers-To-Page-ID").cast("bigint").alias("refers_to"))
+    raw = warc.records(warc.read_archive(spark, archive)).select("record")
+    kind = warc.field("WARC-Type")
+    own = kind == "response"  # a revisit has no block; what it states of its payload was held against the stored one above
+    return warc.parse_records(raw).select(
+        warc.field("X-Page-ID").cast("bigint").alias("page_id"),
+        F.when(own, F.octet_length("block")).otherwise(warc.field("X-Payload-Length").cast("bigint")).cast("bigint").alias("payload_bytes"),
+        F.when(own, F.sha2("block", 256)).otherwise(F.substring_index(warc.field("WARC-Payload-Digest"), ":", -1)).alias("payload_digest"),
+        kind.alias("record_type"), warc.field("X-Refers-To-Page-ID").cast("bigint").alias("refers_to"))
 
 
 #: The rules of the query: (rule, action).
