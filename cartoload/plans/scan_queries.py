@@ -399,6 +399,40 @@ def shapefile_polygons(spark, folder):
     return _shape_columns(shapefile.scan(spark, {"file_path": supplier_shapes(spark, folder, shape)}).frame)
 
 
+MEMO_DBF = [("DOC_ID", "N", 18, 0), ("LANG", "C", 8, 0), ("BODY", "M", 10, 0)]
+
+
+def document_memos(spark, folder):
+    """The documents as shapefiles with a memo column; documents of one text in a file share its memo."""
+    rows = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("DOC_ID"), F.col("lang").alias("LANG"), F.coalesce("text", F.lit("")).alias("BODY"))
+    path = scratch(spark, "memo") + "/documents.shp"
+
+    def save(stem, data):
+        held, places, size = [struct.pack("<I16xH", 0, 512).ljust(512, b"\0")], {"": ""}, 1
+        for text in data["BODY"].to_pylist():
+            if text not in places:
+                raw = text.encode()
+                block = b"\xff\xff\x08\x00" + struct.pack("<I", len(raw) + 8) + raw
+                held.append(block + b"\0" * (-len(block) % 512))
+                places[text], size = str(size), size + len(held[-1]) // 512
+        cells = [(row["DOC_ID"], row["LANG"], places[row["BODY"]].rjust(10)) for row in data.to_pylist()]
+        contents = files.shapefile_bytes([files.point_record(row[0], 0) for row in cells], MEMO_DBF, cells)
+        contents = {".dbt": b"".join(held), ".dbf": b"\x8b" + contents[".dbf"][1:], ".shx": contents[".shx"], ".shp": contents[".shp"]}
+        for suffix, content in contents.items():
+            files.put_file(stem + suffix, lambda sink, c=content: sink.write(c))
+
+    return files.write_files(rows, path, ".shp", save)
+
+
+@query("shapefile_memos", """
+SELECT doc_id, lang, nullif(text, '') AS body, 'POINT(' || doc_id || ' 0)' AS geometry FROM documents""")
+def shapefile_memos(spark, folder):
+    """Memo columns, whole texts read by their pointers into the memo file."""
+    found = shapefile.scan(spark, {"file_path": document_memos(spark, folder), "split_records": 1000}).frame
+    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 @query("workbook_scan", """
 SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus,
        regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') AS o_totalprice,

@@ -1,11 +1,13 @@
 """Shapefiles, one task per run of records.
 
 The ``.shx`` index has one fixed-size entry per record and the ``.dbf`` table has fixed-width rows,
-so a task reads exactly the bytes of its own records from all three files.
+so a task reads exactly the bytes of its own records from all three files, and of a memo file the
+blocks that they point to.
 """
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +23,7 @@ from cartoload.functions.geometry import path_text, plain
 from cartoload.functions.names import table_name
 from cartoload.functions.types import DBF_TYPES
 from cartoload.sources.base import Scan, project, quoted
+from cartoload.sources.memo import MemoFile, pointers
 
 RECORDS_PER_SPLIT = 100_000
 BATCH_RECORDS = 10_000
@@ -37,7 +40,7 @@ def sibling(path: str, extension: str) -> str:
 
 
 def dbf_fields(path: str):
-    """``(row count, header bytes, row dtype, [(name, kind letter)])`` of a ``.dbf``."""
+    """``(row count, header bytes, row dtype, [(name, kind letter)], version)`` of a ``.dbf``."""
     with open_input(path) as handle:
         head = np.frombuffer(handle.read(32), DBF_HEADER)[0]
         described = handle.read(int(head["header"]) - 32)
@@ -46,7 +49,7 @@ def dbf_fields(path: str):
     columns = [(item["name"].decode("utf-8"), item["kind"].decode(), int(item["width"])) for item in fields]
     row = np.dtype([("deleted", "S1")] + [(f"f{i}", f"V{width}") for i, (_, _, width) in enumerate(columns)])
     kept = [(name, kind) for name, kind, _ in columns]
-    return int(head["rows"]), int(head["header"]), row, kept
+    return int(head["rows"]), int(head["header"]), row, kept, int(head["version"])
 
 
 def _texts(cells: np.ndarray) -> list[str]:
@@ -58,8 +61,6 @@ def attribute(cells: np.ndarray, kind: str) -> pa.Array:
     """One DBF column in its stored form: text for most, numbers for the binary kinds."""
     width = cells.dtype.itemsize
     packed = np.ascontiguousarray(cells)
-    if kind == "M":
-        raise ValueError("memo columns are kept in a file of their own, which is not read")
     if kind == "I":
         return pa.array(packed.view("<i4"), pa.int32())
     if kind == "Y":
@@ -167,12 +168,14 @@ class ShapefileReader(DataSourceReader):
             yield from self.read_range(piece)
 
     def read_range(self, part: RecordRange):
-        rows, header, row_type, fields = dbf_fields(sibling(part.path, ".dbf"))
+        rows, header, row_type, fields, version = dbf_fields(sibling(part.path, ".dbf"))
+        memos = [i for i, (_, kind) in enumerate(fields) if kind == "M"]
         target = stored_schema(fields)
         if rows < part.last:
             raise ValueError(f"{part.path} has more shapes than table rows")
         with (open_input(part.path) as shapes, open_input(sibling(part.path, ".shx")) as index,
-              open_input(sibling(part.path, ".dbf")) as table):
+              open_input(sibling(part.path, ".dbf")) as table,
+              MemoFile(sibling(part.path, ".dbf"), version) if memos else nullcontext() as blocks):
             for first in range(part.first, part.last, BATCH_RECORDS):
                 count = min(BATCH_RECORDS, part.last - first)
                 index.seek(100 + 8 * first)
@@ -183,9 +186,20 @@ class ShapefileReader(DataSourceReader):
                 wkt = [shape_wkt(body[at - start + 8: at - start + 8 + size]) for at, size in entries.tolist()]
                 table.seek(header + first * row_type.itemsize)
                 cells = np.frombuffer(table.read(count * row_type.itemsize), row_type)
-                arrays = [attribute(cells[f"f{i}"], kind) for i, (_, kind) in enumerate(fields)]
-                batch = pa.RecordBatch.from_arrays(arrays + [pa.array(wkt, pa.string())], schema=target)
-                yield batch
+                arrays = [None if i in memos else attribute(cells[f"f{i}"], kind) for i, (_, kind) in enumerate(fields)]
+                yield from with_memos(arrays + [pa.array(wkt, pa.string())], cells, memos, blocks, target)
+
+
+def with_memos(arrays: list, cells: np.ndarray, memos: list[int], blocks: MemoFile | None, target: pa.Schema):
+    """Batches of the records; of one memo column after the other, as many records as its memos leave room for."""
+    if not memos:
+        yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        return
+    column, rest = memos[0], memos[1:]
+    for first, last, texts in blocks.texts(pointers(cells[f"f{column}"])):
+        run = [array if array is None else array.slice(first, last - first) for array in arrays]
+        run[column] = texts
+        yield from with_memos(run, cells[first:last], rest, blocks, target)
 
 
 def stored_schema(fields) -> pa.Schema:
@@ -211,7 +225,7 @@ class ShapefileSource(DataSource):
 
 def scan(spark: SparkSession, options: dict) -> Scan:
     path = options["file_path"]
-    rows, _, _, fields = dbf_fields(sibling(first_file(path, ".shp"), ".dbf"))
+    rows, _, _, fields, _ = dbf_fields(sibling(first_file(path, ".shp"), ".dbf"))
     if rows == 0:
         raise ValueError(f"Could not get the first feature for {path}")
     reader = spark.read.format("shapefile")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cartoload.plans import sample_files as files
 from cartoload.session import scratch
-from cartoload.sources import avro, delimited, geojson, ipc, parquet, shapefile, workbook
+from cartoload.sources import avro, delimited, geojson, ipc, memo, parquet, shapefile, workbook
 from cartoload.sources.dispatch import scan
 from cartoload.sources.manifest import classify, parse_options
 
@@ -367,9 +367,75 @@ def test_shapefile_splits_and_kinds(spark, tmp_path):
     assert found[7] == "MULTIPOLYGON(((0 0,0 2,2 2,2 0,0 0),(0.5 0.5,1 0.5,1 1,0.5 0.5)),((9 9,9 10,10 10,9 9)))"
 
 
-def test_memo_columns_fail(spark, tmp_path):
-    with pytest.raises(ValueError, match="memo"):
-        shapefile.attribute(np.zeros((1, 10), dtype="u1").view("V10")[:, 0], "M")
+def memo_file(version, texts, block=512):
+    """``(suffix, contents, first block of each text)`` of a memo file."""
+    head = bytearray(max(block, 512))
+    if version == 0x8B:
+        head[20:22] = block.to_bytes(2, "little")
+    if version == 0x30:
+        head[6:8] = block.to_bytes(2, "big")
+    body, places = bytes(head), []
+    for text in texts:
+        places.append(len(body) // block)
+        raw = text.encode()
+        if version == 0x83:
+            raw += b"\x1a\x1a"
+        elif version == 0x8B:
+            raw = b"\xff\xff\x08\x00" + (len(raw) + 8).to_bytes(4, "little") + raw
+        else:
+            raw = (1).to_bytes(4, "big") + len(raw).to_bytes(4, "big") + raw
+        body += raw + b"\0" * (-len(raw) % block)
+    return ".fpt" if version == 0x30 else ".dbt", body, places
+
+
+@pytest.mark.parametrize("version, block, width", [(0x83, 512, 10), (0x8B, 1024, 10), (0x30, 64, 4)])
+def test_memo_columns(spark, tmp_path, monkeypatch, version, block, width):
+    texts = ["one", "", "é" * 70_000, "two\nlines", "x" * 511, "y" * 512, "z" * 513] + [f"memo {i}" * (i % 40) for i in range(300)]
+    suffix, content, places = memo_file(version, texts, block)
+    order = [(7 * i) % len(texts) for i in range(len(texts))] + [2] * 40 + [None, 0, 0]  # scattered, shared and missing
+    cell = lambda k: ("" if width > 4 else 0) if k is None else (str(places[k]).rjust(10) if width > 4 else places[k])
+    kind = "M" if width > 4 else "I"  # the writer packs four bytes for I; the letter is put right below
+    path = write_shapes(tmp_path, [None] * len(order), [("N", "I", 4, 0), ("BODY", kind, width, 0), ("MORE", kind, width, 0)],
+                        [(i, cell(k), cell(order[-1 - i])) for i, k in enumerate(order)], name="memos")
+    table = bytearray((tmp_path / "memos.dbf").read_bytes())
+    table[0], table[32 + 32 + 11], table[32 + 64 + 11] = version, ord("M"), ord("M")
+    put(tmp_path, "memos.dbf", bytes(table))
+    put(tmp_path, "memos" + suffix, content)
+    found = shapefile.scan(spark, {"file_path": path, "split_records": 60})
+    assert found.columns == [("n", "Integer"), ("body", "Text"), ("more", "Text"), ("geometry", "Geometry")]
+    want = [None if k is None else texts[k] or None for k in order]
+    rows = found.frame.orderBy("n").collect()
+    assert [r.body for r in rows] == want and [r.more for r in rows] == want[::-1]
+    # Memos of a batch are bounded by their bytes, each record's own counted, and near ones are read together.
+    monkeypatch.setattr(memo, "HOLD_BYTES", 100_000)
+    with memo.MemoFile(str(tmp_path / "memos.dbf"), version) as opened:
+        blocks = np.array([places[k] if k is not None else 0 for k in order])
+        runs = list(opened.texts(blocks))
+    assert [t or None for _, _, run in runs for t in run.to_pylist()] == want and len(runs) > 15
+    assert [a for a, _, _ in runs] == [0, *(b for _, b, _ in runs[:-1])] and runs[-1][1] == len(order)
+
+
+def test_memo_reads_are_few(tmp_path):
+    _, content, places = memo_file(0x8B, [f"memo {i}" for i in range(2000)])
+    put(tmp_path, "m.dbt", content)
+    with memo.MemoFile(str(tmp_path / "m.dbf"), 0x8B) as opened:
+        asked, inner = [], opened.handle
+        opened.handle = type("Counted", (), {"seek": inner.seek, "close": inner.close, "read": lambda _, n: asked.append(n) or inner.read(n)})()
+        assert sum(len(run) for _, _, run in opened.texts(np.array(places))) == 2000
+        assert len(asked) == 1
+
+
+def test_memo_faults(tmp_path):
+    with pytest.raises(FileNotFoundError, match="memo columns need"):
+        memo.MemoFile(str(tmp_path / "none.dbf"), 0x8B)
+    with pytest.raises(ValueError, match="version without memos"):
+        memo.MemoFile(str(tmp_path / "none.dbf"), 3)
+    _, content, places = memo_file(0x8B, ["a", "b"])
+    put(tmp_path, "cut.dbt", content[:520])
+    put(tmp_path, "wrong.dbt", content[:512] + b"\0" * 512)
+    for name, block, says in (("cut", 9, "no block 9"), ("cut", 1, "ends within"), ("wrong", 1, "no memo at block 1")):
+        with memo.MemoFile(str(tmp_path / f"{name}.dbf"), 0x8B) as opened, pytest.raises(ValueError, match=says):
+            list(opened.texts(np.array([block])))
 
 
 def test_nested_arrow_columns_are_json(spark, tmp_path):
