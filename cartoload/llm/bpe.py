@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEXICON_WORDS = 50_000
 KNOWN_WORDS = 1_000_000  # counts a task holds before it adds them up, and hands over when they stay many
-TEXT_BYTES = 8_000_000  # of texts looked at together
+TEXT_BYTES = 4_000_000  # of texts looked at together
 FAR = np.iinfo(np.int64).max
 
 
