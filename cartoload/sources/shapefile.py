@@ -19,8 +19,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from cartoload.files import first_file, list_files, open_input, packed
 from cartoload.functions import values
-from cartoload.functions.geometry import path_text, plain
 from cartoload.functions.names import table_name
+from cartoload.functions.ragged import shape_texts
 from cartoload.functions.types import DBF_TYPES
 from cartoload.sources.base import Scan, project, quoted
 from cartoload.sources.memo import MemoFile, pointers
@@ -96,44 +96,6 @@ def attribute_column(name: str, kind: str):
                         DBF_TYPES[kind])
 
 
-def _rings(parts: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
-    return np.split(points, parts[1:])
-
-
-def _clockwise(ring: np.ndarray) -> bool:
-    x, y = ring[:, 0], ring[:, 1]
-    return float(np.dot(x[:-1], y[1:]) - np.dot(x[1:], y[:-1])) <= 0
-
-
-def shape_wkt(record: bytes) -> str | None:
-    """V7: WKT of one shape record body; M and Z values are not carried."""
-    code = int.from_bytes(record[:4], "little")
-    if code == 0:
-        return None
-    base = code % 10
-    if base == 1:
-        x, y = np.frombuffer(record, "<f8", 2, 4)
-        return f"POINT({plain(x)} {plain(y)})"
-    if base == 8:
-        count = int.from_bytes(record[36:40], "little")
-        points = np.frombuffer(record, "<f8", 2 * count, 40).reshape(-1, 2).tolist()
-        return "MULTIPOINT(" + ",".join(f"({plain(x)} {plain(y)})" for x, y in points) + ")"
-    if base not in (3, 5):
-        raise ValueError(f"Could not obtain shape of type {code}")
-    part_count, point_count = np.frombuffer(record, "<i4", 2, 36)
-    parts = np.frombuffer(record, "<i4", part_count, 44)
-    points = np.frombuffer(record, "<f8", 2 * point_count, 44 + 4 * part_count).reshape(-1, 2)
-    pieces = _rings(parts, points)
-    if base == 3:
-        return "MULTILINESTRING(" + ",".join(path_text(piece.tolist()) for piece in pieces) + ")"
-    polygons: list[list[str]] = []
-    for ring in pieces:
-        if _clockwise(ring) or not polygons:
-            polygons.append([])
-        polygons[-1].append(path_text(ring.tolist()))
-    return "MULTIPOLYGON(" + ",".join(f"({','.join(rings)})" for rings in polygons) + ")"
-
-
 @dataclass
 class RecordRange:
     path: str
@@ -183,11 +145,11 @@ class ShapefileReader(DataSourceReader):
                 start = int(entries[0, 0])
                 shapes.seek(start)
                 body = shapes.read(int(entries[-1].sum()) + 8 - start)
-                wkt = [shape_wkt(body[at - start + 8: at - start + 8 + size]) for at, size in entries.tolist()]
+                wkt = shape_texts(body, entries[:, 0] - start + 8)
                 table.seek(header + first * row_type.itemsize)
                 cells = np.frombuffer(table.read(count * row_type.itemsize), row_type)
                 arrays = [None if i in memos else attribute(cells[f"f{i}"], kind) for i, (_, kind) in enumerate(fields)]
-                yield from with_memos(arrays + [pa.array(wkt, pa.string())], cells, memos, blocks, target)
+                yield from with_memos(arrays + [wkt], cells, memos, blocks, target)
 
 
 def with_memos(arrays: list, cells: np.ndarray, memos: list[int], blocks: MemoFile | None, target: pa.Schema):
