@@ -49,7 +49,7 @@ def grouped(texts: pa.Array, lengths: np.ndarray, before: str = "(", after: str
 
 
 def clockwise(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Which rings, runs of ``lengths`` points, turn right or have no area; seen from their own first point."""
+    """Which rings, runs of ``lengths`` points, turn right or have no area. Rings are closed; they are seen from their own first point, which keeps small ones exact."""
     ring = np.repeat(np.arange(len(lengths)), lengths)
     offsets = edges(lengths)
     local = points - points[np.minimum(offsets[:-1], max(len(points) - 1, 0))][ring] if len(points) else points
