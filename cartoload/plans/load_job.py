@@ -147,7 +147,8 @@ def one_scan(spark: SparkSession, sources: list[Source]) -> DataFrame:
             whole = own if whole is None else whole.union(own)
         return whole
     files = [(path, source.sd_id, source.table_name) for source in sources for path, _ in list_files(source.options["file_path"], ".csv", ".txt")]
-    owners = spark.createDataFrame(files, "path string, source bigint, target string")
+    # One row per file. Spark takes the cells for as small as the list of ranges they are read from, and would send them instead.
+    owners = F.broadcast(spark.createDataFrame(files, "path string, source bigint, target string"))
     cells = delimited.ranges(spark, [source.options for source in sources], len(sources[0].columns), placed=True).join(owners, "path")
     columns = [(name, kind, delimited.cell(f"c{i}")) for i, (name, kind) in enumerate(sources[0].columns)]
     return rejects.judged(cells, columns, F.col("target"), F.col("source"), F.col("path"), F.col("offset"), F.col("record"), F.col("reason"))

@@ -230,3 +230,13 @@ def test_cells_are_tried(spark, kind, good, bad):
     assert found[good][0] == found[good][2] is not None and found[good][1] is None
     assert found[bad][0] is None and found[bad][1] in (f"invalid {kind}", f"out of range for {kind}")
     assert found[None][:2] == found[""][:2] == (None, None)
+
+
+def test_cells_are_not_sent_to_all_tasks(spark, tmp_path):
+    """The files' owners are joined to the cells; the cells, far larger than Spark takes them for, stay where they are."""
+    paths = [put(tmp_path, f"{name}.csv", "a,b\n" + "1,x\n" * 50) for name in ("one", "two")]
+    sources = [load_module.opened(spark, k, json.dumps({"file_path": path, "delimiter": ","}), None) for k, path in enumerate(paths)]
+    rows = load_module.one_scan(spark, sources).select("place")
+    assert len(rows.collect()) == 100
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
