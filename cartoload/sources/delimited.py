@@ -7,7 +7,7 @@ import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoload.files import first_file, first_line, list_files
+from cartoload.files import first_line, list_files
 from cartoload.functions.names import table_name
 from cartoload.sources import csvranges
 from cartoload.sources.base import Scan, project, quoted, split_bytes
@@ -16,8 +16,10 @@ LARGEST_RANGE = 16 << 20
 
 
 def header_of(options: dict) -> list[str]:
-    path, delimiter = options["file_path"], options["delimiter"]
-    return next(csv.reader([first_line(first_file(path, ".csv", ".txt"))], delimiter=delimiter))
+    """The header of the first file that holds anything; writers leave empty files for partitions without rows."""
+    files, delimiter = list_files(options["file_path"], ".csv", ".txt"), options["delimiter"]
+    filled = [path for path, size in files if size] or [files[0][0]]
+    return next(csv.reader([first_line(filled[0])], delimiter=delimiter))
 
 
 def ranges(spark: SparkSession, options: list[dict], width: int, placed: bool = False) -> DataFrame:

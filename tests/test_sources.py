@@ -481,3 +481,16 @@ def test_scan_by_options(spark, tmp_path):
     path = put(tmp_path, "d.csv", "a\n1\n")
     assert scan(spark, json.dumps({"file_path": path, "delimiter": ",", "qualified": True})).frame.count() == 1
     assert scratch(spark, "x") != scratch(spark, "x")
+
+
+def test_first_file_without_bytes(spark, tmp_path):
+    """A partition without rows leaves an empty file; the header is that of the first file with bytes."""
+    folder = tmp_path / "names.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_bytes(b"")
+    (folder / "part-1.csv").write_text("name\na\n\n")
+    scan = delimited.scan(spark, {"file_path": str(folder), "delimiter": ","})
+    assert scan.columns == [("name", "Text")] and sorted(r.name or "" for r in scan.frame.collect()) == ["", "a"]
+    (folder / "part-1.csv").write_bytes(b"")
+    with pytest.raises(ValueError, match="first line"):
+        delimited.scan(spark, {"file_path": str(folder), "delimiter": ","})
