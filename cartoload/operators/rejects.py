@@ -6,10 +6,12 @@ that one scan feeds the staging tables and the table of rejects (``sources.stagi
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartoload.files import open_input
 from cartoload.functions.types import SPARK_TYPE, field
 from cartoload.functions.values import TIME_PATTERN, UUID_PATTERN, empty_to_null
 
@@ -21,6 +23,39 @@ ARRAY = r"^\{\s*(-?\d+\s*(,\s*-?\d+\s*)*)?\}\z"
 INTERVAL = r"^-?\d+(\.\d+)? (microsecond|milisecond)\z"
 
 
+#: Bytes of a file behind an offset that are searched, and read at once.
+BEHIND, READ_BYTES = 200, 1 << 20
+
+
+def with_found(rejects: DataFrame) -> DataFrame:
+    """The rejects with ``found``: whether their file has the text in the ``BEHIND`` bytes behind the offset.
+
+    Rejects lie in the order of their places, as the tasks wrote them, so that a read serves those that follow.
+    """
+    def look(batches):
+        path, handle, first, held = None, None, 0, b""
+        for batch in batches:
+            found = []
+            for file, offset, text in zip(*(batch.column(name).to_pylist() for name in ("file", "offset", "text"))):
+                if file is None or offset is None or text is None:
+                    found.append(None)
+                    continue
+                if file != path:
+                    if handle:
+                        handle.close()
+                    path, handle, first, held = file, open_input(file), 0, b""
+                at = offset - first
+                if at < 0 or at + BEHIND > len(held):
+                    handle.seek(offset)
+                    first, held, at = offset, handle.read(READ_BYTES), 0
+                found.append(text.encode() in held[at:at + BEHIND])
+            yield batch.append_column("found", pa.array(found, pa.bool_()))
+        if handle:
+            handle.close()
+
+    return rejects.mapInArrow(look, T.StructType([*rejects.schema.fields, T.StructField("found", T.BooleanType())]))
+
+
 def attempt(text: Column, column_type: str) -> tuple[Column, Column]:
     """``(value, reason)``: the typed value of a cell, or null and why it doesn't fit.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cartoload.functions.geometry import wkb_wkt
 from cartoload.operators.stage import stage, text_lines
+from cartoload.operators.rejects import with_found
 from cartoload.plans import sample_files as files
 from cartoload.plans.load_job import read_rejects, run_load, run_load_by_format
 from cartoload.plans.registry import query, table
@@ -568,12 +569,8 @@ def reject_channel(spark, folder):
     """Every cell that doesn't fit, with its reason; ``found`` tells that the file has the text behind the offset."""
     rejects_root = scratch(spark, "rejects") + "/found"
     run_load_by_format(spark, faulty_lines(spark, folder), scratch(spark, "staging"), "keep", rejects_root)
-    found = read_rejects(spark, rejects_root)
-    lines = spark.read.format("binaryFile").load([r[0] for r in found.select("file").distinct().collect()]).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    near = F.expr("cast(substring(content, offset + 1, 200) as string)")
-    joined = found.join(lines, F.regexp_replace("file", "^file:/+", "/") == F.col("path"))
-    return joined.select("target", F.col("source").cast("int").alias("source"), "column", "text", "reason", near.contains(F.col("text")).alias("found"))
+    found = with_found(read_rejects(spark, rejects_root))
+    return found.select("target", F.col("source").cast("int").alias("source"), "column", "text", "reason", "found")
 
 
 @query("reject_staged", FAULTS_SQL + """

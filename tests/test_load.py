@@ -240,3 +240,24 @@ def test_cells_are_not_sent_to_all_tasks(spark, tmp_path):
     assert len(rows.collect()) == 100
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_rejects_are_found_in_their_files(spark, tmp_path):
+    from cartoload.operators import rejects
+
+    text = "x" * (rejects.READ_BYTES - 3) + "día 1" + "y" * 500 + "end"
+    path = put(tmp_path, "t.csv", text)
+    raw = text.encode()
+    at = raw.index("día".encode())
+    rows = [(path, at, "día 1"), (path, at - 100, "día 1"), (path, 0, "día 1"), (path, len(raw) - 3, "end"), (path, at - 300, "día"), (path, 5, "xxx"), (None, None, "x")]
+    found = rejects.with_found(spark.createDataFrame(rows, "file string, offset bigint, text string").coalesce(1))
+    assert [r.found for r in found.collect()] == [True, True, False, True, False, True, None]
+
+
+def test_rejects_of_text_are_found(spark, tmp_path):
+    """The table of rejects is searched by reading behind its offsets, not by joining whole files to it."""
+    from cartoload.plans import registry, scan_queries  # noqa: F401  (registers its queries)
+
+    found = registry.QUERIES["reject_channel"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found.where("not found").isEmpty()
