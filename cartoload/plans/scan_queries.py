@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from cartoload.files import resolve
 from cartoload.functions.geometry import wkb_wkt
-from cartoload.operators.stage import stage, text_lines
 from cartoload.operators.rejects import with_found
+from cartoload.operators.stage import stage, text_lines
 from cartoload.plans import sample_files as files
 from cartoload.plans.load_job import read_rejects, run_load, run_load_by_format
 from cartoload.plans.registry import query, table
@@ -321,7 +321,7 @@ def _event_record(row: dict) -> dict:
     kind = row["event_type"]
     choice = (0, None) if kind == "error" else (1, kind) if kind == "click" else (2, row["user_id"])
     return {"event_id": row["event_id"], "moment": row["micros"], "clock": row["micros"] % 86_400_000_000,
-            "choice": choice, "pairs": {kind: row["value"]}, "amount": row["user_id"].to_bytes(2, "big")}
+            "choice": choice, "pairs": {kind: row["value"]}, "amount": row["user_id"].to_bytes(max(2, -(-row["user_id"].bit_length() // 8)), "big")}
 
 
 @query("avro_union_scan", """
@@ -344,8 +344,9 @@ def avro_union_scan(spark, folder):
         F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
     path = files.write_files(events, scratch(spark, "avro") + "/events.avro", ".avro", save)
     frame = avro.scan(spark, {"file_path": path}).frame
-    return frame.withColumn("amount", F.concat(
-        F.lit("{"), F.array_join(F.col("amount").cast("array<string>"), ","), F.lit("}")))
+    # The last byte, and the number that the bytes before it make: of two bytes just these.
+    ahead = F.aggregate(F.slice("amount", 1, F.size("amount") - 1), F.lit(0).cast("bigint"), lambda number, byte: number * 256 + byte)
+    return frame.withColumn("amount", F.format_string("{%d,%d}", ahead, F.element_at("amount", -1)))
 
 
 SUPPLIER_DBF = [("S_SUPPKEY", "N", 18, 0), ("S_NAME", "C", 40, 0), ("S_ACCTBAL", "N", 20, 2), ("OPEN", "L", 1, 0),
@@ -734,7 +735,6 @@ def id_windows(spark, folder):
     return featureservice.windowed_plan(layers, featureservice.id_windows(spark, ids, layers))
 
 
-def busy_service(path: str):
 SHELF_PAGES = 100
 
 
@@ -752,12 +752,13 @@ def shelved(spark, saved):
     return path
 
 
+def busy_service(path: str):
     """A service over the answers of ``shelved`` that is busy the first two times that a page is asked."""
     asked: dict[str, int] = {}
-
     shelves: dict[int, dict[str, str]] = {}
+
     def ask(url: str):
-        import pyarrow.dataset
+        import pyarrow.parquet
 
         asked[url] = asked.get(url, 0) + 1
         if asked[url] <= 2:
@@ -780,8 +781,8 @@ SELECT (event_id // 100) * 100 AS first_id, count(*) AS features, CAST(3 AS INTE
 def resumable_pages(spark, folder):
     """Pages of a service that is busy at first, with the tries of each; a second run asks for nothing."""
     saved, kept = saved_event_pages(spark, folder), scratch(spark, "ledger") + "/pages"
-    queries = spark.read.parquet(saved).where("query like '%resultOffset%'").select("query")
     shelves = shelved(spark, saved)
+    queries = spark.read.parquet(saved).where("query like '%resultOffset%'").select("query")
     # The first run has half of the pages, the second one all of them, the third none to ask for.
     for part in (queries.where(F.xxhash64("query") % 2 == 0), queries):
         featureservice.ledger_fetcher(kept, 4, wave=100, ask=busy_service(shelves))(part)

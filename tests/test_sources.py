@@ -494,3 +494,14 @@ def test_first_file_without_bytes(spark, tmp_path):
     (folder / "part-1.csv").write_bytes(b"")
     with pytest.raises(ValueError, match="first line"):
         delimited.scan(spark, {"file_path": str(folder), "delimiter": ","})
+
+
+def test_decimal_bytes_of_large_ids(spark, tmp_path):
+    """Ids of more than two bytes, as larger tables have them."""
+    from cartoload.plans import registry, scan_queries  # noqa: F401  (registers its queries)
+
+    rows = [(k, "click", user, 1.5, "{}") for k, user in enumerate([0, 255, 256, 65535, 65536, 70000, 20_000_000])]
+    spark.createDataFrame(rows, "event_id bigint, event_type string, user_id bigint, value double, props string").withColumn(
+        "ts", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    found = registry.QUERIES["avro_union_scan"](spark, str(tmp_path))
+    assert sorted((r.event_id, r.amount) for r in found.collect()) == [(k, f"{{{user // 256},{user % 256}}}") for k, _, user, _, _ in rows]
