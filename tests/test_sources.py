@@ -505,3 +505,17 @@ def test_decimal_bytes_of_large_ids(spark, tmp_path):
         "ts", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
     found = registry.QUERIES["avro_union_scan"](spark, str(tmp_path))
     assert sorted((r.event_id, r.amount) for r in found.collect()) == [(k, f"{{{user // 256},{user % 256}}}") for k, _, user, _, _ in rows]
+
+
+def test_files_of_bounded_size(spark, monkeypatch):
+    """A partition goes to several files, so that a sample writer never holds all of it."""
+    import os
+    from cartoload.plans import sample_files
+
+    batch = pa.RecordBatch.from_pydict({"a": list(range(10_000))})
+    tables = list(sample_files.chunks([batch, batch.slice(0, 0), batch], 16_000))
+    assert sum(t.num_rows for t in tables) == 20_000 and max(t.nbytes for t in tables) <= 32_000
+    assert pa.concat_tables(tables)["a"].to_pylist() == [*range(10_000)] * 2
+    monkeypatch.setattr(sample_files, "FILE_BYTES", 16_000)
+    path = sample_files.write_ipc(spark.range(20_000).coalesce(1).repartition(4), scratch(spark, "ipc") + "/t.ipc")
+    assert len(os.listdir(path.removeprefix("file:"))) > 8
