@@ -519,3 +519,16 @@ def test_files_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(sample_files, "FILE_BYTES", 16_000)
     path = sample_files.write_ipc(spark.range(20_000).coalesce(1).repartition(4), scratch(spark, "ipc") + "/t.ipc")
     assert len(os.listdir(path.removeprefix("file:"))) > 8
+
+
+def test_rows_of_a_sheet_leave_the_tree():
+    import io
+    import tracemalloc
+    from cartoload.plans import sample_files
+
+    book = io.BytesIO(sample_files.workbook_bytes("S", [["a"], *([k] for k in range(60_000))]))
+    tracemalloc.start()
+    assert sum(1 for _ in workbook.sheet_rows(book, "S")) == 60_001
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
