@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartoload.files import open_input
+from cartoload.sources.base import range_tasks
 
 QUOTE, LINE_END, RETURN = 34, 10, 13
 BATCH_BYTES, BATCH_ROWS = 4_000_000, 10_000
@@ -43,7 +44,7 @@ def records_of(handle, row: dict) -> tuple[bytes, np.ndarray, np.ndarray, int]:
     begin, end = row["start"], row["end"]
     base = max(0, begin - 1)  # the byte before tells whether a record begins right here
     handle.seek(base)
-    raw = handle.read(end - base)
+    raw, step = handle.read(end - base), min(READ_ON, max(1, end - begin))
     while True:
         data = np.frombuffer(raw, dtype=np.uint8)
         inside = np.cumsum(data[begin - base:] == QUOTE, dtype=np.uint8) + np.uint8(row["inside"])
@@ -53,7 +54,7 @@ def records_of(handle, row: dict) -> tuple[bytes, np.ndarray, np.ndarray, int]:
         starts = starts[(starts >= begin) & (starts < min(end, row["size"]))]
         if not len(starts) or base + len(raw) >= row["size"] or (len(ends) and ends[-1] >= starts[-1]):
             break
-        raw += handle.read(max(READ_ON, len(raw)))  # the last record goes on behind the range
+        raw, step = raw + handle.read(step), 2 * step  # the last record goes on behind the range
     stops = np.append(ends + 1, base + len(raw))
     stops = stops[np.searchsorted(stops, starts + 1)]
     lone = np.flatnonzero((data == RETURN) & (inside == 0) & (np.append(data[1:], LINE_END) != LINE_END))
@@ -139,7 +140,7 @@ def records(spark: SparkSession, files: list[tuple[str, int]], size: int, width:
     parts = known.select("path", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / size).cast("int"))).alias("part"))
     start = F.col("part").cast("bigint") * size
     ranges = parts.select("path", "part", start.alias("start"), F.least(start + size, F.col("size")).alias("end"), "size")
-    tasks = max(1, min(sum(-(-n // size) for _, n in files), 20_000))
+    tasks = range_tasks(spark, files, size)
     place = "path string, part int, start bigint, end bigint, size bigint"
     counted = ranges.repartition(tasks, "path", "part").mapInArrow(_count, place + ", odd int")
     # One row per range of a file.

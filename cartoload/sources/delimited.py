@@ -12,7 +12,7 @@ from cartoload.functions.names import table_name
 from cartoload.sources import csvranges
 from cartoload.sources.base import Scan, project, quoted, split_bytes
 
-LARGEST_RANGE = 16 << 20
+LARGEST_RANGE = 2 << 20  # a task takes several ranges, one after the other; its arrays are ten times a range
 
 
 def header_of(options: dict) -> list[str]:

@@ -14,7 +14,7 @@ from cartoload.sources import jsonranges
 from cartoload.sources.base import Scan, project, quoted, split_bytes
 
 STRICT = {"mode": "FAILFAST"}
-LARGEST_RANGE = 16 << 20
+LARGEST_RANGE = 2 << 20  # a task takes several ranges, one after the other
 
 
 def features(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:

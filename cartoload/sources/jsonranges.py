@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartoload.files import open_input
+from cartoload.sources.base import range_tasks
 
 QUOTE, SLASH = 34, 92
 OPENING, CLOSING = (123, 91), (125, 93)
@@ -130,6 +131,7 @@ def features_of(handle, row: dict) -> Iterator[tuple[int, str]]:
     base = row["start"]
     data = read_range(handle, base, row["end"])
     size = len(data)
+    step = min(READ_ON, max(size, 1))
     escaped = escaped_start(handle, base)
     level = 2 if row["collection"] else 0
     while True:
@@ -142,7 +144,8 @@ def features_of(handle, row: dict) -> Iterator[tuple[int, str]]:
         first = places[starts[0]] if len(starts) else size
         if not len(starts) or (len(ends) and ends[-1] > starts[-1]):
             break
-        more = read_range(handle, base + len(data), base + len(data) + READ_ON)  # the last one goes on behind the range
+        more = read_range(handle, base + len(data), base + len(data) + step)  # the last one goes on behind the range
+        step *= 2
         if not len(more):
             raise ValueError(f"{row['path']}: the file ends inside a feature")
         data = np.concatenate([data, more])
@@ -184,8 +187,7 @@ def features(spark: SparkSession, files: list[tuple[str, int]], size: int) -> Da
     counts = spark.createDataFrame([(k, path, n) for k, (path, n) in enumerate(files)], "file int, path string, size bigint")
     parts = counts.where("size > 0").select("file", "path", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / size).cast("int"))).alias("part"))
     ranges = parts.select("file", "path", "part", (F.col("part").cast("bigint") * size).alias("start"), F.least((F.col("part").cast("bigint") + 1) * size, F.col("size")).alias("end"))
-    total = sum(-(-n // size) for _, n in files)
-    tasks = max(1, min(total, 20_000))
+    tasks = range_tasks(spark, files, size)
     place = "file int, path string, part int, start bigint, end bigint"
     # One row per range: the windows below see a file's ranges, not its features.
     before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

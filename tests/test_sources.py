@@ -532,3 +532,13 @@ def test_rows_of_a_sheet_leave_the_tree():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2_000_000
+
+
+def test_ranges_share_tasks(spark):
+    from cartoload.sources import base, geojson
+
+    cores = spark.sparkContext.defaultParallelism
+    assert base.range_tasks(spark, [("a", 10 << 20)], 1 << 16) == cores
+    assert base.range_tasks(spark, [("a", 100), ("b", 0)], 1 << 16) == 1
+    assert base.range_tasks(spark, [("a", 6 << 30)], 1 << 16) == 385
+    assert geojson.range_bytes(spark, 6 << 30) == delimited.LARGEST_RANGE == 2 << 20
