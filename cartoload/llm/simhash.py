@@ -16,14 +16,18 @@ met are verified on all 64 bits. Nothing is missed whatever the thresholds; they
 Three bits find copies with hardly a change. ``similar_documents`` finds texts whose sets of shingles have a
 Jaccard similarity of ``SIMILAR`` or more. Such texts differ in up to 15 % of the bits, too many for
 64 of them to leave groups that tell texts apart. So a fingerprint has eight words there, dealt into 32
-groups of 16 bits, with the thresholds allocated as before. All fingerprints within 31 of the 512 bits meet for
+groups of 16 bits, and is filed under the value of each group. All fingerprints within 31 of the 512 bits meet for
 certain. Two texts with a similarity of 0.8 agree in a given group with a chance of 0.85 ** 16, in one of 32
-with 1 - (1 - 0.85 ** 16) ** 32 = 0.91; the more alike they are, the surer. Pairs that meet are
-judged on all 512 bits, and where these leave it open on their shingles.
+with 1 - (1 - 0.85 ** 16) ** 32 = 0.91; the more alike they are, the surer. Those filed under one value are
+compared on all 512 bits inside a task, a crowded value in blocks in many tasks. What leaves the task grows with
+the rows, not with their pairs: a star for each component of sure pairs, one for each family of near ones, and of the pairs that
+the bits leave open the nearest of a text, to be judged by their shingles. Families with more open pairs than that are then compared
+whole: each text's shingles go to the tasks of its family once, and only links come back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartoload.llm.common import LOWER, annotate, components, map_arrow, truncate_lineage
+from cartoload.llm.common import LOWER, annotate, components, map_arrow, release, truncate_lineage
 
 BITS = 64
 SHINGLE = 3
@@ -41,10 +45,16 @@ RADIUS = 3
 SIMILAR = 0.8  # similarity of sets of shingles
 WORDS = 8  # 64-bit words of a long fingerprint
 WIDTH = 16  # bits of a group of a long fingerprint
-#: How many open pairs of a text are judged by their shingles, nearest first, before those inside a component
-#: drop out; at last all that are left.
-ROUNDS = (4, 64, None)
+#: How many open pairs of a text and a value are judged by their shingles, nearest first, before those inside a
+#: component drop out; at last (None) all that are left, by families.
+ROUNDS = (1, None)
+BLOCK = 4096  # texts filed under one value that are compared as one block
+SHINGLES = 2_000_000  # shingles of a family's texts that are compared as one block
+CHUNK = 8_000_000  # bytes of blocks that a task compares at once
+PENDING = 500_000  # near pairs that a task holds before it reduces them
+_PLACE = 16  # bits of the number of either share in the number of a block
 CROWDED = 256  # how many of the most crowded values the cost estimates know
+OPEN, SURE, NEAR, MORE = range(4)  # kinds of pairs
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -291,11 +301,8 @@ def words_of_prints(prints: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(prints.to_pylist()), dtype="<u8").reshape(-1, WORDS)
 
 
-def similar_pairs(spark: SparkSession, classes: DataFrame, close: int) -> DataFrame:
-    """Pairs ``(a, b)``, ``a < b``, of ids whose long fingerprints meet in a group and are near in their first word.
-
-    ``classes`` holds distinct ``(id, fp)`` and is read several times, so it should be a table.
-    """
+def long_groups(classes: DataFrame) -> list[tuple[int, list[int]]]:
+    """The groups of bits of long fingerprints ``classes.fp``, as ``(word, bits)``."""
     def sums(batches):
         total, n = np.zeros((WORDS, BITS, BITS), dtype=np.int64), 0
         for batch in batches:
@@ -315,51 +322,211 @@ def similar_pairs(spark: SparkSession, classes: DataFrame, close: int) -> DataFr
     for row in rows:
         together[row[0]] = row[2:]
     together = together.reshape(WORDS, BITS, BITS)
-    per_word = BITS // WIDTH
-    groups = [group_bits(n, together[w], per_word) for w in range(WORDS)]
-    share = [together[w].diagonal() / max(n, 1) for w in range(WORDS)]
-    schema = "key int, id bigint, head bigint"
+    return [(w, group) for w in range(WORDS) for group in group_bits(n, together[w], BITS // WIDTH)]
+
+
+def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``label`` (of each row the smallest row it is joined to) after the rows ``x`` are joined to the rows ``y``."""
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        if np.array_equal(low, high):
+            return label
+        np.minimum.at(label, high, low)
+        while not np.array_equal(label[label], label):
+            label = label[label]
+
+
+class Comparison:
+    """Compares the rows of whole blocks, which lie one after the other."""
+
+    def __init__(self, groups: list[tuple[int, list[int]]], close: int, surely: int, maybe: int, most: int):
+        self.words = np.array([w for w, _ in groups])
+        self.masks = np.array([sum(1 << bit for bit in group) for _, group in groups], dtype=np.uint64)
+        self.close, self.surely, self.maybe, self.most = close, surely, maybe, most
+
+    def near(self, block: np.ndarray, right: np.ndarray, component: np.ndarray, own: np.ndarray):
+        """``(x, y, apart)`` of the rows that are near, a step apart at a time; each pair only in the first group where it meets."""
+        heads = np.ascontiguousarray(own[:, 0])
+        part = block >> (2 * _PLACE + WIDTH)
+        within = (block >> _PLACE) & ((1 << _PLACE) - 1) == block & ((1 << _PLACE) - 1)
+        x, step = np.arange(len(block)), 0
+        while len(x):
+            step += 1
+            x = x[:np.searchsorted(x, len(block) - step)]
+            x = x[block[x] == block[x + step]]
+            y = x + step
+            fits = (np.bitwise_count(heads[x] ^ heads[y]) <= self.close) & (component[x] != component[y]) & (within[x] | (right[x] != right[y]))
+            a, b = x[fits], y[fits]
+            differ = own[a] ^ own[b]
+            apart = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+            few = apart <= self.maybe
+            a, b, apart, differ = a[few], b[few], apart[few], differ[few]
+            first = ((differ[:, self.words] & self.masks) == 0).argmax(axis=1) == part[a]
+            if first.any():
+                yield a[first], b[first], apart[first]
+
+    def __call__(self, block: np.ndarray, right: np.ndarray, ids: np.ndarray, component: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        label, family, crowded = np.arange(len(block)), np.arange(len(block)), np.zeros(len(block), dtype=bool)
+        pending: list[tuple[np.ndarray, ...]] = []
+
+        def reduced() -> list[tuple[np.ndarray, ...]]:
+            nonlocal label, family
+            x, y, apart = (np.concatenate(column) for column in zip(*pending))
+            sure = apart <= self.surely
+            family = joined(family, x, y)
+            label = joined(label, x[sure], y[sure])
+            left = label[x] != label[y]
+            x, y, apart = x[left], y[left], apart[left]
+            later, sooner = np.where(ids[x] > ids[y], x, y), np.where(ids[x] > ids[y], y, x)
+            order = np.lexsort((ids[sooner], apart, later))
+            x, y, apart = later[order], sooner[order], apart[order]
+            starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, dtype=np.int64)
+            place = np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)]))
+            crowded[x[place >= self.most]] = True
+            x, y, apart = (column[place < self.most] for column in (x, y, apart))
+            return [(x, y, apart)]
+
+        held = 0
+        for found in self.near(block, right, component, own):
+            pending.append(found)
+            held += len(found[0])
+            if held > PENDING:
+                pending, held = reduced(), 0
+        x, y, apart = reduced()[0] if pending else (np.zeros(0, dtype=np.int64),) * 3
+        rows = np.arange(len(block))
+        star, ray, more = np.flatnonzero(label != rows), np.flatnonzero(family != rows), np.flatnonzero(crowded)
+        one, two = ids[np.r_[x, star, ray, more]], ids[np.r_[y, label[star], family[ray], more]]
+        kind = np.repeat([OPEN, SURE, NEAR, MORE], [len(x), len(star), len(ray), len(more)])
+        apart = np.r_[apart, np.zeros(len(one) - len(x), dtype=np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(apart), pa.array(kind.astype(np.int32))], names=["a", "b", "apart", "kind"])
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows as batches of about ``CHUNK`` bytes that don't cut a block: rows equal in their first ``keys`` columns."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names))  # batches differ in what may be null
+        size += batch.nbytes
+        if size < CHUNK:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        cut = int(block_starts(whole, keys)[-1])  # the last block may go on
+        if cut:
+            yield whole.slice(0, cut)
+        rest = whole.take(pa.array(np.arange(cut, whole.num_rows)))
+        held, size = [rest], (rest.nbytes if cut else 0)  # a block over CHUNK is looked at again after another CHUNK
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held = whole = rest = None
+    release()
+
+
+def block_starts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """The rows where another block begins."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[0] = True
+    for k in range(keys):
+        column = batch.column(k).to_numpy(zero_copy_only=False)
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``lo``, ``hi`` and ``right``: each two of the ``blocks`` shares of a key's rows are a block, with the rows of the later share to the right."""
+    blocks = F.coalesce("blocks", F.lit(1))
+    shares = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    return shares.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "right": F.col("own") > F.col("other")})
+
+
+def similar_pairs(spark: SparkSession, nodes: DataFrame, compare: Comparison) -> DataFrame:
+    """Pairs ``(a, b, apart, kind)``, ``a <= b``, of ids of different components that meet in a group and are near.
+
+    ``nodes`` holds distinct ``(id, component, fp)`` and is read several times, so it should be a table. ``SURE`` pairs come as a
+    star for each block and component, as do ``NEAR`` ones (all there are) for each block and family; of ``OPEN`` pairs the
+    nearest ``compare.most`` to smaller ids for each id and block. ``MORE`` names an id that has more of them.
+    """
+    words, masks = compare.words.tolist(), compare.masks.tolist()
+    bits = [[k for k in range(BITS) if mask >> k & 1] for mask in masks]
 
-    def batch_of(part: int, values: np.ndarray, ids: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32) | np.int32(part << WIDTH)), pa.array(ids), pa.array(heads.view(np.int64))], names=["key", "id", "head"])
+    def key_of(own: np.ndarray, part: int) -> pa.Array:
+        return pa.array((project(own[:, words[part]], bits[part]) | np.uint64(part << WIDTH)).view(np.int64))
 
-    def taken(batch):
-        own = words_of_prints(batch.column(1))
-        return batch.column(0).to_numpy(zero_copy_only=False), own, np.ascontiguousarray(own[:, 0])
+    def keyed(batches):
+        for batch in batches:
+            own = words_of_prints(batch.column(0))
+            for part in range(len(words)):
+                yield pa.RecordBatch.from_arrays([key_of(own, part)], names=["key"])
 
-    def indexed(batches):
+    def filed(batches):
         for batch in batches:
-            ids, own, heads = taken(batch)
-            for w in range(WORDS):
-                for g, group in enumerate(groups[w]):
-                    yield batch_of(w * per_word + g, project(own[:, w], group), ids, heads)
+            own = words_of_prints(batch.column(2))
+            for part in range(len(words)):
+                yield pa.RecordBatch.from_arrays([key_of(own, part), *batch.columns], names=["key", *batch.schema.names])
 
-    index = map_arrow(classes.select("id", "fp"), schema, indexed)
-    counted = index.groupBy("key").count().orderBy(F.desc("count"), "key").limit(CROWDED).collect()
-    crowded = []
-    for part in range(WORDS * per_word):
-        mine = [(r[0] & (1 << WIDTH) - 1, r[1]) for r in counted if r[0] >> WIDTH == part and r[1] > 1]
-        crowded.append((np.array([v for v, _ in mine], dtype=np.uint64), np.array([c for _, c in mine], dtype=np.float64)))
+    counted = map_arrow(nodes.select("fp"), "key bigint", keyed).groupBy("key").count().where(F.col("count") > BLOCK)
+    crowd = truncate_lineage(spark, counted.select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "crowd")
+    index = map_arrow(nodes.select("id", "component", "fp"), "key bigint, id bigint, component bigint, fp binary", filed)
+    if crowd.isEmpty():
+        placed = index.withColumn("block", F.shiftleft("key", 2 * _PLACE)).withColumn("right", F.lit(False))
+    else:
+        placed = dealt(index.join(crowd, "key", "left")).withColumn("block", F.shiftleft("key", 2 * _PLACE) + F.shiftleft("lo", _PLACE) + F.col("hi"))
+
+    def compared(batches):
+        for batch in whole_blocks(batches, 1):
+            yield compare(*[batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], words_of_prints(batch.column(4)))
+
+    blocks = placed.select("block", "right", "id", "component", "fp").repartition("block").sortWithinPartitions("block")
+    return map_arrow(blocks, "a bigint, b bigint, apart bigint, kind int", compared)
 
-    def probed(batches):
-        for batch in batches:
-            every = taken(batch)
-            for start in range(0, len(every[0]), 2000):
-                ids, own, heads = (column[start:start + 2000] for column in every)
-                costs = np.concatenate([probe_costs(own[:, w], groups[w], n, share[w], crowded[w * per_word:(w + 1) * per_word], 1) for w in range(WORDS)], axis=1)
-                thresholds = allocate(costs, WORDS * per_word - 1)
-                for part in range(WORDS * per_word):
-                    w, g = divmod(part, per_word)
-                    value = project(own[:, w], groups[w][g])
-                    for t in (0, 1):
-                        mine = thresholds[:, part] == t
-                        if mine.any():
-                            near = flips(WIDTH, t)
-                            yield batch_of(part, (value[mine][:, None] ^ near[None, :]).ravel(), np.repeat(ids[mine], len(near)), np.repeat(heads[mine], len(near)))
 
-    probes = map_arrow(classes.select("id", "fp"), schema, probed).withColumnsRenamed({"id": "probe", "head": "probe_head"})
-    met = probes.join(index, "key").where((F.col("probe") != F.col("id")) & (F.bit_count(F.col("probe_head").bitwiseXOR(F.col("head"))) <= close))
-    return met.select(F.least("probe", "id").alias("a"), F.greatest("probe", "id").alias("b")).distinct()
+def family_links(spark: SparkSession, named: DataFrame, members: DataFrame, similarity: float, size: int, maybe: int) -> DataFrame:
+    """Links ``(a, b)`` that join components of a family, by shingles; of several that join the same two, one.
+
+    ``members`` holds ``(id, fp, component, family)``. Texts up to ``maybe`` bits apart are compared, nearest first.
+    """
+    sets = shingle_sets(spark, named, members.select(F.col("id").alias("doc_id")).distinct(), size).withColumnRenamed("doc_id", "id")
+    ready = truncate_lineage(spark, members.join(sets, "id"), "members")
+    shares = ready.groupBy("family").agg(F.ceil(F.sum(F.size("hashes")) / SHINGLES).alias("blocks")).where("blocks > 1")
+    placed = dealt(ready.join(truncate_lineage(spark, shares, "shares"), "family", "left"))
+
+    def compared(batches):
+        for batch in whole_blocks(batches, 3):
+            within = (batch.column(1).to_numpy() == batch.column(2).to_numpy())
+            right, ids = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy()
+            label, own = batch.column(5).to_numpy().copy(), words_of_prints(batch.column(6))
+            edges = batch.column(7).offsets.to_numpy().astype(np.int64)
+            values, codes = np.unique(batch.column(7).values.to_numpy()[edges[0]:edges[-1]], return_inverse=True)
+            edges, mark, pairs = edges - edges[0], np.zeros(len(values), dtype=bool), []
+            starts = block_starts(batch, 3)
+            for start, end in zip(starts, np.r_[starts[1:], len(ids)]):
+                for x in range(start + 1, end):
+                    apart = np.bitwise_count(own[start:x] ^ own[x]).sum(axis=1, dtype=np.int64)
+                    open_ = (apart <= maybe) & (label[start:x] != label[x]) & (within[x] | (right[start:x] != right[x]))
+                    if not open_.any():
+                        continue
+                    near = start + np.flatnonzero(open_)
+                    near = near[np.lexsort((ids[near], apart[near - start]))]
+                    mine = codes[edges[x]:edges[x + 1]]
+                    mark[mine] = True
+                    while len(near):
+                        some, near = near[:32], near[32:]
+                        sizes = edges[some + 1] - edges[some]
+                        hits = np.r_[0, np.cumsum(mark[np.concatenate([codes[edges[y]:edges[y + 1]] for y in some])])]
+                        ends = np.cumsum(sizes)
+                        common = hits[ends] - hits[ends - sizes]
+                        for y in some[common >= similarity * (len(mine) + sizes - common)].tolist():
+                            if label[y] != label[x]:
+                                pairs.append((ids[x], ids[y]))
+                                inside = label[start:end]
+                                inside[inside == label[y]] = label[x]
+                        near = near[label[near] != label[x]]
+                    mark[mine] = False
+            found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    keys = ["family", "lo", "hi"]
+    blocks = placed.select(*keys, "right", "id", "component", "fp", "hashes").repartition(*keys).sortWithinPartitions(*keys, "id")
+    return map_arrow(blocks, "a bigint, b bigint", compared)
 
 
 def spread(similarity: float, bits: int, errors: float) -> int:
@@ -376,11 +543,19 @@ def between(spark: SparkSession, pairs: DataFrame, labels: DataFrame) -> DataFra
     return truncate_lineage(spark, pairs.where(apart).select("a", "b", "apart"), "open")
 
 
-def nearest(pairs: DataFrame, most: int) -> DataFrame:
-    """The pairs that are among the ``most`` nearest of one of their ends."""
-    ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
-    ranked = ends.withColumn("place", F.row_number().over(Window.partitionBy("end").orderBy("apart", "a", "b")))
-    return ranked.where(F.col("place") <= most).select("a", "b", "apart").distinct()
+def shingle_sets(spark: SparkSession, named: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, hashes)``: the set of shingles of the smallest text of each of ``ends``."""
+    texts = named.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return annotate(texts, ["text"], "hashes array<bigint>", lambda t: [[shingle_set(x, size).view(np.int64) for x in t.to_pylist()]]).drop("text")
+
+
+def alike(spark: SparkSession, named: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Those of ``pairs`` whose texts have the ``similarity``, by their shingles."""
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = truncate_lineage(spark, shingle_sets(spark, named, ends, size), "sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("of_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, similarity: float = SIMILAR, size: int = 5) -> DataFrame:
@@ -400,32 +575,32 @@ def similar_documents(spark: SparkSession, docs: DataFrame, similarity: float =
     marked = truncate_lineage(spark, annotate(named, ["text"], "fp binary", lambda texts: [[long_fingerprint(t, size) for t in texts.to_pylist()]]).select("doc_id", "fp"), "fingerprints")
     classes = truncate_lineage(spark, marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")).select("id", "fp"), "classes")
     # An id that stands for two texts is one node, so its classes are one, too.
-    prints = classes.groupBy("id").agg(F.min("fp").alias("fp")) if classes.groupBy("id").count().where("count > 1").count() else classes
-    pairs = truncate_lineage(spark, similar_pairs(spark, classes, spread(similarity, BITS, 4)), "pairs")
-    sides = pairs.join(prints.select(F.col("id").alias("a"), F.col("fp").alias("fp_a")), "a").join(prints.select(F.col("id").alias("b"), F.col("fp").alias("fp_b")), "b")
-
-    def apart(left: pa.Array, right: pa.Array) -> list:
-        return [np.bitwise_count(words_of_prints(left) ^ words_of_prints(right)).sum(axis=1, dtype=np.int64)]
-
-    near = annotate(sides, ["fp_a", "fp_b"], "apart bigint", apart).select("a", "b", "apart").where(F.col("apart") <= spread(similarity, bits, 3))
-    near = truncate_lineage(spark, near, "near")
-    surely = spread(similarity, bits, -3)
-    labels = truncate_lineage(spark, components(spark, near.where(F.col("apart") <= surely)), "labels")
-    rest = between(spark, near.where(F.col("apart") > surely), labels)
-    ends = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct()
-    texts = named.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = truncate_lineage(spark, annotate(texts, ["text"], "hashes array<bigint>", lambda t: [[shingle_set(x, size).view(np.int64) for x in t.to_pylist()]]).drop("text"), "sets")
+    groups = long_groups(classes)
+    surely, maybe = spread(similarity, bits, -3), spread(similarity, bits, 3)
+    nodes, labels, families = classes.withColumn("component", F.col("id")), None, None
     for most in ROUNDS:
-        if rest.isEmpty():
-            break
-        tried = truncate_lineage(spark, nearest(rest, most), "tried") if most else rest
-        both = tried.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("of_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("of_b")), "b")
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        alike = both.where(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+        if most is None:
+            new = family_links(spark, named, nodes, similarity, size, maybe)
+        else:
+            found = truncate_lineage(spark, similar_pairs(spark, nodes, Comparison(groups, spread(similarity, BITS, 4), surely, maybe, most)), "found")
+            if labels is None:
+                labels = truncate_lineage(spark, components(spark, found.where(F.col("kind") == SURE)), "labels")
+                families = truncate_lineage(spark, components(spark, found.where(F.col("kind") == NEAR)).withColumnsRenamed({"node": "id", "component": "family"}), "families")
+            rest = between(spark, found.where(F.col("kind") == OPEN).dropDuplicates(["a", "b"]), labels)
+            new = alike(spark, named, rest, similarity, size)
         # The labels so far are links, too: from each node to its component.
-        labels = truncate_lineage(spark, components(spark, labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike)), "labels")
-        if most:
-            rest = between(spark, rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), labels)
+        labels = truncate_lineage(spark, components(spark, labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)), "labels")
+        if most is None:
+            break
+        # Families go on that have more open pairs and are not one component.
+        crowded = families.join(found.where(F.col("kind") == MORE).select(F.col("a").alias("id")), "id", "left_semi").select("family").distinct()
+        named_so_far = classes.join(families, "id").join(crowded, "family", "left_semi").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+            "id", "fp", F.coalesce("component", "id").alias("component"), "family")
+        named_so_far = truncate_lineage(spark, named_so_far, "nodes")
+        apart_still = named_so_far.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("family")
+        nodes = truncate_lineage(spark, named_so_far.join(apart_still, "family", "left_semi").select("id", "fp", "component", "family"), "nodes")
+        if nodes.isEmpty():
+            break
     node = classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
     ids = truncate_lineage(spark, node.select("fp", F.coalesce("component", "id").alias("component_id")), "ids")
     return marked.join(ids, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

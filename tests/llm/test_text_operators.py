@@ -154,6 +154,44 @@ def test_similar_documents_brute_force(spark, monkeypatch, rounds):
     assert all(len(v) == 1 or c in v for c, v in joined.items()) and sum(len(v) > 1 for v in joined.values()) == 0
 
 
+def near_copies(rng, texts, changes):
+    """Texts of 200 words; ``changes`` of them are changed in each."""
+    base = [f"w{n}" for n in rng.integers(0, 5000, 200)]
+    rows = []
+    for number in range(texts):
+        words = list(base)
+        for at in rng.integers(0, 200, changes):
+            words[at] = f"new{rng.integers(0, 10**6)}"
+        rows.append((number, " ".join(words)))
+    return rows
+
+
+def test_similar_documents_write_rows_not_pairs(spark, monkeypatch):
+    """A large group of near copies, few of them similar enough: no table written holds its pairs."""
+    rows, most = near_copies(np.random.default_rng(11), 300, 4), []
+
+    def counted(session, df, label):
+        table = keep(session, df, label)
+        most.append((table.count(), label))
+        return table
+
+    keep = simhash.truncate_lineage
+    monkeypatch.setattr(simhash, "truncate_lineage", counted)
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = plain_similar(rows)
+    assert 1 < len(set(want.values())) < 300 and found == want
+    assert max(most)[0] < 32 * len(rows), max(most)
+
+
+def test_similar_documents_in_many_blocks(spark, monkeypatch):
+    """Values and families that are cut into many blocks, and pending pairs reduced many times, give the same components."""
+    rows = near_copies(np.random.default_rng(12), 120, 4) + [(d + 1000, t) for d, t in near_copies(np.random.default_rng(13), 60, 1)]
+    for name, value in (("BLOCK", 8), ("SHINGLES", 3000), ("CHUNK", 3000), ("PENDING", 20)):
+        monkeypatch.setattr(simhash, name, value)
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == plain_similar(rows)
+
+
 def test_similar_documents_edges(spark, odd):
     rows = simhash.similar_documents(spark, odd).collect()
     assert len(rows) == len(ODD)
