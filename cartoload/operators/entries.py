@@ -42,23 +42,26 @@ def judged(spark: SparkSession, source_data: DataFrame, batch: DataFrame, load_i
     complete = F.lit(True)
     for name in GIVEN:
         complete = complete & F.col(name).isNotNull()
-    asked = batch.join(entries, F.col("sd_id") == F.col("_sd"), "left").drop("_sd").where(
-        (F.col("action") == "I") | (F.col("old").isNotNull() & ((F.col("action") == "D") | complete)))
-    asked = truncate_lineage(spark, asked.withColumn("instance", F.when(F.col("action") == "I", F.col("li_id")).otherwise(F.col("old.li_id"))), "entries")
+    # Requests for new entries name none: with no key to join by, all of them would meet in one task.
+    asks_new = F.col("action").eqNullSafe("I")
+    named = truncate_lineage(spark, batch.where(~asks_new).join(entries, F.col("sd_id") == F.col("_sd")).drop("_sd").where((F.col("action") == "D") | complete), "entries")
+    twice = named.where("action is not null").groupBy("sd_id").count().where("count > 1").select(F.col("sd_id").alias("_twice"))
+    again = named.join(twice, (F.col("sd_id") == F.col("_twice")) & F.col("action").isNotNull(), "left").select(*named.columns, F.col("old.li_id").alias("instance"), F.col("_twice").isNotNull().alias("again"))
+    fresh = batch.where(asks_new).withColumns({"old": F.lit(None).cast(named.schema["old"].dataType), "instance": F.col("li_id"), "again": F.lit(False)})
+    asked = truncate_lineage(spark, fresh.unionByName(again), "entries")
 
     # One row per user and instance, then per key: a user or an instance with many requests is reduced first.
     pairs = asked.select(F.col("actor").alias("uid"), F.col("instance").alias("li_id")).dropna().distinct()
     granted = may_update(pairs, load_instances, admins).where("allowed").select(F.col("uid").alias("_uid"), F.col("li_id").alias("_li"), F.lit(True).alias("_granted"))
     known = load_instances.select(F.col("li_id").alias("_known")).distinct()
-    twice = asked.where("action <> 'I'").groupBy("sd_id").count().where("count > 1").select(F.col("sd_id").alias("_twice"))
     sent = asked.join(granted, (F.col("actor") == F.col("_uid")) & (F.col("instance") == F.col("_li")), "left").join(
-        known, F.col("instance") == F.col("_known"), "left").join(twice, (F.col("sd_id") == F.col("_twice")) & (F.col("action") != "I"), "left")
+        known, F.col("instance") == F.col("_known"), "left")
     change = F.col("action") != "D"
     reason = (
         F.when(F.col("_granted").isNull(), F.concat(F.lit("uid "), F.coalesce(F.col("actor").cast("string"), F.lit("NULL")), F.lit(" is neither part of load instance "),
                                                     F.coalesce(F.col("instance").cast("string"), F.lit("NULL")), F.lit(" nor an admin")))
         .when(F.col("_known").isNull(), F.format_string("load instance %d does not exist", "instance"))
-        .when(F.col("_twice").isNotNull(), F.format_string("entry %d is changed more than once", "sd_id"))
+        .when(F.col("again"), F.format_string("entry %d is changed more than once", "sd_id"))
         .when(change & ~F.coalesce(table_name_ok(F.col("table_name")), F.lit(False)), F.format_string('table name "%s" has the wrong form', "table_name"))
         .when(change & ~valid_columns(F.col("columns")), F.lit("the column list is not valid"))
         .when(change & F.col("options").isNull(), F.lit("options are missing"))

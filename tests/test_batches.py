@@ -72,6 +72,28 @@ def test_an_empty_batch_and_an_empty_table(spark):
     found = run_batch(spark, [], [ask(k, "I", 10, li_id=1, name=f"N{k}") for k in range(300)])
     assert sorted((r.sd_id, r.load_source_id) for r in found.created.collect()) == [(k, k) for k in range(1, 301)]
 
+def test_requests_for_new_entries_do_not_meet_in_one_task(spark, monkeypatch):
+    largest, write = [], entries.truncate_lineage
+
+    def counted(session, df, label):
+        largest.append(max([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()], default=0))
+        return write(session, df, label)
+
+    monkeypatch.setattr(entries, "truncate_lineage", counted)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:  # joins as of large tables: shuffled, in as many tasks as there are partitions
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        source = spark.createDataFrame([entry(k, k, 1, f"T{k}") for k in range(1, 41)], catalog.TABLES["source_data"])
+        instances = spark.range(1, 401).selectExpr("id as li_id", "10 as collect_user_id", "11 as load_user_id", "null as check_user_id")
+        batch = [ask(k, "I", 10, li_id=k, name=f"N{k}") for k in range(1, 401)] + [ask(1000 + k, "D", 10, sd_id=k) for k in range(1, 41)]
+        asked = entries.judged(spark, source, spark.createDataFrame(batch, BATCH), instances, spark.createDataFrame([(99,)], "uid bigint"))
+        assert asked.where("reason is null").count() == 440
+    finally:
+        for k, value in kept.items():
+            spark.conf.set(k, value)
+    assert max(largest) <= 220, largest
+
 
 # ------------------------------------------------------------------------------------------- files
 
