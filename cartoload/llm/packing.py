@@ -217,6 +217,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary_text: str, capacity: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(shared.value)
+        release()  # what parsing the vocabulary took
         first = TaskContext.get().partitionId() << 36
         done = 0
         owners: list[tuple[int | None, int, int, np.ndarray]] = []  # (doc_id, start, tokens of the document, ids)

@@ -2,9 +2,11 @@
 
 import json
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from cartoload.llm import chat, vectors, warc
+from cartoload.llm import chat, common, vectors, warc
 
 
 @pytest.mark.parametrize("arguments,schema,fault", [
@@ -57,3 +59,12 @@ def test_cells_are_visited_until_the_target_is_met():
     assert grid.k == vectors.MOST_CODEWORDS and grid.visits > 256
     small = vectors.Grid(x[:400], 100, 0.9, 1.0)
     assert small.visits <= small.k ** 2
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    docs = spark.range(0, 3_000, 1, 1).select("id", F.repeat(F.lit("word "), 1_000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"rows": pa.array([b.num_rows], pa.int64()), "size": pa.array([b.nbytes], pa.int64())}) for b in batches)
+    found = common.map_arrow(docs, "rows bigint, size bigint", sizes).collect()
+    assert sum(r.rows for r in found) == 3_000 and max(r.size for r in found) <= common.BATCH_BYTES + 100_000
+    lengths = common.annotate(docs, ["text"], "n bigint", lambda texts: [[len(texts)] * len(texts)])
+    assert lengths.count() == 3_000 and lengths.agg(F.max("n")).first()[0] <= 1_000
