@@ -14,11 +14,12 @@ met are verified on all 64 bits. Nothing is missed whatever the thresholds; they
   from the counts of the most crowded values and a background of independent bits.
 
 Three bits find copies with hardly a change. ``similar_documents`` finds texts whose sets of shingles have a
-Jaccard similarity of ``SIMILAR`` or more. Such texts differ in up to 15 % of the bits, too many for
-64 of them to leave groups that tell texts apart. So a fingerprint has eight words there, dealt into 32
-groups of 16 bits, and is filed under the value of each group. All fingerprints within 31 of the 512 bits meet for
-certain. Two texts with a similarity of 0.8 agree in a given group with a chance of 0.85 ** 16, in one of 32
-with 1 - (1 - 0.85 ** 16) ** 32 = 0.91; the more alike they are, the surer. Those filed under one value are
+Jaccard similarity of ``SIMILAR`` or more. Such texts differ in up to 15 % of the bits (19 % where they have
+four or five shingles), too many for 64 of them to leave groups that tell texts apart. So a fingerprint has eight
+words there, whose bits are dealt twice into five groups of 12 or 13, and is filed under the value of each of the 80 groups.
+All fingerprints within 39 of the 512 bits meet for certain. Two texts with a similarity of 0.8, of which 0.15 of the bits
+differ give or take 0.016, agree in one of the groups with a chance of 0.9996 (0.99 with four and five shingles; 0.885
+and 0.67 with 32 groups of 16); the more alike they are, the surer. Those filed under one value are
 compared on all 512 bits inside a task, a crowded value in blocks in many tasks. What leaves the task grows with
 the rows, not with their pairs: a star for each component of sure pairs, one for each family of near ones, and of the pairs that
 the bits leave open the nearest of a text, to be judged by their shingles. Families with more open pairs than that are then compared
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +45,13 @@ SHINGLE = 3
 RADIUS = 3
 SIMILAR = 0.8  # similarity of sets of shingles
 WORDS = 8  # 64-bit words of a long fingerprint
-WIDTH = 16  # bits of a group of a long fingerprint
+WIDTH = 13  # bits of a group of a long fingerprint, at most
+DEALS = 2  # times that the bits of a word are dealt into groups
+SMALL = 64  # sets of fewer shingles have their own limits on the bits that may differ
 #: How many open pairs of a text and a value are judged by their shingles, nearest first, before those inside a
 #: component drop out; at last (None) all that are left, by families.
 ROUNDS = (1, None)
-BLOCK = 4096  # texts filed under one value that are compared as one block
+BLOCK = 16384  # texts filed under one value that are compared as one block
 SHINGLES = 2_000_000  # shingles of a family's texts that are compared as one block
 CHUNK = 8_000_000  # bytes of blocks that a task compares at once
 PENDING = 500_000  # near pairs that a task holds before it reduces them
@@ -286,9 +289,8 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
 
 
-def long_fingerprint(text: str | None, size: int) -> bytes:
-    """The majority over the set of a text's shingles in each of ``64 * WORDS`` bits; zeros without a word."""
-    hashes = shingle_set(text, size)
+def long_fingerprint(hashes: np.ndarray) -> bytes:
+    """The majority over a set of shingles in each of ``64 * WORDS`` bits; zeros for none."""
     ones = np.zeros(BITS * WORDS, dtype=np.int64)
     for start in range(0, len(hashes), 4096):
         octets = mixed(hashes[start:start + 4096]).astype("<u8").view(np.uint8)
@@ -322,7 +324,17 @@ def long_groups(classes: DataFrame) -> list[tuple[int, list[int]]]:
     for row in rows:
         together[row[0]] = row[2:]
     together = together.reshape(WORDS, BITS, BITS)
-    return [(w, group) for w in range(WORDS) for group in group_bits(n, together[w], BITS // WIDTH)]
+    return [(w, group) for w in range(WORDS) for group in deals(group_bits(n, together[w], -(-BITS // WIDTH)))]
+
+
+def deals(groups: list[list[int]]) -> list[list[int]]:
+    """``groups`` and their bits dealt anew, ``DEALS`` times in all; each new group has bits of all groups of the deal before."""
+    every = list(groups)
+    for _ in range(DEALS - 1):
+        in_order = [bit for group in groups for bit in group]
+        groups = [sorted(in_order[k::len(groups)]) for k in range(len(groups))]
+        every += groups
+    return every
 
 
 def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -339,12 +351,14 @@ def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Comparison:
     """Compares the rows of whole blocks, which lie one after the other."""
 
-    def __init__(self, groups: list[tuple[int, list[int]]], close: int, surely: int, maybe: int, most: int):
+    def __init__(self, groups: list[tuple[int, list[int]]], similarity: float, most: int):
+        bits = BITS * WORDS
         self.words = np.array([w for w, _ in groups])
         self.masks = np.array([sum(1 << bit for bit in group) for _, group in groups], dtype=np.uint64)
-        self.close, self.surely, self.maybe, self.most = close, surely, maybe, most
+        self.close, self.surely, self.maybe = limits(similarity, BITS, 4), spread(similarity, bits, -3), limits(similarity, bits, 3)
+        self.similarity, self.most = similarity, most
 
-    def near(self, block: np.ndarray, right: np.ndarray, component: np.ndarray, own: np.ndarray):
+    def near(self, block: np.ndarray, right: np.ndarray, component: np.ndarray, sizes: np.ndarray, own: np.ndarray):
         """``(x, y, apart)`` of the rows that are near, a step apart at a time; each pair only in the first group where it meets."""
         heads = np.ascontiguousarray(own[:, 0])
         part = block >> (2 * _PLACE + WIDTH)
@@ -355,17 +369,22 @@ class Comparison:
             x = x[:np.searchsorted(x, len(block) - step)]
             x = x[block[x] == block[x + step]]
             y = x + step
-            fits = (np.bitwise_count(heads[x] ^ heads[y]) <= self.close) & (component[x] != component[y]) & (within[x] | (right[x] != right[y]))
-            a, b = x[fits], y[fits]
+            few = np.bitwise_count(heads[x] ^ heads[y]) <= self.close.max()
+            a, b = x[few], y[few]
+            low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            fits = (low >= self.similarity * high) & (component[a] != component[b]) & (within[a] | (right[a] != right[b]))
+            a, b, low = a[fits], b[fits], np.minimum(low[fits], SMALL)
+            few = np.bitwise_count(heads[a] ^ heads[b]) <= self.close[low]
+            a, b, low = a[few], b[few], low[few]
             differ = own[a] ^ own[b]
             apart = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
-            few = apart <= self.maybe
+            few = apart <= self.maybe[low]
             a, b, apart, differ = a[few], b[few], apart[few], differ[few]
             first = ((differ[:, self.words] & self.masks) == 0).argmax(axis=1) == part[a]
             if first.any():
                 yield a[first], b[first], apart[first]
 
-    def __call__(self, block: np.ndarray, right: np.ndarray, ids: np.ndarray, component: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    def __call__(self, block: np.ndarray, right: np.ndarray, ids: np.ndarray, component: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         label, family, crowded = np.arange(len(block)), np.arange(len(block)), np.zeros(len(block), dtype=bool)
         pending: list[tuple[np.ndarray, ...]] = []
 
@@ -387,7 +406,7 @@ class Comparison:
             return [(x, y, apart)]
 
         held = 0
-        for found in self.near(block, right, component, own):
+        for found in self.near(block, right, component, sizes, own):
             pending.append(found)
             held += len(found[0])
             if held > PENDING:
@@ -441,7 +460,7 @@ def dealt(rows: DataFrame) -> DataFrame:
 def similar_pairs(spark: SparkSession, nodes: DataFrame, compare: Comparison) -> DataFrame:
     """Pairs ``(a, b, apart, kind)``, ``a <= b``, of ids of different components that meet in a group and are near.
 
-    ``nodes`` holds distinct ``(id, component, fp)`` and is read several times, so it should be a table. ``SURE`` pairs come as a
+    ``nodes`` holds distinct ``(id, component, size, fp)`` and is read several times, so it should be a table. ``SURE`` pairs come as a
     star for each block and component, as do ``NEAR`` ones (all there are) for each block and family; of ``OPEN`` pairs the
     nearest ``compare.most`` to smaller ids for each id and block. ``MORE`` names an id that has more of them.
     """
@@ -459,13 +478,13 @@ def similar_pairs(spark: SparkSession, nodes: DataFrame, compare: Comparison) ->
 
     def filed(batches):
         for batch in batches:
-            own = words_of_prints(batch.column(2))
+            own = words_of_prints(batch.column(3))
             for part in range(len(words)):
                 yield pa.RecordBatch.from_arrays([key_of(own, part), *batch.columns], names=["key", *batch.schema.names])
 
     counted = map_arrow(nodes.select("fp"), "key bigint", keyed).groupBy("key").count().where(F.col("count") > BLOCK)
     crowd = truncate_lineage(spark, counted.select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "crowd")
-    index = map_arrow(nodes.select("id", "component", "fp"), "key bigint, id bigint, component bigint, fp binary", filed)
+    index = map_arrow(nodes.select("id", "component", "size", "fp"), "key bigint, id bigint, component bigint, size int, fp binary", filed)
     if crowd.isEmpty():
         placed = index.withColumn("block", F.shiftleft("key", 2 * _PLACE)).withColumn("right", F.lit(False))
     else:
@@ -473,19 +492,20 @@ def similar_pairs(spark: SparkSession, nodes: DataFrame, compare: Comparison) ->
 
     def compared(batches):
         for batch in whole_blocks(batches, 1):
-            yield compare(*[batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], words_of_prints(batch.column(4)))
+            yield compare(*[batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)], words_of_prints(batch.column(5)))
 
-    blocks = placed.select("block", "right", "id", "component", "fp").repartition("block").sortWithinPartitions("block")
+    blocks = placed.select("block", "right", "id", "component", "size", "fp").repartition("block").sortWithinPartitions("block")
     return map_arrow(blocks, "a bigint, b bigint, apart bigint, kind int", compared)
 
 
-def family_links(spark: SparkSession, named: DataFrame, members: DataFrame, similarity: float, size: int, maybe: int) -> DataFrame:
+def family_links(spark: SparkSession, named: DataFrame, members: DataFrame, similarity: float, size: int) -> DataFrame:
     """Links ``(a, b)`` that join components of a family, by shingles; of several that join the same two, one.
 
-    ``members`` holds ``(id, fp, component, family)``. Texts up to ``maybe`` bits apart are compared, nearest first.
+    ``members`` holds ``(id, fp, component, family)``. Texts that may have the similarity by their bits are compared, nearest first.
     """
+    maybe = limits(similarity, BITS * WORDS, 3)
     sets = shingle_sets(spark, named, members.select(F.col("id").alias("doc_id")).distinct(), size).withColumnRenamed("doc_id", "id")
-    ready = truncate_lineage(spark, members.join(sets, "id"), "members")
+    ready = truncate_lineage(spark, members.join(sets, ["id", "fp"]), "members")
     shares = ready.groupBy("family").agg(F.ceil(F.sum(F.size("hashes")) / SHINGLES).alias("blocks")).where("blocks > 1")
     placed = dealt(ready.join(truncate_lineage(spark, shares, "shares"), "family", "left"))
 
@@ -497,11 +517,13 @@ def family_links(spark: SparkSession, named: DataFrame, members: DataFrame, simi
             edges = batch.column(7).offsets.to_numpy().astype(np.int64)
             values, codes = np.unique(batch.column(7).values.to_numpy()[edges[0]:edges[-1]], return_inverse=True)
             edges, mark, pairs = edges - edges[0], np.zeros(len(values), dtype=bool), []
+            many = np.diff(edges)
             starts = block_starts(batch, 3)
             for start, end in zip(starts, np.r_[starts[1:], len(ids)]):
                 for x in range(start + 1, end):
                     apart = np.bitwise_count(own[start:x] ^ own[x]).sum(axis=1, dtype=np.int64)
-                    open_ = (apart <= maybe) & (label[start:x] != label[x]) & (within[x] | (right[start:x] != right[x]))
+                    low, high = np.minimum(many[start:x], many[x]), np.maximum(many[start:x], many[x])
+                    open_ = (apart <= maybe[np.minimum(low, SMALL)]) & (low >= similarity * high) & (label[start:x] != label[x]) & (within[x] | (right[start:x] != right[x]))
                     if not open_.any():
                         continue
                     near = start + np.flatnonzero(open_)
@@ -535,6 +557,29 @@ def spread(similarity: float, bits: int, errors: float) -> int:
     return int(bits * chance + errors * np.sqrt(bits * chance * (1 - chance)))
 
 
+def differing(one: int, two: int, common: int) -> float:
+    """The chance that a bit differs in the majorities over two sets of hashes."""
+    shared = np.arange(common + 1)
+    sets = []
+    for n in (one, two):
+        more = [sum(comb(n - common, i) for i in range(k, n - common + 1)) / 2 ** (n - common) for k in range(n - common + 2)]
+        sets.append(np.array(more)[np.clip(n // 2 + 1 - shared, 0, n - common + 1)])
+    a, b = sets
+    return float(np.array([comb(common, k) / 2**common for k in range(common + 1)]) @ (a * (1 - b) + b * (1 - a)))
+
+
+def limits(similarity: float, bits: int, errors: float) -> np.ndarray:
+    """``spread`` by the size of the smaller set, up to ``SMALL``: majorities over few hashes, and ties among them, let more bits differ."""
+    most = np.full(SMALL + 1, spread(similarity, bits, errors))
+    for one in range(1, SMALL):
+        for two in range(one, int(one / similarity + 1e-9) + 1):
+            common = ceil(similarity * (one + two) / (1 + similarity) - 1e-9)
+            if common <= one:
+                chance = differing(one, two, common)
+                most[one] = max(most[one], int(bits * chance + errors * np.sqrt(bits * chance * (1 - chance))))
+    return most
+
+
 def between(spark: SparkSession, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The ``pairs`` whose ends are in different components."""
     for end in ("a", "b"):
@@ -544,13 +589,16 @@ def between(spark: SparkSession, pairs: DataFrame, labels: DataFrame) -> DataFra
 
 
 def shingle_sets(spark: SparkSession, named: DataFrame, ends: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, hashes)``: the set of shingles of the smallest text of each of ``ends``."""
-    texts = named.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return annotate(texts, ["text"], "hashes array<bigint>", lambda t: [[shingle_set(x, size).view(np.int64) for x in t.to_pylist()]]).drop("text")
+    """``(doc_id, fp, hashes)``: the set of shingles of each text of ``ends``."""
+    def sets(texts):
+        hashes = [shingle_set(x, size) for x in texts.to_pylist()]
+        return [[long_fingerprint(x) for x in hashes], [x.view(np.int64) for x in hashes]]
+
+    return annotate(named.join(ends, "doc_id", "left_semi").distinct(), ["text"], "fp binary, hashes array<bigint>", sets).drop("text")
 
 
 def alike(spark: SparkSession, named: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Those of ``pairs`` whose texts have the ``similarity``, by their shingles."""
+    """Those of ``pairs`` of which a text of the one and one of the other have the ``similarity``, by their shingles."""
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = truncate_lineage(spark, shingle_sets(spark, named, ends, size), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("of_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("of_b")), "b")
@@ -565,24 +613,27 @@ def similar_documents(spark: SparkSession, docs: DataFrame, similarity: float =
     ``similarity`` or more and their fingerprints meet (see above for the chance of that). A pair far
     nearer or farther on 512 bits than the similarity asks for is decided by them, at three standard
     errors; a pair between them only if the surer ones don't join it already, by its shingles. Equal
-    fingerprints are one class, so copies cost nothing; a class is judged by its smallest text.
+    fingerprints are one class, so copies cost nothing; an id with several texts links by any of them.
     Texts without a word are one class; texts are taken whole, a very long one in its task. Repeated rows each get a
     row; rows with a null ``doc_id`` link with nothing and have a null ``component_id``; other columns are ignored; an empty
     table gives an empty result.
     """
-    bits = BITS * WORDS
+    def marks(texts):
+        made = [(long_fingerprint(hashes), len(hashes)) for hashes in (shingle_set(t, size) for t in texts.to_pylist())]
+        return [[fp for fp, _ in made], [n for _, n in made]]
+
     named = docs.select("doc_id", "text")
-    marked = truncate_lineage(spark, annotate(named, ["text"], "fp binary", lambda texts: [[long_fingerprint(t, size) for t in texts.to_pylist()]]).select("doc_id", "fp"), "fingerprints")
-    classes = truncate_lineage(spark, marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")).select("id", "fp"), "classes")
+    marked = truncate_lineage(spark, annotate(named, ["text"], "fp binary, size int", marks).select("doc_id", "fp", "size"), "fingerprints")
+    grouped = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("size").alias("size"))
+    classes = truncate_lineage(spark, grouped.select("id", "fp", "size"), "classes")
     # An id that stands for two texts is one node, so its classes are one, too.
     groups = long_groups(classes)
-    surely, maybe = spread(similarity, bits, -3), spread(similarity, bits, 3)
     nodes, labels, families = classes.withColumn("component", F.col("id")), None, None
     for most in ROUNDS:
         if most is None:
-            new = family_links(spark, named, nodes, similarity, size, maybe)
+            new = family_links(spark, named, nodes, similarity, size)
         else:
-            found = truncate_lineage(spark, similar_pairs(spark, nodes, Comparison(groups, spread(similarity, BITS, 4), surely, maybe, most)), "found")
+            found = truncate_lineage(spark, similar_pairs(spark, nodes, Comparison(groups, similarity, most)), "found")
             if labels is None:
                 labels = truncate_lineage(spark, components(spark, found.where(F.col("kind") == SURE)), "labels")
                 families = truncate_lineage(spark, components(spark, found.where(F.col("kind") == NEAR)).withColumnsRenamed({"node": "id", "component": "family"}), "families")
@@ -595,10 +646,10 @@ def similar_documents(spark: SparkSession, docs: DataFrame, similarity: float =
         # Families go on that have more open pairs and are not one component.
         crowded = families.join(found.where(F.col("kind") == MORE).select(F.col("a").alias("id")), "id", "left_semi").select("family").distinct()
         named_so_far = classes.join(families, "id").join(crowded, "family", "left_semi").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-            "id", "fp", F.coalesce("component", "id").alias("component"), "family")
+            "id", "fp", "size", F.coalesce("component", "id").alias("component"), "family")
         named_so_far = truncate_lineage(spark, named_so_far, "nodes")
         apart_still = named_so_far.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("family")
-        nodes = truncate_lineage(spark, named_so_far.join(apart_still, "family", "left_semi").select("id", "fp", "component", "family"), "nodes")
+        nodes = truncate_lineage(spark, named_so_far.join(apart_still, "family", "left_semi").select("id", "fp", "size", "component", "family"), "nodes")
         if nodes.isEmpty():
             break
     node = classes.join(labels.withColumnRenamed("node", "id"), "id", "left")

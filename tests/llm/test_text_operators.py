@@ -154,6 +154,38 @@ def test_similar_documents_brute_force(spark, monkeypatch, rounds):
     assert all(len(v) == 1 or c in v for c, v in joined.items()) and sum(len(v) > 1 for v in joined.values()) == 0
 
 
+def lone_pairs(rng, pairs, words, changed):
+    """Pairs of texts, each pair of words of its own: ``changed(words)`` is the second text of a pair."""
+    rows = []
+    for k in range(pairs):
+        text = [f"p{k}w{n}" for n in rng.integers(0, 10**6, words)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(changed(text)))]
+    return rows
+
+
+@pytest.mark.parametrize("words,changed,similarity", [
+    (184, lambda w: w[:60] + ["one"] + w[61:100] + ["two"] + w[101:140] + ["three"] + w[141:180] + ["four"] + w[181:], 161 / 199),
+    (9, lambda w: w[:8], 4 / 5), (16, lambda w: [*w, *"abc"], 12 / 15)])
+def test_similar_documents_find_lone_pairs(spark, words, changed, similarity):
+    """Pairs just similar enough that no third text joins, long texts and short ones: hardly any is left out, by its place in no group or by its few shingles."""
+    rows = lone_pairs(np.random.default_rng(17), 1000, words, changed)
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = [simhash.shingle_set(text, 5) for _, text in rows]
+    assert all(len(np.intersect1d(a, b)) == round(similarity * len(np.union1d(a, b))) >= 0.8 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2]))
+    joined = sum(found[2 * k + 1] == 2 * k for k in range(1000))
+    assert joined >= 980, joined
+    assert all(found[d] in (d, d - d % 2) for d in found)
+
+
+def test_similar_documents_judge_each_text_of_an_id(spark):
+    """An id with two texts, of which the second is similar to another id's."""
+    words = [f"w{n}" for n in range(120)]
+    edited = words[:40] + ["one"] + words[41:80] + ["two"] + words[81:]
+    rows = [(1, "a text of its own that comes first"), (1, " ".join(words)), (2, " ".join(edited)), (3, "nothing like the others here at all")]
+    found = {(r.doc_id, r.component_id) for r in simhash.similar_documents(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {(1, 1), (2, 1), (3, 3)}
+
+
 def near_copies(rng, texts, changes):
     """Texts of 200 words; ``changes`` of them are changed in each."""
     base = [f"w{n}" for n in rng.integers(0, 5000, 200)]
