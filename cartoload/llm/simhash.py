@@ -52,6 +52,7 @@ SMALL = 64  # sets of fewer shingles have their own limits on the bits that may
 #: component drop out; at last (None) all that are left, by families.
 ROUNDS = (1, None)
 BLOCK = 16384  # texts filed under one value that are compared as one block
+MOST_PLACES = 1 << 26  # bits of the bitmap that keeps texts out of a join
 SHINGLES = 2_000_000  # shingles of a family's texts that are compared as one block
 CHUNK = 8_000_000  # bytes of blocks that a task compares at once
 PENDING = 500_000  # near pairs that a task holds before it reduces them
@@ -467,23 +468,29 @@ def similar_pairs(spark: SparkSession, nodes: DataFrame, compare: Comparison) ->
     words, masks = compare.words.tolist(), compare.masks.tolist()
     bits = [[k for k in range(BITS) if mask >> k & 1] for mask in masks]
 
-    def key_of(own: np.ndarray, part: int) -> pa.Array:
-        return pa.array((project(own[:, words[part]], bits[part]) | np.uint64(part << WIDTH)).view(np.int64))
+    def key_of(own: np.ndarray, part: int) -> np.ndarray:
+        return (project(own[:, words[part]], bits[part]) | np.uint64(part << WIDTH)).view(np.int64)
 
-    def keyed(batches):
+    # What a task leaves out as rare is less than BLOCK of a value in all tasks together, so no share is over twice that.
+    least = max(1, BLOCK // nodes.rdd.getNumPartitions())
+
+    def counts(batches):
+        often = np.zeros(len(words) << WIDTH, dtype=np.int64)
         for batch in batches:
             own = words_of_prints(batch.column(0))
             for part in range(len(words)):
-                yield pa.RecordBatch.from_arrays([key_of(own, part)], names=["key"])
+                often += np.bincount(key_of(own, part), minlength=len(often))
+        key = np.flatnonzero(often >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(often[key])], names=["key", "n"])
 
     def filed(batches):
         for batch in batches:
             own = words_of_prints(batch.column(3))
             for part in range(len(words)):
-                yield pa.RecordBatch.from_arrays([key_of(own, part), *batch.columns], names=["key", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(key_of(own, part)), *batch.columns], names=["key", *batch.schema.names])
 
-    counted = map_arrow(nodes.select("fp"), "key bigint", keyed).groupBy("key").count().where(F.col("count") > BLOCK)
-    crowd = truncate_lineage(spark, counted.select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "crowd")
+    counted = map_arrow(nodes.select("fp"), "key bigint, n bigint", counts).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+    crowd = truncate_lineage(spark, counted.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "crowd")
     index = map_arrow(nodes.select("id", "component", "size", "fp"), "key bigint, id bigint, component bigint, size int, fp binary", filed)
     if crowd.isEmpty():
         placed = index.withColumn("block", F.shiftleft("key", 2 * _PLACE)).withColumn("right", F.lit(False))
@@ -588,13 +595,26 @@ def between(spark: SparkSession, pairs: DataFrame, labels: DataFrame) -> DataFra
     return truncate_lineage(spark, pairs.where(apart).select("a", "b", "apart"), "open")
 
 
+def narrowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc_id`` isn't among ``ids``: these are marked in a bitmap of 16 to 32 bits an id, 8 MB at most, that
+    goes to all executors. An exact join is to follow; it gets a share of the rows about as large as that of the ids."""
+    places = min(max(1 << (16 * ids.count()).bit_length(), 1 << 15), MOST_PLACES)
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(places))
+    block, within = F.expr("_place div 32768"), F.expr("_place % 32768")
+    marks = ids.select(place.alias("_place")).groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(within).alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place % 32768 div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    met = rows.withColumn("_place", place).withColumn("_block", block).join(F.broadcast(marks), "_block")
+    return met.where(F.getbit(byte, F.expr("cast(_place % 8 as int)")) == 1).select(*rows.columns)
+
+
 def shingle_sets(spark: SparkSession, named: DataFrame, ends: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, fp, hashes)``: the set of shingles of each text of ``ends``."""
+    """``(doc_id, fp, hashes)``: the set of shingles of each text of the distinct ids ``ends``."""
     def sets(texts):
         hashes = [shingle_set(x, size) for x in texts.to_pylist()]
         return [[long_fingerprint(x) for x in hashes], [x.view(np.int64) for x in hashes]]
 
-    return annotate(named.join(ends, "doc_id", "left_semi").distinct(), ["text"], "fp binary, hashes array<bigint>", sets).drop("text")
+    # No semi join: Spark would move that before the other one.
+    return annotate(narrowed(named, ends).join(ends, "doc_id").distinct(), ["text"], "fp binary, hashes array<bigint>", sets).drop("text")
 
 
 def alike(spark: SparkSession, named: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:

@@ -186,6 +186,18 @@ def test_similar_documents_judge_each_text_of_an_id(spark):
     assert found == {(1, 1), (2, 1), (3, 3)}
 
 
+def test_narrowed_keeps_all_that_a_join_finds(spark, monkeypatch):
+    """Bitmaps with room for the ids, and without."""
+    rows = spark.range(-20_000, 20_000).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    ids = spark.range(-20_000, 20_000, 25).select(F.col("id").alias("doc_id"))
+    for most, fewest in ((1 << 26, 36_000), (1 << 10, 0)):
+        monkeypatch.setattr(simhash, "MOST_PLACES", most)
+        kept = simhash.narrowed(rows, ids)
+        assert kept.columns == rows.columns and kept.join(ids, "doc_id", "left_semi").count() == rows.join(ids, "doc_id", "left_semi").count() == 1600
+        assert 40_000 - kept.count() >= fewest
+    assert simhash.narrowed(rows, ids.limit(0)).count() == 0
+
+
 def near_copies(rng, texts, changes):
     """Texts of 200 words; ``changes`` of them are changed in each."""
     base = [f"w{n}" for n in rng.integers(0, 5000, 200)]
